@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import q_chat_format, q_mixing, q_quality_rules
+from . import q_chat_format, q_mixing, q_quality_classifier, q_quality_rules, q_toxicity
 
 QUERIES = {
     "op1_mixing": q_mixing.op1_mixing,
     "op3_chat_format": q_chat_format.op3_chat_format,
+    "op4_toxicity": q_toxicity.op4_toxicity,
+    "op5_quality_classifier": q_quality_classifier.op5_quality_classifier,
     "op6_quality_rules": q_quality_rules.op6_quality_rules,
 }
 ORACLE = {
