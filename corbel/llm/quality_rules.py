@@ -92,13 +92,13 @@ RULES = {
 }
 
 
-def cascade_order(measured: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, rejection rate, cost), best first, from one aggregation over a sample."""
-    total = measured.count()
+def cascade_order(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
+    """(rule, rejection rate, cost), best first, from one aggregation over a sample; only sampled rows are measured."""
+    total = docs.count()
     if not total:
         return [(name, 0.0, 0.0) for name in sorted(RULES)]
     t = F.coalesce(F.col(text), F.lit(""))
-    some = measured.sample(min(1.0, sample_rows / total), seed=17).filter(~F.col("base_failed"))
+    some = base_metrics(docs.sample(min(1.0, sample_rows / total), seed=17), text).filter(~F.col("base_failed"))
     chars, words = F.avg(F.length(t)), F.avg("n_words")
     row = some.agg(chars.alias("chars"), words.alias("words"), *[F.avg(F.coalesce(cond(t), F.lit(False)).cast("double")).alias(name) for name, (_, cond) in RULES.items()]).first()
     steps = {"counted": 1.0, "chars": row["chars"] or 1.0, "words": row["words"] or 1.0}
@@ -111,6 +111,6 @@ def quality_rules(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE
     measured = base_metrics(docs, text)
     t = F.coalesce(F.col(text), F.lit(""))
     verdict = F.when(F.col("base_failed"), F.lit("base"))
-    for name, _, _ in cascade_order(measured, text, sample_rows):
+    for name, _, _ in cascade_order(docs, text, sample_rows):
         verdict = verdict.when(RULES[name][1](t), F.lit(name))
     return measured.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
