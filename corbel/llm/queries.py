@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_chat_format, q_html_text, q_mixing, q_quality_classifier, q_quality_rules, q_secrets, q_toxicity
+from . import q_chat_format, q_html_text, q_mixing, q_near_dedup, q_quality_classifier, q_quality_rules, q_secrets, q_toxicity
 
 QUERIES = {
     "op1_mixing": q_mixing.op1_mixing,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_toxicity": q_toxicity.op4_toxicity,
     "op5_quality_classifier": q_quality_classifier.op5_quality_classifier,
     "op6_quality_rules": q_quality_rules.op6_quality_rules,
+    "op7_near_dedup": q_near_dedup.op7_near_dedup,
     "op8_secrets": q_secrets.op8_secrets,
     "op9_html_text": q_html_text.op9_html_text,
 }
