@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_chat_format, q_html_text, q_mixing, q_near_dedup, q_quality_classifier, q_quality_rules, q_secrets, q_toxicity
+from . import q_chat_format, q_html_text, q_line_dedup, q_mixing, q_near_dedup, q_quality_classifier, q_quality_rules, q_secrets, q_toxicity
 
 QUERIES = {
     "op1_mixing": q_mixing.op1_mixing,
@@ -13,6 +13,7 @@ QUERIES = {
     "op7_near_dedup": q_near_dedup.op7_near_dedup,
     "op8_secrets": q_secrets.op8_secrets,
     "op9_html_text": q_html_text.op9_html_text,
+    "op10_line_dedup": q_line_dedup.op10_line_dedup,
 }
 ORACLE = {
     "op1_mixing": q_mixing.SQL,
