@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import q_chat_format, q_html_text, q_line_dedup, q_mixing, q_near_dedup, q_quality_classifier, q_quality_rules, q_secrets, q_toxicity
+from . import q_chat_format, q_decontaminate, q_html_text, q_line_dedup, q_mixing, q_near_dedup, q_quality_classifier, q_quality_rules, q_secrets, q_toxicity
 
 QUERIES = {
     "op1_mixing": q_mixing.op1_mixing,
+    "op2_decontaminate": q_decontaminate.op2_decontaminate,
     "op3_chat_format": q_chat_format.op3_chat_format,
     "op4_toxicity": q_toxicity.op4_toxicity,
     "op5_quality_classifier": q_quality_classifier.op5_quality_classifier,
