@@ -286,3 +286,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 def toxicity(docs: DataFrame, labels: DataFrame, use: Column, train_rows: int = TRAIN_ROWS) -> DataFrame:
     small_batches(docs.sparkSession)
     return score(docs, fit(docs, labels, use, train_rows))
+
+
+def drop_toxic(docs: DataFrame, labels: DataFrame, use: Column, threshold: float = 0.7, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """docs, all columns, without the rows whose text scores threshold or more. Rows are judged where they stand, without a join."""
+    small_batches(docs.sparkSession)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, use, train_rows))
+
+    def run(batches):
+        m = shared.value
+        for batch in batches:
+            for part in text_chunks(batch, "text"):
+                n, segs = _segments(part.column("text"), m)
+                x = np.array([min(evidence(int(k), s, m)[0], 50.0) for k, s in zip(n, segs, strict=True)])
+                yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(m.bias + m.slope * x, -30, 30))) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
