@@ -1 +1 @@
-
+"""Schema-agnostic kernels: DataFrames in, DataFrames out."""
