@@ -6,9 +6,9 @@ import tempfile
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 
 #: Fixed value: what the contracts call a word.
@@ -67,14 +67,10 @@ def split_words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     return flat.filter(pa.array(keep)), before[offsets - offsets[0]].astype(np.int64)
 
 
-def distinct_words(flat: pa.Array) -> tuple[list[str], np.ndarray]:
+def distinct_words(flat: pa.Array) -> tuple[pa.Array, np.ndarray]:
     """The different words, and for each word its number among them."""
     coded = flat.dictionary_encode()
-    return coded.dictionary.to_pylist(), coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-
-
-def hash_strings(strings: list[str], seed: int = 0) -> np.ndarray:
-    return np.fromiter((xxhash.xxh64_intdigest(s.encode("utf-8", "surrogatepass"), seed) for s in strings), np.uint64, len(strings))
+    return coded.dictionary, coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -88,11 +84,94 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+#: Bytes of a string whose random values are tabulated; values further on are computed.
+TABLED = 64
+_TABLE = mix(np.arange(TABLED << 8, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03))
+
+
+def hash_array(strings: pa.Array, seed: int = 0) -> np.ndarray:
+    """64-bit tabulation hashes: the sum of a random value for each byte at its place. Empty strings: 0 (for seed 0)."""
+    strings = strings.cast(pa.large_string())
+    offsets = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1] if len(strings) else np.zeros(1, np.int64)
+    sizes = np.diff(offsets)
+    out = np.zeros(len(sizes), np.uint64)
+    some = sizes > 0
+    if some.any():
+        data = np.frombuffer(strings.buffers()[2], np.uint8)[offsets[0] : offsets[-1]]
+        starts = offsets[:-1][some] - offsets[0]
+        place = np.arange(len(data)) - np.repeat(starts, sizes[some])
+        code = (place << 8) | data
+        values = _TABLE[np.minimum(code, len(_TABLE) - 1)]
+        far = place >= TABLED
+        if far.any():
+            values[far] = mix(code[far].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(0xD1B54A32D192ED03))
+        out[some] = np.add.reduceat(values, starts)
+    return mix(out + np.uint64(seed)) if seed else out
+
+
+def hash_strings(strings: list[str], seed: int = 0) -> np.ndarray:
+    return hash_array(pa.array(strings, pa.string()), seed)
+
+
 def hash_words(flat: pa.Array, seed: int = 0) -> np.ndarray:
-    words, at = distinct_words(flat)
-    return hash_strings(words, seed)[at] if len(at) else np.empty(0, np.uint64)
+    """A hash for each word; each different word is hashed once."""
+    if not len(flat):
+        return np.empty(0, np.uint64)
+    coded = flat.dictionary_encode()
+    return hash_array(coded.dictionary, seed)[coded.indices.to_numpy(zero_copy_only=False)]
 
 
 def owners(offsets: np.ndarray) -> np.ndarray:
     """For each word the number of its text."""
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+
+
+#: Bits of a Bloom filter (a fixed 8 MB, whatever it is built from), of one of its parts, and hashes per key.
+BLOOM_BITS, BLOOM_PART, BLOOM_HASHES = 1 << 26, 1 << 20, 3
+
+
+def _bloom_places(ids: np.ndarray) -> np.ndarray:
+    """One row of bit numbers for each hash."""
+    h = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x51ED))
+    step = mix(h) | np.uint64(1)
+    return np.stack([(h + np.uint64(k) * step) & np.uint64(BLOOM_BITS - 1) for k in range(BLOOM_HASHES)])
+
+
+def bloom(ids: DataFrame, column: str) -> np.ndarray:
+    """A Bloom filter of a long column, as bits. It passes every id of the column, and few others until there are some
+    ten million; beyond that it only saves less."""
+
+    def build(batches):
+        bits: dict[int, np.ndarray] = {}
+        for b in batches:
+            places = np.unique(_bloom_places(b.column(0).to_numpy(zero_copy_only=False)).ravel().astype(np.int64))
+            for part in np.unique(places // BLOOM_PART):
+                mine = places[places // BLOOM_PART == part] - part * BLOOM_PART
+                bits.setdefault(int(part), np.zeros(BLOOM_PART, bool))[mine] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int64()), pa.array([np.packbits(x).tobytes() for x in bits.values()], pa.binary())], ["part", "bits"])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = np.zeros(BLOOM_PART // 8, np.uint8)
+        for x in pdf["bits"]:
+            out |= np.frombuffer(x, np.uint8)
+        return pd.DataFrame({"part": pdf["part"].iloc[:1], "bits": [out.tobytes()]})
+
+    rows = ids.select(column).filter(f"{column} IS NOT NULL").mapInArrow(build, "part long, bits binary").groupBy("part").applyInPandas(merge, "part long, bits binary").toLocalIterator()
+    out = np.zeros(BLOOM_BITS // 8, np.uint8)
+    for part, bits in rows:
+        out[part * BLOOM_PART // 8 : (part + 1) * BLOOM_PART // 8] = np.frombuffer(bytes(bits), np.uint8)
+    return out
+
+
+def keep_likely(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
+    """df without most rows whose column isn't in the filter; done before a join's shuffle."""
+    shared = df.sparkSession.sparkContext.broadcast(bits)
+
+    def run(batches):
+        for b in batches:
+            ids = pc.fill_null(b.column(column), 0).to_numpy(zero_copy_only=False)
+            at = _bloom_places(ids).astype(np.int64)
+            hit = ((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
+            yield b.filter(pa.array(hit.astype(bool)))
+
+    return df.mapInArrow(run, df.schema)

@@ -21,18 +21,15 @@ kept.
 
 from __future__ import annotations
 
-import re
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, hash_words, mix, owners, settle, small_batches, split_words, text_chunks
+from .common import bloom, hash_words, keep_likely, mix, owners, settle, small_batches, split_words, text_chunks
 
 LINES, RADIUS, MIN_WORDS = 3, 3, 25
-_WORDS = re.compile(WORD)
 
 
 def _newline_before(texts: pa.Array, flat: pa.Array, offsets: np.ndarray) -> np.ndarray:
@@ -92,32 +89,36 @@ def _windows(batches):
             yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(ids[own], pa.int64()), pa.array(number.astype(np.int32))], ["h", "doc_id", "line"])
 
 
+def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of UTF-8 bytes start and end; the six space characters are bytes of their own there."""
+    word = np.ones(len(data) + 2, bool)
+    word[0] = word[-1] = False
+    word[1:-1] = (data != 32) & ((data < 9) | (data > 13))
+    edge = np.flatnonzero(word[1:] != word[:-1])
+    return edge[::2], edge[1::2]
+
+
 def cut(text: str, starts: np.ndarray, hard: np.ndarray, marked: list[int]) -> str:
     """text without the runs of lines that the windows starting at the marked lines cover."""
     n = len(starts)
-    gone = np.zeros(n, bool)
-    for m in marked:
-        gone[m : m + LINES] = True
+    gone = np.zeros(n + 1, bool)
+    for k in range(LINES):
+        gone[np.minimum(np.asarray(marked, np.int64) + k, n)] = True
+    gone[n] = False
     if not gone.any():
         return text
-    spans = [m.span() for m in _WORDS.finditer(text)]
-    ends = np.append(starts, len(spans))
+    raw = text.encode("utf-8", "surrogatepass")
+    at, _ = word_spans(np.frombuffer(raw, np.uint8))
+    words, at = np.append(starts, len(at)), np.append(at, len(raw))
+    turns = np.flatnonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)))
     out, kept_to = [], 0
-    i = 0
-    while i < n:
-        if not gone[i]:
-            i += 1
-            continue
-        j = i
-        while j < n and gone[j]:
-            j += 1
-        breaks = [k for k in range(i, j + 1) if k == n or hard[ends[k]]]  # lines of the run that start, or end, at a newline
-        if ends[j] - ends[i] >= MIN_WORDS or len(breaks) > LINES:
-            out.append(text[kept_to : spans[ends[i]][0]])
-            kept_to = spans[ends[j]][0] if ends[j] < len(spans) else len(text)
-        i = j
-    out.append(text[kept_to:])
-    return "".join(out)
+    for i, j in zip(turns[::2], turns[1::2], strict=True):
+        breaks = hard[words[i:j]].sum() + (j == n or hard[words[j]])  # lines of the run that start, or end, at a newline
+        if words[j] - words[i] >= MIN_WORDS or breaks > LINES:
+            out.append(raw[kept_to : at[words[i]]])
+            kept_to = at[words[j]]
+    out.append(raw[kept_to:])
+    return b"".join(out).decode("utf-8", "surrogatepass")
 
 
 def _rebuild(batches):
@@ -138,7 +139,7 @@ def later_windows(docs: DataFrame) -> DataFrame:
     found = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(_windows, "h long, doc_id long, line int")
     first = found.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "line")).alias("at")).filter("c > 1").select("h", F.col("at.doc_id").alias("d0"), F.col("at.line").alias("l0"))
     first = settle(first, "line-first")
-    later = found.join(first, "h").filter("doc_id <> d0 OR line <> l0")
+    later = keep_likely(found, "h", bloom(first, "h")).join(first, "h").filter("doc_id <> d0 OR line <> l0")
     return settle(later.groupBy("doc_id").agg(F.collect_set("line").alias("marked")), "line-marked")
 
 
