@@ -9,7 +9,7 @@ distributed over their rows: one pass sums A'(A O) for a random O (a range finde
 Gram matrix of A Q; the eigenvectors of that small matrix give the right singular vectors. The space is that of the
 passages asked for, so rare words that mark them keep their directions.
 
-Search. Each document window whose weight in benchmark words could reach a candidate's is projected; passages whose
+Search. Each document window with enough weight in rare benchmark words to hold a passage's part is projected; passages whose
 latent cosine is COSINE or more are candidates. Each candidate is confirmed on words: the longest common subsequence of
 the passage and the text around the window. It is a leak if that covers STRONG of the passage, or WEAK of it and the
 answer (its own column, or else the passage's last ANSWER words) is found there too.
@@ -33,25 +33,31 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_words, hash_strings, owners, small_batches, split_words, text_chunks
+from .common import distinct_words, hash_array, hash_strings, owners, small_batches, split_words, text_chunks
 
 PASSAGE, WINDOW, STRIDE, ANSWER = 48, 64, 32, 5
 COSINE, STRONG, WEAK = 0.35, 0.6, 0.45
-#: Items of a block, dimensions of the latent space and of the random range beyond them, least weight of a window.
-ITEMS, RANK, MORE, LEAST = 1024, 256, 16, 0.25
+#: Items of a block, dimensions of the latent space and of the random range beyond them.
+ITEMS, RANK, MORE = 1024, 256, 16
+#: Inverse document frequency from which a word is rare (one document in fifty), and the share of a passage's rare
+#: weight that a window needs.
+RARE, LEAST = 3.9, 0.25
+#: Windows that are compared with all passages at once.
+SEARCHED = 4096
 OUTER = ".,;:!?\"'()[]{}*#$%&|<>~-_=+/\\"
 SPLIT_ROWS = 256
 
 
-def _forms(flat: pa.Array) -> tuple[list[str], np.ndarray]:
+def _forms(flat: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The different words in lower case without outer punctuation, and for each word its number among them."""
     words, at = distinct_words(flat)
-    return pc.utf8_trim(pc.utf8_lower(pa.array(words, pa.string())), characters=OUTER).to_pylist(), at
+    return pc.utf8_trim(pc.utf8_lower(words), characters=OUTER), at
 
 
 def words_of(text: str | None) -> list[str]:
     flat, _ = split_words(pa.array([text or ""]))
     forms, at = _forms(flat)
-    return [f for f in (forms[i] for i in at) if f]
+    return [f for f in forms.take(pa.array(at)).to_pylist() if f]
 
 
 def common_length(a: list[str], b: list[str]) -> int:
@@ -79,12 +85,13 @@ class Space:
     passages: list[list[str]]
     answers: list[list[str]]
 
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Numbers in the vocabulary, or -1."""
-        if not len(self.keys):
-            return np.full(len(hashes), -1)
-        i = np.minimum(np.searchsorted(self.keys, hashes), len(self.keys) - 1)
-        return np.where(self.keys[i] == hashes, i, -1)
+    def rare_weights(self) -> tuple[np.ndarray, float]:
+        """Weights of rare words (0 for others), and how much of them a window needs to be searched: a quarter of what
+        the poorest passage has. If a passage has less than half its weight in rare words, every window is searched."""
+        rare = np.where(self.idf >= RARE, self.idf**2, 0.0)
+        ids = [np.unique(np.searchsorted(self.keys, hash_strings(p))) for p in self.passages]
+        own = [(rare[i].sum(), (self.idf[i] ** 2).sum()) for i in ids]
+        return rare, LEAST * min((r if 2 * r >= w else 0.0 for r, w in own), default=0.0)
 
 
 def _vocabulary(flat: pa.Array, keys: np.ndarray) -> np.ndarray:
@@ -92,9 +99,9 @@ def _vocabulary(flat: pa.Array, keys: np.ndarray) -> np.ndarray:
     forms, at = _forms(flat)
     if not len(at):
         return np.empty(0, np.int64)
-    h = hash_strings(forms)
+    h = hash_array(forms)
     i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return np.where((keys[i] == h) & np.fromiter(map(bool, forms), bool, len(forms)), i, -1)[at]
+    return np.where((keys[i] == h) & (h != 0), i, -1)[at]
 
 
 def document_frequency(docs: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, int]:
@@ -163,8 +170,14 @@ def singular_vectors(rows: DataFrame, n_words: int, rank: int = RANK, seed: int
 
 
 def _tf_idf(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    k, c = np.unique(ids, return_counts=True)
-    return k, (1 + np.log(c)) * idf[k]
+    if not len(ids):
+        return ids, np.empty(0)
+    k = np.sort(ids)
+    first = np.ones(len(k) + 1, bool)
+    np.not_equal(k[1:], k[:-1], out=first[1:-1])
+    at = np.flatnonzero(first)
+    k = k[at[:-1]]
+    return k, (1 + np.log(at[1:] - at[:-1])) * idf[k]
 
 
 def latent_space(docs: DataFrame, block: list, rank: int = RANK) -> Space | None:
@@ -213,8 +226,8 @@ def is_leak(common: int, n: int, answered: bool) -> bool:
 def _search(shared):
     def run(batches):
         s: Space = shared.value
-        least = LEAST * float(min((w.sum() for w in (s.idf[np.unique(np.searchsorted(s.keys, hash_strings(p)))] ** 2 for p in s.passages)), default=0.0))
-        weight = np.append(s.idf**2, 0.0)
+        rare, least = s.rare_weights()
+        weight = np.append(rare, 0.0)
         for batch in batches:
             for part in text_chunks(batch, "text"):
                 flat, offsets = split_words(part.column("text"))
@@ -229,17 +242,21 @@ def _search(shared):
                 hot = np.flatnonzero(sums[end] - sums[start] >= least)
                 doc, found = part.column("doc_id").to_numpy(zero_copy_only=False), []
                 cached: tuple[int, list[str]] = (-1, [])
-                for h in hot:
-                    a, b, i = int(start[h]), int(end[h]), int(own[h])
-                    k = ids[a:b]
-                    k, w = _tf_idf(k[k >= 0], s.idf)
-                    cos = (w.astype(np.float32) @ s.basis[k]) @ s.vectors.T / (s.norms * max(float(np.linalg.norm(w)), 1e-12))
-                    for p in np.flatnonzero(cos >= COSINE):
+                for some in (hot[x : x + SEARCHED] for x in range(0, len(hot), SEARCHED)):
+                    latent, norm = np.zeros((len(some), s.basis.shape[1]), np.float32), np.ones(len(some))
+                    for x, h in enumerate(some):
+                        k = ids[start[h] : end[h]]
+                        k, w = _tf_idf(k[k >= 0], s.idf)
+                        if len(k):
+                            latent[x], norm[x] = w.astype(np.float32) @ s.basis[k], max(np.sqrt(w @ w), 1e-12)
+                    cos = (latent @ s.vectors.T) / (norm[:, None] * s.norms[None, :])
+                    for x, p in zip(*np.nonzero(cos >= COSINE), strict=True):
+                        a, i = int(start[some[x]]), int(own[some[x]])
                         if cached[0] != i:
                             cached = (i, pc.utf8_trim(pc.utf8_lower(flat.slice(int(offsets[i]), int(n[i]))), characters=OUTER).to_pylist())
                         common, answered = _confirm(cached[1], a - int(offsets[i]), s.passages[p], s.answers[p])
                         if is_leak(common, len(s.passages[p]), answered):
-                            found.append((int(doc[i]), int(s.items[p]), common, len(s.passages[p]), answered, float(cos[p])))
+                            found.append((int(doc[i]), int(s.items[p]), common, len(s.passages[p]), answered, float(cos[x, p])))
                 cols = list(zip(*found, strict=True)) if found else [[]] * 6
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "item_id", "common", "passage", "answered", "cosine"])

@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct_words, hash_strings, hash_words, mix, owners, settle, small_batches, split_words, text_chunks
+from .common import distinct_words, hash_array, hash_words, mix, owners, settle, small_batches, split_words, text_chunks
 
 TRAIN_ROWS = 40_000
 PREFIXES = (4, 6)
@@ -54,18 +54,18 @@ class Model:
     slope: float = 1.0
 
 
-def _clean(words: list[str]) -> list[str]:
-    return pc.utf8_trim(pc.utf8_lower(pa.array(words, pa.string())), characters=OUTER).to_pylist()
+def _clean(words: pa.Array) -> pa.Array:
+    return pc.utf8_trim(pc.utf8_lower(words), characters=OUTER)
 
 
 def _keys(flat: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
     """For each word the number of its form, and the forms' hashes: the whole and each beginning (0: no such)."""
     words, at = distinct_words(flat)
     forms = _clean(words)
-    sizes = np.fromiter(map(len, forms), np.int64, len(forms))
-    out = [np.where(sizes > 0, hash_strings(forms, 1), np.uint64(0))]
+    sizes = pc.utf8_length(forms).to_numpy(zero_copy_only=False)
+    out = [np.where(sizes > 0, hash_array(forms, 1), np.uint64(0))]
     for n in PREFIXES:
-        out.append(np.where(sizes >= n, hash_strings([f[:n] for f in forms], n), np.uint64(0)))
+        out.append(np.where(sizes >= n, hash_array(pc.utf8_slice_codeunits(forms, 0, n), n), np.uint64(0)))
     return at, out
 
 
