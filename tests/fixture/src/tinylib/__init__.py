@@ -1,0 +1,5 @@
+"""Tiny machines."""
+
+from .parts import Motor, start
+
+__all__ = ["Motor", "start"]

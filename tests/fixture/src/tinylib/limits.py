@@ -1,0 +1,15 @@
+"""Bounds."""
+
+from __future__ import annotations
+
+CEILING = 12
+small = 1
+
+
+def bound(n: int, top: int = CEILING) -> int:
+    """At most top."""
+    return n if n < top else top
+
+
+def _spare_thing() -> None:
+    return None

@@ -1,0 +1,27 @@
+"""Motors and how they start."""
+
+from __future__ import annotations
+
+from tinylib.limits import bound
+
+
+class Frame:
+    """What moves."""
+
+    def turn(self, n: int) -> int:
+        return n
+
+
+class Motor(Frame):
+    """Turns, but not too far."""
+
+    def turn(self, n: int) -> int:
+        return bound(n, 10)
+
+    async def whirl(self, n: int) -> int:
+        return self.turn(n)
+
+
+def start(n: int) -> int:
+    m = Motor()
+    return m.turn(n)

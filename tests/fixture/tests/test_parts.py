@@ -1,0 +1,9 @@
+from tinylib import Motor, start
+
+
+def test_start():
+    assert start(3) == 3
+
+
+def test_motor_turn():
+    assert Motor().turn(30) == 10
