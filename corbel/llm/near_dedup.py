@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import hash_words, mix, settle, small_batches, split_words, text_chunks
+from .common import bloom, hash_words, keep_likely, mix, settle, small_batches, split_words, text_chunks
 from .components import components
 
 SHINGLE = 5
@@ -73,14 +73,14 @@ def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, n
 
 
 def signatures(g: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """SIGNATURE values of 32 bits for each set that has members; zeros for the others."""
+    """SIGNATURE values for each set that has members: the low 16 bits of each least hash. Zeros for the others."""
     some = np.diff(starts) > 0
-    out = np.zeros((len(some), SIGNATURE), np.uint32)
+    out = np.zeros((len(some), SIGNATURE), np.uint16)
     if some.any():
         at = starts[:-1][some]
         for k in range(SIGNATURE):
             x = (g * MULTIPLIERS[k] + OFFSETS[k]) >> np.uint64(32)
-            out[some, k] = np.minimum.reduceat(x, at).astype(np.uint32)
+            out[some, k] = np.minimum.reduceat(x, at).astype(np.uint16)
     return out
 
 
@@ -99,7 +99,7 @@ def _sketch(batches):
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), SIGNATURE)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), SIGNATURE)
 
 
 def _keys(depth: int):
@@ -274,7 +274,8 @@ def central(rows: DataFrame) -> DataFrame:
 
 def exact_links(docs: DataFrame, clusters: DataFrame, signs: DataFrame, threshold: int) -> DataFrame:
     """Spanning edges of all exact links within clusters (rep, cluster, m members)."""
-    sets = settle(docs.select(F.col("doc_id").alias("rep"), "text").join(clusters, "rep").dropDuplicates(["rep"]).mapInArrow(_sets, "rep long, cluster long, m long, members binary"), "near-sets")
+    likely = keep_likely(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", bloom(clusters, "rep"))
+    sets = settle(likely.join(clusters, "rep").dropDuplicates(["rep"]).mapInArrow(_sets, "rep long, cluster long, m long, members binary"), "near-sets")
     run = _linked(threshold)
     schema = "a long, b long"
     small = sets.filter(f"m <= {BLOCK}").select(F.col("cluster").alias("piece"), F.lit(0).alias("side"), "rep", "members")
@@ -322,7 +323,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     reps = settle(known.groupBy("h1", "h2", "n").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("rep")), "near-reps")
     clusters = components(forest_edges(reps.select("rep", "sig")))
     size = clusters.groupBy("root").agg(F.count("*").alias("m"))
-    clusters = clusters.join(size, "root").selectExpr("node AS rep", "root AS cluster", "m")
+    clusters = settle(clusters.join(size, "root").selectExpr("node AS rep", "root AS cluster", "m"), "near-clusters")
     roots = components(exact_links(docs, clusters, reps.select("rep", "sig"), threshold))
     reps = reps.select("h1", "h2", "n", "rep").join(roots.selectExpr("node AS rep", "root"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("component"))
     out = sketch.select("doc_id", "n", "h1", "h2").join(reps, ["h1", "h2", "n"], "left")
