@@ -37,7 +37,9 @@ TRAIN_ROWS = 40_000
 PREFIXES = (4, 6)
 #: A form counts from this many standard errors of its log-odds on, and scores what is above MARGIN one error lower;
 #: count added to each class; cost of any other word; p below which a segment counts.
-Z, MARGIN, PRIOR, DRIFT, SIGNIFICANT = 2.7, 1.5, 0.5, 0.05, 0.05
+Z, MARGIN, PRIOR, DRIFT, SIGNIFICANT = 2.4, 2.0, 0.5, 0.05, 0.05
+#: Most that a toxic row weighs in the logistic fit, where toxic rows are rarer than others.
+RARE_WEIGHT = 3.0
 OUTER = ".,;:!?\"'()[]{}*#$%&|<>~-_=+/\\"
 
 
@@ -136,20 +138,23 @@ def evidence(n_words: int, segments: list[tuple[int, int, float]], model: Model)
     return float(sum(-np.log(max(q, 1e-300)) for *_, q in kept)), kept
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Bias and slope, with a weak ridge, by Newton's method. Classes count alike."""
-    a, b = -2.0, 1.0
-    weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
+def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, float]:
+    """Bias and slope by Newton's method with halved steps; a ridge holds them near (-2, 1) where the classes part."""
+    start, now = np.array([-2.0, 1.0]), np.array([-2.0, 1.0])
+    design = np.stack([np.ones(len(x)), x], axis=1)
+    weight = np.where(y == 1, np.clip((1 - y.mean()) / max(y.mean(), 1e-9), 1, RARE_WEIGHT), 1.0)
+    loss = lambda t: float(np.sum(weight * (np.logaddexp(0, design @ t) - y * (design @ t))) + ridge * np.sum((t - start) ** 2))
     for _ in range(50):
-        p = 1 / (1 + np.exp(-np.clip(a + b * x, -30, 30)))
-        g = np.array([np.sum(weight * (p - y)) + 0.1 * (a + 2), np.sum(weight * (p - y) * x) + 0.1 * (b - 1)])
-        h = weight * p * (1 - p)
-        m = np.array([[h.sum() + 0.1, (h * x).sum()], [(h * x).sum(), (h * x * x).sum() + 0.1]])
-        step = np.linalg.solve(m, g)
-        a, b = a - step[0], b - step[1]
-        if np.abs(step).max() < 1e-8:
+        p = 1 / (1 + np.exp(-np.clip(design @ now, -30, 30)))
+        slope = design.T @ (weight * (p - y)) + 2 * ridge * (now - start)
+        curve = (design * (weight * p * (1 - p))[:, None]).T @ design + 2 * ridge * np.eye(2)
+        step, size = np.linalg.solve(curve, slope), 1.0
+        while size > 1e-6 and loss(now - size * step) > loss(now):
+            size /= 2
+        now = now - size * step
+        if np.abs(size * step).max() < 1e-7:
             break
-    return float(a), float(max(b, 0.05))
+    return float(now[0]), float(max(now[1], 0.05))
 
 
 def _counts(batches):
