@@ -46,14 +46,14 @@ def weight_column(name: Column, weights: dict[str, int], default: int) -> Column
 def _fill(nodes: DataFrame, parent: list[str], child: str) -> DataFrame:
     """Adds share to nodes of (parent, child, w, cap, given); given is the parent's budget."""
     own = Window.partitionBy(*parent) if parent else Window.partitionBy(F.lit(0))
-    by = own.orderBy((F.col("cap") / F.col("w").cast("double")).asc_nulls_last(), child)
+    by = own.orderBy(F.try_divide("cap", F.col("w").cast("double")).asc_nulls_last(), child)
     before = F.coalesce(F.sum("cap").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast(BIG)
     rest_w = F.sum("w").over(by.rowsBetween(Window.currentRow, Window.unboundedFollowing)).cast(BIG)
     full = (F.col("w") == 0) | (F.col("cap").cast(BIG) * rest_w <= (F.col("given").cast(BIG) - before) * F.col("w").cast(BIG))
     nodes = nodes.withColumn("full", full)
     nodes = nodes.withColumn("left", F.col("given") - F.sum(F.when(F.col("full"), F.col("cap")).otherwise(0)).over(own))
     nodes = nodes.withColumn("open_w", F.sum(F.when(F.col("full"), 0).otherwise(F.col("w"))).over(own))
-    split = F.expr(f"(CAST(left AS {BIG}) * CAST(w AS {BIG})) div CAST(open_w AS {BIG})")
+    split = F.expr(f"(CAST(left AS {BIG}) * CAST(w AS {BIG})) div nullif(CAST(open_w AS {BIG}), 0)")
     return nodes.withColumn("share", F.when(F.col("full"), F.col("cap")).otherwise(split).cast("bigint")).drop("full", "left", "open_w")
 
 
