@@ -163,6 +163,18 @@ def bloom(ids: DataFrame, column: str) -> np.ndarray:
     return out
 
 
+def likely(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Which of the ids the filter passes; later hashes are looked up for what earlier ones have left."""
+    h = mix(ids.astype(np.int64, copy=False).view(np.uint64) + np.uint64(0x51ED))
+    left, step = np.arange(len(h)), mix(h) | np.uint64(1)
+    for k in range(BLOOM_HASHES):
+        at = ((h[left] + np.uint64(k) * step[left]) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
+        left = left[(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+    out = np.zeros(len(h), bool)
+    out[left] = True
+    return out
+
+
 def keep_likely(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
     """df without most rows whose column isn't in the filter; done before a join's shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(bits)
@@ -170,8 +182,6 @@ def keep_likely(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
     def run(batches):
         for b in batches:
             ids = pc.fill_null(b.column(column), 0).to_numpy(zero_copy_only=False)
-            at = _bloom_places(ids).astype(np.int64)
-            hit = ((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1).all(axis=0)
-            yield b.filter(pa.array(hit.astype(bool)))
+            yield b.filter(pa.array(likely(ids, shared.value)))
 
     return df.mapInArrow(run, df.schema)

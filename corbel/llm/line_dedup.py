@@ -9,14 +9,13 @@ in all texts; the first occurrence in the order (doc_id, position) stays, later
 The marked windows' positions are merged to runs. A run is removed if it has MIN_WORDS words or more or holds three
 whole newline-ended lines; what stands between is kept as it was.
 
-Counting is one aggregation by hash (least place and count, pre-aggregated on the map side); later occurrences come
+Counting is one aggregation by hash (least doc_id and count, pre-aggregated on the map side); later occurrences come
 from an equi-join with the repeated hashes, which adaptive execution can split when one window is very common. Texts
 without a later occurrence are never rebuilt.
 
-Defined results: null text: stays null; empty texts, and texts of fewer than three lines: unchanged; repeated rows
-with one doc_id: their windows count as at one place each, so copies within a doc_id are told apart by position only;
-equal places: one stays; a text all of whose lines are removed: the empty text; empty table: no rows; other columns are
-kept.
+Defined results: null text: stays null; empty texts, and texts of fewer than three lines: unchanged; repeated rows with
+one doc_id: each counts as the first holder of its windows, so they don't cut each other; null doc_id: unchanged; a text
+all of whose lines are removed: the empty text; empty table: no rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -27,7 +26,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, hash_words, keep_likely, mix, owners, settle, small_batches, split_words, text_chunks
+from .common import bloom, hash_words, likely, mix, owners, settle, small_batches, split_words, text_chunks
 
 LINES, RADIUS, MIN_WORDS = 3, 3, 25
 
@@ -81,12 +80,37 @@ def windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return w[whole], own[:n][whole], number[:n][whole]
 
 
-def _windows(batches):
+def _repeats(w: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """For each window whether the same text has it further up."""
+    order = np.lexsort((w, own))
+    same = np.zeros(len(w), bool)
+    same[1:] = (w[order][1:] == w[order][:-1]) & (own[order][1:] == own[order][:-1])
+    out = np.empty(len(w), bool)
+    out[order] = same
+    return out
+
+
+def _hashes(batches):
     for batch in batches:
         for part in text_chunks(batch, "text"):
-            w, own, number = windows(part.column("text"))
+            w, own, _ = windows(part.column("text"))
             ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(ids[own], pa.int64()), pa.array(number.astype(np.int32))], ["h", "doc_id", "line"])
+            yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(ids[own], pa.int64())], ["h", "doc_id"])
+
+
+def _places(shared):
+    def run(batches):
+        """Places of the windows that the filter of repeated hashes passes; nothing else leaves the worker."""
+        for batch in batches:
+            for part in text_chunks(batch, "text"):
+                w, own, number = windows(part.column("text"))
+                keep = likely(w.view(np.int64), shared.value)
+                w, own, number = w[keep], own[keep], number[keep]
+                ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                again = pa.array(_repeats(w, own))
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(ids[own], pa.int64()), pa.array(number.astype(np.int32)), again], ["h", "doc_id", "line", "again"])
+
+    return run
 
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -122,35 +146,36 @@ def cut(text: str, starts: np.ndarray, hard: np.ndarray, marked: list[int]) -> s
 
 
 def _rebuild(batches):
+    """Rows with marked lines get their text cut; all others pass through."""
     for batch in batches:
         for part in text_chunks(batch, "text"):
-            texts = part.column("text")
-            _, offsets, start, hard = line_starts(texts)
-            out = []
-            for i, marked in enumerate(part.column("marked").to_pylist()):
-                a, b = offsets[i], offsets[i + 1]
-                text = texts[i].as_py()
-                out.append(cut(text, np.flatnonzero(start[a:b]), hard[a:b], marked) if text and marked else text)
-            yield pa.RecordBatch.from_arrays([*part.drop_columns(["text", "marked"]).columns, pa.array(out, pa.string())], [*part.drop_columns(["text", "marked"]).schema.names, "text"])
+            rest = part.drop_columns(["marked"])
+            todo = np.flatnonzero(pc.greater(pc.fill_null(pc.list_value_length(part.column("marked")), 0), 0).to_numpy(zero_copy_only=False))
+            if len(todo):
+                texts, some = part.column("text"), part.column("text").take(pa.array(todo))
+                _, offsets, start, hard = line_starts(some)
+                out = texts.to_pylist()
+                for i, (row, marked) in enumerate(zip(todo, part.column("marked").take(pa.array(todo)).to_pylist(), strict=True)):
+                    a, b = offsets[i], offsets[i + 1]
+                    out[row] = cut(out[row], np.flatnonzero(start[a:b]), hard[a:b], marked)
+                rest = rest.set_column(rest.schema.get_field_index("text"), "text", pa.array(out, texts.type))
+            yield rest
 
 
 def later_windows(docs: DataFrame) -> DataFrame:
     """(doc_id, marked): numbers of the lines at which windows start that occur earlier."""
-    found = docs.select("doc_id", "text").filter("doc_id IS NOT NULL").mapInArrow(_windows, "h long, doc_id long, line int")
-    first = found.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("doc_id", "line")).alias("at")).filter("c > 1").select("h", F.col("at.doc_id").alias("d0"), F.col("at.line").alias("l0"))
+    texts = docs.select("doc_id", "text").filter("doc_id IS NOT NULL")
+    first = texts.mapInArrow(_hashes, "h long, doc_id long").groupBy("h").agg(F.count("*").alias("c"), F.min("doc_id").alias("d0")).filter("c > 1").select("h", "d0")
     first = settle(first, "line-first")
-    later = keep_likely(found, "h", bloom(first, "h")).join(first, "h").filter("doc_id <> d0 OR line <> l0")
+    shared = docs.sparkSession.sparkContext.broadcast(bloom(first, "h"))
+    found = texts.mapInArrow(_places(shared), "h long, doc_id long, line int, again boolean")
+    later = found.join(first, "h").filter("doc_id <> d0 OR again")
     return settle(later.groupBy("doc_id").agg(F.collect_set("line").alias("marked")), "line-marked")
 
 
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with repeated passages taken out of text."""
     small_batches(docs.sparkSession)
-    marked = later_windows(docs)
-    names = docs.columns
-    joined = docs.join(marked.withColumnRenamed("doc_id", "_id"), docs["doc_id"] == F.col("_id"), "left").drop("_id")
-    rest = [c for c in names if c != "text"]
-    fields = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in rest)
-    changed = joined.filter("marked IS NOT NULL").select(*rest, "text", "marked").mapInArrow(_rebuild, f"{fields}, text string")
-    same = joined.filter("marked IS NULL").select(*names)
-    return same.unionByName(changed.select(*names))
+    marked = later_windows(docs).select(F.col("doc_id").alias("_id"), "marked")
+    joined = docs.join(marked, docs["doc_id"] == F.col("_id"), "left").drop("_id")
+    return joined.mapInArrow(_rebuild, docs.schema)
