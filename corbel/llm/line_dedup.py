@@ -29,6 +29,8 @@ from pyspark.sql import functions as F
 from .common import bloom, hash_words, likely, mix, owners, settle, small_batches, split_words, text_chunks
 
 LINES, RADIUS, MIN_WORDS = 3, 3, 25
+#: A column name that documents don't have.
+MARKED = "__line_dedup_marked"
 
 
 def _newline_before(texts: pa.Array, flat: pa.Array, offsets: np.ndarray) -> np.ndarray:
@@ -149,13 +151,13 @@ def _rebuild(batches):
     """Rows with marked lines get their text cut; all others pass through."""
     for batch in batches:
         for part in text_chunks(batch, "text"):
-            rest = part.drop_columns(["marked"])
-            todo = np.flatnonzero(pc.greater(pc.fill_null(pc.list_value_length(part.column("marked")), 0), 0).to_numpy(zero_copy_only=False))
+            rest = part.drop_columns([MARKED])
+            todo = np.flatnonzero(pc.greater(pc.fill_null(pc.list_value_length(part.column(MARKED)), 0), 0).to_numpy(zero_copy_only=False))
             if len(todo):
                 texts, some = part.column("text"), part.column("text").take(pa.array(todo))
                 _, offsets, start, hard = line_starts(some)
                 out = texts.to_pylist()
-                for i, (row, marked) in enumerate(zip(todo, part.column("marked").take(pa.array(todo)).to_pylist(), strict=True)):
+                for i, (row, marked) in enumerate(zip(todo, part.column(MARKED).take(pa.array(todo)).to_pylist(), strict=True)):
                     a, b = offsets[i], offsets[i + 1]
                     out[row] = cut(out[row], np.flatnonzero(start[a:b]), hard[a:b], marked)
                 rest = rest.set_column(rest.schema.get_field_index("text"), "text", pa.array(out, texts.type))
@@ -176,6 +178,5 @@ def later_windows(docs: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with repeated passages taken out of text."""
     small_batches(docs.sparkSession)
-    marked = later_windows(docs).select(F.col("doc_id").alias("_id"), "marked")
-    joined = docs.join(marked, docs["doc_id"] == F.col("_id"), "left").drop("_id")
+    joined = docs.join(later_windows(docs).withColumnRenamed("marked", MARKED), "doc_id", "left").select(*docs.columns, MARKED)
     return joined.mapInArrow(_rebuild, docs.schema)

