@@ -4,7 +4,8 @@
    signature. Texts with equal sets form a class, represented by its least doc_id.
 2. The forest: several sorted orders (trees) of the signature; each tree starts at another place of it. Documents whose
    order agrees on the first MIN_DEPTH values form a region: their longest common prefix is that long at least. Regions
-   with more than REGION members are followed to greater depth, only there. At the last depth members hang on their
+   with more than REGION members are followed to greater depth, only there; their members are also compared with the
+   region's central one, the one that agrees most with its commonest values. At the last depth members hang on their
    least one. Regions with the same members in several trees are looked at once. Within a region signatures are
    compared; those that agree at LOOSE or more are neighbours, and a spanning forest of the neighbours goes on.
 3. Neighbours' components are clusters. Only there full sets are made again from the texts and compared exactly:
@@ -169,6 +170,43 @@ def _neighbours(batches):
             yield pa.RecordBatch.from_arrays([pa.array(reps[lab[use]]), pa.array(reps[use])], ["a", "b"])
 
 
+def central(rows: DataFrame) -> DataFrame:
+    """(cluster, pivot): the document that agrees most with the commonest values at the signature's first 16 places."""
+    places = 16
+
+    def votes(batches):
+        for b in batches:
+            sig = _matrix(b.column("sig"))[:, :places].astype(np.int64)
+            cluster = np.repeat(b.column("cluster").to_numpy(zero_copy_only=False), places)
+            yield pa.RecordBatch.from_arrays([pa.array(cluster), pa.array(np.tile(np.arange(places), len(sig))), pa.array(sig.ravel())], ["cluster", "place", "value"])
+
+    common = rows.mapInArrow(votes, "cluster long, place long, value long").groupBy("cluster", "place", "value").agg(F.count("*").alias("c"))
+    common = common.groupBy("cluster", "place").agg(F.max_by("value", F.struct("c", "value")).alias("value"))
+    common = common.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("mode"))  # 16 a cluster
+
+    def agree(batches):
+        for b in batches:
+            sig = _matrix(b.column("sig"))[:, :places].astype(np.int64)
+            mode = np.array(b.column("mode").to_pylist(), np.int64).reshape(len(sig), places)
+            yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("rep"), pa.array((sig == mode).sum(axis=1))], ["cluster", "rep", "score"])
+
+    scored = rows.join(common, "cluster").select("cluster", "rep", "sig", "mode").mapInArrow(agree, "cluster long, rep long, score long")
+    return scored.groupBy("cluster").agg(F.min_by("rep", F.struct(-F.col("score"), "rep")).alias("pivot"))
+
+
+def hub_edges(rows: DataFrame) -> DataFrame:
+    """(a, b): members of large regions (rep, cluster, sig) that are neighbours of the region's central one. Linear."""
+    hub = central(rows)
+    hub = settle(hub.join(rows.select("cluster", F.col("rep").alias("pivot"), F.col("sig").alias("hub")), ["cluster", "pivot"]), "lsh-hub")
+
+    def compare(batches):
+        for b in batches:
+            near = (_matrix(b.column("sig")) == _matrix(b.column("hub"))).mean(axis=1) >= LOOSE if b.num_rows else np.empty(0, bool)
+            yield b.select(["pivot", "rep"]).rename_columns(["a", "b"]).filter(pa.array(near))
+
+    return rows.join(hub, "cluster").filter("rep <> pivot").select("pivot", "rep", "sig", "hub").mapInArrow(compare, "a long, b long")
+
+
 def forest_edges(reps: DataFrame) -> DataFrame:
     """Candidate edges (a, b) between representatives (rep, sig)."""
     rows, found = settle(reps.mapInArrow(_keys(DEPTHS[0]), "rep long, tree int, key long"), "lsh-keys"), []
@@ -185,7 +223,8 @@ def forest_edges(reps: DataFrame) -> DataFrame:
         large = regions.filter(f"m > {REGION}").select("key")
         if depth == DEPTHS[-1] or large.isEmpty():
             break
-        deeper = rows.join(large, "key").select("rep", "tree").join(reps.select("rep", "sig"), "rep")
+        deeper = settle(rows.join(large, "key").select("rep", "tree", F.col("key").alias("cluster")).join(reps.select("rep", "sig"), "rep"), "lsh-large")
+        found.append(settle(hub_edges(deeper), "lsh-hubs"))
         rows = settle(deeper.mapInArrow(_keys(DEPTHS[i + 1]), "rep long, tree int, key long"), "lsh-keys")
     out = found[0]
     for x in found[1:]:
@@ -248,30 +287,6 @@ def _linked(threshold: int):
     return run
 
 
-def central(rows: DataFrame) -> DataFrame:
-    """(cluster, pivot): the document that agrees most with the commonest values at the signature's first 16 places."""
-    places = 16
-
-    def votes(batches):
-        for b in batches:
-            sig = _matrix(b.column("sig"))[:, :places].astype(np.int64)
-            cluster = np.repeat(b.column("cluster").to_numpy(zero_copy_only=False), places)
-            yield pa.RecordBatch.from_arrays([pa.array(cluster), pa.array(np.tile(np.arange(places), len(sig))), pa.array(sig.ravel())], ["cluster", "place", "value"])
-
-    common = rows.mapInArrow(votes, "cluster long, place long, value long").groupBy("cluster", "place", "value").agg(F.count("*").alias("c"))
-    common = common.groupBy("cluster", "place").agg(F.max_by("value", F.struct("c", "value")).alias("value"))
-    common = common.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("mode"))  # 16 a cluster
-
-    def agree(batches):
-        for b in batches:
-            sig = _matrix(b.column("sig"))[:, :places].astype(np.int64)
-            mode = np.array(b.column("mode").to_pylist(), np.int64).reshape(len(sig), places)
-            yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("rep"), pa.array((sig == mode).sum(axis=1))], ["cluster", "rep", "score"])
-
-    scored = rows.join(common, "cluster").select("cluster", "rep", "sig", "mode").mapInArrow(agree, "cluster long, rep long, score long")
-    return scored.groupBy("cluster").agg(F.min_by("rep", F.struct(-F.col("score"), "rep")).alias("pivot"))
-
-
 def exact_links(docs: DataFrame, clusters: DataFrame, signs: DataFrame, threshold: int) -> DataFrame:
     """Spanning edges of all exact links within clusters (rep, cluster, m members)."""
     likely = keep_likely(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", bloom(clusters, "rep"))

@@ -33,7 +33,7 @@ WITH d AS (
   FROM d LEFT JOIN cov USING (doc_id) LEFT JOIN ln USING (doc_id)
 ), v AS (
   SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
-    word_chars > 20 * n_words OR word_chars < 2 * n_words OR 10 * n_symbols > n_words OR 100 * n_dup_lines > 30 * n_lines
+    word_chars > 20 * n_words OR word_chars < 2 * n_words OR 10 * n_symbols > n_words OR n_lines >= 8 AND 100 * n_dup_lines > 30 * n_lines
     OR 2 * (length(t) - length(replace(t, '!', ''))) > n_words
     OR 2 * (length(t) - length(regexp_replace(t, '\p{Lu}', '', 'g'))) > word_chars
     OR 2 * (length(t) - length(regexp_replace(t, '[0-9]', '', 'g'))) > word_chars

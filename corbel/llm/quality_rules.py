@@ -85,7 +85,7 @@ RULES = {
     "long_words": ("counted", lambda t: F.col("word_chars") > 20 * F.col("n_words")),
     "short_words": ("counted", lambda t: F.col("word_chars") < 2 * F.col("n_words")),
     "symbols": ("counted", lambda t: 10 * F.col("n_symbols") > F.col("n_words")),
-    "dup_lines": ("counted", lambda t: 100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
+    "dup_lines": ("counted", lambda t: (F.col("n_lines") >= 8) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines"))),
     "shouting": ("chars", lambda t: 2 * _count(t, "!") > F.col("n_words")),
     "upper_case": ("chars", lambda t: 2 * _count(t, r"\p{Lu}") > F.col("word_chars")),
     "digits": ("chars", lambda t: 2 * _count(t, "[0-9]") > F.col("word_chars")),
