@@ -18,3 +18,5 @@ def spark():
     s = session(4, shuffle=4, spark__driver__memory="3g", spark__sql__warehouse__dir="/tmp/corbel-warehouse")
     yield s
     s.stop()
+
+collect_ignore = ["fixture"]
