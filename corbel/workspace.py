@@ -20,8 +20,20 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def own_folder(spark: SparkSession) -> str:
+    """This application's part of the shared folder."""
+    return f"{shared_folder(spark)}/corbel-{spark.sparkContext.applicationId}"
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what this application has kept. Results that still read it must be written before."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def keep(df: DataFrame) -> DataFrame:
     """df written as Parquet and read again."""
-    path, schema = f"{shared_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}", df.schema
+    path, schema = f"{own_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}", df.schema
     df.write.parquet(path)
     return df.sparkSession.read.schema(schema).parquet(path)

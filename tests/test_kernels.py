@@ -204,3 +204,13 @@ def test_server_resolver(spark, tmp_path):
     assert bound["calls_in"] == ["tinylib.parts.Motor.turn"] and bound["calls_out"] == ["tinylib.limits._spare_thing"]
     assert bound["tests"] == [{"file": "tests/test_parts.py", "names": ["test_start"]}] and bound["calls_out_x"] == ["len"]
     assert bound["calls_in_x"] == [{"name": "main", "at": "setup.py:3"}]
+
+
+def test_kept_tables_and_release(spark):
+    from corbel.workspace import keep, own_folder, release
+
+    kept = keep(spark.range(5))
+    assert kept.count() == 5 and "Range" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    release(spark)
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
+    assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
