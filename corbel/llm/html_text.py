@@ -2,7 +2,8 @@
 
 A page is cut into tags and text. Blocks (text between block-level tags) become lines. Text of scripts, styles, forms
 and of elements that are menus, headers, footers, sidebars, notices, adverts or reader comments by their tag, role or
-class gives empty lines, as does the border of an article or main element. The distribution then is the sum of text
+class gives empty lines, as do blocks outside any article that are mostly links, and the border of an article or main
+element. The distribution then is the sum of text
 lengths over a sliding window of WINDOW lines; it surges where it leaves zero and dives where it returns to zero. The
 text between the surge and the dive that hold most text is the page's main text: its lines in page order, each with
 white space made one space, joined by one space. Inside an article or main element removed parts leave no empty lines,
@@ -73,23 +74,27 @@ def lines_of(page: str) -> list[str | None]:
     lines: list[str | None] = []
     stack: list[tuple[str, bool]] = []  # tag, removed
     text: list[str] = []
-    removed = inside = 0
+    removed = inside = links = linked = 0  # the last two: open links, and text within links since the last line
     hidden = False  # removed text since the last line
 
     def flush() -> None:
-        nonlocal hidden
-        block = " ".join(html.unescape("".join(text)).split())
+        nonlocal hidden, linked
+        whole = "".join(text)
+        block = " ".join(html.unescape(whole).split())
         text.clear()
-        if block:
+        if block and not inside and 2 * linked > len(whole):
+            lines.append(None)  # mostly links, outside any article: a menu
+        elif block:
             lines.append(block)
         elif hidden and not inside:
             lines.append(None)
-        hidden = False
+        hidden, linked = False, 0
 
     def pop() -> None:
-        nonlocal removed, inside
+        nonlocal removed, inside, links
         tag, gone = stack.pop()
         removed -= gone
+        links -= tag == "a"
         if tag in MAIN and not gone:
             flush()
             inside -= 1
@@ -105,6 +110,7 @@ def lines_of(page: str) -> list[str | None]:
                 hidden = hidden or not page[at:upto].isspace()
             else:
                 text.append(page[at:upto])
+                linked += (upto - at) * (links > 0)
         if not m:
             break
         at = m.end()
@@ -129,7 +135,8 @@ def lines_of(page: str) -> list[str | None]:
             close = page.find(">", end.start()) if end else -1
             at = n if close < 0 else close + 1
             continue
-        if tag in VOID or m.group(3).endswith("/") and tag not in SCOPE:
+        # A slash that ends an unquoted value doesn't close the tag.
+        if tag in VOID or tag not in SCOPE and (m.group(3) == "/" or m.group(3).endswith((" /", '"/', "'/"))):
             continue
         shut = CLOSES.get(tag) or ({"p"} if tag not in INLINE else None)
         if shut:
@@ -143,6 +150,7 @@ def lines_of(page: str) -> list[str | None]:
         gone = tag in REMOVED or not inside and tag in REMOVED_OUTSIDE or _removed_by_attributes(tag, m.group(3), inside > 0)
         stack.append((tag, gone))
         removed += gone
+        links += tag == "a"
         if tag in MAIN and not gone:
             if not inside:
                 lines.extend([None] * BORDER)

@@ -416,6 +416,7 @@ def test_pages_of_the_table(spark):
         ("<nav><ul><li>a<li>b</ul></nav><article><p>one<p>two<table><tr><td>x<td>y</table><div hidden>no</div></article><div role=contentinfo>z</div>", "one two x y"),
         ("<article><p>yes</p><section class='reader-comments'><article><p>a very long comment of someone</p></article></section></article>", "yes"),
         ("<p title=\"a>b\">x</p></div></p><p>y", "x y"),
+        ("<table><tr><td><a href=/>Home</a> <a href=/n>News</a></td><td><p>Some long text with <a href=/x>a link</a> in it.</p></td></tr></table>", "Some long text with a link in it."),
     ],
 )
 def test_pages(page, text):
