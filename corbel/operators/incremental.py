@@ -34,7 +34,7 @@ def carry_over(edges: DataFrame, alive: DataFrame) -> DataFrame:
 
 def neighbours(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """(id): ends of edges whose other end is in ids."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    both = edges.select(F.inline(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))))
     return both.join(ids.select(F.col("id").alias("src")), "src", "left_semi").select(F.col("dst").alias("id")).distinct()
 
 

@@ -24,7 +24,9 @@ def pair_counts(rows: DataFrame, basket: str, item: str, lo: int = 2, hi: int =
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:
-    return pairs.select("a", "b", "n").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    """Each pair in both directions, from one pass over pairs."""
+    turned = F.array(F.struct("a", "b", "n"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "n"))
+    return pairs.select(F.inline(turned))
 
 
 def topk_related(pairs: DataFrame, k: int = 6) -> DataFrame:

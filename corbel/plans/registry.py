@@ -10,6 +10,7 @@ from corbel.operators import incremental as I
 from corbel.operators import links as L
 from corbel.operators import pairs as P
 from corbel.sources.tables import table
+from corbel.workspace import keep
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -262,16 +263,18 @@ w1 AS (SELECT k FROM a_new UNION SELECT k FROM (SELECT k FROM nb UNION SELECT k
 w2 AS (SELECT DISTINCT dst AS k FROM e WHERE src IN (SELECT k FROM a_new) AND dst NOT IN (SELECT k FROM w1))
 SELECT k AS id, 1 AS wave FROM w1 UNION ALL SELECT k, 2 FROM w2""")
 def impact_set(spark: SparkSession, d: str) -> DataFrame:
-    df = _diff(spark, d)
+    # What several steps read is written once; the plan stays small.
+    df = keep(_diff(spark, d))
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
     some = df.filter("k % 5 = 0")
     a_new, a_old = some.filter("status IN ('new', 'changed')").selectExpr("k AS id"), some.filter("status IN ('gone', 'changed')").selectExpr("k AS id")
     e = li.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("o_orderkey")).join(o.select("o_orderkey"), "o_orderkey").select("src", F.col("o_orderkey").alias("dst"))
+    e = keep(e)
     name_of = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("name"))
     moved = some.filter("status IN ('new', 'gone')").selectExpr("k AS id").join(name_of, "id").select("name")
     alive = o.filter("o_orderkey % 13 <> 0").select(F.col("o_orderkey").alias("id"))
     near = I.neighbours(e, a_old).unionByName(I.shadow_set(e, name_of, moved)).distinct().join(alive, "id", "left_semi")
-    first = a_new.unionByName(near).distinct()
+    first = keep(a_new.unionByName(near).distinct())
     second = e.join(a_new.withColumnRenamed("id", "src"), "src", "left_semi").select(F.col("dst").alias("id")).distinct().join(first, "id", "left_anti")
     return first.withColumn("wave", F.lit(1)).unionByName(second.withColumn("wave", F.lit(2)))
 
