@@ -24,6 +24,7 @@ the least doc_id stands for a class; empty table: no rows; other columns are not
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -35,7 +36,7 @@ from .components import components
 SHINGLE = 5
 SIGNATURE, TREES, MIN_DEPTH = 96, 16, 3
 #: Depths at which regions that are still too large are looked at again; members of a region; agreement of neighbours.
-DEPTHS, REGION, LOOSE = (3, 6, 12, 24), 512, 0.70
+DEPTHS, REGION, LOOSE = (3, 8, 24), 512, 0.70
 #: Documents of a block of exact comparison, and of a chunk of shingles in it.
 BLOCK, COLUMNS = 384, 8192
 _RNG = np.random.default_rng(20240607)
@@ -171,33 +172,42 @@ def _neighbours(batches):
 
 
 def central(rows: DataFrame) -> DataFrame:
-    """(cluster, pivot): the document that agrees most with the commonest values at the signature's first 16 places."""
-    places = 16
+    """(cluster, pivot, hub: its signature) of rows (rep, cluster, sig): the document that agrees most with the
+    commonest values at the signature's first 16 places. Each batch sends its commonest values only."""
+    places, tops = 16, 4
 
     def votes(batches):
         for b in batches:
-            sig = _matrix(b.column("sig"))[:, :places].astype(np.int64)
-            cluster = np.repeat(b.column("cluster").to_numpy(zero_copy_only=False), places)
-            yield pa.RecordBatch.from_arrays([pa.array(cluster), pa.array(np.tile(np.arange(places), len(sig))), pa.array(sig.ravel())], ["cluster", "place", "value"])
-
-    common = rows.mapInArrow(votes, "cluster long, place long, value long").groupBy("cluster", "place", "value").agg(F.count("*").alias("c"))
-    common = common.groupBy("cluster", "place").agg(F.max_by("value", F.struct("c", "value")).alias("value"))
-    common = common.groupBy("cluster").agg(F.transform(F.array_sort(F.collect_list(F.struct("place", "value"))), lambda x: x["value"]).alias("mode"))  # 16 a cluster
+            sig, cluster = _matrix(b.column("sig"))[:, :places], b.column("cluster").to_numpy(zero_copy_only=False)
+            out: list[tuple] = []
+            for c in np.unique(cluster):
+                for place, column in enumerate(sig[cluster == c].T):
+                    values, counts = np.unique(column, return_counts=True)
+                    out += [(int(c), place, int(values[k]), int(counts[k])) for k in np.argsort(-counts, kind="stable")[:tops]]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["cluster", "place", "value", "c"])
+
+    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
+        total = pdf.groupby(["place", "value"], as_index=False)["c"].sum().sort_values(["place", "c", "value"], ascending=[True, False, True])
+        mode = total.drop_duplicates("place").sort_values("place")["value"].tolist()
+        return pd.DataFrame({"cluster": pdf["cluster"].iloc[:1], "mode": [mode]})
+
+    common = rows.select("cluster", "sig").mapInArrow(votes, "cluster long, place long, value long, c long").groupBy("cluster").applyInPandas(merge, "cluster long, mode array<long>")
 
     def agree(batches):
         for b in batches:
             sig = _matrix(b.column("sig"))[:, :places].astype(np.int64)
             mode = np.array(b.column("mode").to_pylist(), np.int64).reshape(len(sig), places)
-            yield pa.RecordBatch.from_arrays([b.column("cluster"), b.column("rep"), pa.array((sig == mode).sum(axis=1))], ["cluster", "rep", "score"])
+            yield b.select(["cluster", "rep", "sig"]).append_column("score", pa.array((sig == mode).sum(axis=1)))
 
-    scored = rows.join(common, "cluster").select("cluster", "rep", "sig", "mode").mapInArrow(agree, "cluster long, rep long, score long")
-    return scored.groupBy("cluster").agg(F.min_by("rep", F.struct(-F.col("score"), "rep")).alias("pivot"))
+    scored = rows.join(settle(common, "lsh-common"), "cluster").select("cluster", "rep", "sig", "mode").mapInArrow(agree, "cluster long, rep long, sig binary, score long")
+    best = scored.groupBy("cluster").agg(F.min_by(F.struct("rep", "sig"), F.struct(-F.col("score"), "rep")).alias("b"))
+    return best.select("cluster", F.col("b.rep").alias("pivot"), F.col("b.sig").alias("hub"))
 
 
 def hub_edges(rows: DataFrame) -> DataFrame:
     """(a, b): members of large regions (rep, cluster, sig) that are neighbours of the region's central one. Linear."""
-    hub = central(rows)
-    hub = settle(hub.join(rows.select("cluster", F.col("rep").alias("pivot"), F.col("sig").alias("hub")), ["cluster", "pivot"]), "lsh-hub")
+    hub = settle(central(rows), "lsh-hub")
 
     def compare(batches):
         for b in batches:
@@ -224,7 +234,8 @@ def forest_edges(reps: DataFrame) -> DataFrame:
         if depth == DEPTHS[-1] or large.isEmpty():
             break
         deeper = settle(rows.join(large, "key").select("rep", "tree", F.col("key").alias("cluster")).join(reps.select("rep", "sig"), "rep"), "lsh-large")
-        found.append(settle(hub_edges(deeper), "lsh-hubs"))
+        if not i:  # deeper regions are parts of these
+            found.append(settle(hub_edges(deeper), "lsh-hubs"))
         rows = settle(deeper.mapInArrow(_keys(DEPTHS[i + 1]), "rep long, tree int, key long"), "lsh-keys")
     out = found[0]
     for x in found[1:]:
@@ -299,7 +310,7 @@ def exact_links(docs: DataFrame, clusters: DataFrame, signs: DataFrame, threshol
     if large.isEmpty():
         return out
     # Every document of a large cluster against its pivot: pairs are joined, not gathered.
-    pivot = central(large.select("rep", "cluster").join(signs, "rep"))
+    pivot = central(large.select("rep", "cluster").join(signs, "rep")).select("cluster", "pivot")
     pivot = settle(pivot.join(large.select(F.col("rep").alias("pivot"), F.col("members").alias("pm")), "pivot"), "near-pivot")
 
     def to_pivot(batches):
