@@ -20,4 +20,5 @@ ORACLE = {
     "op1_mixing": q_mixing.SQL,
     "op3_chat_format": q_chat_format.SQL,
     "op6_quality_rules": q_quality_rules.SQL,
+    "op7_near_dedup": q_near_dedup.SQL,
 }
