@@ -14,8 +14,9 @@ latent cosine is COSINE or more are candidates. Each candidate is confirmed on w
 the passage and the text around the window. It is a leak if that covers STRONG of the passage, or WEAK of it and the
 answer (its own column, or else the passage's last ANSWER words) is found there too.
 
-The benchmark is taken in blocks of ITEMS items, one after the other, so that what is broadcast (vocabulary, vectors) is
-bounded by a parameter. All documents and the whole of their texts are searched.
+The benchmark is taken in blocks, one after the other, so that what is broadcast (vocabulary, vectors) is bounded by
+parameters: ITEMS items at most, and RANK passages at most, so that the space holds every passage whole (a long item goes
+on in the next block). All documents and the whole of their texts are searched, once for each block.
 
 Defined results: null or empty texts of documents or items: no leak; items without words: never found; short items
 (fewer than 8 words): all words must be found, in a stretch twice as long at most; several windows of a document with
@@ -37,7 +38,7 @@ from .common import distinct_words, hash_array, hash_strings, owners, small_batc
 
 PASSAGE, WINDOW, STRIDE, ANSWER = 48, 64, 32, 5
 COSINE, STRONG, WEAK = 0.35, 0.6, 0.45
-#: Items of a block, dimensions of the latent space and of the random range beyond them.
+#: Items of a block, dimensions of the latent space (and so passages of a block) and of the random range beyond them.
 ITEMS, RANK, MORE = 1024, 256, 16
 #: Inverse document frequency from which a word is rare (one document in fifty), and the share of a passage's rare
 #: weight that a window needs.
@@ -180,17 +181,32 @@ def _tf_idf(ids: np.ndarray, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return k, (1 + np.log(at[1:] - at[:-1])) * idf[k]
 
 
-def latent_space(docs: DataFrame, block: list, rank: int = RANK) -> Space | None:
-    """block: rows (item_id, text, answer or None)."""
-    passages, items, answers = [], [], []
-    for item, text, answer in block:
+def blocks(asked, items: int, most: int):
+    """Lists of passages (item_id, words, answer's words) of rows (item_id, text, answer or None): of up to items items
+    and most passages."""
+    block, n = [], 0
+    for item, text, answer in asked:
+        if n == items:
+            yield block
+            block, n = [], 0
+        n += 1
         words = words_of(text)
         for s in range(0, max(1, len(words) - PASSAGE // 4), PASSAGE):
             piece = words[s : s + PASSAGE] if len(words) - s > PASSAGE * 5 // 4 else words[s:]
-            if piece:
-                passages.append(piece), items.append(item), answers.append(words_of(answer) if answer else piece[-ANSWER:])
-    if not passages:
+            if not piece:
+                continue
+            if len(block) == most:
+                yield block
+                block, n = [], 1
+            block.append((item, piece, words_of(answer) if answer else piece[-ANSWER:]))
+    yield block
+
+
+def latent_space(docs: DataFrame, block: list, rank: int = RANK) -> Space | None:
+    """block: passages (item_id, words, answer's words), rank of them at most, or the space doesn't hold them all."""
+    if not block:
         return None
+    items, passages, answers = (list(x) for x in zip(*block, strict=True))
     vocabulary = sorted({w for p in passages for w in p})
     keys = np.unique(hash_strings(vocabulary))
     df, total = document_frequency(docs, keys)
@@ -272,15 +288,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None, item
     asked = benchmark.select("item_id", "text", (F.col(answer) if answer else F.lit(None).cast("string")).alias("answer")).filter("item_id IS NOT NULL").orderBy("item_id", "text")
     schema = "doc_id long, item_id long, common long, passage long, answered boolean, cosine double"
     out = spark.createDataFrame([], schema)
-    block: list = []
-    for row in [*asked.toLocalIterator(), None]:
-        if row is not None:
-            block.append(tuple(row))
-        if block and (row is None or len(block) == items):
-            space = latent_space(docs, block, rank)
-            if space is not None:
-                out = out.unionByName(docs.mapInArrow(_search(spark.sparkContext.broadcast(space)), schema))
-            block = []
+    for block in blocks(asked.toLocalIterator(), items, rank):
+        space = latent_space(docs, block, rank)
+        if space is not None:
+            out = out.unionByName(docs.mapInArrow(_search(spark.sparkContext.broadcast(space)), schema))
     best = F.max_by(F.struct("common", "passage", "answered", "cosine"), F.struct(F.col("common") / F.col("passage"), "common", "answered", "cosine")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 

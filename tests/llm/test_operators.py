@@ -169,6 +169,21 @@ def test_leaks_and_paraphrases(spark, docs):
     assert blocks == exact
 
 
+def test_leaks_of_many_items(spark, docs):
+    """Every exact copy is found however many items and passages there are."""
+    rng = random.Random(5)
+    words = [w for r in docs.orderBy("doc_id").limit(100).collect() for w in r["text"].split()]
+    cut = lambda n: words[(s := rng.randrange(len(words) - n)) : s + n]
+    items = [(k, " ".join(rng.sample(cut(90), 30 if k else 60))) for k in range(1000)]
+    items.append((1000, " ".join(rng.choice(words) for _ in range(48 * 300))))  # one item of more passages than a block has
+    copies = [(20_000 + k, " ".join([*cut(40), t, *cut(40)])) for k, t in items]
+    found = decontaminate.leaks(spark.createDataFrame(copies, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    got = {(r["doc_id"], r["item_id"]) for r in found.collect()}
+    assert len({(20_000 + k, k) for k, _ in items} - got) == 0
+    sizes = [len(b) for b in decontaminate.blocks([(*r, None) for r in items], decontaminate.ITEMS, decontaminate.RANK)]
+    assert max(sizes) <= decontaminate.RANK and sum(sizes) > 1250
+
+
 def test_singular_vectors(spark):
     rng = np.random.default_rng(4)
     a = rng.standard_normal((30, 5)) @ rng.standard_normal((5, 40))
