@@ -2,7 +2,8 @@
 
 Lines. A text's lines end at newlines. As passages are also repeated inside longer lines, lines are wrapped at points
 that the content alone decides: after a word whose hash, with its predecessor's, is the least among its neighbours
-within RADIUS words. The same passage so gets the same lines wherever it stands, but for its ends.
+within RADIUS words of the same newline-ended line. The same passage so gets the same lines wherever it stands, but for
+its ends in longer lines; a whole newline-ended line always gets the same lines.
 
 Windows. Every three consecutive lines of a text make a window; its hash is that of all their words. Windows are found
 in all texts; the first occurrence in the order (doc_id, position) stays, later ones are marked, in the same text too.
@@ -26,7 +27,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, hash_words, likely, mix, owners, settle, small_batches, split_words, text_chunks
+from .common import bloom, hash_words, likely, mix, settle, small_batches, split_words, text_chunks
 
 LINES, RADIUS, MIN_WORDS = 3, 3, 25
 #: A column name that documents don't have.
@@ -52,10 +53,10 @@ def line_starts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     first = first[:-1]
     pair = mix(h + mix(np.roll(h, 1)) * np.uint64(3))
     pair[first | hard] = np.uint64(2**64 - 1)  # a line that starts anyway isn't wrapped by what stands before it
-    least, own = np.ones(len(h), bool), owners(offsets)
+    least, own = np.ones(len(h), bool), np.cumsum(first | hard)
     for k in range(1, RADIUS + 1):
         if len(h) > k:
-            other = own[k:] != own[:-k]  # what stands in another text doesn't count
+            other = own[k:] != own[:-k]  # what stands beyond a newline or in another text doesn't count
             least[k:] &= other | (pair[k:] < pair[:-k])
             least[:-k] &= other | (pair[:-k] <= pair[k:])
     return h, offsets, first | hard | (least & ~(first | hard) & (pair != np.uint64(2**64 - 1))), hard | first

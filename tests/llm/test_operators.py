@@ -468,6 +468,21 @@ def test_line_dedup_by_brute_force(spark, docs):
     assert len(clean) > 150
 
 
+def test_repeated_lines_go_whatever_their_neighbours(spark):
+    """Blocks of three or more whole lines, against plain windows of three lines."""
+    rng = random.Random(11)
+    line = lambda n: " ".join("".join(rng.choice("klmnop") for _ in range(6)) for _ in range(n))
+    rows, want = [], {}
+    for k in range(400):
+        block = [line(rng.randint(1, 12)) for _ in range(3 + k % 4)]
+        for j in range(2):
+            before, after = [line(rng.randint(1, 12)) for _ in range(2)], [line(rng.randint(1, 12)) for _ in range(2)]
+            rows.append((2 * k + j, "\n".join([*before, *block, *after])))
+            want[2 * k + j] = "\n".join([*before, *after] if j else [*before, *block, *after])
+    got = dict(line_dedup.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert sum(got[i] != want[i] for i in want) == 0
+
+
 # ------------------------------------------------------------------ all
 
 
