@@ -50,8 +50,10 @@ NAMES_OUTSIDE = {"header", "head", "top", "bottom", "legal"}
 CLOSES = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "table", "div", "section", "article", "main", "body", "nav", "aside", "header", "footer", "form", "dl", "select", "blockquote", "td", "th"}
 
-TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]{0,4000}\"|'[^']{0,4000}'|[^'\">])*+)>|<[a-zA-Z/!?][^>]*>")
-ATTR = re.compile(r"""(class|id|role|style|aria-hidden|hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
+TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<[a-zA-Z/!?][^>]*>")
+#: Attributes with their whole values, so that what stands in a value isn't taken for another one.
+ATTR = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
+ASKED = {"class", "id", "role", "style", "aria-hidden", "hidden"}
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -59,7 +61,10 @@ def _removed_by_attributes(tag: str, attributes: str, inside: bool) -> bool:
     if tag in WHOLE or not attributes.strip():
         return False
     for name, a, b, c in ATTR.findall(attributes):
-        name, value = name.lower(), (a or b or c).lower()
+        name = name.lower()
+        if name not in ASKED:
+            continue
+        value = (a or b or c).lower()
         if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES or name == "style" and re.search(r"display\s*:\s*none", value):
             return True
         if name in ("class", "id"):

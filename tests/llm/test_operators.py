@@ -438,6 +438,15 @@ def test_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize("quote", ["'", '"'])
+def test_pages_with_long_attributes(quote):
+    other = "'" if quote == '"' else '"'
+    value = quote + f"<b class={other}ad{other}>x</b> {{}} > " * 5000 + quote
+    assert len(value) > 100_000
+    gone = f"<div data-x={value} class=sidebar>menu</div><nav data-x={value}>n</nav><form data-x={value}>f</form><script data-x={value}>var s</script>"
+    assert html_text.main_text(f"{gone}<article data-x={value}><p data-x={value}>The text</p><p>goes on</p></article>") == "The text goes on"
+
+
 # ------------------------------------------------------------------ 10 line dedup
 
 
