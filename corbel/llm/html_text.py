@@ -4,14 +4,15 @@ A page is cut into tags and text. Blocks (text between block-level tags) become
 and of elements that are menus, headers, footers, sidebars, notices, adverts or reader comments by their tag, role or
 class gives empty lines, as do blocks outside any article that are mostly links, and the border of an article or main
 element. The distribution then is the sum of text
-lengths over a sliding window of WINDOW lines; it surges where it leaves zero and dives where it returns to zero. The
-text between the surge and the dive that hold most text is the page's main text: its lines in page order, each with
-white space made one space, joined by one space. Inside an article or main element removed parts leave no empty lines,
-so they don't cut it.
+lengths over a sliding window of WINDOW lines; it surges where it leaves zero and dives where it returns to zero. Each
+text between a surge and a dive is a region. The page's main text is that of the region with most text, of all regions
+within article or main elements, and of all others that are dense if that with most text is outside: those with DENSE of
+its text a line or more. Its lines are in page order, each with white space made one space, joined by one space. A removed
+element is one empty line, whatever it holds; inside an article or main element it leaves none.
 
 Defined results: null or empty html, or a page without text: empty text; unclosed and misnested tags: an end tag closes
 up to its nearest open start tag, or nothing; an unterminated comment, script or style reaches to the page's end;
-regions with equal text: the first; repeated rows: extracted each; empty table: no rows; other columns are kept by the
+regions with equal text: the first is the measure; repeated rows: extracted each; empty table: no rows; other columns are kept by the
 caller's join or selection.
 """
 
@@ -27,6 +28,8 @@ from .common import small_batches, text_chunks
 
 #: Lines of the sliding window, and empty lines around an article or main element.
 WINDOW, BORDER = 3, 3
+#: Text a line that a region outside any article needs, as a share of that of the region with most text.
+DENSE = 0.5
 #: Elements by their role for this method.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -74,37 +77,44 @@ def _removed_by_attributes(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[str | None]:
-    """The page's blocks as lines; None is an empty line."""
+def lines_of(page: str) -> tuple[list[str | None], list[bool]]:
+    """The page's blocks as lines, and whether each is within an article or main element; None is an empty line."""
     lines: list[str | None] = []
+    within: list[bool] = []
     stack: list[tuple[str, bool]] = []  # tag, removed
     text: list[str] = []
     removed = inside = links = linked = 0  # the last two: open links, and text within links since the last line
-    hidden = False  # removed text since the last line
+    hidden = False  # removed text of the outermost removed element so far
+
+    def add(line: str | None, times: int = 1) -> None:
+        lines.extend([line] * times)
+        within.extend([inside > 0] * times)
 
     def flush() -> None:
-        nonlocal hidden, linked
+        nonlocal linked
         whole = "".join(text)
         block = " ".join(html.unescape(whole).split())
         text.clear()
         if block and not inside and 2 * linked > len(whole):
-            lines.append(None)  # mostly links, outside any article: a menu
+            add(None)  # mostly links, outside any article: a menu
         elif block:
-            lines.append(block)
-        elif hidden and not inside:
-            lines.append(None)
-        hidden, linked = False, 0
+            add(block)
+        linked = 0
 
     def pop() -> None:
-        nonlocal removed, inside, links
+        nonlocal removed, inside, links, hidden
         tag, gone = stack.pop()
         removed -= gone
+        if gone and not removed:
+            if hidden and not inside and tag not in INLINE:
+                add(None)
+            hidden = False
         links -= tag == "a"
         if tag in MAIN and not gone:
             flush()
             inside -= 1
             if not inside:
-                lines.extend([None] * BORDER)
+                add(None, BORDER)
 
     at, n = 0, len(page)
     while at < n:
@@ -158,16 +168,16 @@ def lines_of(page: str) -> list[str | None]:
         links += tag == "a"
         if tag in MAIN and not gone:
             if not inside:
-                lines.extend([None] * BORDER)
+                add(None, BORDER)
             inside += 1
     flush()
-    return lines
+    return lines, within
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    lines = lines_of(page)
+    lines, within = lines_of(page)
     size = [len(x) if x else 0 for x in lines]
     # The window's sum at each line: the line and those after it. It leaves zero WINDOW - 1 lines before a text and
     # returns to zero after its last line, so an empty stretch of WINDOW lines ends a region.
@@ -175,17 +185,21 @@ def main_text(page: str | None) -> str:
     for i in range(len(size) - 1, -1, -1):
         run += size[i] - (size[i + WINDOW] if i + WINDOW < len(size) else 0)
         sums[i] = run
-    best, start, total = (0, 0, 0), None, 0
+    regions, start = [], None  # text, text a line, whether within an article, first and last line
     for i in range(len(sums) + 1):
         if i < len(sums) and sums[i] > 0:
             if start is None:
-                start, total = i, 0
-            total += size[i]
+                start = i
         elif start is not None:
-            if total > best[0]:
-                best = (total, start, i)
+            filled = [k for k in range(start, i) if size[k]]
+            total = sum(size[start:i])
+            regions.append((total, total / len(filled), within[filled[0]], start, i))
             start = None
-    return " ".join(x for x in lines[best[1] : best[2]] if x)
+    if not regions:
+        return ""
+    best = max(regions, key=lambda r: r[0])
+    kept = [r for r in regions if r is best or r[2] or not best[2] and r[1] >= DENSE * best[1]]
+    return " ".join(x for r in kept for x in lines[r[3] : r[4]] if x)
 
 
 def extract_main_text(pages: DataFrame, html_column: str = "html") -> DataFrame:

@@ -438,6 +438,22 @@ def test_pages(page, text):
     assert html_text.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<p>{0}</p><div class=ad><p>Buy</p><p>this</p><p>now</p></div><p>{1}</p>", "{0} {1}"),
+        ("<p>{0}</p><ul class=menu><li>a<li>b<li>c<li>d</ul><div class=ad>z</div><aside><p>x</p><p>y</p></aside><p>{1}</p>", "{0} {1}"),
+        ("<p>{0}</p><nav>n</nav><nav>o</nav><nav>p</nav><p>Home</p><nav>q</nav><nav>r</nav><nav>s</nav><p>{1}</p>", "{0} {1}"),
+        ("<p>Top</p><article><p>{0}</p></article><p>Between</p><article><h2>T</h2><p>{1}</p></article><article><p>Short.</p></article><p>End</p>", "{0} T {1} Short."),
+        ("<article><p>Teaser</p></article><p>{0}</p><div class=ad><p>a</p></div><p>{1}</p>", "Teaser {0} {1}"),
+        ("<main><p>{0}</p><div class=ad><p>a</p><p>b</p><p>c</p></div><p>{1}</p></main><p>{1}</p>", "{0} {1}"),
+    ],
+)
+def test_pages_of_several_regions(page, text):
+    parts = "The first part has a good many words in its only line.", "The second part has hardly fewer words in its own line."
+    assert html_text.main_text(page.format(*parts)) == text.format(*parts)
+
+
 @pytest.mark.parametrize("quote", ["'", '"'])
 def test_pages_with_long_attributes(quote):
     other = "'" if quote == '"' else '"'
