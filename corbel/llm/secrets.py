@@ -32,11 +32,11 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
 #: Contexts of the method: words that announce a credential, and addresses with user and password.
 CONTEXT = re.compile(
-    r"""(?:(?<![A-Za-z])(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret|auth[_-]?key|private[_-]?key|credential)s?["']?\x20{0,8}(?:[:=]|\x20is\x20)\x20{0,8}["']?([^\s"'<>,;]{6,})|[a-z][a-z0-9+.-]{1,20}://[^\s:/@"'<>]{1,64}:([^\s@/"'<>]{6,64})@)""",
+    r"""(?:(?<![A-Za-z])(?:password|passwd|passphrase|pwd|secret|token|api[_-]?key|access[_-]?key|client[_-]?secret|auth[_-]?key|private[_-]?key|credential)s?["']?\x20{0,8}(?:[:=]|\x20is\x20)\x20{0,8}["']?([^\s"'<>,;]{6,})|[a-z][a-z0-9+.-]{1,20}://[^\s:/@"'<>]++:([^\s@/"'<>]{6,}+)@)""",
     re.I | re.A,
 )
 #: One cheap test that every text with any span passes.
-ANY = r"(?i)password|passwd|passphrase|pwd|secret|token|key|credential|://[^\s:/@]{1,64}:[^\s@/]{6,64}@|AKIA[A-Z0-9]|[0-9a-f]{32}"
+ANY = r"(?i)password|passwd|passphrase|pwd|secret|token|key|credential|://[^\s:/@]+:[^\s@/]{6,}@|AKIA[A-Z0-9]|[0-9a-f]{32}"
 
 #: log10 of the guesses from which a value is a secret, and length of the blocks of the dynamic programme.
 GUESS_LIMIT, DP_CHARS = 8.0, 128

@@ -410,6 +410,16 @@ def test_guess_spans_add_only():
     assert [t[a:b] for k, a, b in got if k == "guess"] == ["hunter22!x", "correct-horse9", "S3cr%tPw"]
 
 
+@pytest.mark.parametrize("n", [12, 64, 65, 100, 1000, 100_000])
+def test_long_passwords_in_addresses(spark, n):
+    rng = random.Random(n)
+    user, value = ["".join(rng.choice("ghjkmpqrXYZ789") for _ in range(k)) for k in (max(1, n // 2), n)]
+    t = f"see db://{user}:{value}@host/x and db://u:{value}/x"
+    at = t.index(value)
+    found = secrets.find_secrets(spark.createDataFrame([(1, t)], "doc_id long, text string")).first()["found"]
+    assert [tuple(s) for s in found] == [("guess", at, at + n)]
+
+
 # ------------------------------------------------------------------ 9 html
 
 
