@@ -7,14 +7,16 @@
    with more than REGION members are followed to greater depth, only there; their members are also compared with the
    region's central one, the one that agrees most with its commonest values. At the last depth members hang on their
    least one. Regions with the same members in several trees are looked at once. Within a region signatures are
-   compared; those that agree at LOOSE or more are neighbours, and a spanning forest of the neighbours goes on.
+   compared; those that agree at loose(threshold) or more are neighbours, and a spanning forest of the neighbours goes on.
 3. Neighbours' components are clusters. Only there full sets are made again from the texts and compared exactly:
    clusters of up to BLOCK documents in one piece, larger ones by pairs of blocks. In large clusters every document is
    first compared with one pivot, the document that agrees best with the cluster's most common values; those that link
    to it need no comparison among themselves.
 4. Exact links' components, with the classes, are the result.
 
-A pair at the threshold is missed by all trees with a chance below 1e-6 (0.85 ** 3 in each of 16 trees).
+In regions of up to REGION members a pair at the threshold is missed by all trees with a chance of 2.4e-7 at 0.85 (0.85 **
+3 in each of 16 trees) and of 1.0e-5 at 0.80. Where all its regions are larger, what its hubs don't link is missed with a
+chance of 0.6 % at 0.85 and 5.3 % at 0.80 if they are small at depth 8, and of 72 % and 93 % if only at depth 24.
 
 Defined results: null or empty text, or no words: size 0, linked with nothing; fewer words than a shingle: the whole
 sequence is the one shingle; null doc_id: left to itself; repeated doc_id: rows are classed by their own text; ties:
@@ -23,6 +25,8 @@ the least doc_id stands for a class; empty table: no rows; other columns are not
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -35,8 +39,9 @@ from .components import components
 
 SHINGLE = 5
 SIGNATURE, TREES, MIN_DEPTH = 96, 16, 3
-#: Depths at which regions that are still too large are looked at again; members of a region; agreement of neighbours.
-DEPTHS, REGION, LOOSE = (3, 8, 24), 512, 0.70
+#: Depths at which regions that are still too large are looked at again; members of a region; the share of pairs at the
+#: threshold whose signatures may agree too little to be neighbours.
+DEPTHS, REGION, DROPPED = (3, 8, 24), 512, 1e-6
 #: Documents of a block of exact comparison, and of a chunk of shingles in it.
 BLOCK, COLUMNS = 384, 8192
 _RNG = np.random.default_rng(20240607)
@@ -86,6 +91,15 @@ def signatures(g: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
+def loose(threshold: int) -> float:
+    """The agreement of signatures from which documents are neighbours: fewer than DROPPED of the pairs at the threshold
+    (in percent) have less."""
+    p, k, below = threshold / 100, 0, 0.0
+    while k < SIGNATURE and (below := below + math.comb(SIGNATURE, k) * p**k * (1 - p) ** (SIGNATURE - k)) < DROPPED:
+        k += 1
+    return k / SIGNATURE
+
+
 def _sketch(batches):
     for batch in batches:
         for part in text_chunks(batch, "text"):
@@ -158,17 +172,20 @@ def labels(near: np.ndarray) -> np.ndarray:
         out = new
 
 
-def _neighbours(batches):
-    """A spanning forest of the neighbours in each region, as (a, b)."""
-    for g in in_groups(batches, "key"):
-        reps, sig = g.column("rep").to_numpy(), _matrix(g.column("sig").combine_chunks())
-        near = np.zeros((len(reps), len(reps)), bool)
-        for s in range(0, len(reps), 64):
-            near[s : s + 64] = (sig[s : s + 64, None, :] == sig[None, :, :]).mean(axis=2) >= LOOSE
-        lab = labels(near)
-        use = lab != np.arange(len(lab))
-        if use.any():
-            yield pa.RecordBatch.from_arrays([pa.array(reps[lab[use]]), pa.array(reps[use])], ["a", "b"])
+def _neighbours(least: float):
+    def run(batches):
+        """A spanning forest of the neighbours in each region, as (a, b)."""
+        for g in in_groups(batches, "key"):
+            reps, sig = g.column("rep").to_numpy(), _matrix(g.column("sig").combine_chunks())
+            near = np.zeros((len(reps), len(reps)), bool)
+            for s in range(0, len(reps), 64):
+                near[s : s + 64] = (sig[s : s + 64, None, :] == sig[None, :, :]).mean(axis=2) >= least
+            lab = labels(near)
+            use = lab != np.arange(len(lab))
+            if use.any():
+                yield pa.RecordBatch.from_arrays([pa.array(reps[lab[use]]), pa.array(reps[use])], ["a", "b"])
+
+    return run
 
 
 def central(rows: DataFrame) -> DataFrame:
@@ -205,20 +222,21 @@ def central(rows: DataFrame) -> DataFrame:
     return best.select("cluster", F.col("b.rep").alias("pivot"), F.col("b.sig").alias("hub"))
 
 
-def hub_edges(rows: DataFrame) -> DataFrame:
+def hub_edges(rows: DataFrame, least: float) -> DataFrame:
     """(a, b): members of large regions (rep, cluster, sig) that are neighbours of the region's central one. Linear."""
     hub = settle(central(rows), "lsh-hub")
 
     def compare(batches):
         for b in batches:
-            near = (_matrix(b.column("sig")) == _matrix(b.column("hub"))).mean(axis=1) >= LOOSE if b.num_rows else np.empty(0, bool)
+            near = (_matrix(b.column("sig")) == _matrix(b.column("hub"))).mean(axis=1) >= least if b.num_rows else np.empty(0, bool)
             yield b.select(["pivot", "rep"]).rename_columns(["a", "b"]).filter(pa.array(near))
 
     return rows.join(hub, "cluster").filter("rep <> pivot").select("pivot", "rep", "sig", "hub").mapInArrow(compare, "a long, b long")
 
 
-def forest_edges(reps: DataFrame) -> DataFrame:
+def forest_edges(reps: DataFrame, threshold: int) -> DataFrame:
     """Candidate edges (a, b) between representatives (rep, sig)."""
+    agree = loose(threshold)
     rows, found = settle(reps.mapInArrow(_keys(DEPTHS[0]), "rep long, tree int, key long"), "lsh-keys"), []
     for i, depth in enumerate(DEPTHS):
         regions = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.min("rep").alias("least")).filter("m > 1")
@@ -229,13 +247,13 @@ def forest_edges(reps: DataFrame) -> DataFrame:
         small = regions.filter(f"m <= {REGION}").groupBy("who", "m").agg(F.min("key").alias("key")).select("key")
         member = rows.join(small, "key").select("rep", "key").join(reps.select("rep", "sig"), "rep")
         member = member.repartition("key").sortWithinPartitions("key")
-        found.append(settle(member.mapInArrow(_neighbours, "a long, b long"), "lsh-near"))
+        found.append(settle(member.mapInArrow(_neighbours(agree), "a long, b long"), "lsh-near"))
         large = regions.filter(f"m > {REGION}").select("key")
         if depth == DEPTHS[-1] or large.isEmpty():
             break
         deeper = settle(rows.join(large, "key").select("rep", "tree", F.col("key").alias("cluster")).join(reps.select("rep", "sig"), "rep"), "lsh-large")
         if not i:  # deeper regions are parts of these
-            found.append(settle(hub_edges(deeper), "lsh-hubs"))
+            found.append(settle(hub_edges(deeper, agree), "lsh-hubs"))
         rows = settle(deeper.mapInArrow(_keys(DEPTHS[i + 1]), "rep long, tree int, key long"), "lsh-keys")
     out = found[0]
     for x in found[1:]:
@@ -347,7 +365,7 @@ def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
     sketch = settle(docs.mapInArrow(_sketch, "doc_id long, n long, h1 long, h2 long, sig binary"), "near-sketch")
     known = sketch.filter("n > 0 AND doc_id IS NOT NULL")
     reps = settle(known.groupBy("h1", "h2", "n").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("rep")), "near-reps")
-    clusters = components(forest_edges(reps.select("rep", "sig")))
+    clusters = components(forest_edges(reps.select("rep", "sig"), threshold))
     size = clusters.groupBy("root").agg(F.count("*").alias("m"))
     clusters = settle(clusters.join(size, "root").selectExpr("node AS rep", "root AS cluster", "m"), "near-clusters")
     roots = components(exact_links(docs, clusters, reps.select("rep", "sig"), threshold))

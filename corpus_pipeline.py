@@ -31,8 +31,8 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays."""
-    out = near_duplicates(docs, threshold=85).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    """One document of each group of near-duplicates (similarity 0.8 or more) stays."""
+    out = near_duplicates(docs, threshold=80).groupBy("doc_id").agg(F.max("kept").alias("kept"))
     return docs.join(out.filter("NOT kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline as P
+from corbel.llm import near_dedup
 from corbel.llm.common import settle
 
 SF = "/root/testdata/sf0.001"
@@ -32,3 +33,19 @@ def test_stages(spark, docs):
 
 def test_run(spark):
     assert P.run(spark, SF).count() > 100
+
+
+def test_near_dedup_stage_links_at_four_fifths(spark, docs):
+    """Pairs of 0.80 to below 0.85: one goes."""
+    rows = []
+    for k in range(20):
+        words = [f"w{k}x{i}" for i in range(104)]  # 100 shingles; two changed words leave 90 common of 110
+        rows += [(50_000 + 2 * k, " ".join(words)), (50_001 + 2 * k, " ".join("other" if i in (20, 60) else w for i, w in enumerate(words)))]
+    some = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], docs.select("doc_id", "text", "lang", "source", "n_chars").schema).select(*docs.columns)
+    kept = {r["doc_id"] for r in P.near_dedup_stage(spark, some, SF).collect()}
+    assert kept == {50_000 + 2 * k for k in range(20)}
+
+
+def test_neighbours_agree_by_the_threshold():
+    for percent, most in ((80, 0.6), (85, 0.66)):
+        assert 0.5 < near_dedup.loose(percent) < most
