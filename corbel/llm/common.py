@@ -168,13 +168,22 @@ def likely(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
     return out
 
 
-def keep_likely(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
-    """df without most rows whose column isn't in the filter; done before a join's shuffle."""
+def split_likely(df: DataFrame, column: str, bits: np.ndarray) -> tuple[DataFrame, DataFrame]:
+    """The rows of df whose column the filter passes, and all others (nulls too). Two scans, no shuffle."""
     shared = df.sparkSession.sparkContext.broadcast(bits)
 
-    def run(batches):
-        for b in batches:
-            ids = pc.fill_null(b.column(column), 0).to_numpy(zero_copy_only=False)
-            yield b.filter(pa.array(likely(ids, shared.value)))
+    def part(wanted: bool):
+        def run(batches):
+            for b in batches:
+                ids = b.column(column)
+                hit = likely(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False), shared.value) & pc.is_valid(ids).to_numpy(zero_copy_only=False)
+                yield b.filter(pa.array(hit == wanted))
+
+        return run
 
-    return df.mapInArrow(run, df.schema)
+    return df.mapInArrow(part(True), df.schema), df.mapInArrow(part(False), df.schema)
+
+
+def keep_likely(df: DataFrame, column: str, bits: np.ndarray) -> DataFrame:
+    """df without most rows whose column isn't in the filter; done before a join's shuffle."""
+    return split_likely(df, column, bits)[0]

@@ -1,22 +1,24 @@
 """Line dedup by overlapping three-line windows.
 
-Lines. A text's lines end at newlines. As passages are also repeated inside longer lines, lines are wrapped at points
-that the content alone decides: after a word whose hash, with its predecessor's, is the least among its neighbours
-within RADIUS words of the same newline-ended line. The same passage so gets the same lines wherever it stands, but for
-its ends in longer lines; a whole newline-ended line always gets the same lines.
+Lines. A text's lines end at newlines; lines without a word are none. As passages are also repeated inside longer lines,
+lines of more than PLAIN words are wrapped at points that the content alone decides: after a word whose hash, with its
+predecessor's, is the least among its neighbours within RADIUS words of the same line. A line gets the same pieces
+wherever it stands, so three equal consecutive lines are always equal windows, whatever stands around them; pieces add
+to that the passages inside longer lines, but for up to a line or piece at each end.
 
-Windows. Every three consecutive lines of a text make a window; its hash is that of all their words. Windows are found
-in all texts; the first occurrence in the order (doc_id, position) stays, later ones are marked, in the same text too.
-The marked windows' positions are merged to runs. A run is removed if it has MIN_WORDS words or more or holds three
-whole newline-ended lines; what stands between is kept as it was.
+Windows. Every three consecutive lines (or pieces) of a text make a window; its hash is that of all their words. Windows
+are found in all texts; the first occurrence in the order (doc_id, position) stays, later ones are marked, in the same
+text too. The lines that marked windows cover are merged to runs and removed, from a run's first word up to the next kept
+one; what stands between runs is kept as it was.
 
 Counting is one aggregation by hash (least doc_id and count, pre-aggregated on the map side); later occurrences come
-from an equi-join with the repeated hashes, which adaptive execution can split when one window is very common. Texts
-without a later occurrence are never rebuilt.
+from an equi-join with the repeated hashes, which adaptive execution can split when one window is very common. A Bloom
+filter of fixed size goes before that join; where it is full it saves nothing, and the join shuffles 28 bytes a window.
+Only texts that a second filter takes for marked ones are shuffled; all others are passed on where they are.
 
 Defined results: null text: stays null; empty texts, and texts of fewer than three lines: unchanged; repeated rows with
 one doc_id: each counts as the first holder of its windows, so they don't cut each other; null doc_id: unchanged; a text
-all of whose lines are removed: the empty text; empty table: no rows; other columns are kept.
+all of whose lines are removed: what stands before its first word; empty table: no rows; other columns are kept.
 """
 
 from __future__ import annotations
@@ -27,9 +29,10 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, hash_words, likely, mix, settle, small_batches, split_words, text_chunks
+from .common import bloom, hash_words, likely, mix, settle, small_batches, split_likely, split_words, text_chunks
 
-LINES, RADIUS, MIN_WORDS = 3, 3, 25
+#: Lines of a window; words to each side of a wrap point; words of the longest line that is never wrapped.
+LINES, RADIUS, PLAIN = 3, 3, 24
 #: A column name that documents don't have.
 MARKED = "__line_dedup_marked"
 
@@ -43,8 +46,8 @@ def _newline_before(texts: pa.Array, flat: pa.Array, offsets: np.ndarray) -> np.
     return out[:-1]
 
 
-def line_starts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Word hashes, where each text's words begin, for each word whether a line starts there, and whether after a newline."""
+def line_starts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Word hashes, where each text's words begin, and for each word whether a line or piece starts there."""
     flat, offsets = split_words(texts)
     h = hash_words(flat)
     hard = _newline_before(texts, flat, offsets)
@@ -59,12 +62,13 @@ def line_starts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
             other = own[k:] != own[:-k]  # what stands beyond a newline or in another text doesn't count
             least[k:] &= other | (pair[k:] < pair[:-k])
             least[:-k] &= other | (pair[:-k] <= pair[k:])
-    return h, offsets, first | hard | (least & ~(first | hard) & (pair != np.uint64(2**64 - 1))), hard | first
+    long = np.bincount(own)[own] > PLAIN if len(own) else first
+    return h, offsets, first | hard | (least & long)
 
 
 def windows(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hash, text and first line (its number in the text) of every window."""
-    h, offsets, start, _ = line_starts(texts)
+    h, offsets, start = line_starts(texts)
     none = np.empty(0, np.int64)
     if not len(h):
         return none.view(np.uint64), none, none
@@ -125,25 +129,23 @@ def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return edge[::2], edge[1::2]
 
 
-def cut(text: str, starts: np.ndarray, hard: np.ndarray, marked: list[int]) -> str:
-    """text without the runs of lines that the windows starting at the marked lines cover."""
+def cut(text: str, starts: np.ndarray, marked: list[int]) -> str:
+    """text without the lines that the windows starting at the marked lines cover; starts: each line's first word."""
     n = len(starts)
-    gone = np.zeros(n + 1, bool)
+    gone = np.zeros(n + LINES, bool)
     for k in range(LINES):
-        gone[np.minimum(np.asarray(marked, np.int64) + k, n)] = True
-    gone[n] = False
+        gone[np.asarray(marked, np.int64) + k] = True
+    gone = gone[:n]
     if not gone.any():
         return text
     raw = text.encode("utf-8", "surrogatepass")
     at, _ = word_spans(np.frombuffer(raw, np.uint8))
-    words, at = np.append(starts, len(at)), np.append(at, len(raw))
-    turns = np.flatnonzero(np.diff(np.concatenate([[False], gone]).astype(np.int8)))
+    edges = np.append(at[starts], len(raw))
+    turns = np.flatnonzero(np.diff(np.concatenate([[False], gone, [False]]).astype(np.int8)))
     out, kept_to = [], 0
     for i, j in zip(turns[::2], turns[1::2], strict=True):
-        breaks = hard[words[i:j]].sum() + (j == n or hard[words[j]])  # lines of the run that start, or end, at a newline
-        if words[j] - words[i] >= MIN_WORDS or breaks > LINES:
-            out.append(raw[kept_to : at[words[i]]])
-            kept_to = at[words[j]]
+        out.append(raw[kept_to : edges[i]])
+        kept_to = edges[j]
     out.append(raw[kept_to:])
     return b"".join(out).decode("utf-8", "surrogatepass")
 
@@ -156,11 +158,11 @@ def _rebuild(batches):
             todo = np.flatnonzero(pc.greater(pc.fill_null(pc.list_value_length(part.column(MARKED)), 0), 0).to_numpy(zero_copy_only=False))
             if len(todo):
                 texts, some = part.column("text"), part.column("text").take(pa.array(todo))
-                _, offsets, start, hard = line_starts(some)
+                _, offsets, start = line_starts(some)
                 out = texts.to_pylist()
                 for i, (row, marked) in enumerate(zip(todo, part.column(MARKED).take(pa.array(todo)).to_pylist(), strict=True)):
                     a, b = offsets[i], offsets[i + 1]
-                    out[row] = cut(out[row], np.flatnonzero(start[a:b]), hard[a:b], marked)
+                    out[row] = cut(out[row], np.flatnonzero(start[a:b]), marked)
                 rest = rest.set_column(rest.schema.get_field_index("text"), "text", pa.array(out, texts.type))
             yield rest
 
@@ -179,5 +181,7 @@ def later_windows(docs: DataFrame) -> DataFrame:
 def line_dedup(docs: DataFrame) -> DataFrame:
     """docs with repeated passages taken out of text."""
     small_batches(docs.sparkSession)
-    joined = docs.join(later_windows(docs).withColumnRenamed("marked", MARKED), "doc_id", "left").select(*docs.columns, MARKED)
-    return joined.mapInArrow(_rebuild, docs.schema)
+    later = later_windows(docs).withColumnRenamed("marked", MARKED)
+    some, rest = split_likely(docs, "doc_id", bloom(later, "doc_id"))
+    joined = some.join(later, "doc_id", "left").select(*docs.columns, MARKED)
+    return joined.mapInArrow(_rebuild, docs.schema).unionByName(rest)
