@@ -1,24 +1,35 @@
 """Main text of web pages by line-block distribution.
 
-A page is cut into tags and text. Blocks (text between block-level tags) become lines. Text of scripts, styles, forms
-and of elements that are menus, headers, footers, sidebars, notices, adverts or reader comments by their tag, role or
-class gives empty lines, as do blocks outside any article that are mostly links, and the border of an article or main
-element. The distribution then is the sum of text
-lengths over a sliding window of WINDOW lines; it surges where it leaves zero and dives where it returns to zero. Each
-text between a surge and a dive is a region. The page's main text is that of the region with most text, of all regions
-within article or main elements, and of all others that are dense if that with most text is outside: those with DENSE of
-its text a line or more. Its lines are in page order, each with white space made one space, joined by one space. A removed
-element is one empty line, whatever it holds; inside an article or main element it leaves none.
+Strip. A page is cut into tags and text in one pass of linear time. Blocks (text between block-level tags) become
+lines. Elements that can't be main text by their tag, role or visibility (scripts, menus, footers, forms) give one empty
+line, whatever they hold, as do blocks outside any article that are mostly links or a copyright line. Elements whose
+class or id names a part of that kind are set aside as groups; a group comes back if all other text is less than its own
+and its name says it loosely (LOOSE), or if there is no other text at all.
+
+Distribution. The sum of text lengths over a sliding window of WINDOW lines is taken at every line. The page sets the
+threshold: the windows' sums are parted in two on a logarithmic scale where the variance between both parts is greatest
+(Otsu), and the threshold is the geometric middle of the parts' means, SURE characters at most; a page whose parts
+differ by less than APART has one part, all text. Windows at or above the threshold are dense.
+
+Surge and dive. Empty lines part the page into stretches. In each, text surges at its first and dives at its last long
+line (a third of the threshold) of a dense window, and all between is kept. Short lines before the surge and after the
+dive are kept if they are fewer than WINDOW, mostly sentences, or in one box (an element below the page's own wrappers)
+with the long line, and headings right before the surge always. Stretches without a dense window are kept if a box
+joins them with a kept one.
+
+Ties. Where articles (article or main elements) hold half of the kept text or more, they are the text, whole and nothing
+beside. Lines are in page order, each with white space made one space, joined by one space.
 
 Defined results: null or empty html, or a page without text: empty text; unclosed and misnested tags: an end tag closes
-up to its nearest open start tag, or nothing; an unterminated comment, script or style reaches to the page's end;
-regions with equal text: the first is the measure; repeated rows: extracted each; empty table: no rows; other columns are kept by the
-caller's join or selection.
+up to its nearest open start tag, or nothing; a tag without an end ends before the next `<`; an unterminated comment,
+script or style reaches to the page's end; repeated rows: extracted each; empty table: no rows; other columns are not
+carried.
 """
 
 from __future__ import annotations
 
 import html
+import math
 import re
 
 import pyarrow as pa
@@ -26,10 +37,8 @@ from pyspark.sql import DataFrame
 
 from .common import small_batches, text_chunks
 
-#: Lines of the sliding window, and empty lines around an article or main element.
-WINDOW, BORDER = 3, 3
-#: Text a line that a region outside any article needs, as a share of that of the region with most text.
-DENSE = 0.5
+#: Lines of the sliding window; least quotient of a page's two parts; a window of so many characters is always dense.
+WINDOW, APART, SURE = 3, 4.0, 300.0
 #: Elements by their role for this method.
 RAW = {"script", "style", "noscript", "template", "textarea", "title", "svg", "iframe", "object", "math", "xmp"}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -41,165 +50,289 @@ REMOVED = {"head", "nav", "aside", "footer", "form", "button", "select", "menu",
 REMOVED_OUTSIDE = {"header"}
 MAIN = {"article", "main"}
 WHOLE = {"html", "body", "article", "main"}
+BOXES = {"div", "section", "td", "blockquote", "article", "main"}
+HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "alertdialog", "menu", "menubar", "toolbar", "form"}
+#: Words of class and id that name other parts of a page; those that may also name a part of the text.
 NAMES = {
-    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "banner", "cookie", "cookies",
-    "consent", "gdpr", "notice", "notices", "alert", "newsletter", "subscribe", "signup", "popup", "modal", "overlay", "comment", "comments", "disqus", "respond",
-    "reply", "replies", "sidebar", "sidenav", "widget", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager", "related",
-    "recommended", "share", "sharing", "social", "footer", "masthead", "topbar", "toolbar", "skip", "login", "search", "copyright", "disclaimer",
+    "ad", "ads", "advert", "adverts", "advertisement", "advertising", "adsense", "sponsor", "sponsored", "promo", "promotion", "cookie", "cookies",
+    "consent", "gdpr", "notice", "notices", "newsletter", "subscribe", "signup", "popup", "modal", "overlay", "comment", "comments", "disqus", "respond",
+    "reply", "replies", "sidebar", "sidenav", "menu", "nav", "navbar", "navigation", "breadcrumb", "breadcrumbs", "pagination", "pager",
+    "sharing", "footer", "masthead", "topbar", "toolbar", "login", "copyright", "disclaimer",
 }
-NAMES_OUTSIDE = {"header", "head", "top", "bottom", "legal"}
+LOOSE = {"banner", "alert", "widget", "related", "recommended", "share", "social", "skip", "search"}
+LOOSE_OUTSIDE = {"header", "head", "top", "bottom", "legal"}
 #: An open element of the first kind ends where one of the second kind starts.
 CLOSES = {"li": {"li"}, "p": {"p"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 SCOPE = {"ul", "ol", "table", "div", "section", "article", "main", "body", "nav", "aside", "header", "footer", "form", "dl", "select", "blockquote", "td", "th"}
 
-TOKEN = re.compile(r"<!--|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:\"[^\"]*+\"|'[^']*+'|[^'\">])*+)>|<[a-zA-Z/!?][^>]*>")
+#: A tag up to its end, the next `<` or the page's end; quotes count after an equals sign only. It always matches.
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^\"'<>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')?|[\"'])*+)>?")
 #: Attributes with their whole values, so that what stands in a value isn't taken for another one.
 ATTR = re.compile(r"""([^\s"'<>/=]++)(?:\s*+=\s*+(?:"([^"]*+)"|'([^']*+)'|([^\s"'>]++)))?""")
 ASKED = {"class", "id", "role", "style", "aria-hidden", "hidden"}
 SPLIT = re.compile(r"[^a-z0-9]+")
+HIDDEN_STYLE = re.compile(r"display\s*+:\s*+none")
+SENTENCE = re.compile(r"[.!?…:;。！？][\"'”’»)\]]*$")
+RIGHTS = re.compile(r"(?:©|\(c\)|copyright\b)", re.I)
+
+
+class Line:
+    """A block of text, or an empty line (no text)."""
 
+    __slots__ = ("text", "group", "article", "box", "heading")
 
-def _removed_by_attributes(tag: str, attributes: str, inside: bool) -> bool:
+    def __init__(self, text: str, group: int, article: int, box: int, heading: bool) -> None:
+        self.text, self.group, self.article, self.box, self.heading = text, group, article, box, heading
+
+
+def _verdict(tag: str, attributes: str, inside: bool) -> tuple[bool, bool | None]:
+    """Whether the element goes, and whether it is set aside: True strictly, False loosely, None not."""
+    if tag in REMOVED or not inside and tag in REMOVED_OUTSIDE:
+        return True, None
+    aside: bool | None = None
     if tag in WHOLE or not attributes.strip():
-        return False
+        return False, None
     for name, a, b, c in ATTR.findall(attributes):
         name = name.lower()
         if name not in ASKED:
             continue
         value = (a or b or c).lower()
-        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES or name == "style" and re.search(r"display\s*:\s*none", value):
-            return True
+        if name == "hidden" or name == "aria-hidden" and value == "true" or name == "role" and value in ROLES or name == "style" and HIDDEN_STYLE.search(value):
+            return True, None
         if name in ("class", "id"):
             words = set(SPLIT.split(value))
-            if words & NAMES or not inside and words & NAMES_OUTSIDE:
-                return True
-    return False
-
-
-def lines_of(page: str) -> tuple[list[str | None], list[bool]]:
-    """The page's blocks as lines, and whether each is within an article or main element; None is an empty line."""
-    lines: list[str | None] = []
-    within: list[bool] = []
-    stack: list[tuple[str, bool]] = []  # tag, removed
-    text: list[str] = []
-    removed = inside = links = linked = 0  # the last two: open links, and text within links since the last line
-    hidden = False  # removed text of the outermost removed element so far
-
-    def add(line: str | None, times: int = 1) -> None:
-        lines.extend([line] * times)
-        within.extend([inside > 0] * times)
-
-    def flush() -> None:
-        nonlocal linked
-        whole = "".join(text)
+            if words & NAMES:
+                aside = True
+            elif words & LOOSE or not inside and words & LOOSE_OUTSIDE:
+                aside = aside or False
+    return False, aside
+
+
+class _Parser:
+    """One pass over a page; work is linear in its length, as every open element is found by its tag's own stack."""
+
+    def __init__(self, page: str) -> None:
+        self.page = page
+        self.lines: list[Line] = []
+        self.strict: list[bool] = [False]  # by group; group 0 is the page itself
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, gone, opens a group, opens an article
+        self.open_at: dict[str, list[int]] = {}
+        self.scopes: list[int] = []
+        self.boxes: list[int] = [0]
+        self.n_boxes = self.n_articles = self.article = self.group = self.removed = self.inside = self.links = self.headings = 0
+        self.text: list[str] = []
+        self.linked = 0  # text within links since the last line
+        self.hidden = False  # text in the outermost element that goes
+        self._run()
+
+    def _add(self, text: str) -> None:
+        self.lines.append(Line(text, self.group, self.article, self.boxes[-1], self.headings > 0))
+
+    def _flush(self) -> None:
+        if not self.text:
+            return
+        whole = "".join(self.text)
         block = " ".join(html.unescape(whole).split())
-        text.clear()
-        if block and not inside and 2 * linked > len(whole):
-            add(None)  # mostly links, outside any article: a menu
+        self.text.clear()
+        if block and not self.inside and (2 * self.linked > len(whole) or RIGHTS.match(block)):
+            self._add("")
         elif block:
-            add(block)
-        linked = 0
-
-    def pop() -> None:
-        nonlocal removed, inside, links, hidden
-        tag, gone = stack.pop()
-        removed -= gone
-        if gone and not removed:
-            if hidden and not inside and tag not in INLINE:
-                add(None)
-            hidden = False
-        links -= tag == "a"
-        if tag in MAIN and not gone:
-            flush()
-            inside -= 1
-            if not inside:
-                add(None, BORDER)
-
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.search(page, at)
-        upto = m.start() if m else n
-        if upto > at:
-            if removed:
-                hidden = hidden or not page[at:upto].isspace()
-            else:
-                text.append(page[at:upto])
-                linked += (upto - at) * (links > 0)
-        if not m:
-            break
-        at = m.end()
-        if m.group(0) == "<!--":
-            end = page.find("-->", at)
-            at = n if end < 0 else end + 3
-            continue
-        if m.group(2) is None:
-            continue
-        tag = m.group(2).lower()
+            self._add(block)
+        self.linked = 0
+
+    def _push(self, tag: str, attributes: str) -> None:
+        gone, aside = _verdict(tag, attributes, self.inside > 0)
+        groups = aside is not None and not self.group and not self.removed and not gone
+        main = tag in MAIN and not gone and not self.removed
+        at = len(self.stack)
+        self.stack.append((tag, gone, groups, main))
+        self.open_at.setdefault(tag, []).append(at)
+        if tag in SCOPE:
+            self.scopes.append(at)
+        if tag in BOXES:
+            self.n_boxes += 1
+            self.boxes.append(self.n_boxes)
+        self.removed += gone
+        self.links += tag == "a"
+        self.headings += tag in HEADINGS
+        if groups:
+            self._flush()
+            self.strict.append(bool(aside))
+            self.group = len(self.strict) - 1
+        if main:
+            if not self.inside:
+                self.n_articles += 1
+                self.article = self.n_articles
+            self.inside += 1
+
+    def _pop(self) -> None:
+        tag, gone, groups, main = self.stack.pop()
+        self.open_at[tag].pop()
+        if tag in SCOPE:
+            self.scopes.pop()
+        if groups:
+            self._flush()
+            self.group = 0
+        if tag in BOXES:
+            self.boxes.pop()
+        self.removed -= gone
+        if gone and not self.removed:
+            if self.hidden and tag not in INLINE:
+                self._add("")
+            self.hidden = False
+        self.links -= tag == "a"
+        self.headings -= tag in HEADINGS
+        if main:
+            self._flush()
+            self.inside -= 1
+            if not self.inside:
+                self.article = 0
+
+    def _close_to(self, at: int) -> None:
+        while len(self.stack) > at:
+            self._pop()
+
+    def _put(self, start: int, end: int) -> None:
+        if self.removed:
+            self.hidden = self.hidden or not self.page[start:end].isspace()
+        else:
+            self.text.append(self.page[start:end])
+            self.linked += (end - start) * (self.links > 0)
+
+    def _tag(self, m: re.Match) -> int:
+        """Handles a tag; where to go on."""
+        tag, attributes = m.group(2).lower(), m.group(3)
         if tag not in INLINE:
-            flush()
+            self._flush()
         if m.group(1):
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    while len(stack) > k:
-                        pop()
-                    break
-            continue
+            if self.open_at.get(tag):
+                self._close_to(self.open_at[tag][-1])
+            return m.end()
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, at)
-            close = page.find(">", end.start()) if end else -1
-            at = n if close < 0 else close + 1
-            continue
+            end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(self.page, m.end())
+            close = self.page.find(">", end.start()) if end else -1
+            return len(self.page) if close < 0 else close + 1
         # A slash that ends an unquoted value doesn't close the tag.
-        if tag in VOID or tag not in SCOPE and (m.group(3) == "/" or m.group(3).endswith((" /", '"/', "'/"))):
-            continue
-        shut = CLOSES.get(tag) or ({"p"} if tag not in INLINE else None)
-        if shut:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] in shut:
-                    while len(stack) > k:
-                        pop()
-                    break
-                if stack[k][0] in SCOPE:
-                    break
-        gone = tag in REMOVED or not inside and tag in REMOVED_OUTSIDE or _removed_by_attributes(tag, m.group(3), inside > 0)
-        stack.append((tag, gone))
-        removed += gone
-        links += tag == "a"
-        if tag in MAIN and not gone:
-            if not inside:
-                add(None, BORDER)
-            inside += 1
-    flush()
-    return lines, within
+        if tag in VOID or tag not in SCOPE and (attributes == "/" or attributes.endswith((" /", '"/', "'/"))):
+            return m.end()
+        for shut in CLOSES.get(tag) or (() if tag in INLINE else ("p",)):
+            at = self.open_at.get(shut)
+            if at and (not self.scopes or at[-1] >= self.scopes[-1]):
+                self._close_to(at[-1])
+        self._push(tag, attributes)
+        return m.end()
+
+    def _run(self) -> None:
+        page, at, n = self.page, 0, len(self.page)
+        while at < n:
+            lt = page.find("<", at)
+            if lt < 0:
+                lt = n
+            if lt > at:
+                self._put(at, lt)
+            if lt == n:
+                break
+            m = TAG.match(page, lt)
+            if m:
+                at = self._tag(m)
+            elif page.startswith("<!--", lt):
+                end = page.find("-->", lt + 4)
+                at = n if end < 0 else end + 3
+            elif page[lt + 1 : lt + 2] in ("/", "!", "?"):
+                end = page.find(">", lt)
+                at = n if end < 0 else end + 1
+            else:
+                self._put(lt, lt + 1)
+                at = lt + 1
+        self._close_to(0)
+        self._flush()
+
+
+def lines_of(page: str) -> list[Line]:
+    """The page's lines, without the groups that stay aside (an empty line each)."""
+    p = _Parser(page)
+    size = [0] * len(p.strict)
+    for x in p.lines:
+        size[x.group] += len(x.text)
+    back = {0} | {g for g in range(1, len(size)) if not p.strict[g] and size[g] > sum(size) - size[g]}
+    if not any(size[g] for g in back) and sum(size):
+        back.add(max(range(len(size)), key=lambda g: size[g]))
+    out, last = [], 0
+    for x in p.lines:
+        if x.group in back:
+            out.append(x)
+        elif x.group != last:
+            x.text = ""
+            out.append(x)
+        last = x.group
+    return out
+
+
+def window_sums(size: list[int]) -> list[int]:
+    """Sums over the windows that end at each line, and at the WINDOW - 1 places after the last."""
+    out, run = [], 0
+    for i in range(len(size) + WINDOW - 1):
+        run += (size[i] if i < len(size) else 0) - (size[i - WINDOW] if i >= WINDOW else 0)
+        out.append(run)
+    return out
+
+
+def threshold(sums: list[int]) -> float:
+    """The least sum of a dense window."""
+    x = sorted(math.log(s) for s in sums if s > 0)
+    total, low, best = sum(x), 0.0, (0.0, 0.0, 0.0)
+    for k in range(1, len(x)):
+        low += x[k - 1]
+        if x[k] > x[k - 1]:
+            a, b = low / k, (total - low) / (len(x) - k)
+            best = max(best, (k * (len(x) - k) * (b - a) ** 2, a, b))
+    _, a, b = best
+    return min(math.exp((a + b) / 2), SURE) if b - a >= math.log(APART) else 1.0
+
+
+def _ends(lines: list[Line], run: list[int], long: Line, whole: set[int]) -> bool:
+    """Whether the short lines of run, before the surge or after the dive at a long line, belong to the text."""
+    sentences = sum(bool(SENTENCE.search(lines[i].text)) for i in run)
+    return len(run) < WINDOW or 2 * sentences >= len(run) or long.box not in whole and all(lines[i].box == long.box for i in run)
 
 
 def main_text(page: str | None) -> str:
     if not page:
         return ""
-    lines, within = lines_of(page)
-    size = [len(x) if x else 0 for x in lines]
-    # The window's sum at each line: the line and those after it. It leaves zero WINDOW - 1 lines before a text and
-    # returns to zero after its last line, so an empty stretch of WINDOW lines ends a region.
-    sums, run = [0] * len(size), 0
-    for i in range(len(size) - 1, -1, -1):
-        run += size[i] - (size[i + WINDOW] if i + WINDOW < len(size) else 0)
-        sums[i] = run
-    regions, start = [], None  # text, text a line, whether within an article, first and last line
-    for i in range(len(sums) + 1):
-        if i < len(sums) and sums[i] > 0:
-            if start is None:
-                start = i
-        elif start is not None:
-            filled = [k for k in range(start, i) if size[k]]
-            total = sum(size[start:i])
-            regions.append((total, total / len(filled), within[filled[0]], start, i))
-            start = None
-    if not regions:
-        return ""
-    best = max(regions, key=lambda r: r[0])
-    kept = [r for r in regions if r is best or r[2] or not best[2] and r[1] >= DENSE * best[1]]
-    return " ".join(x for r in kept for x in lines[r[3] : r[4]] if x)
+    lines = lines_of(page)
+    size = [len(x.text) for x in lines]
+    sums = window_sums(size)
+    least = threshold(sums)
+    dense = [s >= least for s in sums]
+    filled = [x.box for x in lines if x.text]
+    whole = {0} | ({filled[0]} if len(set(filled)) == 1 else set())  # boxes that tell nothing
+    kept: set[int] = set()
+    rest: list[list[int]] = []
+    at = 0
+    while at < len(lines):
+        end = at
+        while end < len(lines) and size[end]:
+            end += 1
+        stretch = range(at, end)
+        at = max(end, at + 1)
+        long = [i for i in stretch if size[i] * WINDOW >= least and any(dense[i : i + WINDOW])]
+        if not long:
+            rest.append(list(stretch))
+            continue
+        kept.update(range(long[0], long[-1] + 1))
+        before, after = list(range(stretch[0], long[0])), list(range(long[-1] + 1, end))
+        while before and lines[before[-1]].heading:
+            kept.add(before.pop())
+        for run, edge in ((before, long[0]), (after, long[-1])):
+            if run and _ends(lines, run, lines[edge], whole):
+                kept.update(run)
+    boxes = {lines[i].box for i in kept} - whole
+    kept.update(i for run in rest for i in run if lines[i].box in boxes)
+    articles = [i for i, x in enumerate(lines) if x.article and x.text]
+    if 2 * sum(size[i] for i in articles) >= sum(size[i] for i in kept.union(articles)):
+        kept = set(articles) or kept
+    return " ".join(lines[i].text for i in sorted(kept))
 
 
 def extract_main_text(pages: DataFrame, html_column: str = "html") -> DataFrame:

@@ -464,6 +464,55 @@ def test_pages_of_several_regions(page, text):
     assert html_text.main_text(page.format(*parts)) == text.format(*parts)
 
 
+TEXT = "This sentence of the main text has enough words to be long, as the sentences of articles are. "
+
+
+@pytest.mark.parametrize("tag", ["p", "div", "li"])
+@pytest.mark.parametrize("n", [4, 20, 300])
+def test_boilerplate_without_names_goes(tag, n):
+    """Blocks that nothing but their length tells from the text, before it and after it; advert blocks inside it."""
+    chrome = "".join(f"<{tag}>Part {k}</{tag}>" for k in range(n))
+    body = [TEXT * (1 + k % 4) for k in range(9)]
+    page = "<h1>Title</h1>" + "".join(f"<p>{b}</p>" + "<div class=ad><p>Buy</p><p>now</p></div>" * (k % 3 == 2) for k, b in enumerate(body)) + "<p>End.</p>"
+    assert html_text.main_text(f"<body>{chrome}{page}{chrome}</body>") == " ".join(["Title", *(b.strip() for b in body), "End."])[: -len(" End.")]
+    assert html_text.main_text(f"<body><div>{chrome}</div><div>{page}</div><div>{chrome}</div></body>") == " ".join(["Title", *(b.strip() for b in body), "End."])
+
+
+@pytest.mark.parametrize("name", ["social history", "related work", "search results", "share", "top"])
+def test_loose_names_dont_empty_an_article(name):
+    assert html_text.main_text(f"<article><h1>T</h1><div class='{name}'><p>{TEXT * 3}</p></div></article>") == f"T {(TEXT * 3).strip()}"
+    assert html_text.main_text(f"<article><p>{TEXT * 3}</p><div class='share'><p>Send it</p></div></article>") == (TEXT * 3).strip()
+    assert html_text.main_text(f"<div class='comment-page'><p>{TEXT}</p></div>") == TEXT.strip()
+
+
+def test_pages_without_their_article_element(spark):
+    """The distribution alone finds what the article element encloses."""
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        assert html_text.main_text(r["html"].replace("<article>", "").replace("</article>", "")) == html_text.main_text(r["html"])
+
+
+def test_window_sums_and_threshold():
+    rng = random.Random(9)
+    for _ in range(50):
+        size = [rng.choice([0, 0, 5, 300]) for _ in range(rng.randint(0, 12))]
+        want = [sum(size[max(0, i - 2) : i + 1]) for i in range(len(size) + 2)]
+        assert html_text.window_sums(size) == want
+    assert html_text.threshold([30, 30, 28]) == 1.0 and 10 < html_text.threshold([10, 12, 9, 200, 220]) < 200 and html_text.threshold([400, 9000, 20000]) == 300
+
+
+@pytest.mark.parametrize("part", ["<a ", "<b>", "</i>", "<a b=\"", "<!", "<p class='a'>", "< ", "<div>", "<a b=", "<table><td>", "&amp", "<a x='"])
+def test_hostile_pages_take_linear_time(part):
+    import time
+
+    def took(n):
+        page, t = "<b>" * (n // 8) + part * (n // len(part)) + "<p>x" * (n // 16), time.perf_counter()
+        html_text.main_text(page)
+        return time.perf_counter() - t
+
+    took(10_000)
+    assert took(1_000_000) < 12 * took(200_000) + 0.5
+
+
 @pytest.mark.parametrize("quote", ["'", '"'])
 def test_pages_with_long_attributes(quote):
     other = "'" if quote == '"' else '"'
