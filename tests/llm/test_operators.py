@@ -382,25 +382,84 @@ def test_base_spans_by_brute_force():
 
 
 def test_guess_costs():
-    weak = ["password", "password123", "qwerty123", "2020-01-02", "aaaaaaaaaa", "abcabcabc", "P@ssw0rd", "12345678", "placeholder"]
+    weak = ["password", "password123", "qwerty123", "2020-01-02", "aaaaaaaaaa", "abcabcabc", "P@ssw0rd", "12345678", "placeholder", "liverpool", "jennifer", "michael1", "monkeymonkey"]
     strong = ["Xk9#pQ!2zLw", "tr0ub4dor&3", "zkqvxjwhgyfp", "9f8e7d6c5b4a"]
     assert max(map(secrets.guess_cost, weak)) < secrets.GUESS_LIMIT < min(map(secrets.guess_cost, strong))
-    assert secrets.guess_cost("zq8!" * 200) > 0
-
-    def brute(v):  # brute force and dictionary words only, all segmentations
-        if not v:
-            return -0.3
-        out = math.inf
-        for k in range(1, len(v) + 1):
-            part = v[:k]
-            cost = sum(map(secrets._alphabet, part))
-            if part in secrets.RANK:
-                cost = min(cost, math.log10(secrets.RANK[part] + 1))
-            out = min(out, 0.3 + cost + brute(v[k:]) if k < len(v) else cost)
-        return out
-
-    for v in ("kxmoonv", "vzlove", "theq"):
-        assert secrets._block_cost(v) == pytest.approx(brute(v))
+
+
+def _plain_cost(v, words):
+    """The least cost over all segmentations into spans of the documented kinds, each judged by itself."""
+    low, n = v.lower(), len(v)
+    grow = lambda ok, i, j: all(ok(k) for k in range(i + 1, j))
+
+    def edge(ok, i, j):  # a part of a maximal run from its start or to its end
+        return grow(ok, i, j) and (i == 0 or not ok(i) or j == n or not ok(j))
+
+    def cost(i, j):
+        s, out = low[i:j], [sum(map(secrets._alphabet, v[i:j]))]
+        if s in words.rank:
+            out.append(math.log10(words.rank[s] + 1) + (secrets.PLACE if v[i:j] != s else 0))
+        if s.translate(secrets.LEET) in words.rank:
+            out.append(math.log10(words.rank[s.translate(secrets.LEET)] + 1) + 2 * secrets.PLACE)
+        m = secrets.DATE.match(v, i)
+        if m and m.end() == j:
+            out.append(math.log10(36525 if j - i > 4 else 120))
+        if j - i >= 3 and edge(lambda k: low[k] == low[k - 1], i, j):
+            out.append(secrets._alphabet(next(v[k] for k in range(i, -1, -1) if k == 0 or low[k - 1] != low[k])) + math.log10(j - i))
+        if j - i >= 3 and edge(lambda k: (low[k - 1], low[k]) in secrets.NEXT, i, j):
+            out.append(secrets.WALK + math.log10(j - i))
+        for w in range(2, secrets.BLOCK + 1):
+            if (j - i) % w == 0 and j - i >= 2 * w and s == s[:w] * ((j - i) // w) and (i == 0 or low[i - 1] != low[i + w - 1]):
+                out.append(_plain_cost(v[i : i + w], words) + math.log10((j - i) // w))
+        return min(out)
+
+    best = [0.0] + [math.inf] * n
+    for j in range(1, n + 1):
+        best[j] = min(best[i] + cost(i, j) + (secrets.PLACE if i else 0) for i in range(j))
+    return best[n]
+
+
+def test_guess_costs_by_plain_code():
+    rng = random.Random(12)
+    words = secrets.Words.of(["thered", "onstly", "ab"])
+    bits = ["password", "Monkey", "l0ve", "2020-01-02", "1999", "aaaa", "AAa", "qwer", "asd", "xyzxyz", "q", "Z", "7", "#", "thered", "hered", "bababa", "İ"]
+    for _ in range(250):
+        v = "".join(rng.choice(bits) for _ in range(rng.randint(1, 6)))
+        if len(v.lower()) == len(v):
+            want = _plain_cost(v, words)
+            assert secrets.guess_cost(v, words) == pytest.approx(want), v
+            for limit in (3.0, secrets.GUESS_LIMIT, 20.0):
+                assert secrets.guess_cost(v, words, limit) == pytest.approx(min(want, limit)), v
+        assert secrets.guess_cost(v, words) >= 0
+
+
+def test_long_values_are_scored_whole():
+    """No length at which a value is cut: long repeats, walks and words stay weak, long random values strong."""
+    for n in (24, 25, 127, 128, 129, 1000, 100_000):
+        assert secrets.guess_cost("a" * n) == pytest.approx(math.log10(26) + math.log10(n))
+        assert n > 1000 or secrets.guess_cost("zq8!" * n) < 5.5 + math.log10(n)
+    assert secrets.guess_cost("qwertyuiop" * 40) < 6
+    rng = random.Random(1)
+    v = "".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(500))
+    assert secrets.guess_cost(v) > 200 and secrets.guess_cost(v, limit=8.0) == 8.0
+
+
+def test_dictionary_of_the_texts(spark):
+    """Frequent words of the texts are cheap, values of credentials never become words."""
+    rows = [(i, f"the quibblefrost stood. password: zkqvxjwhgyfp and passphrase: vexmoorland {'rarelyseen' if i == 3 else ''}") for i in range(50)]
+    df = spark.createDataFrame([*rows, (60, "secret = quibblefrost"), (61, None), (62, "pwd: quibblefrost1 db://x:quibblefrost@h")], "doc_id long, text string")
+    words = secrets.dictionary(df, 100)
+    assert "quibblefrost" in words.rank and not {"zkqvxjwhgyfp", "vexmoorland", "rarelyseen"} & set(words.rank)
+    got = {r["doc_id"]: [tuple(s) for s in r["found"]] for r in secrets.find_secrets(df).collect()}
+    assert [k for k, *_ in got[0]] == ["assign", "guess"] and [k for k, *_ in got[60]] == ["assign"] and got[62] == []
+    assert len(secrets.find_secrets(df, most=0).filter("doc_id = 62").first()["found"]) == 2
+    assert len(secrets.dictionary(df, 2).rank) <= len(secrets.WORDS) + 2
+
+
+@pytest.mark.parametrize("n", [1, 8, 9, 500])
+def test_any_number_of_spaces(n):
+    t = f"pwd:{' ' * n}Xk9#pQ!2zLw and passphrase{' ' * n}is{' ' * n}Xk9#pQ!2zLw"
+    assert [t[a:b] for _, a, b in secrets.spans_of(t)] == ["Xk9#pQ!2zLw"] * 2
 
 
 def test_guess_spans_add_only():
