@@ -6,8 +6,9 @@ contributes its escaped text; any other part contributes a placeholder `<|kind|>
 
 Template of a turn: `<|turn|>` role `<|text|>` content `<|end|>`. Control strings inside role and text get one
 backslash after their first character; a control string that already has backslashes there gets one more, so
-taking one away is the exact inverse. Control strings hold `<` or `[` in the first place only, hence matches
-never overlap and the formatted string splits at unescaped markers without doubt.
+taking one away is the exact inverse. Text parts that stand side by side are joined before they are escaped, so no
+control string comes together from several. Matches never overlap, as no control string begins within another one, and
+the formatted string splits at unescaped markers without doubt.
 
 Defined results: null or unknown role: empty string; null text: empty; null parts: a turn without content; null
 reference: kept as null; null or negative sizes: 0 tokens; unknown kinds: placeholder `<|unknown|>` of 1 token;
@@ -19,8 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The control strings of the template and of common chat templates, by shape.
-CONTROL_REST = r"\|[a-z_]+\|>|/?s>|/?INST\]"
+#: The control strings of the template and of common chat templates, by shape, after their first character.
+CONTROL_REST = r"\|[A-Za-z0-9_]+\|>|/?s>|</?SYS>>|/?(?:start|end)_of_turn>|(?:bos|eos|pad|unk)>|/?[A-Z][A-Z_]*\]"
 ESCAPE_FROM, ESCAPE_TO = rf"([<\[])(\\*)({CONTROL_REST})", r"$1\\$2$3"
 UNESCAPE_FROM, UNESCAPE_TO = rf"([<\[])\\(\\*)({CONTROL_REST})", "$1$2$3"
 TURN, TEXT, END = "<|turn|>", "<|text|>", "<|end|>"
@@ -64,6 +65,39 @@ def _placeholder(p: Column) -> Column:
     return F.when(p["kind"].isin("image", "audio", "document"), F.concat(F.lit("<|"), p["kind"], F.lit("|>"))).otherwise(F.lit("<|unknown|>"))
 
 
+#: Parts of a message that one step of the offsets' sums takes.
+CHUNK = 256
+#: Stands for a part other than text while the texts around it are escaped; NUL characters of the texts stand aside.
+NUL, ASIDE, OTHER = "\0", "\0a", "\0b"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with value computed once per row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def _total(a: Column) -> Column:
+    return F.aggregate(a, F.lit(0), lambda x, y: x + y)
+
+
+def _before(sizes: Column) -> Column:
+    """For each entry the sum of all before it; two levels of sums keep the work near linear."""
+    chunks = F.sequence(F.lit(0), F.floor(F.size(sizes) / CHUNK).cast("int"))
+
+    def places(starts: Column) -> Column:
+        at = lambda k: F.floor(k / CHUNK).cast("int")
+        return F.transform(sizes, lambda _, k: F.get(starts, at(k)) + _total(F.slice(sizes, at(k) * CHUNK + 1, k % CHUNK)))
+
+    sums = F.transform(chunks, lambda c: _total(F.slice(sizes, c * CHUNK + 1, F.lit(CHUNK))))
+    return _let(_let(sums, lambda x: F.transform(x, lambda _, c: _total(F.slice(x, F.lit(1), c)))), places)
+
+
+def _runs(parts: Column, is_text) -> Column:
+    """The escaped texts before, between and after the parts other than text: one more than there are of those."""
+    raw = F.transform(parts, lambda p: F.when(is_text(p), F.replace(F.coalesce(p["text"], F.lit("")), F.lit(NUL), F.lit(ASIDE))).otherwise(F.lit(OTHER)))
+    return F.transform(F.split(escape(F.array_join(raw, "")), r"\x00b", -1), lambda t: F.replace(t, F.lit(ASIDE), F.lit(NUL)))
+
+
 def format_chat(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", parts: str = "parts", loss_role: str = "assistant") -> DataFrame:
     """One row per conversation: conv_id, formatted, loss_spans (start, end: code points of the formatted string that
     count for the loss, one span per turn of loss_role), attachments.
@@ -72,13 +106,12 @@ def format_chat(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
     number of turns."""
     p0 = F.coalesce(F.col(parts), F.array().cast(PARTS))
     is_text = lambda p: F.coalesce(p["kind"], F.lit("")) == "text"
-    body = F.transform(p0, lambda p: F.when(is_text(p), escape(F.coalesce(p["text"], F.lit("")))).otherwise(_placeholder(p)))
     flat = messages.select(
         F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), escape(F.coalesce(F.col(role), F.lit(""))).alias("role"),
-        F.col(role).eqNullSafe(F.lit(loss_role)).alias("in_loss"), body.alias("pieces"), F.filter(p0, lambda p: ~is_text(p)).alias("others"),
-        F.transform(p0, lambda p: ~is_text(p)).alias("is_other"),
+        F.col(role).eqNullSafe(F.lit(loss_role)).alias("in_loss"), _runs(p0, is_text).alias("runs"), F.filter(p0, lambda p: ~is_text(p)).alias("others"),
     )
-    flat = flat.withColumn("content", F.array_join("pieces", ""))
+    holders = F.transform("others", _placeholder)
+    flat = flat.withColumn("content", F.array_join(F.zip_with("runs", F.concat(holders, F.array(F.lit(""))), lambda r, h: F.concat(r, h)), ""))
     flat = flat.withColumn("head", F.concat(F.lit(TURN), F.col("role"), F.lit(TEXT)))
     flat = flat.withColumn("n", F.length("head") + F.length("content") + F.lit(len(END)))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "content")
@@ -89,14 +122,10 @@ def format_chat(messages: DataFrame, conv: str = "conv_id", turn: str = "turn",
         .withColumn("others_before", F.sum(F.size("others")).over(so_far) - F.size("others"))
     )
     start = F.col("upto") - F.col("n") + F.length("head")
-    lens = F.transform("pieces", F.length)
-    at = F.filter(
-        F.transform(
-            F.arrays_zip(F.col("pieces").alias("piece"), F.col("is_other").alias("other")),
-            lambda x, i: F.when(x["other"], start + F.coalesce(F.aggregate(F.slice(lens, F.lit(1), i), F.lit(0), lambda a, b: a + b), F.lit(0))),
-        ),
-        lambda x: x.isNotNull(),
-    )
+    # A part stands after all runs and placeholders before it and the run right before it.
+    run_sizes = F.slice(F.transform("runs", F.length), F.lit(1), F.size("others"))
+    sizes = F.zip_with(run_sizes, F.transform("others", lambda p: F.length(_placeholder(p))), lambda r, h: r + h)
+    at = F.zip_with(_let(sizes, _before), run_sizes, lambda b, r: start + b + r)
     found = F.transform(
         F.arrays_zip(F.col("others").alias("part"), at.alias("at")),
         lambda x, i: F.struct(

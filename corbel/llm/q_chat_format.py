@@ -33,8 +33,8 @@ WITH m AS (
   UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
   UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'
 ), e AS (
-  SELECT *, 23 + length(regexp_replace(role, '([<\[])(\\*)(\|[a-z_]+\|>|/?s>|/?INST\])', '\1#\2\3', 'g'))
-    + length(regexp_replace(text, '([<\[])(\\*)(\|[a-z_]+\|>|/?s>|/?INST\])', '\1#\2\3', 'g')) AS n
+  SELECT *, 23 + length(regexp_replace(role, '([<\[])(\\*)(\|[A-Za-z0-9_]+\|>|/?s>|</?SYS>>|/?(?:start|end)_of_turn>|(?:bos|eos|pad|unk)>|/?[A-Z][A-Z_]*\])', '\1#\2\3', 'g'))
+    + length(regexp_replace(text, '([<\[])(\\*)(\|[A-Za-z0-9_]+\|>|/?s>|</?SYS>>|/?(?:start|end)_of_turn>|(?:bos|eos|pad|unk)>|/?[A-Z][A-Z_]*\])', '\1#\2\3', 'g')) AS n
   FROM m
 ), g AS (
   SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,
