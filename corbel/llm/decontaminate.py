@@ -3,20 +3,22 @@
 Passages. Benchmark items are cut into passages of PASSAGE words at most; documents into windows of WINDOW words, one
 every STRIDE. Words are lower case without outer punctuation.
 
-Latent space. Inverse document frequencies of the benchmark's words are counted over all documents. The benchmark's
-TF-IDF passages A (as many rows as passages, as many columns as words) get a randomised singular value decomposition,
-distributed over their rows: one pass sums A'(A O) for a random O (a range finder with a power step), a second sums the
-Gram matrix of A Q; the eigenvectors of that small matrix give the right singular vectors. The space is that of the
-passages asked for, so rare words that mark them keep their directions.
-
-Search. Each document window with enough weight in rare benchmark words to hold a passage's part is projected; passages whose
-latent cosine is COSINE or more are candidates. Each candidate is confirmed on words: the longest common subsequence of
-the passage and the text around the window. It is a leak if that covers STRONG of the passage, or WEAK of it and the
-answer (its own column, or else the passage's last ANSWER words) is found there too.
-
-The benchmark is taken in blocks, one after the other, so that what is broadcast (vocabulary, vectors) is bounded by
-parameters: ITEMS items at most, and RANK passages at most, so that the space holds every passage whole (a long item goes
-on in the next block). All documents and the whole of their texts are searched, once for each block.
+Latent space. Inverse document frequencies of the benchmark's words are counted over all documents, in one pass for the
+whole benchmark. The benchmark's TF-IDF passages A (as many rows as passages, as many columns as words) get a randomised
+singular value decomposition, distributed over their rows: one pass sums A'(A O) for a random O (a range finder with a
+power step), a second sums the Gram matrix of A Q; the eigenvectors of that small matrix give the right singular vectors.
+The space is that of the passages asked for, so rare words that mark them keep their directions.
+
+Search. Every window of every document is projected; nothing is left out beforehand. Passages whose latent cosine is
+COSINE or more are candidates. Each candidate is confirmed on words: the longest common subsequence of the passage and the
+text around the window. It is a leak if that covers STRONG of the passage, or WEAK of it and the answer (its own column,
+or else the passage's last ANSWER words) is found there too. Projection and cosine are one product with the folded matrix
+(singular vectors times passages): the words that are frequent in a batch by a dense product, all others by sums.
+
+Sizes. The benchmark is taken in blocks of at most RANK passages (a long item goes on in the next block), so that each
+space holds its passages whole. The folded matrices of as many blocks as fit into FOLDED bytes are broadcast together and
+searched in one scan of the documents; a block's matrix has at most RANK * PASSAGE * 5 / 4 words by RANK passages, 15 MB.
+The vocabulary of the whole benchmark (8 bytes a word, KEYS words at once) is broadcast for the frequencies.
 
 Defined results: null or empty texts of documents or items: no leak; items without words: never found; short items
 (fewer than 8 words): all words must be found, in a stretch twice as long at most; several windows of a document with
@@ -31,20 +33,19 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import distinct_words, hash_array, hash_strings, owners, small_batches, split_words, text_chunks
 
 PASSAGE, WINDOW, STRIDE, ANSWER = 48, 64, 32, 5
-COSINE, STRONG, WEAK = 0.35, 0.6, 0.45
+COSINE, STRONG, WEAK = 0.25, 0.6, 0.45
 #: Items of a block, dimensions of the latent space (and so passages of a block) and of the random range beyond them.
 ITEMS, RANK, MORE = 1024, 256, 16
-#: Inverse document frequency from which a word is rare (one document in fifty), and the share of a passage's rare
-#: weight that a window needs.
-RARE, LEAST = 3.9, 0.25
-#: Windows that are compared with all passages at once.
-SEARCHED = 4096
+#: Bytes of folded matrices that are broadcast at once, and words whose frequencies are counted at once.
+FOLDED, KEYS = 128 << 20, 4 << 20
+#: Windows that are compared with all passages at once, and words of them that go through the dense product.
+SEARCHED, DENSE = 2048, 384
 OUTER = ".,;:!?\"'()[]{}*#$%&|<>~-_=+/\\"
 SPLIT_ROWS = 256
 
@@ -79,30 +80,24 @@ def common_length(a: list[str], b: list[str]) -> int:
 class Space:
     keys: np.ndarray  # sorted hashes of the vocabulary
     idf: np.ndarray  # in the order of keys
-    basis: np.ndarray  # words x rank
-    vectors: np.ndarray  # passages x rank
-    norms: np.ndarray
+    folded: np.ndarray  # words x passages: latent products, by passages' latent norms
     items: np.ndarray  # passage -> item_id
     passages: list[list[str]]
     answers: list[list[str]]
 
-    def rare_weights(self) -> tuple[np.ndarray, float]:
-        """Weights of rare words (0 for others), and how much of them a window needs to be searched: a quarter of what
-        the poorest passage has. If a passage has less than half its weight in rare words, every window is searched."""
-        rare = np.where(self.idf >= RARE, self.idf**2, 0.0)
-        ids = [np.unique(np.searchsorted(self.keys, hash_strings(p))) for p in self.passages]
-        own = [(rare[i].sum(), (self.idf[i] ** 2).sum()) for i in ids]
-        return rare, LEAST * min((r if 2 * r >= w else 0.0 for r, w in own), default=0.0)
+
+def _numbers(hashes: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """For each hash its number in keys, or -1."""
+    if not len(keys):
+        return np.full(len(hashes), -1)
+    i = np.minimum(np.searchsorted(keys, hashes), len(keys) - 1)
+    return np.where((keys[i] == hashes) & (hashes != 0), i, -1)
 
 
 def _vocabulary(flat: pa.Array, keys: np.ndarray) -> np.ndarray:
     """For each word its number in keys, or -1."""
     forms, at = _forms(flat)
-    if not len(at):
-        return np.empty(0, np.int64)
-    h = hash_array(forms)
-    i = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return np.where((keys[i] == h) & (h != 0), i, -1)[at]
+    return _numbers(hash_array(forms), keys)[at]
 
 
 def document_frequency(docs: DataFrame, keys: np.ndarray) -> tuple[np.ndarray, int]:
@@ -202,22 +197,54 @@ def blocks(asked, items: int, most: int):
     yield block
 
 
-def latent_space(docs: DataFrame, block: list, rank: int = RANK) -> Space | None:
-    """block: passages (item_id, words, answer's words), rank of them at most, or the space doesn't hold them all."""
-    if not block:
-        return None
+def vocabulary(block: list) -> np.ndarray:
+    return np.unique(hash_strings(sorted({w for _, p, _ in block for w in p})))
+
+
+def latent_space(spark: SparkSession, block: list, keys: np.ndarray, idf: np.ndarray, rank: int = RANK) -> Space:
+    """block: passages (item_id, words, answer's words), rank of them at most, or the space doesn't hold them all; idf
+    of its vocabulary keys."""
     items, passages, answers = (list(x) for x in zip(*block, strict=True))
-    vocabulary = sorted({w for p in passages for w in p})
-    keys = np.unique(hash_strings(vocabulary))
-    df, total = document_frequency(docs, keys)
-    idf = np.log((total + 1) / (df + 1)) + 0.01
-    ids = [np.searchsorted(keys, hash_strings(p)) for p in passages]
-    rows = [_tf_idf(i, idf) for i in ids]
-    spark = docs.sparkSession
+    rows = [_tf_idf(np.searchsorted(keys, hash_strings(p)), idf) for p in passages]
     table = spark.createDataFrame([(k.tolist(), w.tolist()) for k, w in rows], "ids array<int>, weights array<double>")
     basis = singular_vectors(table, len(keys), rank)
     vectors = np.stack([w @ basis[k] for k, w in rows])
-    return Space(keys, idf, basis.astype(np.float32), vectors.astype(np.float32), np.maximum(np.linalg.norm(vectors, axis=1), 1e-12), np.array(items), passages, answers)
+    vectors /= np.maximum(np.linalg.norm(vectors, axis=1), 1e-12)[:, None]
+    return Space(keys, idf, (basis @ vectors.T).astype(np.float32), np.array(items), passages, answers)
+
+
+def frequencies(docs: DataFrame, keys: np.ndarray) -> np.ndarray:
+    """Inverse document frequencies of the words with the sorted hashes keys, KEYS of them a pass."""
+    out = [np.empty(0)]
+    for s in range(0, len(keys), KEYS):
+        df, total = document_frequency(docs, keys[s : s + KEYS])
+        out.append(np.log((total + 1) / (df + 1)) + 0.01)
+    return np.concatenate(out)
+
+
+def cosines(ids: np.ndarray, start: np.ndarray, end: np.ndarray, s: Space) -> np.ndarray:
+    """Latent cosines of the windows [start, end) of words' numbers (-1: not in the vocabulary) with all passages."""
+    size = end - start
+    own = np.repeat(np.arange(len(start)), size)
+    words = ids[np.arange(len(own)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(start, size)]
+    own, words = own[words >= 0], words[words >= 0]
+    pair, tf = np.unique(own * len(s.keys) + words, return_counts=True)
+    own, words = pair // len(s.keys), pair % len(s.keys)
+    w = ((1 + np.log(tf)) * s.idf[words]).astype(np.float32)
+    norm = np.sqrt(np.bincount(own, w.astype(float) ** 2, len(start)))
+    used = np.bincount(words, minlength=len(s.keys))
+    top = np.argsort(-used, kind="stable")[:DENSE]
+    place = np.full(len(s.keys), -1)
+    place[top] = np.arange(len(top))
+    often = place[words] >= 0
+    x = np.zeros((len(start), len(top)), np.float32)
+    x[own[often], place[words[often]]] = w[often]
+    out = x @ s.folded[top]
+    own, words, w = own[~often], words[~often], w[~often]
+    if len(own):
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        out[own[first]] += np.add.reduceat(s.folded[words] * w[:, None], first, axis=0)
+    return out / np.maximum(norm, 1e-12)[:, None]
 
 
 def _confirm(words: list[str], start: int, passage: list[str], answer: list[str]) -> tuple[int, bool]:
@@ -241,38 +268,30 @@ def is_leak(common: int, n: int, answered: bool) -> bool:
 
 def _search(shared):
     def run(batches):
-        s: Space = shared.value
-        rare, least = s.rare_weights()
-        weight = np.append(rare, 0.0)
         for batch in batches:
             for part in text_chunks(batch, "text"):
                 flat, offsets = split_words(part.column("text"))
-                ids = _vocabulary(flat, s.keys)
-                sums = np.concatenate([[0.0], np.cumsum(weight[ids])])
+                forms, at = _forms(flat)
+                hashes = hash_array(forms)
                 n = np.diff(offsets)
                 count = np.where(n > 0, np.maximum(1, -(-(n - WINDOW) // STRIDE) + 1), 0)
                 own = np.repeat(np.arange(len(n)), count)
                 first = np.concatenate([[0], np.cumsum(count)])[:-1]
                 start = offsets[own] + (np.arange(len(own)) - first[own]) * STRIDE
                 end = np.minimum(start + WINDOW, offsets[own + 1]) if len(own) else start
-                hot = np.flatnonzero(sums[end] - sums[start] >= least)
                 doc, found = part.column("doc_id").to_numpy(zero_copy_only=False), []
                 cached: tuple[int, list[str]] = (-1, [])
-                for some in (hot[x : x + SEARCHED] for x in range(0, len(hot), SEARCHED)):
-                    latent, norm = np.zeros((len(some), s.basis.shape[1]), np.float32), np.ones(len(some))
-                    for x, h in enumerate(some):
-                        k = ids[start[h] : end[h]]
-                        k, w = _tf_idf(k[k >= 0], s.idf)
-                        if len(k):
-                            latent[x], norm[x] = w.astype(np.float32) @ s.basis[k], max(np.sqrt(w @ w), 1e-12)
-                    cos = (latent @ s.vectors.T) / (norm[:, None] * s.norms[None, :])
-                    for x, p in zip(*np.nonzero(cos >= COSINE), strict=True):
-                        a, i = int(start[some[x]]), int(own[some[x]])
-                        if cached[0] != i:
-                            cached = (i, pc.utf8_trim(pc.utf8_lower(flat.slice(int(offsets[i]), int(n[i]))), characters=OUTER).to_pylist())
-                        common, answered = _confirm(cached[1], a - int(offsets[i]), s.passages[p], s.answers[p])
-                        if is_leak(common, len(s.passages[p]), answered):
-                            found.append((int(doc[i]), int(s.items[p]), common, len(s.passages[p]), answered, float(cos[x, p])))
+                for s in shared.value:
+                    ids = _numbers(hashes, s.keys)[at]
+                    for some in range(0, len(start), SEARCHED):
+                        cos = cosines(ids, start[some : some + SEARCHED], end[some : some + SEARCHED], s)
+                        for x, p in zip(*np.nonzero(cos >= COSINE), strict=True):
+                            a, i = int(start[some + x]), int(own[some + x])
+                            if cached[0] != i:
+                                cached = (i, forms.take(pa.array(at[offsets[i] : offsets[i + 1]])).to_pylist())
+                            common, answered = _confirm(cached[1], a - int(offsets[i]), s.passages[p], s.answers[p])
+                            if is_leak(common, len(s.passages[p]), answered):
+                                found.append((int(doc[i]), int(s.items[p]), common, len(s.passages[p]), answered, float(cos[x, p])))
                 cols = list(zip(*found, strict=True)) if found else [[]] * 6
                 types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "item_id", "common", "passage", "answered", "cosine"])
@@ -280,18 +299,34 @@ def _search(shared):
     return run
 
 
+def scans(spark: SparkSession, every: list, keys: np.ndarray, idf: np.ndarray, rank: int):
+    """Lists of spaces whose folded matrices fit into FOLDED bytes together (or one space alone)."""
+    held, size = [], 0
+    for block in every:
+        own = vocabulary(block)
+        space = latent_space(spark, block, own, idf[np.searchsorted(keys, own)], rank)
+        if held and size + space.folded.nbytes > FOLDED:
+            yield held
+            held, size = [], 0
+        held.append(space)
+        size += space.folded.nbytes
+    if held:
+        yield held
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None, items: int = ITEMS, rank: int = RANK) -> DataFrame:
     """(doc_id, item_id, common, passage, answered, cosine): one row for each document and item that it holds."""
     spark = docs.sparkSession
     small_batches(spark)
     docs = docs.select("doc_id", "text").filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    asked = benchmark.select("item_id", "text", (F.col(answer) if answer else F.lit(None).cast("string")).alias("answer")).filter("item_id IS NOT NULL").orderBy("item_id", "text")
+    asked = benchmark.select(F.col("item_id").cast("long"), "text", (F.col(answer) if answer else F.lit(None).cast("string")).alias("answer")).filter("item_id IS NOT NULL").orderBy("item_id", "text", "answer")
     schema = "doc_id long, item_id long, common long, passage long, answered boolean, cosine double"
     out = spark.createDataFrame([], schema)
-    for block in blocks(asked.toLocalIterator(), items, rank):
-        space = latent_space(docs, block, rank)
-        if space is not None:
-            out = out.unionByName(docs.mapInArrow(_search(spark.sparkContext.broadcast(space)), schema))
+    every = [b for b in blocks(asked.toLocalIterator(), items, rank) if b]
+    keys = np.unique(np.concatenate([np.empty(0, np.uint64), *map(vocabulary, every)]))
+    idf = frequencies(docs, keys)
+    for spaces in scans(spark, every, keys, idf, rank):
+        out = out.unionByName(docs.mapInArrow(_search(spark.sparkContext.broadcast(spaces)), schema))
     best = F.max_by(F.struct("common", "passage", "answered", "cosine"), F.struct(F.col("common") / F.col("passage"), "common", "answered", "cosine")).alias("b")
     return out.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "b.*")
 

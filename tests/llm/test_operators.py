@@ -169,6 +169,60 @@ def test_leaks_and_paraphrases(spark, docs):
     assert blocks == exact
 
 
+@pytest.mark.parametrize("lost", ["random", "rarest"])
+def test_recall_against_the_exhaustive_search(spark, docs, lost):
+    """Paraphrases that lose a third of their words, at random or the rarest ones, against every window and passage."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    rng, items = random.Random(22), [(r["item_id"], r["text"]) for r in bench.collect()]
+    df = collections.Counter(w for r in docs.collect() for w in set(decontaminate.words_of(r["text"])))
+    body, rows = [r["text"].split() for r in docs.orderBy("doc_id").limit(30).collect()], []
+    for k, (_, text) in enumerate(items):
+        words = text.split()
+        key = (lambda i: rng.random()) if lost == "random" else (lambda i, words=words: df["".join(decontaminate.words_of(words[i]))])
+        gone = set(sorted(range(len(words)), key=key)[: len(words) // 3])
+        fill = rng.choice(body)
+        at = rng.randint(0, len(fill))
+        rows.append((10_000 + k, " ".join([*fill[:at], *(w for i, w in enumerate(words) if i not in gone), *fill[at:]])))
+    more = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs.select("doc_id", "text").unionByName(more), bench).collect() if r["doc_id"] >= 10_000}
+    passages, want = next(decontaminate.blocks([(*r, None) for r in items], 1024, 256)), set()
+    for i, t in rows:
+        words = decontaminate.words_of(t)
+        for start in range(0, max(1, len(words) - decontaminate.WINDOW + decontaminate.STRIDE), decontaminate.STRIDE):
+            for item, p, answer in passages:
+                if (i, item) not in want:
+                    common, answered = decontaminate._confirm(words, start, p, answer)
+                    if decontaminate.is_leak(common, len(p), answered):
+                        want.add((i, item))
+    assert got <= want and len(want) >= 0.9 * len(items) and len(got) >= 0.95 * len(want)
+    print(lost, len(got), len(want), len(items))
+
+
+def test_cosines_are_those_of_the_latent_space(spark, docs):
+    """The folded product against plain projection of each window on the singular vectors."""
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    block = next(decontaminate.blocks(((r["item_id"], r["text"], None) for r in bench.collect()), 1024, 256))
+    keys = decontaminate.vocabulary(block)
+    idf = decontaminate.frequencies(docs, keys)
+    space = decontaminate.latent_space(spark, block, keys, idf)
+    rows = [decontaminate._tf_idf(np.searchsorted(keys, hash_strings(p)), idf) for _, p, _ in block]
+    dense = np.zeros((len(rows), len(keys)))
+    for i, (k, w) in enumerate(rows):
+        dense[i, k] = w
+    v = np.linalg.svd(dense, full_matrices=False)[2].T
+    rng, ids = random.Random(4), np.array([random.Random(i).randrange(-1, len(keys)) for i in range(500)])
+    start = np.array([rng.randrange(450) for _ in range(40)])
+    end = start + np.array([rng.randrange(0, 50) for _ in range(40)])
+    got = decontaminate.cosines(ids, start, end, space)
+    for a, b, c in zip(start, end, got, strict=True):
+        x = np.zeros(len(keys))
+        for k, n in collections.Counter(i for i in ids[a:b].tolist() if i >= 0).items():
+            x[k] = (1 + math.log(n)) * idf[k]
+        p = dense @ v
+        want = (p @ (x @ v)) / np.maximum(np.linalg.norm(p, axis=1) * max(np.linalg.norm(x), 1e-12), 1e-12)
+        assert np.allclose(c, want, atol=1e-3)
+
+
 def test_leaks_of_many_items(spark, docs):
     """Every exact copy is found however many items and passages there are."""
     rng = random.Random(5)
