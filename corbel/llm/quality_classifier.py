@@ -5,11 +5,14 @@ scales. Each class has a mean and a covariance, shrunk towards the diagonal of t
 the identity. The Cholesky factors are made once on the driver (a few hundred numbers) and sent to the executors; the
 score is the logistic of the Mahalanobis log-density difference and the prior's log-odds.
 
-Statistics are computed once per row and settled; the fit sums moments over all labelled rows (equal vectors of one
-label count once, so a group of copies doesn't set a class's shape) and the scores come from the same settled table.
-
-Defined results: null or empty text: the vector of no words; null labels: not used; a class without rows, or no labels
-at all: every score is 0.5; repeated rows: scored each; empty table: no rows; other columns are not carried.
+Statistics are computed once per row and settled; the fit sums moments over all labelled rows, and the scores come from
+the same settled table. Moments count vectors of one label that are equal to `digits` decimals once (the parameter's
+default is DIGITS; None counts every row), so that a group of copies doesn't set a class's shape: each such vector is
+there by its mean. The prior counts every labelled row.
+
+Defined results: null or empty text: the vector of no words; null labels: not used; several labels of one doc_id: the
+least; a class without rows, or no labels at all: every score is 0.5; repeated rows: scored each; empty table: no rows;
+other columns are not carried.
 """
 
 from __future__ import annotations
@@ -25,8 +28,9 @@ from pyspark.sql import functions as F
 from .common import distinct_words, mix, owners, settle, small_batches, split_words, text_chunks
 
 NAMES = ["length", "word_length", "variety", "symbols", "upper", "shouts", "digits", "line_length", "stops", "echoes", "bars", "repeats"]
-#: Shares of the pooled diagonal and of the identity in each class's covariance; greatest absolute log-density difference.
-SHRINK, RIDGE, LIMIT = 0.1, 1e-3, 30.0
+#: Shares of the pooled diagonal and of the identity in each class's covariance; decimals to which copies' vectors agree;
+#: the log-odds beyond which the logistic function overflows.
+SHRINK, RIDGE, DIGITS, LIMIT = 0.1, 1e-3, 3, 700.0
 
 
 def _byte_counts(texts: pa.Array, classes: list[bytes]) -> np.ndarray:
@@ -108,18 +112,20 @@ class Model:
         return np.clip(dens[1] - dens[0] + self.prior, -LIMIT, LIMIT)
 
 
-def fit(stats: DataFrame, labels: DataFrame, use: Column, label: str = "quality", shrink: float = SHRINK) -> Model | None:
-    known = labels.filter(use & F.col(label).isin(0, 1)).select("doc_id", F.col(label).cast("int").alias("y")).dropDuplicates(["doc_id"])
-    rows = stats.join(known, "doc_id").select("y", *NAMES).groupBy("y", *[F.round(c, 3).alias(f"_{c}") for c in NAMES]).agg(*[F.first(c).alias(c) for c in NAMES])
+def fit(stats: DataFrame, labels: DataFrame, use: Column, label: str = "quality", shrink: float = SHRINK, digits: int | None = DIGITS) -> Model | None:
+    known = labels.filter(use & F.col(label).isin(0, 1)).groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y"))
+    rows = stats.join(known, "doc_id").select("y", *NAMES, F.lit(1).alias("seen"))
+    if digits is not None:
+        rows = rows.groupBy("y", *[F.round(c, digits).alias(f"_{c}") for c in NAMES]).agg(*[F.avg(c).alias(c) for c in NAMES], F.sum("seen").alias("seen"))
     d = len(NAMES)
     pairs = [(i, j) for i in range(d) for j in range(i, d)]
-    sums = rows.groupBy("y").agg(F.count("*").alias("n"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(NAMES)], *[F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"p{i}_{j}") for i, j in pairs]).collect()
+    sums = rows.groupBy("y").agg(F.count("*").alias("n"), F.sum("seen").alias("seen"), *[F.sum(c).alias(f"s{i}") for i, c in enumerate(NAMES)], *[F.sum(F.col(NAMES[i]) * F.col(NAMES[j])).alias(f"p{i}_{j}") for i, j in pairs]).collect()
     got = {r["y"]: r for r in sums}
     if set(got) != {0, 1}:
         return None
-    n, means, covs = np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
+    n, seen, means, covs = np.zeros(2), np.zeros(2), np.zeros((2, d)), np.zeros((2, d, d))
     for y, r in got.items():
-        n[y] = r["n"]
+        n[y], seen[y] = r["n"], r["seen"]
         means[y] = [r[f"s{i}"] / n[y] for i in range(d)]
         for i, j in pairs:
             covs[y, i, j] = covs[y, j, i] = r[f"p{i}_{j}"] / n[y] - means[y, i] * means[y, j]
@@ -129,13 +135,13 @@ def fit(stats: DataFrame, labels: DataFrame, use: Column, label: str = "quality"
         a = shrink + (1 - shrink) * d / (d + n[y])  # few rows: more of the pooled diagonal
         low = np.linalg.cholesky((1 - a) * covs[y] + a * pooled + RIDGE * np.eye(d))
         whiten.append(np.linalg.inv(low)), dets.append(2 * np.log(low.diagonal()).sum())
-    return Model(means, np.array(whiten), np.array(dets), float(np.log(n[1] / n[0])))
+    return Model(means, np.array(whiten), np.array(dets), float(np.log(seen[1] / seen[0])))
 
 
-def quality(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality", shrink: float = SHRINK) -> DataFrame:
+def quality(docs: DataFrame, labels: DataFrame, use: Column, label: str = "quality", shrink: float = SHRINK, digits: int | None = DIGITS) -> DataFrame:
     """doc_id, score (0 to 1), log_odds of every row; learns from labels where use holds."""
     stats = document_statistics(docs)
-    shared = docs.sparkSession.sparkContext.broadcast(fit(stats, labels, use, label, shrink))
+    shared = docs.sparkSession.sparkContext.broadcast(fit(stats, labels, use, label, shrink, digits))
 
     def run(batches):
         m = shared.value

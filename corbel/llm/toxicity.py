@@ -1,24 +1,26 @@
 """Toxicity by maximum-scoring segments.
 
-Training. Words (lower case, outer punctuation off) and their beginnings of 4 and 6 letters are counted by document in
-toxic and in other labelled texts. A form whose log-odds with a Dirichlet prior are significant weighs their lower
-bound less a margin; words without a positive weight of their own fall back on their beginnings', and all others cost
-a small constant, so that a random text's expected score is negative.
+Training. Words (lower case, outer punctuation off) and their beginnings of 4 and 6 letters are counted in toxic and in
+other labelled texts, once in each text that has them. The log-odds of having a form have a Dirichlet prior: its two
+parameters (has, lacks) are PRIOR times the background counts, those in all labelled texts, and SMOOTH each. Forms whose
+difference of log-odds between both classes is Z standard errors or more weigh its lower bound less a margin; words
+without a positive weight of their own fall back on their beginnings', and all others cost a small constant, so that a
+random text's expected score is negative.
 
 Scan. All maximal-scoring segments of a text are found in linear time (Ruzzo and Tompa 1999): tokens between two
 positive ones only add their number times the constant, so the scan visits positive tokens alone.
 
 Calibration. The best segment scores of clean texts, from labelled rows that the weights did not see (a third is
-left out for this, then the weights are taken again from all), give a Gumbel distribution whose place moves with the logarithm of the text's length. A segment's significance is its tail
-probability there; the evidence of a text is the sum of -ln p over its significant segments, and a logistic curve
-fitted to the same rows turns it into the score.
+left out for this, then the weights are taken again from all), give a Gumbel distribution whose place moves with the
+logarithm of the text's length. A segment's significance is its tail probability there; the evidence of a text is the sum of -ln p over its significant segments, and a logistic curve fitted to
+the same rows turns it into the score. Evidence has no upper bound; where the score is 1 to the last bit, it still ranks texts.
 
-The fit uses at most train_rows labelled rows (the first in a seeded order), near copies among them counted once.
-Scoring covers every row and the whole of its text.
+The fit uses at most train_rows labelled rows (the first in a seeded order), near copies among them counted once, by
+their least doc_id. Scoring covers every row and the whole of its text.
 
 Defined results: null or empty text: no segments, the score of no evidence; repeated rows: scored each; null labels:
-not used; no labels at all or one class only: no weights, every score is that of no evidence; empty table: no rows;
-other columns are not carried.
+not used; several labels of one doc_id: toxic if any says so; no labels at all or one class only: no weights, every
+score is that of no evidence; empty table: no rows; other columns are not carried (drop_toxic keeps them).
 """
 
 from __future__ import annotations
@@ -36,8 +38,8 @@ from .common import distinct_words, hash_array, hash_words, mix, owners, settle,
 TRAIN_ROWS = 40_000
 PREFIXES = (4, 6)
 #: A form counts from this many standard errors of its log-odds on, and scores what is above MARGIN one error lower;
-#: count added to each class; cost of any other word; p below which a segment counts.
-Z, MARGIN, PRIOR, DRIFT, SIGNIFICANT = 2.4, 2.0, 0.5, 0.05, 0.05
+#: prior parameter by background count, and of every form; cost of any other word; p below which a segment counts.
+Z, MARGIN, PRIOR, SMOOTH, DRIFT, SIGNIFICANT = 2.4, 2.0, 0.01, 0.5, 0.05, 0.05
 #: Most that a toxic row weighs in the logistic fit, where toxic rows are rarer than others.
 RARE_WEIGHT = 3.0
 OUTER = ".,;:!?\"'()[]{}*#$%&|<>~-_=+/\\"
@@ -158,7 +160,7 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float,
 
 
 def _counts(batches):
-    """Document counts of forms: (kind 0 word or 1 beginning, key, toxic and other documents; then those not left out)."""
+    """Counts of forms, once a text: (kind 0 word or 1 beginning, key, toxic and other ones; then those not left out)."""
     for batch in batches:
         for part in text_chunks(batch, "text"):
             flat, offsets = split_words(part.column("text"))
@@ -170,8 +172,8 @@ def _counts(batches):
             own, cols = owners(offsets), []
             for kind, h in enumerate(hashes):
                 k, code = np.unique(h, return_inverse=True)
-                pairs = np.unique(own * len(k) + code[at])
-                d, use = pairs // len(k), k != 0
+                pairs, use = np.unique(own * len(k) + code[at]), k != 0
+                d = pairs // len(k)
                 sums = [np.bincount(pairs % len(k), x[d], len(k)).astype(np.int64)[use] for x in (toxic, 1 - toxic, toxic * seen, (1 - toxic) * seen)]
                 cols.append([np.full(use.sum(), min(kind, 1), np.int32), k[use].view(np.int64), *sums])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*cols, strict=True)], ["kind", "key", "n1", "n0", "s1", "s0"])
@@ -197,32 +199,42 @@ def _sketch(batches):
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, use: Column, rows: int) -> DataFrame:
     """(doc_id, text, label) of at most rows labelled rows, the first in the order of a hash; rows bounds what is broadcast."""
-    some = labels.filter(use & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias(label)).dropDuplicates(["doc_id"])
+    some = labels.filter(use & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col(label).cast("int")).alias(label))
     some = some.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id").limit(rows)
     return docs.select("doc_id", "text").join(F.broadcast(some), "doc_id")
 
 
+def log_odds(one: Column, zero: Column, total_one: float, total_zero: float) -> tuple[Column, Column]:
+    """Difference of a form's log-odds in both classes under the Dirichlet prior, and its standard error."""
+    has = PRIOR * (one + zero) + SMOOTH
+    lacks = PRIOR * (F.lit(total_one + total_zero) - one - zero) + SMOOTH
+    odds = lambda c, total: F.log((c + has) / (F.lit(total) - c + lacks))
+    return odds(one, total_one) - odds(zero, total_zero), F.sqrt(1 / (one + has) + 1 / (zero + has))
+
+
 def fit(docs: DataFrame, labels: DataFrame, use: Column, train_rows: int = TRAIN_ROWS) -> Model:
     """Learns from labels (doc_id, toxic) where use holds."""
     sample = settle(labelled_sample(docs, labels, "toxic", use, train_rows), "tox-sample")
     ids = sample.mapInArrow(_sketch, "doc_id long, toxic int, k1 long, k2 long, k3 long")
     for k in ("k1", "k2", "k3"):
-        ids = ids.dropDuplicates([k, "toxic"])
-    ids = ids.select("doc_id", (F.pmod(F.crc32(F.concat(F.lit("check"), F.col("doc_id").cast("string"))), F.lit(3)) == 0).alias("check"))
-    sample = sample.join(F.broadcast(ids), "doc_id")  # train_rows at most
+        ids = ids.groupBy(k, "toxic").agg(F.min(F.struct("doc_id", *(x for x in ("k1", "k2", "k3") if x > k))).alias("r")).select("toxic", "r.*")
+    ids = ids.select("doc_id", (F.pmod(F.crc32(F.concat(F.lit("check"), F.col("doc_id").cast("string"))), F.lit(3)) == 0).alias("check")).distinct()
+    sample = settle(sample.join(F.broadcast(settle(ids, "tox-ids")), "doc_id"), "tox-rows")  # train_rows at most
     schema = "kind int, key long, " + ", ".join(f"{c} long" for c in ("n1", "n0", "s1", "s0"))
-    counts = sample.mapInArrow(_counts, schema).groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in ("n1", "n0", "s1", "s0")])
+    names = ("n1", "n0", "s1", "s0")
+    counts = settle(sample.mapInArrow(_counts, schema).groupBy("kind", "key").agg(*[F.sum(c).alias(c) for c in names]), "tox-counts")
     toxic, seen = F.col("toxic"), F.when(F.col("check"), 0).otherwise(1)
-    size = sample.agg(F.sum(toxic).alias("n1"), F.sum(1 - toxic).alias("n0"), F.sum(toxic * seen).alias("s1"), F.sum((1 - toxic) * seen).alias("s0")).first()
+    texts = (toxic, 1 - toxic, toxic * seen, (1 - toxic) * seen)
+    size = sample.agg(*[F.coalesce(F.sum(x), F.lit(0)).cast("double").alias(c) for c, x in zip(names, texts, strict=True)]).first()
     none = np.empty(0)
     empty = Model(none.astype(np.uint64), none, none.astype(np.uint64), none)
     if not all(size):
         return empty
 
     def weight(one: str, zero: str) -> Column:
-        odds = lambda c: F.log((F.col(c) + PRIOR) / (F.lit(float(size[c])) + PRIOR - F.least(F.col(c), F.lit(size[c]))))
-        delta, error = odds(one) - odds(zero), F.sqrt(1 / (F.col(one) + PRIOR) + 1 / (F.col(zero) + PRIOR))
-        return F.when(delta >= Z * error, F.greatest(delta - error - MARGIN, F.lit(0.0))).otherwise(0.0)
+        delta, error = log_odds(F.col(one), F.col(zero), size[one], size[zero])
+        found = (F.col(one) > 0) & (delta >= Z * error)
+        return F.when(found, F.greatest(delta - error - MARGIN, F.lit(0.0))).otherwise(0.0)
 
     # Only forms with a positive weight leave the executors; the sample's size bounds them.
     got = counts.withColumn("w", weight("n1", "n0")).withColumn("v", weight("s1", "s0")).filter("w > 0 OR v > 0").select("kind", "key", "w", "v").toPandas()
@@ -261,15 +273,21 @@ def _calibrate(sample: DataFrame, model: Model) -> Model:
     y = np.array([r["toxic"] for r in rows], float)
     if not y.any():
         return model
-    x = np.array([min(evidence(r["n"], [(0, 0, s) for s in r["scores"]], model)[0], 50.0) for r in rows])
+    x = np.array([evidence(r["n"], [(0, 0, s) for s in r["scores"]], model)[0] for r in rows])
     return Model(*parts, model.place, model.spread, model.log_length, *_logistic(x, y))
 
 
-SCHEMA = "doc_id long, score double, n_words long, passages array<struct<first:int,last:int,score:double,p:double>>"
+SCHEMA = "doc_id long, score double, evidence double, n_words long, passages array<struct<first:int,last:int,score:double,p:double>>"
+
+
+def judge(found: list[float], model: Model) -> np.ndarray:
+    """Scores (0 to 1) of texts by their evidence."""
+    with np.errstate(over="ignore"):
+        return 1 / (1 + np.exp(-(model.bias + model.slope * np.array(found, float))))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, score (0 to 1), n_words, passages (significant segments, as word numbers) of every row."""
+    """doc_id, score (0 to 1), evidence, n_words, passages (significant segments, as word numbers) of every row."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     passage = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("score", pa.float64()), ("p", pa.float64())]))
@@ -280,10 +298,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             for part in text_chunks(batch, "text"):
                 n, segs = _segments(part.column("text"), m)
                 got = [evidence(int(k), s, m) for k, s in zip(n, segs, strict=True)]
-                x = np.minimum([e for e, _ in got], 50.0)
-                y = 1 / (1 + np.exp(-np.clip(m.bias + m.slope * x, -30, 30)))
                 said = pa.array([[{"first": a, "last": b, "score": s, "p": p} for a, b, s, p in k] for _, k in got], passage)
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(y), pa.array(n.astype(np.int64)), said], ["doc_id", "score", "n_words", "passages"])
+                found = [e for e, _ in got]
+                cols = [part.column("doc_id"), pa.array(judge(found, m)), pa.array(found, pa.float64()), pa.array(n.astype(np.int64)), said]
+                yield pa.RecordBatch.from_arrays(cols, ["doc_id", "score", "evidence", "n_words", "passages"])
 
     return docs.select("doc_id", "text").mapInArrow(run, SCHEMA)
 
@@ -303,7 +321,6 @@ def drop_toxic(docs: DataFrame, labels: DataFrame, use: Column, threshold: float
         for batch in batches:
             for part in text_chunks(batch, "text"):
                 n, segs = _segments(part.column("text"), m)
-                x = np.array([min(evidence(int(k), s, m)[0], 50.0) for k, s in zip(n, segs, strict=True)])
-                yield part.filter(pa.array(1 / (1 + np.exp(-np.clip(m.bias + m.slope * x, -30, 30))) < threshold))
+                yield part.filter(pa.array(judge([evidence(int(k), s, m)[0] for k, s in zip(n, segs, strict=True)], m) < threshold))
 
     return docs.mapInArrow(run, docs.schema)

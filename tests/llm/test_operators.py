@@ -362,6 +362,49 @@ def test_toxicity_held_out(spark):
     assert n[1, 1] / (n[1, 1] + n.get((1, 0), 0)) > 0.85 and n.get((0, 1), 0) / n[0, 0] < 0.01
 
 
+def test_toxicity_weights_by_plain_code(spark):
+    """Every word's weight from its log-odds under the Dirichlet prior, and the result's independence of the rows' order."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    m = toxicity.fit(docs, labels, F.lit(True))
+    again = toxicity.fit(docs.repartition(7, "n_chars"), labels.orderBy(F.desc("doc_id")), F.lit(True))
+    for x, y in zip(vars(m).values(), vars(again).values(), strict=True):
+        assert np.allclose(x, y)
+    toxic = {r["doc_id"]: r["toxic"] for r in labels.collect() if r["toxic"] is not None}
+    sample = toxicity.labelled_sample(docs, labels, "toxic", F.lit(True), 1000).mapInArrow(toxicity._sketch, "doc_id long, toxic int, k1 long, k2 long, k3 long").collect()
+    rows = sample
+    for k in ("k1", "k2", "k3"):  # of near copies the least doc_id counts
+        least = {}
+        for r in sorted(rows, key=lambda r: r["doc_id"]):
+            least.setdefault((r[k], r["toxic"]), r)
+        rows = list(least.values())
+    ids = {r["doc_id"] for r in rows}
+    text = {r["doc_id"]: r["text"] for r in docs.collect()}
+    form = lambda w: w.lower().strip(toxicity.OUTER)
+    n = [collections.Counter(w for i in ids if toxic[i] == y for w in {form(x) for x in WORD.findall(text[i])} if w) for y in (0, 1)]
+    size = [sum(toxic[i] == y for i in ids) for y in (0, 1)]
+    got = dict(zip(m.word_keys.tolist(), m.word_weights.tolist(), strict=True))
+    want = {}
+    for w in n[1]:
+        both = n[0][w] + n[1][w]
+        has, lacks = toxicity.PRIOR * both + toxicity.SMOOTH, toxicity.PRIOR * (sum(size) - both) + toxicity.SMOOTH
+        odds = [math.log((c[w] + has) / (s - c[w] + lacks)) for c, s in zip(n, size, strict=True)]
+        error = math.sqrt(sum(1 / (c[w] + has) for c in n))
+        if odds[1] - odds[0] >= toxicity.Z * error and odds[1] - odds[0] - error > toxicity.MARGIN:
+            want[int(toxicity.hash_array(pa.array([w]), 1)[0])] = odds[1] - odds[0] - error - toxicity.MARGIN
+    assert want.keys() == got.keys() and all(got[k] == pytest.approx(v) for k, v in want.items()) and len(want) > 3
+
+
+def test_toxicity_of_clashing_labels_and_much_evidence(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    clash = labels.unionByName(labels.withColumn("toxic", F.lit(0))).unionByName(labels.withColumn("toxic", F.lit(None).cast(labels.schema["toxic"].dataType)))
+    m, same = toxicity.fit(docs, labels, F.lit(True)), toxicity.fit(docs, clash, F.lit(True))
+    assert np.allclose(m.word_weights, same.word_weights) and m.bias == pytest.approx(same.bias)
+    worst = [r["text"] for r in toxicity.score(docs, m).join(docs, "doc_id").orderBy(F.desc("evidence")).limit(1).collect()][0]
+    more = spark.createDataFrame([(k, " ".join([worst] * k)) for k in (1, 5, 40)], "doc_id long, text string")
+    got = [r["evidence"] for r in toxicity.score(more, m).orderBy("doc_id").collect()]
+    assert got[0] < got[1] < got[2] and got[2] > 50
+
+
 def test_toxicity_without_labels(spark, docs, labels):
     out = toxicity.toxicity(docs, labels.limit(0), F.lit(True)).agg(F.min("score"), F.max("score"), F.count("*")).first()
     assert out[0] == out[1] < 0.7 and out[2] == 200
@@ -377,6 +420,37 @@ def test_quality_held_out(spark):
     assert out.count() == 1000 and got.filter("quality = predicted").count() / got.count() > 0.97
 
 
+@pytest.mark.parametrize("digits", [None, 3])
+def test_discriminant_by_plain_code(spark, docs, labels, digits):
+    """Densities with plain covariances, inverses and determinants."""
+    stats = quality_classifier.document_statistics(docs)
+    clash = labels.unionByName(labels.filter("doc_id % 5 = 0").withColumn("quality", F.lit(0).cast(labels.schema["quality"].dataType)))
+    m = quality_classifier.fit(stats, clash, F.lit(True), digits=digits)
+    y = {}
+    for r in clash.collect():
+        if r["quality"] is not None:
+            y[r["doc_id"]] = min(r["quality"], y.get(r["doc_id"], 1))
+    rows = {r["doc_id"]: np.array([r[c] for c in quality_classifier.NAMES]) for r in stats.collect()}
+    xs = [[rows[i] for i in rows if y.get(i) == k] for k in (0, 1)]
+    seen = [len(x) for x in xs]
+    if digits is not None:
+        groups = [collections.defaultdict(list) for _ in xs]
+        for g, x in zip(groups, xs, strict=True):
+            for v in x:
+                g[tuple(np.floor(v * 10**digits + 0.5))].append(v)
+        xs = [[np.mean(v, axis=0) for v in g.values()] for g in groups]
+    xs = [np.array(x) for x in xs]
+    covs, d = [np.cov(x.T, bias=True) for x in xs], len(quality_classifier.NAMES)
+    pooled = np.diag(sum(len(x) * np.diag(c) for x, c in zip(xs, covs, strict=True)) / sum(map(len, xs)))
+    every, dens = np.array(list(rows.values())), []
+    for x, c in zip(xs, covs, strict=True):
+        a = quality_classifier.SHRINK + (1 - quality_classifier.SHRINK) * d / (d + len(x))
+        s = (1 - a) * c + a * pooled + quality_classifier.RIDGE * np.eye(d)
+        off = every - x.mean(axis=0)
+        dens.append(-0.5 * np.einsum("ij,jk,ik->i", off, np.linalg.inv(s), off) - 0.5 * np.linalg.slogdet(s)[1])
+    assert np.allclose(m.log_odds(every), dens[1] - dens[0] + math.log(seen[1] / seen[0]), atol=1e-5, rtol=1e-5)
+
+
 def test_quality_statistics_match_plain_code():
     texts = ["A b b b!\n#c. 12 |", "", None, "x y z x y z", "é É"]
     x = quality_classifier.statistics(pa.array(texts))
