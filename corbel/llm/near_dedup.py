@@ -2,21 +2,32 @@
 
 1. One pass makes each text's set of distinct word shingles (64-bit hashes), its size, a 128-bit digest and a MinHash
    signature. Texts with equal sets form a class, represented by its least doc_id.
-2. The forest: several sorted orders (trees) of the signature; each tree starts at another place of it. Documents whose
-   order agrees on the first MIN_DEPTH values form a region: their longest common prefix is that long at least. Regions
-   with more than REGION members are followed to greater depth, only there; their members are also compared with the
-   region's central one, the one that agrees most with its commonest values. At the last depth members hang on their
-   least one. Regions with the same members in several trees are looked at once. Within a region signatures are
-   compared; those that agree at loose(threshold) or more are neighbours, and a spanning forest of the neighbours goes on.
+2. The forest: each tree is a sorted order of the signatures, with their values in an order of the tree's own. Documents
+   whose orders share a prefix of the level's depth are a region: neighbours by their longest common prefix. Regions of 2
+   to REGION members are partitioned by range, sorted by tree and order, and compared within themselves: signatures that
+   agree at loose(threshold) or more are neighbours, and a spanning forest of the neighbours goes on. Regions with the same
+   members in several trees are looked at once. Larger regions are compared with their central member, the one that agrees
+   most with their commonest values; where every member is its neighbour, the region is done. The members of all
+   others, and only they, go to the next of LEVELS, which sorts them to greater depth in more trees. At the last level
+   members hang on their least one.
 3. Neighbours' components are clusters. Only there full sets are made again from the texts and compared exactly:
    clusters of up to BLOCK documents in one piece, larger ones by pairs of blocks. In large clusters every document is
    first compared with one pivot, the document that agrees best with the cluster's most common values; those that link
    to it need no comparison among themselves.
 4. Exact links' components, with the classes, are the result.
 
-In regions of up to REGION members a pair at the threshold is missed by all trees with a chance of 2.4e-7 at 0.85 (0.85 **
-3 in each of 16 trees) and of 1.0e-5 at 0.80. Where all its regions are larger, what its hubs don't link is missed with a
-chance of 0.6 % at 0.85 and 5.3 % at 0.80 if they are small at depth 8, and of 72 % and 93 % if only at depth 24.
+A pair at the threshold shares a prefix of depth d in a tree with the chance of threshold ** d. Were the trees
+independent, all trees of a level would miss it with the chances below (at 0.85; at 0.80); a pair is lost if it is missed by
+the levels it goes through, the last of which is the first one with a small region for it or a hub next to both.
+
+    depth  3, 16 trees  2.4e-7  1.0e-5        depth 12, 96 trees  4.0e-7  1.1e-3
+    depth  5, 32 trees  7.0e-9  3.0e-6        depth 16, 96 trees  6.1e-4  0.066
+    depth  8, 48 trees  2.4e-7  1.5e-4        depth 24, 96 trees  0.14    0.63
+
+So only families of several thousand texts that are nearly as similar as the threshold, and not within it to their central
+one, lose links; their members are more often connected through others.
+
+Hashes stand for words and shingles (64 bits, 128 for whole sets); they aren't compared as strings.
 
 Defined results: null or empty text, or no words: size 0, linked with nothing; fewer words than a shingle: the whole
 sequence is the one shingle; null doc_id: left to itself; repeated doc_id: rows are classed by their own text; ties:
@@ -38,16 +49,20 @@ from .common import bloom, hash_words, keep_likely, mix, settle, small_batches,
 from .components import components
 
 SHINGLE = 5
-SIGNATURE, TREES, MIN_DEPTH = 96, 16, 3
-#: Depths at which regions that are still too large are looked at again; members of a region; the share of pairs at the
-#: threshold whose signatures may agree too little to be neighbours.
-DEPTHS, REGION, DROPPED = (3, 8, 24), 512, 1e-6
+SIGNATURE = 96
+#: Depth and number of trees of each level of the forest; members of a region; the share of pairs at the threshold whose
+#: signatures may agree too little to be neighbours.
+LEVELS = ((3, 16), (5, 32), (8, 48), (12, 96), (16, 96), (24, 96), (32, 96))
+REGION, DROPPED = 512, 1e-6
 #: Documents of a block of exact comparison, and of a chunk of shingles in it.
 BLOCK, COLUMNS = 384, 8192
 _RNG = np.random.default_rng(20240607)
 #: Odd multipliers and offsets of the signature's hash functions.
 MULTIPLIERS = _RNG.integers(1, 2**63, SIGNATURE, dtype=np.uint64) | np.uint64(1)
 OFFSETS = _RNG.integers(0, 2**63, SIGNATURE, dtype=np.uint64)
+#: The order of values in each tree. The first level's trees begin with places of their own, so they are independent.
+FIRST = np.stack([np.roll(np.arange(SIGNATURE), -LEVELS[0][0] * t) for t in range(LEVELS[0][1])])
+DEEPER = np.stack([_RNG.permutation(SIGNATURE) for _ in range(max(n for _, n in LEVELS))])
 
 
 def shingle_sets(texts: pa.Array, shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -118,25 +133,45 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), SIGNATURE)
 
 
-def _keys(depth: int):
+def _orders(level: int) -> np.ndarray:
+    """The level's trees: orders of the signature's places."""
+    return FIRST if not level else DEEPER[: LEVELS[level][1]]
+
+
+def _bytes(rows: np.ndarray) -> pa.Array:
+    """A binary array of the rows of a matrix of bytes."""
+    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
+    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _sortable(values: np.ndarray) -> np.ndarray:
+    """Rows of values as rows of bytes in the same order."""
+    return np.ascontiguousarray(values.astype(">u2")).view(np.uint8)
+
+
+def _prefixes(level: int):
+    depth, trees = LEVELS[level]
+
     def run(batches):
+        """A row for each tree: the tree's number and the first values of the signature in the tree's order, as sortable bytes."""
         for b in batches:
-            sig = _matrix(b.column("sig")).astype(np.uint64)
-            cols = []
-            for t in range(TREES):
-                key = np.full(len(sig), t + 1 + TREES * depth, np.uint64)
-                for k in range(depth):
-                    key = mix(key * np.uint64(31) + sig[:, (t * MIN_DEPTH + k) % SIGNATURE])
-                cols.append(key.view(np.int64))
-            if "tree" in b.schema.names:  # a row for one tree
-                tree = b.column("tree").to_numpy(zero_copy_only=False)
-                out = np.stack(cols)[tree, np.arange(len(sig))] if len(sig) else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([b.column("rep"), pa.array(tree), pa.array(out)], ["rep", "tree", "key"])
-            else:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.tile(b.column("rep").to_numpy(zero_copy_only=False), TREES)), pa.array(np.repeat(np.arange(TREES, dtype=np.int32), len(sig))), pa.array(np.concatenate(cols))],
-                    ["rep", "tree", "key"],
-                )
+            sig, rep = _matrix(b.column("sig")), b.column("rep").to_numpy(zero_copy_only=False)
+            for t, order in enumerate(_orders(level)):
+                out = np.full((len(sig), 1 + 2 * depth), t, np.uint8)
+                out[:, 1:] = _sortable(sig[:, order[:depth]])
+                yield pa.RecordBatch.from_arrays([pa.array(rep), _bytes(out)], ["rep", "prefix"])
+
+    return run
+
+
+def _in_order(level: int):
+    def run(batches):
+        """Rows with the whole signature in the order of their tree, which the prefix names."""
+        for b in batches:
+            sig = _matrix(b.column("sig"))
+            tree = np.array([p[0] for p in b.column("prefix").to_pylist()], np.int64)
+            out = _bytes(_sortable(np.take_along_axis(sig, _orders(level)[tree], axis=1)))
+            yield pa.RecordBatch.from_arrays([b.column("prefix"), b.column("rep"), out], ["prefix", "rep", "sorted"])
 
     return run
 
@@ -175,8 +210,8 @@ def labels(near: np.ndarray) -> np.ndarray:
 def _neighbours(least: float):
     def run(batches):
         """A spanning forest of the neighbours in each region, as (a, b)."""
-        for g in in_groups(batches, "key"):
-            reps, sig = g.column("rep").to_numpy(), _matrix(g.column("sig").combine_chunks())
+        for g in in_groups(batches, "prefix"):
+            reps, sig = g.column("rep").to_numpy(), _matrix(g.column("sorted").combine_chunks())
             near = np.zeros((len(reps), len(reps)), bool)
             for s in range(0, len(reps), 64):
                 near[s : s + 64] = (sig[s : s + 64, None, :] == sig[None, :, :]).mean(axis=2) >= least
@@ -195,21 +230,23 @@ def central(rows: DataFrame) -> DataFrame:
 
     def votes(batches):
         for b in batches:
-            sig, cluster = _matrix(b.column("sig"))[:, :places], b.column("cluster").to_numpy(zero_copy_only=False)
+            coded = b.column("cluster").dictionary_encode()
+            sig, cluster = _matrix(b.column("sig"))[:, :places], coded.indices.to_numpy(zero_copy_only=False)
             out: list[tuple] = []
-            for c in np.unique(cluster):
+            for c in range(len(coded.dictionary)):
                 for place, column in enumerate(sig[cluster == c].T):
                     values, counts = np.unique(column, return_counts=True)
-                    out += [(int(c), place, int(values[k]), int(counts[k])) for k in np.argsort(-counts, kind="stable")[:tops]]
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in cols], ["cluster", "place", "value", "c"])
+                    out += [(c, place, int(values[k]), int(counts[k])) for k in np.argsort(-counts, kind="stable")[:tops]]
+            cols = [pa.array(x, pa.int64()) for x in zip(*out, strict=True)] if out else [pa.array([], pa.int64())] * 4
+            yield pa.RecordBatch.from_arrays([coded.dictionary.take(cols[0]), *cols[1:]], ["cluster", "place", "value", "c"])
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         total = pdf.groupby(["place", "value"], as_index=False)["c"].sum().sort_values(["place", "c", "value"], ascending=[True, False, True])
         mode = total.drop_duplicates("place").sort_values("place")["value"].tolist()
         return pd.DataFrame({"cluster": pdf["cluster"].iloc[:1], "mode": [mode]})
 
-    common = rows.select("cluster", "sig").mapInArrow(votes, "cluster long, place long, value long, c long").groupBy("cluster").applyInPandas(merge, "cluster long, mode array<long>")
+    kind = rows.schema["cluster"].dataType.simpleString()
+    common = rows.select("cluster", "sig").mapInArrow(votes, f"cluster {kind}, place long, value long, c long").groupBy("cluster").applyInPandas(merge, f"cluster {kind}, mode array<long>")
 
     def agree(batches):
         for b in batches:
@@ -217,44 +254,49 @@ def central(rows: DataFrame) -> DataFrame:
             mode = np.array(b.column("mode").to_pylist(), np.int64).reshape(len(sig), places)
             yield b.select(["cluster", "rep", "sig"]).append_column("score", pa.array((sig == mode).sum(axis=1)))
 
-    scored = rows.join(settle(common, "lsh-common"), "cluster").select("cluster", "rep", "sig", "mode").mapInArrow(agree, "cluster long, rep long, sig binary, score long")
+    scored = rows.join(settle(common, "lsh-common"), "cluster").select("cluster", "rep", "sig", "mode").mapInArrow(agree, f"cluster {kind}, rep long, sig binary, score long")
     best = scored.groupBy("cluster").agg(F.min_by(F.struct("rep", "sig"), F.struct(-F.col("score"), "rep")).alias("b"))
     return best.select("cluster", F.col("b.rep").alias("pivot"), F.col("b.sig").alias("hub"))
 
 
-def hub_edges(rows: DataFrame, least: float) -> DataFrame:
-    """(a, b): members of large regions (rep, cluster, sig) that are neighbours of the region's central one. Linear."""
+def hub_links(rows: DataFrame, least: float) -> DataFrame:
+    """(cluster, rep, hub: the region's central document, near) of large regions (rep, cluster, sig). Linear."""
     hub = settle(central(rows), "lsh-hub")
 
     def compare(batches):
         for b in batches:
             near = (_matrix(b.column("sig")) == _matrix(b.column("hub"))).mean(axis=1) >= least if b.num_rows else np.empty(0, bool)
-            yield b.select(["pivot", "rep"]).rename_columns(["a", "b"]).filter(pa.array(near))
+            yield b.select(["cluster", "rep", "pivot"]).rename_columns(["cluster", "rep", "hub"]).append_column("near", pa.array(near))
 
-    return rows.join(hub, "cluster").filter("rep <> pivot").select("pivot", "rep", "sig", "hub").mapInArrow(compare, "a long, b long")
+    return settle(rows.join(hub, "cluster").select("cluster", "rep", "pivot", "sig", "hub").mapInArrow(compare, "cluster binary, rep long, hub long, near boolean"), "lsh-near-hub")
 
 
 def forest_edges(reps: DataFrame, threshold: int) -> DataFrame:
     """Candidate edges (a, b) between representatives (rep, sig)."""
-    agree = loose(threshold)
-    rows, found = settle(reps.mapInArrow(_keys(DEPTHS[0]), "rep long, tree int, key long"), "lsh-keys"), []
-    for i, depth in enumerate(DEPTHS):
-        regions = rows.groupBy("key").agg(F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.min("rep").alias("least")).filter("m > 1")
+    agree, found, now = loose(threshold), [], reps
+    for level in range(len(LEVELS)):
+        rows = settle(now.mapInArrow(_prefixes(level), "rep long, prefix binary"), "lsh-prefixes")
+        regions = rows.groupBy("prefix").agg(F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.min("rep").alias("least")).filter("m > 1")
         regions = settle(regions, "lsh-regions")
-        if depth == DEPTHS[-1]:
-            hang = rows.join(regions.filter(f"m > {REGION}").select("key", "least"), "key").filter("rep <> least").selectExpr("least AS a", "rep AS b")
-            found.append(settle(hang, "lsh-hang"))
-        small = regions.filter(f"m <= {REGION}").groupBy("who", "m").agg(F.min("key").alias("key")).select("key")
-        member = rows.join(small, "key").select("rep", "key").join(reps.select("rep", "sig"), "rep")
-        member = member.repartition("key").sortWithinPartitions("key")
-        found.append(settle(member.mapInArrow(_neighbours(agree), "a long, b long"), "lsh-near"))
-        large = regions.filter(f"m > {REGION}").select("key")
-        if depth == DEPTHS[-1] or large.isEmpty():
+        small = regions.filter(f"m <= {REGION}").groupBy("who", "m").agg(F.min("prefix").alias("prefix")).select("prefix")
+        member = rows.join(small, "prefix").select("rep", "prefix").join(reps.select("rep", "sig"), "rep").select("prefix", "rep", "sig")
+        member = settle(member.mapInArrow(_in_order(level), "prefix binary, rep long, sorted binary"), "lsh-members")
+        ordered = member.repartitionByRange("prefix").sortWithinPartitions("prefix", "sorted")
+        found.append(settle(ordered.mapInArrow(_neighbours(agree), "a long, b long"), "lsh-near"))
+        large = regions.filter(f"m > {REGION}").select("prefix", "least")
+        if large.isEmpty():
+            break
+        held = rows.join(large, "prefix")
+        if level == len(LEVELS) - 1:
+            found.append(settle(held.filter("rep <> least").selectExpr("least AS a", "rep AS b"), "lsh-hang"))
+            break
+        links = hub_links(held.select("rep", F.col("prefix").alias("cluster")).join(reps.select("rep", "sig"), "rep"), agree)
+        found.append(links.filter("near AND rep <> hub").selectExpr("hub AS a", "rep AS b"))
+        open_ = links.groupBy("cluster").agg(F.min("near").alias("all_near")).filter("NOT all_near").select("cluster")
+        left = settle(links.join(open_, "cluster").select("rep").distinct(), "lsh-open")
+        if left.isEmpty():
             break
-        deeper = settle(rows.join(large, "key").select("rep", "tree", F.col("key").alias("cluster")).join(reps.select("rep", "sig"), "rep"), "lsh-large")
-        if not i:  # deeper regions are parts of these
-            found.append(settle(hub_edges(deeper, agree), "lsh-hubs"))
-        rows = settle(deeper.mapInArrow(_keys(DEPTHS[i + 1]), "rep long, tree int, key long"), "lsh-keys")
+        now = reps.join(left, "rep").select("rep", "sig")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)

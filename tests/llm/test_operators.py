@@ -532,6 +532,38 @@ def test_near_duplicates(spark, monkeypatch, small):
     assert got == {i: (n, c, c == i) for i, (n, c) in _brute_components(rows).items()}
 
 
+@pytest.mark.parametrize("region", [8, 32])
+def test_pairs_inside_a_large_family(spark, monkeypatch, region):
+    """Texts of one template, half of their words equal, each with one partner just above the threshold: regions far
+    larger than REGION at the first levels."""
+    monkeypatch.setattr(near_dedup, "REGION", region)
+    rng = random.Random(region)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(5))
+    template, rows = [word() for _ in range(200)], []
+    for k in range(400):
+        own = [word() for _ in range(200)]
+        other = list(own)
+        for i in (30, 90, 150):
+            other[i] = word()
+        rows += [(2 * k, " ".join(template + own)), (2 * k + 1, " ".join(template + other))]
+    pairs = _brute_components(rows[:60])
+    assert {c for _, c in pairs.values()} == set(range(0, 60, 2))
+    got = {r["doc_id"]: r["component_id"] for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got[2 * k + 1] == 2 * k for k in range(400)) >= 399
+
+
+def test_prefixes_sort_as_signatures():
+    rng = np.random.default_rng(2)
+    sig = rng.integers(0, 2**16, (50, near_dedup.SIGNATURE), dtype=np.uint16)
+    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(50)), pa.array([x.tobytes() for x in sig], pa.binary())], ["rep", "sig"])
+    for level, (depth, trees) in enumerate(near_dedup.LEVELS):
+        got = pa.Table.from_batches(list(near_dedup._prefixes(level)([batch]))).to_pylist()
+        orders = near_dedup._orders(level)
+        assert len(got) == 50 * trees == 50 * len(orders) and all(sorted(o) == list(range(near_dedup.SIGNATURE)) for o in orders.tolist())
+        want = sorted((t, *sig[i][orders[t][:depth]].tolist(), i) for i in range(50) for t in range(trees))
+        assert [r["rep"] for r in sorted(got, key=lambda r: (r["prefix"], r["rep"]))] == [w[-1] for w in want]
+
+
 # ------------------------------------------------------------------ 8 secrets
 
 
