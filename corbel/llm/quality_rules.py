@@ -1,10 +1,13 @@
 """Quality rules as a short-circuit cascade (DataFrame functions only).
 
 Words are runs of characters other than space and \t..\r. Base rules come first: fewer than 50 words, or more than
-half of the words in 3-word windows that occur twice or more in the text. The other rules form a cascade: each one's
-cost (characters or words that it must look at, by its kind) and its rejection rate are estimated on a sample in one
-aggregation, the rules are ordered by rejection per cost, and a CASE evaluates them in that order until one rejects.
-The order changes the work, never the verdict.
+half of the words in 3-word windows that occur twice or more in the text. The other rules form a cascade. Each one's cost
+is its time on a sample: the fastest of REPEATS runs over the sample's measured rows, less that of a run without a
+rule. Its selectivity is the share of them that it rejects. Rules are ordered by rejection per cost, and a CASE evaluates
+them in that order until one rejects. The order changes the work, never the verdict.
+
+Base metrics are made once per row, behind a generator that yields each row once, so that no later expression repeats
+them. Windows of words are compared by 64-bit hashes, of which a text of n words keeps 64 less log2(n) bits.
 
 Defined results: null text: no words (rejected by the base rules); empty table: default order, no rows; ties in
 rejection per cost: by rule name; repeated rows are judged each on its own; other columns are kept, but for those that
@@ -13,16 +16,18 @@ have a metric's name, which are replaced.
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE
+from .common import SPACE, settle
 
-#: Rows of the sample that costs and selectivities are estimated on, about.
-SAMPLE_ROWS = 2000
-#: Relative cost of one step of each kind of rule (a comparison of counted columns, a pass over
-#: characters, a pass over words).
-UNIT_COST = {"counted": 1.0, "chars": 0.02, "words": 0.2}
+#: Rows of the sample that costs and selectivities are estimated on, about, and times that each rule runs over it.
+SAMPLE_ROWS, REPEATS = 2000, 2
+#: Least cost of a rule, in seconds: what a run's time tells at all.
+LEAST_COST = 1e-3
+METRICS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "base_failed"]
 
 
 def _let(value: Column, body) -> Column:
@@ -35,75 +40,87 @@ def words_of(text: Column) -> Column:
 
 
 def repeat_words(words: Column) -> Column:
-    """Number of words inside 3-word windows that occur twice or more. Windows are compared by a 64-bit hash of their
-    words; sorting brings equal ones together, and the covered positions are summed from the sorted starts."""
+    """Number of words inside 3-word windows that occur twice or more. Each window is a long: its hash in the upper
+    bits, its place in the lower ones; sorting brings equal hashes together, and the covered places are summed."""
     n = F.size(words)
+    bits = F.length(F.bin(n.cast("bigint")))
     windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)))
 
-    def starts(pairs: Column) -> Column:
-        last = F.size(pairs) - 1
-        same = lambda x, j: F.get(pairs, j)["h"] == x["h"]
-        hit = F.filter(pairs, lambda x, i: ((i > 0) & same(x, i - 1)) | ((i < last) & same(x, i + 1)))
-        return F.array_sort(F.transform(hit, lambda x: x["i"]))
-
     def covered(at: Column) -> Column:
         gaps = F.transform(at, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - x, F.lit(3))))
-        return F.aggregate(gaps, F.lit(0), lambda a, b: a + b)
+        return F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, b: a + b)
+
+    def repeated(sorted_: Column) -> Column:
+        high = lambda x: F.call_function("shiftrightunsigned", x, bits)
+        same = lambda x, j: F.coalesce(high(x) == high(F.get(sorted_, j)), F.lit(False))
+        hit = F.filter(sorted_, lambda x, i: same(x, i - 1) | same(x, i + 1))
+        return F.sort_array(F.transform(hit, lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1)))
 
     def count(hs: Column) -> Column:
-        pairs = F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(_let(_let(pairs, starts), covered))
+        packed = F.transform(hs, lambda h, i: F.call_function("shiftleft", F.call_function("shiftrightunsigned", h, bits), bits).bitwiseOR(i.cast("bigint")))
+        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(_let(_let(F.sort_array(packed), repeated), covered))
 
     return F.when(n < 4, F.lit(0)).otherwise(_let(windows, count)).cast("bigint")
 
 
 def base_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, base_failed."""
+    """docs with METRICS."""
     t = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    counts = _let(words_of(t), lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeat_words(w).alias("r")))
-    out = (
-        docs.withColumn("__rules_w", counts)
-        .withColumn("n_words", F.col("__rules_w.n"))
-        .withColumn("n_repeat_words", F.col("__rules_w.r"))
-        .withColumn("word_chars", F.length(F.translate(t, " \t\n\x0b\f\r", "")).cast("bigint"))
-        .withColumn("n_symbols", (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("bigint"))
-        .withColumn("__rules_l", _let(lines, lambda x: F.struct(F.size(x).cast("bigint").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("d"))))
-        .withColumn("n_lines", F.col("__rules_l.n"))
-        .withColumn("n_dup_lines", F.col("__rules_l.d"))
-    )
-    failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    return out.withColumn("base_failed", failed).drop("__rules_w", "__rules_l")
+    of_words = lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeat_words(w).alias("r"), F.length(F.array_join(w, "")).cast("bigint").alias("c"))
+    of_lines = lambda x: F.struct(F.size(x).cast("bigint").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("d"))
+    symbols = (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("bigint")
+
+    def every(w: Column, x: Column) -> Column:
+        failed = (w["n"] < 50) | (100 * w["r"] > 50 * w["n"])
+        values = (w["n"], w["c"], symbols, x["d"], w["r"], x["n"], failed)
+        return F.struct(*[v.alias(name) for v, name in zip(values, METRICS, strict=True)])
+
+    both = F.transform(F.array(F.struct(_let(words_of(t), of_words).alias("w"), _let(lines, of_lines).alias("x"))), lambda b: every(b["w"], b["x"]))
+    return docs.select(*[c for c in docs.columns if c not in METRICS], F.inline(both))
 
 
 def _count(text: Column, characters: str) -> Column:
     return F.length(text) - F.length(F.regexp_replace(text, characters, ""))
 
 
-#: name -> (kind of cost, rejecting condition). Whole numbers only.
+#: name -> rejecting condition, from the text and the metrics. Whole numbers only.
 RULES = {
-    "long_words": ("counted", lambda t: F.col("word_chars") > 20 * F.col("n_words")),
-    "short_words": ("counted", lambda t: F.col("word_chars") < 2 * F.col("n_words")),
-    "symbols": ("counted", lambda t: 10 * F.col("n_symbols") > F.col("n_words")),
-    "dup_lines": ("counted", lambda t: (F.col("n_lines") >= 8) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines"))),
-    "shouting": ("chars", lambda t: 2 * _count(t, "!") > F.col("n_words")),
-    "upper_case": ("chars", lambda t: 2 * _count(t, r"\p{Lu}") > F.col("word_chars")),
-    "digits": ("chars", lambda t: 2 * _count(t, "[0-9]") > F.col("word_chars")),
-    "few_letters": ("words", lambda t: 10 * F.size(F.filter(words_of(t), lambda w: w.rlike(r"\p{L}"))) < 7 * F.col("n_words")),
-}
+    "long_words": lambda t: F.col("word_chars") > 20 * F.col("n_words"),
+    "short_words": lambda t: F.col("word_chars") < 2 * F.col("n_words"),
+    "symbols": lambda t: 10 * F.col("n_symbols") > F.col("n_words"),
+    "dup_lines": lambda t: (F.col("n_lines") >= 8) & (100 * F.col("n_dup_lines") > 30 * F.col("n_lines")),
+    "shouting": lambda t: 2 * _count(t, "!") > F.col("n_words"),
+    "upper_case": lambda t: 2 * _count(t, r"\p{Lu}") > F.col("word_chars"),
+    "digits": lambda t: 2 * _count(t, "[0-9]") > F.col("word_chars"),
+    "few_letters": lambda t: 10 * F.size(F.filter(words_of(t), lambda w: w.rlike(r"\p{L}"))) < 7 * F.col("n_words"),
+}
+
+
+def _seconds(df: DataFrame) -> float:
+    """The fastest of some runs."""
+    out = []
+    for _ in range(REPEATS):
+        start = time.perf_counter()
+        df.collect()  # one row
+        out.append(time.perf_counter() - start)
+    return min(out)
 
 
 def cascade_order(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, float, float]]:
-    """(rule, rejection rate, cost), best first, from one aggregation over a sample; only sampled rows are measured."""
+    """(rule, rejection rate, cost in seconds), best first. The sample is measured once and written; each rule's run
+    reads it again."""
     total = docs.count()
     if not total:
-        return [(name, 0.0, 0.0) for name in sorted(RULES)]
+        return [(name, 0.0, LEAST_COST) for name in sorted(RULES)]
     t = F.coalesce(F.col(text), F.lit(""))
     some = base_metrics(docs.sample(min(1.0, sample_rows / total), seed=17), text).filter(~F.col("base_failed"))
-    chars, words = F.avg(F.length(t)), F.avg("n_words")
-    row = some.agg(chars.alias("chars"), words.alias("words"), *[F.avg(F.coalesce(cond(t), F.lit(False)).cast("double")).alias(name) for name, (_, cond) in RULES.items()]).first()
-    steps = {"counted": 1.0, "chars": row["chars"] or 1.0, "words": row["words"] or 1.0}
-    out = [(name, row[name] or 0.0, UNIT_COST[kind] * steps[kind]) for name, (kind, _) in RULES.items()]
+    some = settle(some.select(F.col(text), *METRICS), "rules-sample").coalesce(1)
+    rate = lambda cond: F.avg(F.coalesce(cond, F.lit(False)).cast("double"))
+    rates = some.agg(*[rate(cond(t)).alias(name) for name, cond in RULES.items()]).first()
+    nothing = _seconds(some.agg(rate(F.length(t) < 0)))
+    cost = {name: max(_seconds(some.agg(rate((F.length(t) < 0) | cond(t)))) - nothing, LEAST_COST) for name, cond in RULES.items()}
+    out = [(name, rates[name] or 0.0, cost[name]) for name in RULES]
     return sorted(out, key=lambda x: (-x[1] / x[2], x[2], x[0]))
 
 
@@ -113,5 +130,6 @@ def quality_rules(docs: DataFrame, text: str = "text", sample_rows: int = SAMPLE
     t = F.coalesce(F.col(text), F.lit(""))
     verdict = F.when(F.col("base_failed"), F.lit("base"))
     for name, _, _ in cascade_order(docs, text, sample_rows):
-        verdict = verdict.when(RULES[name][1](t), F.lit(name))
-    return measured.withColumn("rejected_by", verdict).withColumn("kept", F.col("rejected_by").isNull())
+        verdict = verdict.when(RULES[name](t), F.lit(name))
+    judged = measured.select("*", F.inline(F.array(F.struct(verdict.alias("rejected_by")))))
+    return judged.withColumn("kept", F.col("rejected_by").isNull())
