@@ -8,14 +8,17 @@ siblings. That fixed point has a closed form: children ordered by capacity per w
 running sum finds the last filled child, without a loop.
 
 A leaf's share is so many whole epochs and a rest. The rest is a token prefix of one more epoch in a seeded order: the
-documents in that order as long as their running sum stays within the rest. The order is cut into buckets of its key,
-bucket sums give the running sum up to each bucket, and only the bucket in which the rest ends is sorted, so a leaf
-with a third of all rows is no single task's work.
+documents in that order as long as their running sum stays within the rest. The order is cut into buckets of its key.
+Bucket sums, and sums of groups of buckets (as many groups as a group has buckets), give the running sum up to each bucket
+in two steps of at most the square root of their number; only the bucket in which the rest ends is sorted, for the last
+document that fits. All rows are then held against that place where they stand, so texts that are carried along are
+never shuffled, and a leaf with a third of all rows is no single task's work.
 
 Defined results: null text or text without words: no tokens, never selected; null domain, language or source: the
 empty name; names without a weight: default_weight; weight 0: nothing; budget beyond all capacity: everything
-max_epochs times; ties in the seeded order: by doc_id; repeated rows count each; empty table: no rows. Whole-number
-shares are rounded down, so a node may leave fewer tokens than it has children.
+max_epochs times; the seeded order: by md5 of seed, epoch and doc_id (the text's hash for a null one), ties by doc_id and the
+text's hash; repeated rows count each, and rows equal in doc_id and text are taken together or not at all; empty table:
+no rows. Whole-number shares are rounded down, so a node may leave fewer tokens than it has children.
 """
 
 from __future__ import annotations
@@ -76,28 +79,42 @@ def leaf_budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], budget:
     return _fill(n.withColumn("w", F.col("w_source")).join(langs, ["domain", "lang"]), ["domain", "lang"], "source").select(*LEVELS, "tokens", "docs", "share")
 
 
-def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget: Column | int, max_epochs: int = 3, seed: int = 11, default_weight: int = 1) -> DataFrame:
-    """Rows (doc_id, domain, lang, source, n_tokens, epoch) of docs (doc_id, text, domain, lang, source): a document
-    is there once for each epoch that takes it. budget: tokens, or a column over total (all tokens of the table)."""
+def mix(docs: DataFrame, weights: dict[str, dict[str, int]], budget: Column | int, max_epochs: int = 3, seed: int = 11, default_weight: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Rows (doc_id, domain, lang, source, n_tokens, epoch, and the columns to carry) of docs (doc_id, text, domain,
+    lang, source): a document is there once for each epoch that takes it. budget: tokens, or a column over total (all
+    tokens of the table)."""
     named = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in LEVELS]
-    slim = settle(docs.select("doc_id", *named, count_tokens(F.col("text")).alias("n_tokens")).filter("n_tokens > 0"), "mix-tokens")
+    own = [F.col(c).alias(f"__mix_{c}") for c in carry]
+    slim = docs.select("doc_id", *named, count_tokens(F.col("text")).alias("n_tokens"), F.xxhash64("text").alias("fine"), *own).filter("n_tokens > 0")
+    slim = settle(slim, "mix-tokens")
     leaves = slim.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"), F.count("*").alias("docs"))
     plan = leaf_budgets(leaves, weights, budget, max_epochs, default_weight).filter("share > 0")
     plan = settle(plan.select(*LEVELS, F.expr("share div tokens").alias("full"), F.expr("share % tokens").alias("rest"), F.expr(f"greatest(1, docs div {BUCKET_ROWS})").alias("buckets")), "mix-plan")
 
     rows = slim.join(plan, list(LEVELS))
-    key = F.md5(F.concat_ws(":", F.lit(seed), F.col("full") + 1, F.col("doc_id")))
-    rows = rows.withColumn("key", key).withColumn("bucket", F.expr("(CAST(conv(substring(key, 1, 8), 16, 10) AS BIGINT) * buckets) div 4294967296"))
-    sums = rows.filter("rest > 0").groupBy(*LEVELS, "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest"))
-    upto = Window.partitionBy(*LEVELS).orderBy("bucket").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ends = sums.withColumn("upto", F.sum("n").over(upto)).withColumn("before", F.col("upto") - F.col("n"))
-    # One bucket per leaf holds the end of the rest; earlier ones are taken whole, later ones not at all.
-    edge = settle(ends.filter("before <= rest AND upto > rest").select(*LEVELS, F.col("bucket").alias("edge"), "before"), "mix-edge")
-    rows = rows.join(edge, list(LEVELS), "left")
-    whole = rows.filter("rest > 0 AND (edge IS NULL OR bucket < edge)")
-    order = Window.partitionBy(*LEVELS).orderBy("key", "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    partly = rows.filter("rest > 0 AND bucket = edge").withColumn("run", F.col("before") + F.sum("n_tokens").over(order)).filter("run <= rest")
-    out = ["doc_id", *LEVELS, "n_tokens"]
-    extra = [x.select(*out, (F.col("full") + 1).alias("epoch")) for x in (whole, partly)]
-    full = rows.filter("full > 0").select(*out, F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("full"))).alias("epoch"))
-    return full.unionByName(extra[0]).unionByName(extra[1])
+    name = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null:"), F.col("fine").cast("string")))
+    rows = rows.withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.col("full") + 1, name)))
+    rows = rows.withColumn("bucket", F.expr("(CAST(conv(substring(key, 1, 8), 16, 10) AS BIGINT) * buckets) div 4294967296"))
+    asked = rows.filter("rest > 0").select(*LEVELS, "rest", "bucket", "key", "doc_id", "fine", "n_tokens", F.expr("bucket div CAST(ceil(sqrt(buckets)) AS BIGINT)").alias("part"))
+    sums = settle(asked.groupBy(*LEVELS, "part", "bucket").agg(F.sum("n_tokens").alias("n"), F.first("rest").alias("rest")), "mix-sums")
+
+    def ends(of: DataFrame, by: list[str], at: str) -> DataFrame:
+        """The place in each group of by in which the rest ends, with the sum before it; earlier places are taken whole, later ones not at all."""
+        upto = Window.partitionBy(*by).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = of.withColumn("upto", F.col("base") + F.sum("n").over(upto)).withColumn("before", F.col("upto") - F.col("n"))
+        return out.filter("before <= rest AND upto > rest").select(*LEVELS, at, "before")
+
+    parts = sums.groupBy(*LEVELS, "part").agg(F.sum("n").alias("n"), F.first("rest").alias("rest")).withColumn("base", F.lit(0).cast("bigint"))
+    part = ends(parts, list(LEVELS), "part").withColumnRenamed("before", "base")
+    edge = settle(ends(sums.join(part, [*LEVELS, "part"]), list(LEVELS), "bucket").withColumnRenamed("bucket", "edge"), "mix-edge")
+    place = F.struct("key", "doc_id", "fine")
+    upto = Window.partitionBy(*LEVELS).orderBy("key", "doc_id", "fine").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    last = asked.join(edge, list(LEVELS)).filter("bucket = edge").withColumn("run", F.col("before") + F.sum("n_tokens").over(upto)).filter("run <= rest")
+    last = last.groupBy(*LEVELS).agg(F.max(place).alias("last"))
+    cut = settle(edge.join(last, list(LEVELS), "left").select(*LEVELS, "edge", "last"), "mix-cut")
+
+    fits = (F.col("bucket") < F.col("edge")) | ((F.col("bucket") == F.col("edge")) & F.coalesce(place <= F.col("last"), F.lit(False)))
+    times = F.col("full") + F.when((F.col("rest") > 0) & fits, 1).otherwise(0)
+    out = rows.join(cut, list(LEVELS), "left").withColumn("times", times).filter("times > 0")
+    epoch = F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("times"))).alias("epoch")
+    return out.select("doc_id", *LEVELS, "n_tokens", epoch, *[F.col(f"__mix_{c}").alias(c) for c in carry])
