@@ -11,12 +11,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corbel.layout import Layout
+from corbel.operators import links as L
 from corbel.plans import model as M
 from corbel.plans.incremental import incremental_facts
-from corbel.plans.resolve import NameResolver, Resolver, full_facts, replace_tests, tests_by_name
+from corbel.plans.resolve import NameResolver, Resolver, assemble, full_facts, replace_tests, tests_by_name
 from corbel.plans.shards import run_shard
 from corbel.sinks import rows_of
-from corbel.sources.facts import FILE, apply_facts, from_file, read_facts
+from corbel.sources.facts import COLUMNS, FILE, apply_facts, from_file, read_facts
 from corbel.sources.gitlog import head_commit, read_log
 from corbel.sources.parse import of_kind, parse_files
 from corbel.sources.tree import read_tree
@@ -53,13 +54,19 @@ def _or_empty(df: DataFrame, column: str, kind: str) -> DataFrame:
 
 
 def read_previous(spark: SparkSession, data: Path, tree: M.Tree) -> tuple[M.Tree, DataFrame]:
-    """The previous build: its tree, parsed again from its checkout, with the digests and facts that its document holds."""
-    doc = json.loads(Path(data).read_text())
-    facts = [{"id": k, **{c: s.get(c) or ({} if c == "tests" else []) for c in ("calls_in", "calls_in_x", "calls_out", "calls_out_x", "tests")}} for k, s in doc["symbols"].items()]
-    rows = from_file(spark.createDataFrame([tuple(f[c] for c in ("id", "calls_in", "calls_in_x", "calls_out", "calls_out_x", "tests")) for f in facts], FILE))
-    known = spark.createDataFrame([(k, s.get("hx")) for k, s in doc["symbols"].items()], "id string, _hx string")
+    """The previous build: its tree, parsed again from its checkout, with the digests and facts that it has kept: in its
+    symbols table, if data is a folder of tables or has them beside it, or else in the data document."""
+    folder = data if data.is_dir() else data.parent
+    if (folder / "symbols.parquet").is_dir():
+        rows = spark.read.parquet(f"{folder}/symbols.parquet").select("id", "hx", *COLUMNS)
+        facts, known = rows.drop("hx"), rows.select("id", F.col("hx").alias("_hx"))
+    else:
+        doc = json.loads(data.read_text())["symbols"]
+        empty = lambda c: {} if c == "tests" else []
+        facts = from_file(spark.createDataFrame([(k, *(s.get(c) or empty(c) for c in COLUMNS)) for k, s in doc.items()], FILE))
+        known = spark.createDataFrame([(k, s.get("hx")) for k, s in doc.items()], "id string, _hx string")
     old = tree.symbols.drop("hx").join(known, "id").withColumnRenamed("_hx", "hx")
-    return M.Tree(**{**tree.__dict__, "symbols": keep(old)}), rows
+    return M.Tree(**{**tree.__dict__, "symbols": keep(old)}), facts
 
 
 def call_facts(spark: SparkSession, opts: BuildOptions, tree: M.Tree) -> tuple[DataFrame, dict]:
@@ -73,7 +80,8 @@ def call_facts(spark: SparkSession, opts: BuildOptions, tree: M.Tree) -> tuple[D
         old, old_facts = read_previous(spark, opts.prev_data, M.read_code(spark, opts.prev_root, opts.layout, keep))
         facts, info = incremental_facts(old, keep(old_facts), tree, resolver, keep)
     else:
-        facts, info = full_facts(tree, resolver), {"mode": "full", "queried": tree.symbols.count()}
+        raw = resolver.resolve(tree, tree.symbols)
+        facts, info = assemble(tree.symbols, raw), {"mode": "full", "queried": tree.symbols.count(), **raw.info}
     return facts, info | {"query_s": round(time.time() - t0, 1)}
 
 
@@ -95,7 +103,7 @@ def build(spark: SparkSession, opts: BuildOptions) -> Built:
     imports = M.link_imports(tree)
     subclasses = M.link_subclasses(tree.symbols)
     out_imports = imports.groupBy(F.col("src").alias("id")).agg(F.array_sort(F.collect_set("dst")).alias("imports"))
-    in_imports = M.in_order(imports.select(F.col("dst").alias("id"), "src", "ord"), "id", "src", "ord", "imported_by")
+    in_imports = L.reverse_adjacency(imports, "ord").select(F.col("dst").alias("id"), F.col("sources").alias("imported_by"))
     subs = M.in_order(subclasses.select(F.col("base").alias("id"), F.col("id").alias("sub"), "ord"), "id", "sub", "ord", "subclasses")
     mod = tree.modules.join(out_imports, "id", "left").join(in_imports, "id", "left").join(M.module_tests(tree.symbols, facts).withColumnRenamed("module", "id"), "id", "left").join(module_docs, "id", "left")
     commits = read_log(spark, opts.git_dir or root, [layout.pkg_dir, *layout.tests])
@@ -140,9 +148,9 @@ def document(built: Built, opts: BuildOptions) -> dict:
     }
 
 
-def build_shard(spark: SparkSession, opts: BuildOptions, i: int, n: int) -> dict:
+def build_shard(spark: SparkSession, opts: BuildOptions, i: int, n: int, say=lambda text: None) -> dict:
     if opts.facts_dir is None:
         raise ValueError("a shard needs a facts directory")
     t0 = time.time()
-    out = run_shard(spark, M.read_code(spark, opts.root, opts.layout, keep), opts.resolver or NameResolver(), i, n, opts.facts_dir)
+    out = run_shard(spark, M.read_code(spark, opts.root, opts.layout, keep), opts.resolver or NameResolver(), i, n, opts.facts_dir, say)
     return out | {"seconds": round(time.time() - t0, 1)}

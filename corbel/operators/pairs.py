@@ -61,3 +61,14 @@ def group_history(rows: DataFrame, key: str, pos: str, who: str, first: dict[str
         F.count("*").alias("n"), F.count_distinct(who).alias("n_who"),
         *[F.min_by(c, pos).alias(name) for name, c in first.items()], *[F.max_by(c, pos).alias(name) for name, c in last.items()],
     )
+
+
+def numbered(rows: DataFrame, by: Sequence[str], out: str, keep) -> DataFrame:
+    """rows with their place, from 1 on, in the order of by. Rows are sorted by ranges, numbered in each, and shifted by
+    the sizes of the ranges before: only one row for each range meets in one task. keep writes the sorted rows, so that
+    both steps read the same ones."""
+    placed = keep(rows.orderBy(*by).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
+    sizes = placed.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    upto = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = sizes.select("_part", "_first", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_shift"))
+    return placed.join(F.broadcast(shifts), "_part").withColumn(out, F.col("_at") - F.col("_first") + F.col("_shift") + 1).drop("_part", "_at", "_first", "_shift")

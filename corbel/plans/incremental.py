@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections import Counter
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -61,13 +63,13 @@ def incremental_facts(old: Tree, old_facts: DataFrame, new: Tree, resolver: Reso
 
     again = keep(new.symbols.join(first, "id", "left_semi"))
     raw = resolver.resolve(new, again)
-    raw = RawLinks(keep(raw.edges), keep(raw.tests), raw.callers, raw.callees)
+    raw = RawLinks(keep(raw.edges), keep(raw.tests), raw.callers, raw.callees, raw.info)
     wave1 = keep(assemble(again, raw))
     after = wave1.join(a_new, "id", "left_semi").select(F.explode("calls_out").alias("id")).distinct().join(first, "id", "left_anti")
     after = keep(after.join(new_names.select("id"), "id", "left_semi"))
     again = keep(new.symbols.join(after, "id", "left_semi"))
     raw2 = resolver.resolve(new, again)
-    raw2 = RawLinks(keep(raw2.edges), keep(raw2.tests), raw2.callers, raw2.callees)
+    raw2 = RawLinks(keep(raw2.edges), keep(raw2.tests), raw2.callers, raw2.callees, raw2.info)
     wave2 = keep(assemble(again, raw2))
     done = first.unionByName(after)
 
@@ -87,6 +89,7 @@ def incremental_facts(old: Tree, old_facts: DataFrame, new: Tree, resolver: Reso
         "changed_files": I.snapshot_diff(old.files, new.files, "path", "hash").filter("status IN ('new', 'changed')").count(),
         "removed_files": I.snapshot_diff(old.files, new.files, "path", "hash").filter("status = 'gone'").count(),
     }
+    info |= Counter(raw.info) + Counter(raw2.info)
     return out, info
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corbel.functions import text as T
@@ -23,7 +23,7 @@ DOC_HIT = "struct<file:string,title:string,line:int,text:string>"
 class Tree:
     """What one checkout holds."""
 
-    modules: DataFrame  # id, path, loc, doc, package, symbols, consts, ord
+    modules: DataFrame  # id, path, doc, symbols, consts, loc, package, ord
     symbols: DataFrame  # id, ..., ord
     imports: DataFrame  # module, cand
     calls: DataFrame  # src, name: calls within a symbol
@@ -47,16 +47,28 @@ def read_code(spark: SparkSession, root: str | Path, layout: Layout, keep=lambda
     code = read_tree(spark, root, [layout.pkg_dir], skips=layout.skip)
     tests = read_tree(spark, root, list(layout.tests))
     parsed, parsed_tests = keep(parse_files(code, layout, False)), keep(parse_files(tests, layout, True))
-    modules = keep(last_wins(of_kind(parsed, "module")))
+    modules = of_kind(parsed, "module").withColumn("loc", T.loc(F.col("text"))).withColumn("package", T.package_of(F.col("id"))).drop("text")
+    modules = keep(last_wins(modules))
+    symbols = symbol_columns(of_kind(parsed, "symbol"), of_kind(parsed, "module").select(F.col("path").alias("file"), "text"))
     shown = modules.select("id", F.col("path").alias("_p"))
     imports = of_kind(parsed, "import").join(modules.select(F.col("id").alias("module")), "module", "left_semi")
     digest = lambda df: df.select("path", F.sha1("content").alias("hash"))
     return Tree(
-        modules, keep(last_wins(of_kind(parsed, "symbol"))), imports.select("module", "cand").distinct(), of_kind(parsed, "call").select("src", "name").distinct(), of_kind(parsed_tests, "test").select("file", "test", "used", "called"),
+        modules, keep(last_wins(symbols)), imports.select("module", "cand").distinct(), of_kind(parsed, "call").select("src", "name").distinct(), of_kind(parsed_tests, "test").select("file", "test", "used", "called"),
         of_kind(parsed_tests, "func").drop("ord", "seq"), of_kind(parsed_tests, "rest").drop("ord", "seq"), digest(code).join(shown.select(F.col("_p").alias("path")), "path", "left_semi"), digest(tests),
     )
 
 
+def symbol_columns(symbols: DataFrame, texts: DataFrame) -> DataFrame:
+    """symbols with what their positions mean in their file's text (file, text): code, digests, column of the name."""
+    text, line, start = F.col("text"), F.element_at(T.lines(F.col("text")), F.col("line")), F.col("start") + F.col("word")
+    out = symbols.join(texts, "file")
+    out = out.withColumn("code", T.snippet(text, F.col("line"), F.col("end"))).withColumn("private", T.is_private(F.col("name")))
+    out = out.withColumn("h", T.source_hash(text, F.col("line"), F.col("end"))).withColumn("hx", T.source_hash(text, F.col("first"), F.col("end")))
+    there = F.position(F.col("name"), line, start + 1) > 0
+    return out.withColumn("col", F.when(there, T.name_column(line, F.col("name"), start)).otherwise(F.col("start"))).drop("text", "first", "start", "word")
+
+
 def link_imports(tree: Tree) -> DataFrame:
     """(src, dst, ord): module imports module; each import name goes to its longest prefix that is another module."""
     cands = tree.imports.select(F.col("module").alias("id"), "cand")
@@ -69,9 +81,8 @@ def link_subclasses(symbols: DataFrame) -> DataFrame:
     """(base, id, ord): classes that name a class as base, by bare name; repeats stay."""
     bare = lambda c: F.substring_index(F.substring_index(c, "[", 1), ".", -1)
     classes = symbols.filter("kind = 'class'")
-    rows = classes.select("id", "ord", F.posexplode("bases").alias("k", "base")).select("id", "ord", "k", bare(F.col("base")).alias("name"))
-    targets = classes.select(F.col("id").alias("target"), "name")
-    return rows.join(targets, "name").filter("id <> target").select(F.col("target").alias("base"), "id", F.struct("ord", "k").alias("ord"))
+    rows = classes.select("id", "ord", F.posexplode("bases").alias("k", "base")).select("id", F.struct("ord", "k").alias("ord"), bare(F.col("base")).alias("name"))
+    return L.name_equi_link(rows, classes.select(F.col("id").alias("target"), "name")).select(F.col("target").alias("base"), "id", "ord")
 
 
 def read_docs(spark: SparkSession, root: str | Path, layout: Layout) -> DataFrame:
@@ -99,8 +110,7 @@ def link_docs(docs: DataFrame, modules: DataFrame, symbols: DataFrame) -> tuple[
     inner = F.slice(seg, F.lit(2), F.greatest(F.size(seg) - 2, F.lit(0)))
     names = modules.select("id", F.col("id").alias("name")).unionByName(modules.filter(T.base_name(F.col("path")) != "__init__.py").select("id", T.base_name(F.col("path")).alias("name")))
     by_name = lines.withColumn("name", F.explode(F.array_distinct(inner))).join(names, "name").select("doc", "id", "line", "text")
-    # A path may stand anywhere in a line: only lines with .py are compared with all paths.
-    by_path = lines.filter(F.col("text").contains(".py")).join(modules.select("id", "path"), F.contains("text", "path")).select("doc", "id", "line", "text")
+    by_path = L.path_link(lines, modules.select("id", "path")).select("doc", "id", "line", "text")
     first = by_name.unionByName(by_path).groupBy("doc", "id").agg(F.min("line").alias("line"), F.min_by("text", "line").alias("text"))
     rare = L.rare_names(symbols, "name", MIN_DOC_NAME, MAX_DOC_DEFS).select("name")
     named = symbols.select("id", "name").join(rare, "name", "left_semi")
@@ -131,7 +141,3 @@ def module_tests(symbols: DataFrame, facts: DataFrame) -> DataFrame:
     item = F.struct("rank", F.struct("file", "n").alias("c"))
     return counted.groupBy("module").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["c"]).alias("tests"))
 
-
-def capped(rows: DataFrame, key: list[str], order: str, k: int) -> DataFrame:
-    w = Window.partitionBy(*key).orderBy(order)
-    return rows.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k).drop("_r")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corbel.functions import text as T
@@ -95,12 +95,12 @@ def distinct_callees(spark: SparkSession, d: str) -> DataFrame:
 _URL = "regexp_replace(regexp_replace(url, '^https?://', ''), '/', '.', 'g')"
 
 
-@query(f"""WITH u AS (SELECT page_id, {_URL} AS cand FROM pages WHERE NOT contains(url, '#')),
+@query(f"""WITH u AS (SELECT page_id, {_URL} AS cand FROM pages),
 p AS (SELECT page_id, cand, k, array_to_string(string_split(cand, '.')[1:k], '.') AS pre FROM (SELECT *, unnest(range(1, len(string_split(cand, '.')) + 1)) AS k FROM u)),
 dict AS (SELECT pre FROM p GROUP BY pre HAVING count(*) >= 2)
 SELECT page_id AS id, cand, arg_max(pre, k) AS target FROM p JOIN dict USING (pre) GROUP BY page_id, cand""")
 def longest_prefix_link(spark: SparkSession, d: str) -> DataFrame:
-    u = table(spark, d, "pages").filter(~F.contains("url", F.lit("#"))).select(F.col("page_id").alias("id"), F.replace(F.regexp_replace("url", "^https?://", ""), F.lit("/"), F.lit(".")).alias("cand"))
+    u = table(spark, d, "pages").select(F.col("page_id").alias("id"), F.replace(F.regexp_replace("url", "^https?://", ""), F.lit("/"), F.lit(".")).alias("cand"))
     parts = F.split("cand", "[.]", -1)
     pre = u.select(F.explode(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), "."))).alias("name"))
     return L.longest_prefix_link(u, pre.groupBy("name").agg(F.count("*").alias("n")).filter("n >= 2"))
@@ -115,7 +115,7 @@ def innermost_span(spark: SparkSession, d: str) -> DataFrame:
     return L.innermost_span(points, spans, 50)
 
 
-@query("""WITH sp AS (SELECT o_orderpriority AS grp, o_orderkey AS lo, o_orderkey + o_custkey % 20 AS hi, o_orderkey AS span FROM orders WHERE o_orderkey % 7 = 0),
+@query("""WITH sp AS (SELECT o_orderpriority AS grp, o_orderkey AS lo, o_orderkey + o_custkey % 20 AS hi, o_orderkey AS span FROM orders),
 it AS (SELECT l_orderkey * 10 + l_linenumber AS id, o_orderpriority AS grp, l_orderkey AS pos, l_shipdate IS NOT NULL AND l_partkey % 5 = 0 AS is_test, l_partkey % 2 = 0 AS inside
   FROM lineitem JOIN orders ON o_orderkey = l_orderkey),
 ex AS (SELECT grp, lo AS pos, min(span) AS target FROM sp WHERE lo % 3 = 0 GROUP BY 1, 2),
@@ -125,7 +125,7 @@ SELECT it.id, CASE WHEN target IS NOT NULL THEN 'sym' WHEN is_test THEN 'test' W
 FROM it LEFT JOIN ex USING (grp, pos) LEFT JOIN ar USING (id)""")
 def classify(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
-    spans = o.filter("o_orderkey % 7 = 0").select(F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").alias("lo"), (F.col("o_orderkey") + F.col("o_custkey") % 20).alias("hi"), F.col("o_orderkey").alias("span"), F.col("o_orderkey").alias("ord"))
+    spans = o.select(F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").alias("lo"), (F.col("o_orderkey") + F.col("o_custkey") % 20).alias("hi"), F.col("o_orderkey").alias("span"), F.col("o_orderkey").alias("ord"))
     items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey").join(o.select("o_orderkey", F.col("o_orderpriority").alias("grp")), "o_orderkey")
     items = items.select((F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "grp", F.col("o_orderkey").alias("at"), (F.col("l_partkey") % 5 == 0).alias("is_test"), (F.col("l_partkey") % 2 == 0).alias("inside"))
     exact = spans.filter("lo % 3 = 0").select("grp", F.col("lo").alias("at"), F.col("span").alias("target"))
@@ -190,13 +190,13 @@ def name_link(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT c.c_custkey AS id, s.s_suppkey AS target FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey WHERE c.c_custkey <> s.s_suppkey""")
 def name_equi_link(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("name"))
-    return L.name_equi_link(rows, table(spark, d, "supplier").select(F.col("s_suppkey").alias("target"), F.col("s_nationkey").alias("name")))
+    return L.name_equi_link(rows, table(spark, d, "supplier").select(F.col("s_suppkey").alias("target"), F.col("s_nationkey").alias("name"))).select("id", "target")
 
 
-@query("""WITH e AS (SELECT l_suppkey AS dst, l_partkey AS src, min(l_orderkey) AS o FROM lineitem WHERE l_linenumber = 1 GROUP BY 1, 2)
+@query("""WITH e AS (SELECT l_suppkey AS dst, l_partkey AS src, min(l_orderkey) AS o FROM lineitem GROUP BY 1, 2)
 SELECT dst, string_agg(CAST(src AS VARCHAR), ',' ORDER BY o, src) AS sources FROM e GROUP BY dst""")
 def reverse_adjacency(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "lineitem").filter("l_linenumber = 1").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_orderkey").alias("o"))
+    e = table(spark, d, "lineitem").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"), F.col("l_orderkey").alias("o"))
     return L.reverse_adjacency(e, "o").select("dst", F.array_join("sources", ",").alias("sources"))
 
 
@@ -241,24 +241,25 @@ def carry_over(spark: SparkSession, d: str) -> DataFrame:
     return I.carry_over(e, table(spark, d, "orders").filter("o_orderstatus <> 'F'").select(F.col("o_orderkey").alias("id")))
 
 
-@query("""WITH c AS (SELECT l_partkey FROM lineitem WHERE l_orderkey % 97 = 0) SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM c)""")
+@query("""WITH c AS (SELECT l_partkey FROM lineitem JOIN orders ON o_orderkey = l_orderkey WHERE o_orderstatus = 'P') SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_partkey IN (SELECT l_partkey FROM c)""")
 def impact_neighbours(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), (-F.col("l_partkey") - 1).alias("dst"))
-    parts = I.neighbours(e, e.filter("src % 97 = 0").select(F.col("src").alias("id")).distinct()).filter("id < 0")
+    changed = table(spark, d, "orders").filter("o_orderstatus = 'P'").select(F.col("o_orderkey").alias("id"))
+    parts = I.neighbours(e, changed).filter("id < 0")
     return I.neighbours(e, parts).filter("id >= 0")
 
 
-@query("""SELECT DISTINCT l_orderkey AS id FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 7 AND p_partkey % 5 = 0)""")
+@query("""SELECT DISTINCT l_orderkey AS id FROM lineitem JOIN part ON p_partkey = l_partkey WHERE p_brand IN (SELECT p_brand FROM part WHERE p_size = 7)""")
 def shadow_set(spark: SparkSession, d: str) -> DataFrame:
     part = table(spark, d, "part")
     e = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("dst"))
-    return I.shadow_set(e, part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name")), part.filter("p_size = 7 AND p_partkey % 5 = 0").select(F.col("p_brand").alias("name")))
+    return I.shadow_set(e, part.select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("name")), part.filter("p_size = 7").select(F.col("p_brand").alias("name")))
 
 
-@query(f"""WITH {_OLD_NEW}, a_new AS (SELECT k FROM df WHERE status IN ('new', 'changed') AND k % 5 = 0), a_old AS (SELECT k FROM df WHERE status IN ('gone', 'changed') AND k % 5 = 0),
+@query(f"""WITH {_OLD_NEW}, a_new AS (SELECT k FROM df WHERE status IN ('new', 'changed')), a_old AS (SELECT k FROM df WHERE status IN ('gone', 'changed')),
 e AS (SELECT l_orderkey AS src, o_orderkey AS dst FROM lineitem JOIN orders ON o_orderkey = l_partkey), alive AS (SELECT k FROM n),
 nb AS (SELECT dst AS k FROM e WHERE src IN (SELECT k FROM a_old) UNION SELECT src FROM e WHERE dst IN (SELECT k FROM a_old)),
-sh AS (SELECT DISTINCT src AS k FROM e JOIN orders ON dst = o_orderkey WHERE o_custkey IN (SELECT o_custkey FROM orders JOIN df ON k = o_orderkey WHERE status IN ('new', 'gone') AND k % 5 = 0)),
+sh AS (SELECT DISTINCT src AS k FROM e JOIN orders ON dst = o_orderkey WHERE o_custkey IN (SELECT o_custkey FROM orders JOIN df ON k = o_orderkey WHERE status IN ('new', 'gone'))),
 w1 AS (SELECT k FROM a_new UNION SELECT k FROM (SELECT k FROM nb UNION SELECT k FROM sh) JOIN alive USING (k)),
 w2 AS (SELECT DISTINCT dst AS k FROM e WHERE src IN (SELECT k FROM a_new) AND dst NOT IN (SELECT k FROM w1))
 SELECT k AS id, 1 AS wave FROM w1 UNION ALL SELECT k, 2 FROM w2""")
@@ -266,12 +267,11 @@ def impact_set(spark: SparkSession, d: str) -> DataFrame:
     # What several steps read is written once; the plan stays small.
     df = keep(_diff(spark, d))
     o, li = table(spark, d, "orders"), table(spark, d, "lineitem")
-    some = df.filter("k % 5 = 0")
-    a_new, a_old = some.filter("status IN ('new', 'changed')").selectExpr("k AS id"), some.filter("status IN ('gone', 'changed')").selectExpr("k AS id")
+    a_new, a_old = df.filter("status IN ('new', 'changed')").selectExpr("k AS id"), df.filter("status IN ('gone', 'changed')").selectExpr("k AS id")
     e = li.select(F.col("l_orderkey").alias("src"), F.col("l_partkey").alias("o_orderkey")).join(o.select("o_orderkey"), "o_orderkey").select("src", F.col("o_orderkey").alias("dst"))
     e = keep(e)
     name_of = o.select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("name"))
-    moved = some.filter("status IN ('new', 'gone')").selectExpr("k AS id").join(name_of, "id").select("name")
+    moved = df.filter("status IN ('new', 'gone')").selectExpr("k AS id").join(name_of, "id").select("name")
     alive = o.filter("o_orderkey % 13 <> 0").select(F.col("o_orderkey").alias("id"))
     near = I.neighbours(e, a_old).unionByName(I.shadow_set(e, name_of, moved)).distinct().join(alive, "id", "left_semi")
     first = keep(a_new.unionByName(near).distinct())
@@ -302,7 +302,11 @@ def table_diff(spark: SparkSession, d: str) -> DataFrame:
     return I.table_diff(old, new, o.select("file", "rest"), o.select("file", F.when(F.col("k") % 17 == 0, "b").otherwise("a").alias("rest")))
 
 
-@query()
+@query("""WITH RECURSIVE m AS (SELECT c_nationkey AS k, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, c_nationkey) AS r FROM customer GROUP BY 1),
+w AS (SELECT 0::BIGINT AS r, NULL::INTEGER AS k, [0, 0, 0, 0]::BIGINT[] AS load, NULL::INTEGER AS shard
+  UNION ALL SELECT m.r, m.k, list_transform(w.load, lambda x, i: CASE WHEN i = list_position(w.load, list_min(w.load)) THEN x + m.n ELSE x END), CAST(list_position(w.load, list_min(w.load)) - 1 AS INTEGER)
+  FROM w JOIN m ON m.r = w.r + 1)
+SELECT CAST(k AS VARCHAR) AS module, shard FROM w WHERE r > 0""")
 def balanced_assign(spark: SparkSession, d: str) -> DataFrame:
     sizes = [(str(k), n) for k, n in table(spark, d, "customer").groupBy("c_nationkey").count().orderBy("c_nationkey").collect()]  # one row per nation
     return spark.createDataFrame(sorted(I.balanced_assign(sizes, 4).items()), "module string, shard int")
@@ -348,12 +352,12 @@ def text_functions(spark: SparkSession, d: str) -> DataFrame:
 
 @query("""SELECT page_id, row_number() OVER (ORDER BY string_split(url, '/'), page_id) AS ord FROM pages""")
 def scan_order(spark: SparkSession, d: str) -> DataFrame:
-    # The scan order of a source tree; a tree's paths are metadata, so the global rank is over a small table.
-    return table(spark, d, "pages").select("page_id", F.row_number().over(Window.orderBy(T.scan_order(F.col("url")), "page_id")).alias("ord"))
+    pages = table(spark, d, "pages").select("page_id", T.scan_order(F.col("url")).alias("key"))
+    return P.numbered(pages, ["key", "page_id"], "ord", keep).select("page_id", "ord")
 
 
-@query("""SELECT doc_id, substr(text, 1, strpos(text, ' ') - 1) AS name, strpos(substr(text, 6), 'th') AS at5,
-  CASE WHEN strpos(substr(text, 6), 'th') > 0 THEN strpos(substr(text, 6), 'th') + 4 ELSE 5 END AS col FROM documents WHERE text LIKE '% %'""")
+@query("""SELECT doc_id, CASE WHEN contains(text, ' ') THEN substr(text, 1, strpos(text, ' ') - 1) ELSE text END AS name, strpos(substr(text, 6), 'th') AS at5,
+  CASE WHEN strpos(substr(text, 6), 'th') > 0 THEN strpos(substr(text, 6), 'th') + 4 ELSE 5 END AS col FROM documents""")
 def name_columns(spark: SparkSession, d: str) -> DataFrame:
     t = F.col("text")
-    return table(spark, d, "documents").filter("text LIKE '% %'").select("doc_id", F.substring_index(t, " ", 1).alias("name"), F.instr(F.substring(t, 6, 2**31 - 1), "th").cast("bigint").alias("at5"), T.name_column(t, F.lit("th"), F.lit(5)).cast("bigint").alias("col"))
+    return table(spark, d, "documents").select("doc_id", F.substring_index(t, " ", 1).alias("name"), F.instr(F.substring(t, 6, 2**31 - 1), "th").cast("bigint").alias("at5"), T.name_column(t, F.lit("th"), F.lit(5)).cast("bigint").alias("col"))

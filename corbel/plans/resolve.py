@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corbel.operators import links as L
-from corbel.plans.model import Tree, capped
+from corbel.operators import pairs as P
+from corbel.plans.model import Tree
 
 TESTS_PER_FILE, CALLERS_ELSEWHERE, CALLEES_ELSEWHERE = 6, 12, 25
 FACTS = (
@@ -40,13 +41,12 @@ class Resolver(Protocol):
 
 class NameResolver:
     def resolve(self, tree: Tree, symbols: DataFrame) -> RawLinks:
-        names = tree.symbols.select(F.col("id").alias("dst"), "name")
-        all_edges = tree.calls.join(names, "name").select("src", "dst").filter("src <> dst").distinct()
+        all_edges = L.name_link(tree.calls, tree.symbols.select("id", "name")).select("src", F.col("id").alias("dst")).filter("src <> dst")
         ids = symbols.select("id").distinct()
         into = all_edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
         outof = all_edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst")
-        called = tree.tests.select("file", "test", F.explode("called").alias("name"))
-        tests = called.join(symbols.select("id", "name"), "name").select("id", "file", F.col("test").alias("name")).distinct()
+        called = tree.tests.select(F.struct("file", F.col("test").alias("name")).alias("src"), F.explode("called").alias("name"))
+        tests = L.name_link(called, symbols.select("id", "name")).select("id", "src.*")
         return RawLinks(into.unionByName(outof).distinct(), tests)
 
 
@@ -55,18 +55,17 @@ def assemble(symbols: DataFrame, raw: RawLinks) -> DataFrame:
     ids = symbols.select("id")
     edges = raw.edges.filter("src <> dst").distinct()
     one = lambda a, b, out: edges.groupBy(F.col(a).alias("id")).agg(F.array_sort(F.collect_list(b)).alias(out))
-    tests = capped(raw.tests.distinct(), ["id", "file"], "name", TESTS_PER_FILE).groupBy("id", "file").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    tests = P.capped_sets(raw.tests, ["id", "file"], "name", TESTS_PER_FILE, "names")
     tests = tests.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("file", "names"))).alias("tests"))
     out = ids.join(one("dst", "src", "calls_in"), "id", "left").join(one("src", "dst", "calls_out"), "id", "left").join(tests, "id", "left")
     if raw.callers is not None:
         item = F.struct("pos", F.struct("name", "at").alias("c"))
-        got = capped(raw.callers, ["id"], "pos", CALLERS_ELSEWHERE).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["c"]).alias("calls_in_x"))
+        got = P.arrival_cap(raw.callers, ["id"], ["pos"], CALLERS_ELSEWHERE).groupBy("id").agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["c"]).alias("calls_in_x"))
         out = out.join(got, "id", "left")
     else:
         out = out.withColumn("calls_in_x", F.lit(None))
     if raw.callees is not None:
-        got = capped(raw.callees.select("id", "name").distinct(), ["id"], "name", CALLEES_ELSEWHERE).groupBy("id").agg(F.array_sort(F.collect_list("name")).alias("calls_out_x"))
-        out = out.join(got, "id", "left")
+        out = out.join(P.capped_sets(raw.callees, ["id"], "name", CALLEES_ELSEWHERE, "calls_out_x"), "id", "left")
     else:
         out = out.withColumn("calls_out_x", F.lit(None))
     kinds = dict(x.strip().split(" ", 1) for x in FACTS.replace("struct<name:string,at:string>", "struct<name:string;at:string>").replace("struct<file:string,names", "struct<file:string;names").split(", "))
@@ -80,9 +79,9 @@ def full_facts(tree: Tree, resolver: Resolver) -> DataFrame:
 def tests_by_name(tests: DataFrame, symbols: DataFrame, max_defs: int = 3, min_len: int = 5) -> DataFrame:
     """(id, tests): a test function reaches every symbol whose rare name it uses."""
     rare = L.rare_names(symbols, "name", min_len, max_defs).select("name")
-    uses = tests.filter(F.col("test").startswith("test")).select("file", "test", F.explode("used").alias("name"))
-    hits = uses.join(symbols.select("id", "name").join(rare, "name", "left_semi"), "name").select("id", "file", F.col("test").alias("name")).distinct()
-    names = capped(hits, ["id", "file"], "name", TESTS_PER_FILE).groupBy("id", "file").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    uses = tests.filter(F.col("test").startswith("test")).select(F.struct("file", F.col("test").alias("name")).alias("src"), F.explode("used").alias("name"))
+    hits = L.name_link(uses, symbols.select("id", "name").join(rare, "name", "left_semi")).select("id", "src.*")
+    names = P.capped_sets(hits, ["id", "file"], "name", TESTS_PER_FILE, "names")
     return names.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("file", "names"))).alias("tests"))
 
 

@@ -5,19 +5,34 @@ A written table ends the lineage: plans stay small however many steps follow, an
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+class NoSharedFolder(RuntimeError):
+    """A cluster without a folder that all its machines share."""
+
+
+_LOCAL: dict[str, str] = {}  # application -> its own folder, of local sessions without the setting
+_TABLES: dict[str, list[str]] = {}  # application -> paths of its tables, in the order they were written
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """The session's setting; a temporary folder of our own only where it is unset (local runs)."""
+    """The session's setting. Where it is unset: a temporary folder of our own if driver and executors are one process,
+    else an error, as executors can't read each other's disks."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="corbel-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found
+    if found:
+        return found
+    if not spark.sparkContext.master.startswith("local"):
+        raise NoSharedFolder("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL:
+        _LOCAL[app] = "file://" + tempfile.mkdtemp(prefix="corbel-")
+    return _LOCAL[app]
 
 
 def own_folder(spark: SparkSession) -> str:
@@ -25,15 +40,44 @@ def own_folder(spark: SparkSession) -> str:
     return f"{shared_folder(spark)}/corbel-{spark.sparkContext.applicationId}"
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def release(spark: SparkSession) -> None:
     """Deletes what this application has kept. Results that still read it must be written before."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(own_folder(spark))
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, own_folder(spark))
+    _TABLES.pop(spark.sparkContext.applicationId, None)
 
 
-def keep(df: DataFrame) -> DataFrame:
+def keep(df: DataFrame, tag: str = "kept") -> DataFrame:
     """df written as Parquet and read again."""
-    path, schema = f"{own_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}", df.schema
+    spark, schema = df.sparkSession, df.schema
+    path = f"{own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(schema).parquet(path)
+    _TABLES.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return spark.read.schema(schema).parquet(path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[str]]:
+    """Tables kept within are deleted at the end, but for those whose paths are put into the list."""
+    mine = _TABLES.setdefault(spark.sparkContext.applicationId, [])
+    first, spared = len(mine), []
+    yield spared
+    for path in mine[first:]:
+        if path not in spared:
+            _delete(spark, path)
+    mine[first:] = [p for p in mine[first:] if p in spared]
+
+
+def last_kept(spark: SparkSession) -> str:
+    """Path of the table that was kept last."""
+    return _TABLES[spark.sparkContext.applicationId][-1]
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes one kept table that nothing reads any more."""
+    _delete(spark, path)
+    _TABLES[spark.sparkContext.applicationId].remove(path)

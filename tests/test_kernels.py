@@ -15,6 +15,7 @@ from corbel.layout import Layout
 from corbel.operators import incremental as I
 from corbel.operators import links as L
 from corbel.operators import pairs as P
+from corbel.plans import model as M
 from corbel.plans import registry
 from corbel.sources.gitlog import parse_log
 from corbel.sources.parse import import_candidates, rows_of
@@ -111,20 +112,44 @@ def test_source_tree_reads_underscored(spark, tmp_path):
     assert [r["path"] for r in got.collect()] == ["a/__init__.py", "a/_p.py", "a/b/.h.py", "a-b/c.py"]
 
 
-def test_parse_edges():
-    lay = Layout("p", ".", "p")
+def test_parse_edges(spark, tmp_path):
     code = b"import p.q as z\nfrom . import w\nfrom .... import no\nA = B = 1\nclass C(G[x.Y]):\n    @d\n    def e(self): f(); x.g()\nif 1:\n    def hidden(): pass\ndef e(): pass\ndef e(): h()\n"
-    got = list(rows_of("p/m.py", code, lay, False))
+    got = list(rows_of("p/m.py", code, "p.m", "p", False))
     mod = next(d for k, d in got if k == "module")
     assert mod["symbols"] == ["p.m.C", "p.m.C.e", "p.m.e"] and [c["name"] for c in mod["consts"]] == ["A", "B"]
     assert [d["cand"] for k, d in got if k == "import"] == ["p", "p.q", "p.w"]
     sym = [d for k, d in got if k == "symbol"]
-    assert [(s["qual"], s["line"], s["col"]) for s in sym] == [("C", 5, 6), ("C.e", 7, 8), ("e", 10, 4), ("e", 11, 4)] and sym[1]["h"] != sym[1]["hx"]
+    assert [(s["qual"], s["line"], s["first"]) for s in sym] == [("C", 5, 5), ("C.e", 7, 6), ("e", 10, 10), ("e", 11, 11)]
     assert {(d["src"], d["name"]) for k, d in got if k == "call"} == {("p.m.C.e", "f"), ("p.m.C.e", "g"), ("p.m.e", "h")}
-    assert list(rows_of("p/x.py", b"def (", lay, False)) == [] and list(rows_of("t.py", b"def (", lay, True)) == [("rest", {"file": "t.py", "rest": "syntax-error", "names": []})]
+    assert list(rows_of("p/x.py", b"def (", "p.x", "p", False)) == [] and list(rows_of("t.py", b"def (", "t", "p", True)) == [("rest", {"file": "t.py", "rest": "syntax-error", "names": []})]
     assert import_candidates(ast.parse("from .. import y"), "p.q.r", False, "") == ["p", "p.y"]
-    kinds = [d for k, d in rows_of("t.py", b"match 1:\n  case 1:\n    def test_a(): q()\nfor x in y: pass\nelse:\n  if 1:\n    def test_b(): pass\n", lay, True) if k == "func"]
+    kinds = [d for k, d in rows_of("t.py", b"match 1:\n  case 1:\n    def test_a(): q()\nfor x in y: pass\nelse:\n  if 1:\n    def test_b(): pass\n", "t", "p", True) if k == "func"]
     assert [d["qual"] for d in kinds] == ["test_a", "test_b"]
+    # Positions become columns in the build.
+    (tmp_path / "p").mkdir()
+    (tmp_path / "p/m.py").write_bytes(code)
+    tree = M.read_code(spark, tmp_path, Layout("p", ".", "p"))
+    cols = {(r["qual"], r["line"]): (r["col"], r["code"], r["h"] != r["hx"], r["private"]) for r in tree.symbols.collect()}
+    assert cols[("C.e", 7)] == (8, "    def e(self): f(); x.g()", True, False) and cols[("C", 5)][0] == 6 and cols[("e", 11)] == (4, "def e(): h()", False, False)
+
+
+def test_rest_of_a_test_file():
+    """What changes outside functions changes the digest, what changes inside doesn't."""
+    rest = lambda t: next(d["rest"] for k, d in rows_of("t.py", t.encode(), "t", "p", True) if k == "rest")
+    base = "import a\nclass T(b.C):\n    x = 1\n    def test_a(self): return 1\nfor i in r:\n    def test_b(): pass\ntry:\n    u()\nexcept E:\n    v()\n"
+    for old, new in (("return 1", "return 2"), ("test_b(): pass", "test_b(): q()"), ("self", "me")):
+        assert rest(base.replace(old, new)) == rest(base)
+    for old, new in (("x = 1", "x = 2"), ("b.C", "b.D"), ("in r", "in s"), ("u()", "w()"), ("except E", "except F"), ("import a", "import a2"), ("v()", "v(1)")):
+        assert rest(base.replace(old, new)) != rest(base)
+
+
+def test_path_link_is_contains(spark):
+    rng = random.Random(8)
+    paths = ["a.py", "p/a.py", "p/q/ab.py", "q/b.py", "b.py", "p/x.py.py", "é/c d.py", ".py", "p/.py"]
+    bits = [*paths, "p/", "a", "b", ".py", "/", " ", "x", "see ", "`"]
+    lines = [("".join(rng.choice(bits) for _ in range(rng.randint(0, 6))), k) for k in range(400)]
+    got = L.path_link(spark.createDataFrame(lines, "text string, line long"), spark.createDataFrame(list(enumerate(paths)), "id long, path string"))
+    assert sorted((r["line"], r["id"]) for r in got.collect()) == sorted((k, i) for t, k in lines for i, p in enumerate(paths) if p in t)
 
 
 def test_parse_log():
@@ -180,8 +205,11 @@ while m := read():
     p, r = m["params"], []
     if m["method"] == "initialize": root, r = p["rootUri"], {}
     elif m["method"].endswith("prepareCallHierarchy"): r = [{"line": p["position"]["line"] + 1}]
-    elif m["method"].endswith("incomingCalls") and p["item"]["line"] == 9: r = [{"from": i} for i in (item("tests/test_parts.py", 5, "test_start"), item("src/tinylib/parts.py", 19, "<lambda>"), item("setup.py", 3, "main"))]
-    elif m["method"].endswith("outgoingCalls") and p["item"]["line"] == 9: r = [{"to": i} for i in (item(None, 1, "len"), item("src/tinylib/limits.py", 14, "_spare_thing"))]
+    elif m["method"].endswith("incomingCalls") and p["item"]["line"] == 15: r = [{"from": i} for i in (item("tests/test_rates.py", 4, "test_discount"), item("src/orchard/trees/species.py", 36, "<lambda>"), item("setup.py", 3, "main"))]
+    elif m["method"].endswith("outgoingCalls") and p["item"]["line"] == 15:
+        send({"jsonrpc": "2.0", "id": 900, "method": "workspace/configuration", "params": None})
+        assert read()["id"] == 900
+        r = [{"to": i} for i in (item(None, 1, "len"), item("src/orchard/pricing/rates.py", 10, "rounded"))]
     send({"jsonrpc": "2.0", "id": m["id"], "result": r})
 '''
 
@@ -191,7 +219,7 @@ def test_server_resolver(spark, tmp_path):
     from pathlib import Path
 
     from corbel.plans.model import read_code
-    from corbel.plans.resolve import full_facts
+    from corbel.plans.resolve import assemble
     from corbel.sources.lsp import ServerResolver
     from corbel.workspace import keep
 
@@ -199,11 +227,13 @@ def test_server_resolver(spark, tmp_path):
     root = Path(__file__).parent / "fixture"
     lay = Layout.detect(root)
     tree = read_code(spark, root, lay, keep)
-    got = {r["id"]: r.asDict(True) for r in full_facts(tree, ServerResolver(root, lay, (sys.executable, str(tmp_path / "server.py")), 1)).collect()}
-    bound = got["tinylib.limits.bound"]
-    assert bound["calls_in"] == ["tinylib.parts.Motor.turn"] and bound["calls_out"] == ["tinylib.limits._spare_thing"]
-    assert bound["tests"] == [{"file": "tests/test_parts.py", "names": ["test_start"]}] and bound["calls_out_x"] == ["len"]
-    assert bound["calls_in_x"] == [{"name": "main", "at": "setup.py:3"}]
+    raw = ServerResolver(root, lay, (sys.executable, str(tmp_path / "server.py")), 1).resolve(tree, tree.symbols)
+    got = {r["id"]: r.asDict(True) for r in assemble(tree.symbols, raw).collect()}
+    priced = got["orchard.pricing.rates.discounted"]
+    assert priced["calls_in"] == ["orchard.trees.species.AppleTree.worth"] and priced["calls_out"] == ["orchard.pricing.rates.rounded"]
+    assert priced["tests"] == [{"file": "tests/test_rates.py", "names": ["test_discount"]}] and priced["calls_out_x"] == ["len"]
+    assert priced["calls_in_x"] == [{"name": "main", "at": "setup.py:3"}]
+    assert raw.info["requests"] == 1 + 3 * 20 and raw.info["timeouts"] == 0 and raw.info["init_s"] >= 0
 
 
 def test_kept_tables_and_release(spark):
