@@ -12,8 +12,8 @@ import pytest
 from corbel.build import BuildOptions, build, build_shard, document
 from corbel.cli import layout_of, main, parser
 from corbel.layout import Layout, LayoutError
+from corbel.plans import code_queries, shards
 from corbel.plans import model as M
-from corbel.plans import shards
 from corbel.plans.resolve import NameResolver
 from corbel.sinks import pack, write_document, write_tables
 
@@ -191,3 +191,13 @@ def test_tests_by_name_history_and_cli(spark, tree, tmp_path):
     page = (tmp_path / "page.html").read_text()
     assert n == len(page) and json.loads(gzip.decompress(base64.b64decode(page[3:-4]))) == d
     assert main(["build", str(tree), "--prev-data", "x"]) == 2 and main(["build", str(tree), "--shard", "0/2"]) == 2
+
+
+@pytest.mark.parametrize("name", sorted(code_queries.ORACLE))
+def test_code_queries_match_sql(spark, name):
+    import duckdb
+
+    df = code_queries.QUERIES[name](spark, "")
+    cols = sorted(df.columns)
+    want = duckdb.connect().execute(f"SELECT {', '.join(cols)} FROM ({code_queries.ORACLE[name]}) q").fetchall()
+    assert sorted(map(tuple, df.select(*cols).collect())) == sorted(want) and len(want) > 20

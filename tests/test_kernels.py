@@ -237,10 +237,17 @@ def test_server_resolver(spark, tmp_path):
 
 
 def test_kept_tables_and_release(spark):
-    from corbel.workspace import keep, own_folder, release
+    from corbel.workspace import keep, last_kept, own_folder, release, scratch
 
     kept = keep(spark.range(5))
     assert kept.count() == 5 and "Range" not in kept._jdf.queryExecution().optimizedPlan().toString()
+    with scratch(spark) as spared:
+        gone = keep(spark.range(3))
+        left = keep(spark.range(4))
+        spared.append(last_kept(spark))
+    assert left.count() == 4
+    with pytest.raises(Exception, match="(?i)not.?exist|not_exist|PATH_NOT_FOUND|FILE_NOT_EXIST"):
+        gone.collect()
     release(spark)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
