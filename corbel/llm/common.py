@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from corbel.workspace import own_folder
+from corbel.workspace import keep
 
 #: Fixed value: what the contracts call a word.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,16 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def settle(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to the shared folder as Parquet and reads it again: lineage ends there, and no executor's loss undoes it.
-    corbel.workspace.release deletes all of an application's tables."""
-    spark = df.sparkSession
-    path = f"{own_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    corbel.workspace.release deletes all of an application's tables, scratch those of one step."""
+    return keep(df, tag)
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
-    """Arrow batches by row count; rows of documents are some KB, so a batch is some MB."""
+    """Arrow batches by row count; rows of documents are some KB, so a batch is some MB. A setting of the session, and
+    left so, as plans run later than they are made."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
@@ -119,8 +114,8 @@ def owners(offsets: np.ndarray) -> np.ndarray:
     return np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
 
 
-#: Bits of a Bloom filter (a fixed 8 MB, whatever it is built from), of one of its parts, and hashes per key.
-BLOOM_BITS, BLOOM_PART, BLOOM_HASHES = 1 << 26, 1 << 20, 3
+#: Bits of a Bloom filter (a fixed 8 MB, whatever it is built from), and hashes per key.
+BLOOM_BITS, BLOOM_HASHES = 1 << 26, 3
 
 
 def _bloom_places(ids: np.ndarray) -> np.ndarray:
@@ -132,27 +127,23 @@ def _bloom_places(ids: np.ndarray) -> np.ndarray:
 
 def bloom(ids: DataFrame, column: str) -> np.ndarray:
     """A Bloom filter of a long column, as bits. It passes every id of the column, and few others until there are some
-    ten million; beyond that it only saves less."""
+    ten million; beyond that it only saves less. What reaches the driver are its words of 64 bits, a million at most."""
 
     def build(batches):
-        bits: dict[int, np.ndarray] = {}
+        words, bits = np.empty(0, np.int64), np.empty(0, np.uint64)
         for b in batches:
-            places = np.unique(_bloom_places(b.column(0).to_numpy(zero_copy_only=False)).ravel().astype(np.int64))
-            for part in np.unique(places // BLOOM_PART):
-                mine = places[places // BLOOM_PART == part] - part * BLOOM_PART
-                bits.setdefault(int(part), np.zeros(BLOOM_PART, bool))[mine] = True
-        yield pa.RecordBatch.from_arrays([pa.array(list(bits), pa.int64()), pa.array([np.packbits(x).tobytes() for x in bits.values()], pa.binary())], ["part", "bits"])
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = np.zeros(BLOOM_PART // 8, np.uint8)
-        for x in pdf["bits"]:
-            out |= np.frombuffer(x, np.uint8)
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "bits": [out.tobytes()]})
-
-    rows = ids.select(column).filter(f"{column} IS NOT NULL").mapInArrow(build, "part long, bits binary").groupBy("part").applyInPandas(merge, "part long, bits binary").toLocalIterator()
-    out = np.zeros(BLOOM_BITS // 8, np.uint8)
-    for part, bits in rows:
-        out[part * BLOOM_PART // 8 : (part + 1) * BLOOM_PART // 8] = np.frombuffer(bytes(bits), np.uint8)
+            places = _bloom_places(b.column(0).to_numpy(zero_copy_only=False)).ravel().astype(np.int64)
+            words, bits = np.concatenate([words, places >> 6]), np.concatenate([bits, np.uint64(1) << (places & 63).astype(np.uint64)])
+            order = np.argsort(words, kind="stable")
+            words, bits = words[order], bits[order]
+            at = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])[: len(words)])
+            words, bits = words[at], np.bitwise_or.reduceat(bits, at) if len(at) else bits
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits.view(np.int64))], ["word", "bits"])
+
+    held = ids.select(column).filter(f"{column} IS NOT NULL").mapInArrow(build, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    got = held.toArrow()
+    out = np.zeros(BLOOM_BITS >> 6, np.uint64)
+    out[got.column("word").to_numpy()] = got.column("bits").to_numpy().view(np.uint64)
     return out
 
 
@@ -162,7 +153,7 @@ def likely(ids: np.ndarray, bits: np.ndarray) -> np.ndarray:
     left, step = np.arange(len(h)), mix(h) | np.uint64(1)
     for k in range(BLOOM_HASHES):
         at = ((h[left] + np.uint64(k) * step[left]) & np.uint64(BLOOM_BITS - 1)).astype(np.int64)
-        left = left[(bits[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1]
+        left = left[(bits[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1]
     out = np.zeros(len(h), bool)
     out[left] = True
     return out

@@ -1,15 +1,15 @@
 """Near-duplicates by an LSH forest over MinHash signatures, confirmed on full shingle sets.
 
 1. One pass makes each text's set of distinct word shingles (64-bit hashes), its size, a 128-bit digest and a MinHash
-   signature. Texts with equal sets form a class, represented by its least doc_id.
-2. The forest: each tree is a sorted order of the signatures, with their values in an order of the tree's own. Documents
-   whose orders share a prefix of the level's depth are a region: neighbours by their longest common prefix. Regions of 2
-   to REGION members are partitioned by range, sorted by tree and order, and compared within themselves: signatures that
-   agree at loose(threshold) or more are neighbours, and a spanning forest of the neighbours goes on. Regions with the same
-   members in several trees are looked at once. Larger regions are compared with their central member, the one that agrees
-   most with their commonest values; where every member is its neighbour, the region is done. The members of all
-   others, and only they, go to the next of LEVELS, which sorts them to greater depth in more trees. At the last level
-   members hang on their least one.
+   signature. Texts with equal sets form a class, named by a hash of the digest and represented by its least doc_id.
+2. The forest: each tree is a sorted order of the signatures, with their values in an order of the tree's own. Rows are
+   partitioned by range and sorted; runs whose longest common prefix is the level's depth or more are regions. Regions
+   of 2 to REGION members are compared within themselves: signatures that agree at loose(threshold) or more are
+   neighbours, and a spanning forest of the neighbours goes on. Sizes are counted beforehand, so that single documents
+   and larger regions never meet in a sort, and regions with the same members in several trees are looked at once.
+   Members of larger regions go to the next of LEVELS, which sorts them to greater depth in more trees. Those of the first
+   level are also compared with their central member, the one that agrees most with their commonest values; where
+   every member is its neighbour, the region is done. At the last level members hang on their least one.
 3. Neighbours' components are clusters. Only there full sets are made again from the texts and compared exactly:
    clusters of up to BLOCK documents in one piece, larger ones by pairs of blocks. In large clusters every document is
    first compared with one pivot, the document that agrees best with the cluster's most common values; those that link
@@ -20,9 +20,8 @@ A pair at the threshold shares a prefix of depth d in a tree with the chance of
 independent, all trees of a level would miss it with the chances below (at 0.85; at 0.80); a pair is lost if it is missed by
 the levels it goes through, the last of which is the first one with a small region for it or a hub next to both.
 
-    depth  3, 16 trees  2.4e-7  1.0e-5        depth 12, 96 trees  4.0e-7  1.1e-3
-    depth  5, 32 trees  7.0e-9  3.0e-6        depth 16, 96 trees  6.1e-4  0.066
-    depth  8, 48 trees  2.4e-7  1.5e-4        depth 24, 96 trees  0.14    0.63
+    depth  3, 16 trees  2.4e-7  1.0e-5        depth 16, 64 trees  7.1e-3  0.16
+    depth  8, 32 trees  3.8e-5  2.8e-3        depth 32, 96 trees  0.59    0.93
 
 So only families of several thousand texts that are nearly as similar as the threshold, and not within it to their central
 one, lose links; their members are more often connected through others.
@@ -45,15 +44,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bloom, hash_words, keep_likely, mix, settle, small_batches, split_words, text_chunks
+from .common import bloom, hash_words, keep_likely, mix, settle, small_batches, split_likely, split_words, text_chunks
 from .components import components
 
 SHINGLE = 5
 SIGNATURE = 96
-#: Depth and number of trees of each level of the forest; members of a region; the share of pairs at the threshold whose
-#: signatures may agree too little to be neighbours.
-LEVELS = ((3, 16), (5, 32), (8, 48), (12, 96), (16, 96), (24, 96), (32, 96))
-REGION, DROPPED = 512, 1e-6
+#: Depth and number of trees of each level of the forest; members of a region; ranges of a level's sorted orders; the
+#: share of pairs at the threshold whose signatures may agree too little to be neighbours.
+LEVELS = ((3, 16), (8, 32), (16, 64), (32, 96))
+REGION, RANGES, DROPPED = 512, 2048, 1e-6
 #: Documents of a block of exact comparison, and of a chunk of shingles in it.
 BLOCK, COLUMNS = 384, 8192
 _RNG = np.random.default_rng(20240607)
@@ -120,13 +119,11 @@ def _sketch(batches):
         for part in text_chunks(batch, "text"):
             g, starts = shingle_sets(part.column("text"))
             n = np.diff(starts)
-            sums, xors, some = np.zeros(len(n), np.uint64), np.zeros(len(n), np.uint64), n > 0
-            if some.any():
-                sums[some] = np.add.reduceat(mix(g), starts[:-1][some])
-                xors[some] = np.bitwise_xor.reduceat(mix(g + np.uint64(0x9E3779B97F4A7C15)), starts[:-1][some])
+            sums, xors = _digests(g, starts)
             sig = signatures(g, starts)
             raw = pa.array([s.tobytes() if k else None for s, k in zip(sig, n, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n), pa.array(sums.view(np.int64)), pa.array(xors.view(np.int64)), raw], ["doc_id", "n", "h1", "h2", "sig"])
+            cols = [part.column("doc_id"), part.column("text_hash"), pa.array(n), pa.array(sums), pa.array(xors), raw]
+            yield pa.RecordBatch.from_arrays(cols, ["doc_id", "text_hash", "n", "h1", "h2", "sig"])
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -138,44 +135,61 @@ def _orders(level: int) -> np.ndarray:
     return FIRST if not level else DEEPER[: LEVELS[level][1]]
 
 
-def _bytes(rows: np.ndarray) -> pa.Array:
-    """A binary array of the rows of a matrix of bytes."""
-    ends = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
-    return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(rows))])
-
-
-def _sortable(values: np.ndarray) -> np.ndarray:
-    """Rows of values as rows of bytes in the same order."""
-    return np.ascontiguousarray(values.astype(">u2")).view(np.uint8)
-
-
-def _prefixes(level: int):
+def _keys(level: int):
     depth, trees = LEVELS[level]
 
     def run(batches):
-        """A row for each tree: the tree's number and the first values of the signature in the tree's order, as sortable bytes."""
+        """A row for each tree, with a hash of the first values in the tree's order."""
         for b in batches:
-            sig, rep = _matrix(b.column("sig")), b.column("rep").to_numpy(zero_copy_only=False)
+            sig, rep = _matrix(b.column("sig")), b.column("rep")
             for t, order in enumerate(_orders(level)):
-                out = np.full((len(sig), 1 + 2 * depth), t, np.uint8)
-                out[:, 1:] = _sortable(sig[:, order[:depth]])
-                yield pa.RecordBatch.from_arrays([pa.array(rep), _bytes(out)], ["rep", "prefix"])
+                key = np.full(len(sig), t + 1 + SIGNATURE * depth, np.uint64)
+                for k in order[:depth]:
+                    key = mix(key * np.uint64(31) + sig[:, k].astype(np.uint64))
+                yield pa.RecordBatch.from_arrays([rep, pa.array(np.full(len(sig), t, np.int32)), pa.array(key.view(np.int64))], ["rep", "tree", "key"])
 
     return run
 
 
 def _in_order(level: int):
+    trees = LEVELS[level][1]
+
     def run(batches):
-        """Rows with the whole signature in the order of their tree, which the prefix names."""
+        """Rows with their place in the sorted order of their tree: tree and signature as sortable bytes. The range is
+        that of tree and first value, cut by arithmetic: the low bits of a minimum are spread evenly."""
         for b in batches:
-            sig = _matrix(b.column("sig"))
-            tree = np.array([p[0] for p in b.column("prefix").to_pylist()], np.int64)
-            out = _bytes(_sortable(np.take_along_axis(sig, _orders(level)[tree], axis=1)))
-            yield pa.RecordBatch.from_arrays([b.column("prefix"), b.column("rep"), out], ["prefix", "rep", "sorted"])
+            tree = b.column("tree").to_numpy(zero_copy_only=False)
+            sig = np.take_along_axis(_matrix(b.column("sig")), _orders(level)[tree], axis=1)
+            out = np.empty((len(sig), 1 + 2 * SIGNATURE), np.uint8)
+            out[:, 0], out[:, 1:] = tree, np.ascontiguousarray(sig.astype(">u2")).view(np.uint8)
+            ends = np.arange(len(out) + 1, dtype=np.int32) * out.shape[1]
+            raw = pa.Array.from_buffers(pa.binary(), len(out), [None, pa.py_buffer(ends), pa.py_buffer(out)])
+            cut = (tree.astype(np.int64) * 65536 + sig[:, 0]) * RANGES // (trees * 65536)
+            yield pa.RecordBatch.from_arrays([pa.array(cut.astype(np.int32)), raw, b.column("rep")], ["range", "sorted", "rep"])
 
     return run
 
 
+def regions_of(batches, depth: int):
+    """(rep, signature) arrays of runs of sorted rows whose longest common prefix is the tree and depth values or more."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        rows, rep = np.frombuffer(b"".join(b.column("sorted").to_pylist()), np.uint8).reshape(b.num_rows, -1), b.column("rep").to_numpy(zero_copy_only=False)
+        head, sig = rows[:, : 1 + 2 * depth], np.ascontiguousarray(rows[:, 1:]).view(np.uint16)
+        cuts = np.concatenate([[0], np.flatnonzero((head[1:] != head[:-1]).any(axis=1)) + 1, [len(rows)]])
+        for s, e in zip(cuts[:-1], cuts[1:], strict=True):
+            if held and (last != head[s]).any():
+                yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+                held = []
+            held.append((rep[s:e], sig[s:e]))
+            last = head[s]
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
 def in_groups(batches, key: str):
     """Tables of rows with equal keys, from batches in which equal keys stand together."""
     held: list[pa.RecordBatch] = []
@@ -207,11 +221,10 @@ def labels(near: np.ndarray) -> np.ndarray:
         out = new
 
 
-def _neighbours(least: float):
+def _neighbours(least: float, depth: int):
     def run(batches):
         """A spanning forest of the neighbours in each region, as (a, b)."""
-        for g in in_groups(batches, "prefix"):
-            reps, sig = g.column("rep").to_numpy(), _matrix(g.column("sorted").combine_chunks())
+        for reps, sig in regions_of(batches, depth):
             near = np.zeros((len(reps), len(reps)), bool)
             for s in range(0, len(reps), 64):
                 near[s : s + 64] = (sig[s : s + 64, None, :] == sig[None, :, :]).mean(axis=2) >= least
@@ -259,6 +272,11 @@ def central(rows: DataFrame) -> DataFrame:
     return best.select("cluster", F.col("b.rep").alias("pivot"), F.col("b.sig").alias("hub"))
 
 
+def joined(left: DataFrame, right: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two tables that grow with the documents: always by sorting, so that the plan is the same at every size."""
+    return left.join(right.hint("merge"), on, how)
+
+
 def hub_links(rows: DataFrame, least: float) -> DataFrame:
     """(cluster, rep, hub: the region's central document, near) of large regions (rep, cluster, sig). Linear."""
     hub = settle(central(rows), "lsh-hub")
@@ -268,48 +286,62 @@ def hub_links(rows: DataFrame, least: float) -> DataFrame:
             near = (_matrix(b.column("sig")) == _matrix(b.column("hub"))).mean(axis=1) >= least if b.num_rows else np.empty(0, bool)
             yield b.select(["cluster", "rep", "pivot"]).rename_columns(["cluster", "rep", "hub"]).append_column("near", pa.array(near))
 
-    return settle(rows.join(hub, "cluster").select("cluster", "rep", "pivot", "sig", "hub").mapInArrow(compare, "cluster binary, rep long, hub long, near boolean"), "lsh-near-hub")
+    return settle(rows.join(hub, "cluster").select("cluster", "rep", "pivot", "sig", "hub").mapInArrow(compare, "cluster long, rep long, hub long, near boolean"), "lsh-near-hub")
 
 
 def forest_edges(reps: DataFrame, threshold: int) -> DataFrame:
     """Candidate edges (a, b) between representatives (rep, sig)."""
-    agree, found, now = loose(threshold), [], reps
-    for level in range(len(LEVELS)):
-        rows = settle(now.mapInArrow(_prefixes(level), "rep long, prefix binary"), "lsh-prefixes")
-        regions = rows.groupBy("prefix").agg(F.count("*").alias("m"), F.sum(F.xxhash64("rep").cast("decimal(38,0)")).alias("who"), F.min("rep").alias("least")).filter("m > 1")
-        regions = settle(regions, "lsh-regions")
-        small = regions.filter(f"m <= {REGION}").groupBy("who", "m").agg(F.min("prefix").alias("prefix")).select("prefix")
-        member = rows.join(small, "prefix").select("rep", "prefix").join(reps.select("rep", "sig"), "rep").select("prefix", "rep", "sig")
-        member = settle(member.mapInArrow(_in_order(level), "prefix binary, rep long, sorted binary"), "lsh-members")
-        ordered = member.repartitionByRange("prefix").sortWithinPartitions("prefix", "sorted")
-        found.append(settle(ordered.mapInArrow(_neighbours(agree), "a long, b long"), "lsh-near"))
-        large = regions.filter(f"m > {REGION}").select("prefix", "least")
-        if large.isEmpty():
+    agree, found, now = loose(threshold), [], reps.select("rep", "sig")
+    for level, (depth, _) in enumerate(LEVELS):
+        rows = settle(now.mapInArrow(_keys(level), "rep long, tree int, key long"), "lsh-keys")
+        shared = settle(rows.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "lsh-regions")
+        member = settle(joined(keep_likely(rows, "key", bloom(shared, "key")), shared, "key"), "lsh-members")
+        small = member.filter(f"m <= {REGION}")
+        who = small.groupBy("key", "m").agg(F.bit_xor(F.xxhash64("rep")).alias("who")).groupBy("who", "m").agg(F.min("key").alias("key")).select("key")
+        pairs = joined(small, who, "key").select("rep", "tree")
+        ordered = joined(now, pairs, "rep").select("rep", "tree", "sig").mapInArrow(_in_order(level), "range int, sorted binary, rep long")
+        found.append(settle(ordered.repartition("range").sortWithinPartitions("sorted").mapInArrow(_neighbours(agree, depth), "a long, b long"), "lsh-near"))
+        held = member.filter(f"m > {REGION}").select("rep", "key")
+        if held.isEmpty():
             break
-        held = rows.join(large, "prefix")
         if level == len(LEVELS) - 1:
-            found.append(settle(held.filter("rep <> least").selectExpr("least AS a", "rep AS b"), "lsh-hang"))
+            least = held.groupBy("key").agg(F.min("rep").alias("least"))
+            found.append(settle(joined(held, least, "key").filter("rep <> least").selectExpr("least AS a", "rep AS b"), "lsh-hang"))
             break
-        links = hub_links(held.select("rep", F.col("prefix").alias("cluster")).join(reps.select("rep", "sig"), "rep"), agree)
-        found.append(links.filter("near AND rep <> hub").selectExpr("hub AS a", "rep AS b"))
-        open_ = links.groupBy("cluster").agg(F.min("near").alias("all_near")).filter("NOT all_near").select("cluster")
-        left = settle(links.join(open_, "cluster").select("rep").distinct(), "lsh-open")
-        if left.isEmpty():
+        if level:
+            left = held.select("rep").distinct()
+        else:
+            links = hub_links(joined(now, held.select("rep", F.col("key").alias("cluster")), "rep").select("rep", "cluster", "sig"), agree)
+            found.append(links.filter("near AND rep <> hub").selectExpr("hub AS a", "rep AS b"))
+            open_ = links.groupBy("cluster").agg(F.min("near").alias("all_near")).filter("NOT all_near").select("cluster")
+            left = links.join(open_, "cluster").select("rep").distinct()
+        now = settle(joined(now, left, "rep").select("rep", "sig"), "lsh-deeper")
+        if now.isEmpty():
             break
-        now = reps.join(left, "rep").select("rep", "sig")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
     return out.distinct()
 
 
+def _digests(g: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit digests of each set."""
+    sums, xors, some = np.zeros(len(starts) - 1, np.uint64), np.zeros(len(starts) - 1, np.uint64), np.diff(starts) > 0
+    if some.any():
+        sums[some] = np.add.reduceat(mix(g), starts[:-1][some])
+        xors[some] = np.bitwise_xor.reduceat(mix(g + np.uint64(0x9E3779B97F4A7C15)), starts[:-1][some])
+    return sums.view(np.int64), xors.view(np.int64)
+
+
 def _sets(batches):
-    """rep, cluster and the sorted shingles, as bytes."""
+    """rep, cluster, m and the sorted shingles, as bytes, of the rows that have their class's set (a doc_id may be repeated)."""
     for batch in batches:
         for part in text_chunks(batch, "text"):
             g, starts = shingle_sets(part.column("text"))
+            sums, xors = _digests(g, starts)
+            own = (sums == part.column("h1").to_numpy(zero_copy_only=False)) & (xors == part.column("h2").to_numpy(zero_copy_only=False))
             raw = pa.array([g[a:b].tobytes() for a, b in zip(starts[:-1], starts[1:], strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("cluster"), part.column("m"), raw], ["rep", "cluster", "m", "members"])
+            yield pa.RecordBatch.from_arrays([part.column("rep"), part.column("cluster"), part.column("m"), raw], ["rep", "cluster", "m", "members"]).filter(pa.array(own))
 
 
 def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
@@ -338,8 +370,9 @@ def _linked(threshold: int):
     def run(batches):
         """Exact links of each piece as (a, b): a spanning forest. side: 0 both, 1 left, 2 right block."""
         for g in in_groups(batches, "piece"):
-            reps, side = g.column("rep").to_numpy(), g.column("side").to_numpy()
-            sets = [np.frombuffer(x, np.uint64) for x in g.column("members").to_pylist()]
+            reps, side, raw = g.column("rep").to_numpy(), g.column("side").to_numpy(), g.column("members").to_pylist()
+            _, once = np.unique(reps, return_index=True)  # a repeated row comes again
+            reps, side, sets = reps[once], side[once], [np.frombuffer(raw[i], np.uint64) for i in once]
             size = np.array([len(x) for x in sets])
             left = np.flatnonzero(side < 2)
             right = left if (side == 0).all() else np.flatnonzero(side == 2)
@@ -355,23 +388,28 @@ def _linked(threshold: int):
             if use.any():
                 yield pa.RecordBatch.from_arrays([pa.array(reps[lab[use]]), pa.array(reps[use])], ["a", "b"])
 
-    return run
+    def of_texts(batches):
+        """The same of whole clusters that come as texts."""
+        pieces = (b.rename_columns(["rep", "piece", "m", "members"]).append_column("side", pa.array(np.zeros(b.num_rows, np.int32))) for b in _sets(batches))
+        return run(pieces)
+
+    return run, of_texts
 
 
 def exact_links(docs: DataFrame, clusters: DataFrame, signs: DataFrame, threshold: int) -> DataFrame:
-    """Spanning edges of all exact links within clusters (rep, cluster, m members)."""
-    likely = keep_likely(docs.select(F.col("doc_id").alias("rep"), "text"), "rep", bloom(clusters, "rep"))
-    sets = settle(likely.join(clusters, "rep").dropDuplicates(["rep"]).mapInArrow(_sets, "rep long, cluster long, m long, members binary"), "near-sets")
-    run = _linked(threshold)
+    """Spanning edges of all exact links within clusters (rep, cluster, m members, doc and digest of the class)."""
+    likely = keep_likely(docs.select(F.col("doc_id").alias("doc"), "text"), "doc", bloom(clusters, "doc"))
+    texts = settle(joined(likely, clusters, "doc").select("rep", "cluster", "m", "h1", "h2", "text"), "near-texts")
+    run, of_texts = _linked(threshold)
     schema = "a long, b long"
-    small = sets.filter(f"m <= {BLOCK}").select(F.col("cluster").alias("piece"), F.lit(0).alias("side"), "rep", "members")
-    out = settle(small.repartition("piece").sortWithinPartitions("piece").mapInArrow(run, schema), "near-links")
-    large = sets.filter(f"m > {BLOCK}")
+    small = texts.filter(f"m <= {BLOCK}").repartition("cluster").sortWithinPartitions("cluster")
+    out = settle(small.mapInArrow(of_texts, schema), "near-links")
+    large = settle(texts.filter(f"m > {BLOCK}").mapInArrow(_sets, "rep long, cluster long, m long, members binary"), "near-sets")
     if large.isEmpty():
         return out
     # Every document of a large cluster against its pivot: pairs are joined, not gathered.
-    pivot = central(large.select("rep", "cluster").join(signs, "rep")).select("cluster", "pivot")
-    pivot = settle(pivot.join(large.select(F.col("rep").alias("pivot"), F.col("members").alias("pm")), "pivot"), "near-pivot")
+    pivot = central(joined(signs, large.select("rep", "cluster").distinct(), "rep")).select("cluster", "pivot")
+    pivot = settle(pivot.join(large.select(F.col("rep").alias("pivot"), F.col("members").alias("pm")), "pivot").dropDuplicates(["cluster"]), "near-pivot")
 
     def to_pivot(batches):
         for b in batches:
@@ -382,7 +420,7 @@ def exact_links(docs: DataFrame, clusters: DataFrame, signs: DataFrame, threshol
                 keep.append(100 * inter >= threshold * (len(x) + len(p) - inter))
             yield pa.RecordBatch.from_arrays([b.column("pivot"), b.column("rep"), pa.array(keep, pa.bool_())], ["a", "b", "linked"])
 
-    star = settle(large.join(pivot, "cluster").mapInArrow(to_pivot, "a long, b long, linked boolean"), "near-star")
+    star = settle(large.join(pivot, "cluster").mapInArrow(to_pivot, "a long, b long, linked boolean").distinct(), "near-star")
     # Blocks of linked documents need no pairs among themselves; every other pair of blocks is one piece.
     member = large.join(star.selectExpr("b AS rep", "linked"), "rep")
     counts = member.groupBy("cluster").agg(F.count(F.when(F.col("linked"), 1)).alias("n1"), F.count(F.when(~F.col("linked"), 1)).alias("n0"))
@@ -401,17 +439,39 @@ def exact_links(docs: DataFrame, clusters: DataFrame, signs: DataFrame, threshol
 
 
 def near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept of every row of docs (doc_id, text); threshold is in percent."""
+    """doc_id, n_shingles, component_id, kept, text_hash of every row of docs (doc_id, text); threshold is in percent."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
-    sketch = settle(docs.mapInArrow(_sketch, "doc_id long, n long, h1 long, h2 long, sig binary"), "near-sketch")
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    sketch = settle(hashed.mapInArrow(_sketch, "doc_id long, text_hash long, n long, h1 long, h2 long, sig binary"), "near-sketch")
     known = sketch.filter("n > 0 AND doc_id IS NOT NULL")
-    reps = settle(known.groupBy("h1", "h2", "n").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("rep")), "near-reps")
+    reps = known.groupBy("h1", "h2", "n").agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("doc"))
+    reps = settle(reps.withColumn("rep", F.xxhash64("h1", "h2", "n")), "near-reps")
     clusters = components(forest_edges(reps.select("rep", "sig"), threshold))
     size = clusters.groupBy("root").agg(F.count("*").alias("m"))
-    clusters = settle(clusters.join(size, "root").selectExpr("node AS rep", "root AS cluster", "m"), "near-clusters")
-    roots = components(exact_links(docs, clusters, reps.select("rep", "sig"), threshold))
-    reps = reps.select("h1", "h2", "n", "rep").join(roots.selectExpr("node AS rep", "root"), "rep", "left").select("h1", "h2", "n", F.coalesce("root", "rep").alias("component"))
-    out = sketch.select("doc_id", "n", "h1", "h2").join(reps, ["h1", "h2", "n"], "left")
+    clusters = joined(joined(clusters, size, "root").selectExpr("node AS rep", "root AS cluster", "m"), reps.select("rep", "doc", "h1", "h2"), "rep")
+    roots = components(exact_links(docs, settle(clusters, "near-clusters"), reps.select("rep", "sig"), threshold))
+    linked = settle(joined(roots.selectExpr("node AS rep", "root"), reps.select("rep", "doc"), "rep"), "near-roots")
+    linked = joined(linked, linked.groupBy("root").agg(F.min("doc").alias("component")), "root").select("rep", "component")
+    reps = joined(reps, linked, "rep", "left").select("h1", "h2", "n", F.coalesce("component", "doc").alias("component"))
+    out = joined(sketch.select("doc_id", "text_hash", "n", "h1", "h2"), reps, ["h1", "h2", "n"], "left")
     component = F.when(F.col("n") > 0, F.coalesce("component", "doc_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), "text_hash")
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
+#: Column names that documents don't have.
+HASH, KEEP = "__near_dedup_hash", "__near_dedup_keep"
+
+
+def drop_near_duplicates(docs: DataFrame, threshold: int = 85) -> DataFrame:
+    """docs, all columns, with one row of each group. Rows are told apart by doc_id and text; of rows equal in both one
+    stays. Rows without a shingle or a doc_id stay. Only rows that a filter takes for members of a group are shuffled."""
+    found = near_duplicates(docs, threshold).filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    verdict = found.groupBy("doc_id", F.col("text_hash").alias(HASH)).agg(F.max("kept").alias(KEEP), F.count("*").alias("c"))
+    marked = settle(verdict.filter(f"NOT {KEEP} OR c > 1").drop("c"), "near-marked")
+    some, rest = split_likely(docs.withColumn(HASH, F.xxhash64("text")), "doc_id", bloom(marked, "doc_id"))
+    some = some.join(marked, ["doc_id", HASH], "left")
+    once = some.filter(F.col(KEEP).isNull())
+    again = some.filter(KEEP).dropDuplicates(["doc_id", HASH])
+    return rest.select(*docs.columns).unionByName(once.select(*docs.columns)).unionByName(again.select(*docs.columns))

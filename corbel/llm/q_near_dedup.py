@@ -9,7 +9,7 @@ from .near_dedup import near_duplicates
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=85)
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"), threshold=85).drop("text_hash")
 
 
 SQL = r"""

@@ -125,6 +125,21 @@ def test_mixing_with_many_buckets(spark, monkeypatch):
     assert {r["doc_id"] for r in got} == set(order[:23])
 
 
+def test_mixing_of_repeated_and_nameless_rows(spark, monkeypatch):
+    """Repeated doc_ids with equal and with different texts, and null ones: each row counts, carried texts stay its own."""
+    monkeypatch.setattr(mixing, "BUCKET_ROWS", 4)
+    rows = [(i % 20 if i % 3 else None, " ".join(f"w{i // 2}" for _ in range(1 + i // 2 % 5)), "d", "en", "s") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, domain string, lang string, source string")
+    total = sum(len(t.split()) for _, t, *_ in rows)
+    copies = collections.Counter((i, t) for i, t, *_ in rows)
+    for budget in (total // 3, total, total + total // 2, 5 * total):
+        got = [(r["doc_id"], r["text"], r["epoch"]) for r in mixing.mix(df, {}, budget, 2, carry=("text",)).collect()]
+        n = collections.Counter(got)
+        assert all(c == copies[i, t] for (i, t, _), c in n.items())
+        assert budget - 12 <= sum(len(t.split()) for _, t, _ in got) <= budget or budget > 2 * total and len(got) == 2 * len(rows)
+        assert got and sorted(map(str, got)) == sorted(map(str, ((r["doc_id"], r["text"], r["epoch"]) for r in mixing.mix(df.repartition(3), {}, budget, 2, carry=("text",)).collect())))
+
+
 # ------------------------------------------------------------------ 2 decontamination
 
 
@@ -532,6 +547,14 @@ def test_near_duplicates(spark, monkeypatch, small):
     assert got == {i: (n, c, c == i) for i, (n, c) in _brute_components(rows).items()}
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """One doc_id with several texts: each row is classed by its own text."""
+    text = lambda k, n: " ".join(f"t{k}w{i}" for i in range(n))
+    rows = [(1, text(1, 50)), (1, text(2, 50)), (1, text(1, 50)), (2, text(1, 50) + " more"), (3, text(2, 50) + " x"), (4, text(2, 50) + " x"), (5, text(3, 9))]
+    got = collections.Counter((r["doc_id"], r["n_shingles"], r["component_id"]) for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == {(1, 46, 1): 3, (2, 47, 1): 1, (3, 47, 1): 1, (4, 47, 1): 1, (5, 5, 5): 1}
+
+
 @pytest.mark.parametrize("region", [8, 32])
 def test_pairs_inside_a_large_family(spark, monkeypatch, region):
     """Texts of one template, half of their words equal, each with one partner just above the threshold: regions far
@@ -552,16 +575,24 @@ def test_pairs_inside_a_large_family(spark, monkeypatch, region):
     assert sum(got[2 * k + 1] == 2 * k for k in range(400)) >= 399
 
 
-def test_prefixes_sort_as_signatures():
+def test_regions_are_runs_of_common_prefixes():
+    """Sorted rows in several batches, against grouping by the first values of each tree's order."""
     rng = np.random.default_rng(2)
-    sig = rng.integers(0, 2**16, (50, near_dedup.SIGNATURE), dtype=np.uint16)
-    batch = pa.RecordBatch.from_arrays([pa.array(np.arange(50)), pa.array([x.tobytes() for x in sig], pa.binary())], ["rep", "sig"])
-    for level, (depth, trees) in enumerate(near_dedup.LEVELS):
-        got = pa.Table.from_batches(list(near_dedup._prefixes(level)([batch]))).to_pylist()
+    sig = rng.integers(0, 2, (60, near_dedup.SIGNATURE)).astype(np.uint16)
+    for level, (depth, trees) in enumerate(near_dedup.LEVELS[:2]):
         orders = near_dedup._orders(level)
-        assert len(got) == 50 * trees == 50 * len(orders) and all(sorted(o) == list(range(near_dedup.SIGNATURE)) for o in orders.tolist())
-        want = sorted((t, *sig[i][orders[t][:depth]].tolist(), i) for i in range(50) for t in range(trees))
-        assert [r["rep"] for r in sorted(got, key=lambda r: (r["prefix"], r["rep"]))] == [w[-1] for w in want]
+        assert len(orders) == trees and all(sorted(o) == list(range(near_dedup.SIGNATURE)) for o in orders.tolist())
+        rep, tree = np.tile(np.arange(60), trees), np.repeat(np.arange(trees, dtype=np.int32), 60)
+        batch = pa.RecordBatch.from_arrays([pa.array(rep), pa.array(tree), pa.array([sig[i].tobytes() for i in rep], pa.binary())], ["rep", "tree", "sig"])
+        (out,) = near_dedup._in_order(level)([batch])
+        rows = sorted(out.to_pylist(), key=lambda r: r["sorted"])
+        assert [r["range"] for r in rows] == sorted(r["range"] for r in rows) and 0 <= rows[0]["range"] <= rows[-1]["range"] < near_dedup.RANGES
+        batches = pa.RecordBatch.from_pylist(rows, out.schema)
+        got = sorted(sorted(r.tolist()) for r, s in near_dedup.regions_of([batches.slice(k, 97) for k in range(0, len(rows), 97)], depth) if (s.sum(axis=1) >= 0).all())
+        want = collections.defaultdict(list)
+        for t, i in itertools.product(range(trees), range(60)):
+            want[t, *sig[i][orders[t][:depth]].tolist()].append(i)
+        assert got == sorted(want.values())
 
 
 # ------------------------------------------------------------------ 8 secrets
@@ -643,6 +674,23 @@ def test_long_values_are_scored_whole():
     assert secrets.guess_cost(v) > 200 and secrets.guess_cost(v, limit=8.0) == 8.0
 
 
+def test_planted_credentials():
+    """Values made at random against values that people choose, in a context: recall and precision of the guess spans."""
+    rng = random.Random(88)
+    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    strong = ["".join(rng.choice(alphabet) for _ in range(rng.randint(10, 40))) for _ in range(500)]
+    pick = lambda: rng.choice(secrets.WORDS)
+    makers = [
+        lambda: pick() + str(rng.randint(1, 999)), lambda: pick().capitalize() + pick(), lambda: pick() + str(rng.randint(1960, 2024)), lambda: rng.choice("abcxyz019") * rng.randint(6, 30),
+        lambda: "qwertyuiop"[: rng.randint(6, 10)] + str(rng.randint(1, 99)), lambda: f"{rng.randint(1950, 2024)}-{rng.randint(1, 12):02}-{rng.randint(1, 28):02}", lambda: pick() * 3,
+    ]
+    weak = [v for v in (rng.choice(makers)() for _ in range(500)) if len(v) >= 6]
+    found = lambda v: [s for s in secrets.spans_of(f"passphrase: {v} end") if s[0] == "guess"]
+    hit, wrong = sum(bool(found(v)) for v in strong), sum(bool(found(v)) for v in weak)
+    print(hit, len(strong), wrong, len(weak))
+    assert hit == len(strong) and hit / (hit + wrong) >= 0.98
+
+
 def test_dictionary_of_the_texts(spark):
     """Frequent words of the texts are cheap, values of credentials never become words."""
     rows = [(i, f"the quibblefrost stood. password: zkqvxjwhgyfp and passphrase: vexmoorland {'rarelyseen' if i == 3 else ''}") for i in range(50)]
