@@ -1,8 +1,13 @@
 """From documents to a training mix: toxicity, line dedup, near-dedup, decontamination, mixing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; between stages the rows are written as Parquet and read
-again. All stages but the last return the columns of documents. Rows with null doc_id pass the dedup stages untouched
-and are dropped by none but toxicity and mixing.
+again. All stages but the last return the columns of documents.
+
+Defined results: rows with null doc_id pass line dedup, near-dedup and decontamination untouched; rows with null or empty
+text stay up to mixing, which never selects them; repeated rows are judged each by their own text (near-dedup keeps one of
+equal texts, so of rows equal in doc_id and text too; line dedup keeps the first holder's); rows that share a doc_id but not
+their text stay or go by themselves, but in decontamination, where a leak in one takes all; empty tables: no rows; columns beside
+those of documents are kept, whatever their names, up to mixing.
 """
 
 from __future__ import annotations
@@ -14,10 +19,11 @@ from corbel.llm.common import settle, table
 from corbel.llm.decontaminate import decontaminate
 from corbel.llm.line_dedup import line_dedup
 from corbel.llm.mixing import mix
-from corbel.llm.near_dedup import near_duplicates
+from corbel.llm.near_dedup import drop_near_duplicates
 from corbel.llm.q_mixing import BUDGET, DOMAIN, MAX_EPOCHS, WEIGHTS
 from corbel.llm.q_toxicity import THRESHOLD, held_out
 from corbel.llm.toxicity import drop_toxic
+from corbel.workspace import discard, last_kept, scratch
 
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,8 +38,7 @@ def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (similarity 0.8 or more) stays."""
-    out = near_duplicates(docs, threshold=80).groupBy("doc_id").agg(F.max("kept").alias("kept"))
-    return docs.join(out.filter("NOT kept").select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
+    return drop_near_duplicates(docs, threshold=80)
 
 
 def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -43,8 +48,8 @@ def decontaminate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The target mix: a row for each document and epoch, with its text."""
-    chosen = mix(docs.select("doc_id", "text", "lang", "source").withColumn("domain", F.expr(DOMAIN)), WEIGHTS, F.expr(BUDGET), MAX_EPOCHS)
-    return chosen.join(docs.select("doc_id", "text"), "doc_id")
+    named = docs.select("doc_id", "text", "lang", "source").withColumn("domain", F.expr(DOMAIN))
+    return mix(named, WEIGHTS, F.expr(BUDGET), MAX_EPOCHS, carry=("text",))
 
 
 STAGES = [
@@ -60,9 +65,15 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The mix. Of the tables that the stages write, only those that it reads stay."""
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = settle(docs, f"pipeline-{name}")
+        if k == len(STAGES) - 1:
+            return stage(spark, docs, sf_dir)
+        with scratch(spark) as spared:
+            docs = settle(stage(spark, docs, sf_dir), f"pipeline-{name}")
+            spared.append(last_kept(spark))
+        if before:
+            discard(spark, before)
+        before = spared[0]
     return docs
