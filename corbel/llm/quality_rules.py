@@ -41,26 +41,34 @@ def words_of(text: Column) -> Column:
 
 def repeat_words(words: Column) -> Column:
     """Number of words inside 3-word windows that occur twice or more. Each window is a long: its hash in the upper
-    bits, its place in the lower ones; sorting brings equal hashes together, and the covered places are summed."""
+    bits, its place in the lower ones; sorting brings equal hashes together (neighbours that differ in lower bits only),
+    and the covered places are summed."""
     n = F.size(words)
     bits = F.length(F.bin(n.cast("bigint")))
-    windows = F.transform(F.sequence(F.lit(1), n - 2), lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)))
+    low = F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1
 
     def covered(at: Column) -> Column:
-        gaps = F.transform(at, lambda x, i: F.least(F.lit(3), F.coalesce(F.get(at, i + 1) - x, F.lit(3))))
+        gaps = F.zip_with(at, F.slice(at, F.lit(2), F.size(at)), lambda x, y: F.least(F.lit(3).cast("bigint"), F.coalesce(y - x, F.lit(3).cast("bigint"))))
         return F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, b: a + b)
 
-    def repeated(sorted_: Column) -> Column:
-        high = lambda x: F.call_function("shiftrightunsigned", x, bits)
-        same = lambda x, j: F.coalesce(high(x) == high(F.get(sorted_, j)), F.lit(False))
-        hit = F.filter(sorted_, lambda x, i: same(x, i - 1) | same(x, i + 1))
-        return F.sort_array(F.transform(hit, lambda x: x.bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("bigint"), bits) - 1)))
+    def of(low: Column) -> Column:
+        high = F.bitwise_not(low)
+        window = lambda i: F.xxhash64(F.get(words, i - 1), F.get(words, i), F.get(words, i + 1)).bitwiseAND(high).bitwiseOR(i.cast("bigint"))
 
-    def count(hs: Column) -> Column:
-        packed = F.transform(hs, lambda h, i: F.call_function("shiftleft", F.call_function("shiftrightunsigned", h, bits), bits).bitwiseOR(i.cast("bigint")))
-        return F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0)).otherwise(_let(_let(F.sort_array(packed), repeated), covered))
+        def repeated(s: Column) -> Column:
+            # For each window whether it equals the one before it, and so whether either of a pair counts.
+            same = F.zip_with(s, F.slice(s, F.lit(2), F.size(s)), lambda x, y: F.coalesce(x.bitwiseXOR(y).bitwiseAND(high) == 0, F.lit(False)))
+            return _let(same, lambda e: F.filter(s, lambda x, i: F.get(e, i) | F.coalesce(F.get(e, i - 1), F.lit(False))))
 
-    return F.when(n < 4, F.lit(0)).otherwise(_let(windows, count)).cast("bigint")
+        hits = _let(F.sort_array(F.transform(F.sequence(F.lit(1), n - 2), window)), repeated)
+        places = lambda h: F.sort_array(F.transform(h, lambda x: x.bitwiseAND(low)))
+        return _let(hits, lambda h: F.when(F.size(h) == 0, F.lit(0).cast("bigint")).otherwise(_let(places(h), covered)))
+
+    return F.when(n < 4, F.lit(0).cast("bigint")).otherwise(_let(low, of))
+
+
+def _count(text: Column, pattern: str) -> Column:
+    return F.regexp_count(text, F.lit(pattern)).cast("bigint")
 
 
 def base_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -69,7 +77,7 @@ def base_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     of_words = lambda w: F.struct(F.size(w).cast("bigint").alias("n"), repeat_words(w).alias("r"), F.length(F.array_join(w, "")).cast("bigint").alias("c"))
     of_lines = lambda x: F.struct(F.size(x).cast("bigint").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("bigint").alias("d"))
-    symbols = (F.length(t) - F.length(F.translate(t, "#*$%&|<>", ""))).cast("bigint")
+    symbols = _count(t, r"[#*$%&|<>]")
 
     def every(w: Column, x: Column) -> Column:
         failed = (w["n"] < 50) | (100 * w["r"] > 50 * w["n"])
@@ -80,10 +88,6 @@ def base_metrics(docs: DataFrame, text: str = "text") -> DataFrame:
     return docs.select(*[c for c in docs.columns if c not in METRICS], F.inline(both))
 
 
-def _count(text: Column, characters: str) -> Column:
-    return F.length(text) - F.length(F.regexp_replace(text, characters, ""))
-
-
 #: name -> rejecting condition, from the text and the metrics. Whole numbers only.
 RULES = {
     "long_words": lambda t: F.col("word_chars") > 20 * F.col("n_words"),
@@ -93,7 +97,7 @@ RULES = {
     "shouting": lambda t: 2 * _count(t, "!") > F.col("n_words"),
     "upper_case": lambda t: 2 * _count(t, r"\p{Lu}") > F.col("word_chars"),
     "digits": lambda t: 2 * _count(t, "[0-9]") > F.col("word_chars"),
-    "few_letters": lambda t: 10 * F.size(F.filter(words_of(t), lambda w: w.rlike(r"\p{L}"))) < 7 * F.col("n_words"),
+    "few_letters": lambda t: 10 * _count(t, r"\p{L}[^\x20\x09-\x0D]*+") < 7 * F.col("n_words"),
 }
 
 
