@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import distinct_words, hash_array, hash_strings, owners, small_batches, split_words, text_chunks
+from .common import bloom, distinct_words, hash_array, hash_strings, owners, settle, small_batches, split_likely, split_words, text_chunks
 
 PASSAGE, WINDOW, STRIDE, ANSWER = 48, 64, 32, 5
 COSINE, STRONG, WEAK = 0.25, 0.6, 0.45
@@ -332,6 +332,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, answer: str | None = None, item
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, answer: str | None = None) -> DataFrame:
-    """docs without those that hold a benchmark item."""
-    found = leaks(docs, benchmark, answer).select("doc_id").distinct()
-    return docs.join(found, "doc_id", "left_anti")
+    """docs without those that hold a benchmark item. Only rows that a filter takes for such ones are shuffled."""
+    found = settle(leaks(docs, benchmark, answer).select("doc_id").distinct(), "leaks")
+    some, rest = split_likely(docs, "doc_id", bloom(found, "doc_id"))
+    return some.join(found, "doc_id", "left_anti").select(*docs.columns).unionByName(rest)
