@@ -130,15 +130,12 @@ def bloom(ids: DataFrame, column: str) -> np.ndarray:
     ten million; beyond that it only saves less. What reaches the driver are its words of 64 bits, a million at most."""
 
     def build(batches):
-        words, bits = np.empty(0, np.int64), np.empty(0, np.uint64)
+        held = np.zeros(BLOOM_BITS >> 6, np.uint64)
         for b in batches:
             places = _bloom_places(b.column(0).to_numpy(zero_copy_only=False)).ravel().astype(np.int64)
-            words, bits = np.concatenate([words, places >> 6]), np.concatenate([bits, np.uint64(1) << (places & 63).astype(np.uint64)])
-            order = np.argsort(words, kind="stable")
-            words, bits = words[order], bits[order]
-            at = np.flatnonzero(np.concatenate([[True], words[1:] != words[:-1]])[: len(words)])
-            words, bits = words[at], np.bitwise_or.reduceat(bits, at) if len(at) else bits
-        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(bits.view(np.int64))], ["word", "bits"])
+            np.bitwise_or.at(held, places >> 6, np.uint64(1) << (places & 63).astype(np.uint64))
+        words = np.flatnonzero(held)
+        yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(held[words].view(np.int64))], ["word", "bits"])
 
     held = ids.select(column).filter(f"{column} IS NOT NULL").mapInArrow(build, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits"))
     got = held.toArrow()
