@@ -1,0 +1,137 @@
+"""Operator 12 against tiktoken, and on odd and empty tables."""
+
+from __future__ import annotations
+
+import hashlib
+import random
+import struct
+
+import public_tokenizers
+import pytest
+import tiktoken
+
+from corbel.llm import byte_bpe, queries
+from corbel.llm.byte_bpe import Encoder, Prefixes, Vocabulary, decode, encode, read_ranks, update
+
+SF = "/root/testdata/sf0.001"
+SIGNS = "aab \n\t'stre0123é中😀-,.ABx  ñ "
+
+
+@pytest.fixture(scope="module")
+def ranks(spark):
+    return read_ranks(spark, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+
+
+@pytest.fixture(scope="module")
+def oracle(ranks):
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+@pytest.fixture(scope="module")
+def encoder(ranks):
+    return Encoder(Vocabulary(ranks), public_tokenizers.PATTERN)
+
+
+def packed(ids):
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def some_text(rng, n=60):
+    out = "".join(rng.choice(SIGNS) for _ in range(rng.randint(0, n)))
+    return out.replace(" ", "") if rng.random() < 0.3 else out
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_random_texts_and_edits(encoder, oracle, seed):
+    rng = random.Random(seed)
+    for _ in range(700):
+        text = some_text(rng)
+        assert encoder.encode(text) == packed(oracle.encode_ordinary(text)), text
+        assert encoder.decode(encoder.encode(text)) == text.encode()
+        i, j = sorted(rng.randint(0, len(text)) for _ in range(2))
+        new = text[:i] + some_text(rng, 5) + text[j:]
+        assert encoder.update(text, encoder.encode(text), new) == packed(oracle.encode_ordinary(new)), (text, new)
+        more = text + some_text(rng, 8)
+        assert encoder.update(text, encoder.encode(text), more) == packed(oracle.encode_ordinary(more)), (text, more)
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_entries_after_appends_and_edits_are_those_of_the_whole(encoder, seed):
+    rng, vocabulary = random.Random(seed), encoder.vocabulary
+    for _ in range(300):
+        data = "".join(rng.choice("aestrx é") for _ in range(rng.randint(0, 90))).encode()
+        cut = rng.randint(0, len(data))
+        grown = Prefixes(vocabulary, data[:cut])
+        grown.append(data[cut:])
+        assert grown.last == Prefixes(vocabulary, data).last
+        i, j = sorted(rng.randint(0, len(data)) for _ in range(2))
+        new = bytes(rng.choice(b"aest \xc3\xa9") for _ in range(rng.randint(0, 4)))
+        grown.replace(i, j, new)
+        assert (grown.data, grown.last) == (data[:i] + new + data[j:], Prefixes(vocabulary, data[:i] + new + data[j:]).last)
+
+
+def test_an_edit_remakes_few_entries(encoder):
+    rng = random.Random(0)
+    table = Prefixes(encoder.vocabulary, "".join(rng.choice("abcdefghij") for _ in range(5000)).encode())
+    assert table.replace(2000, 2003, b"xyz") < 200
+
+
+def test_each_entry_is_the_only_token_that_fits(encoder):
+    vocabulary, data = encoder.vocabulary, "unbelievable straßenbahn 1234".encode()
+    last = Prefixes(vocabulary, data).last
+    for end in range(1, len(data) + 1):
+        assert vocabulary.merged(data[:end])[-1] == vocabulary.bytes[last[end - 1]]
+        fits = [t for start in range(end) if (t := vocabulary.ranks.get(data[start:end])) is not None and vocabulary.may_follow(last[start - 1] if start else -1, t)]
+        assert fits == [last[end - 1]]
+
+
+def test_tokens_out_of_reach_of_merges_stand_for_whole_matches_only():
+    ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"cd": 257}  # abc can't be merged of its bytes
+    oracle = tiktoken.Encoding("own", pat_str=r"\S+|\s+", mergeable_ranks=ranks, special_tokens={})
+    encoder = Encoder(Vocabulary(ranks), r"\S+|\s+")
+    for text in ("abc", "abcd", "xabc", "abc abc", "cdcd"):
+        assert encoder.encode(text) == packed(oracle.encode_ordinary(text))
+
+
+def test_long_matches_and_full_memories(ranks, oracle, monkeypatch):
+    rng = random.Random(5)
+    text = "x" * 50_000 + " " * 20_000 + "".join(rng.choice("abcdef") for _ in range(50_000)) + " end of it" * 3
+    encoder = Encoder(Vocabulary(ranks), public_tokenizers.PATTERN)
+    assert encoder.encode(text) == packed(oracle.encode_ordinary(text))
+    monkeypatch.setattr(byte_bpe, "HELD", 3000)
+    monkeypatch.setattr(byte_bpe, "ANSWERS", 50)
+    small = Encoder(Vocabulary(ranks), public_tokenizers.PATTERN)
+    words = " ".join(some_text(rng, 12) for _ in range(300))
+    assert small.encode(words) == packed(oracle.encode_ordinary(words)) and len(small) < 20
+
+
+def test_tables(spark, odd, ranks, oracle):
+    out = decode(encode(odd, "text", ranks, public_tokenizers.PATTERN), "tokens", ranks, public_tokenizers.PATTERN)
+    assert out.columns == [*odd.columns, "tokens", "data"]
+    rows = out.select("text", "tokens", "data").collect()
+    assert len(rows) == odd.count()
+    for text, tokens, data in rows:
+        assert bytes(tokens) == packed(oracle.encode_ordinary(text or "")) and bytes(data) == (text or "").encode()
+    assert encode(odd.limit(0), "text", ranks, public_tokenizers.PATTERN).count() == 0
+    with pytest.raises(ValueError, match="tokens"):
+        encode(out, "text", ranks, public_tokenizers.PATTERN)
+
+
+def test_updates_of_a_table(spark, ranks, oracle):
+    rng = random.Random(9)
+    olds = [some_text(rng) for _ in range(50)] + [None, "", "same"]
+    news = [(t or "") + rng.choice(["", " more", "x", "\n\n"]) for t in olds[:-1]] + [None]
+    df = spark.createDataFrame(list(zip(olds, news, strict=True)), "old string, new string")
+    made = update(encode(df, "old", ranks, public_tokenizers.PATTERN), "old", "tokens", "new", ranks, public_tokenizers.PATTERN)
+    for r in made.collect():
+        assert bytes(r["new_tokens"]) == packed(oracle.encode_ordinary(r["new"] or ""))
+
+
+def test_query_over_all_documents(spark, docs, oracle):
+    got = {r["doc_id"]: r for r in queries.QUERIES["op12_byte_bpe"](spark, SF).collect()}
+    want = docs.select("doc_id", "text").collect()
+    assert len(got) == len(want)
+    for i, text in want:
+        ids = oracle.encode_ordinary(text or "")
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"]) == (len(ids), hashlib.sha256(packed(ids)).hexdigest())
+        assert got[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
