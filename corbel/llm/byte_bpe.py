@@ -25,6 +25,7 @@ import base64
 import hashlib
 from array import array
 from collections.abc import Iterator
+from functools import cached_property
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -50,8 +51,12 @@ class Vocabulary:
         self.ranks, self.bytes = ranks, {r: t for t, r in ranks.items()}
         self.longest = max(map(len, ranks), default=0)
         self.may: dict[int, bool] = {}
-        #: Every ending of a token: its rank, or -1 if it is none itself. A search backwards stops at the first string that isn't here.
-        self.endings = dict.fromkeys((t[i:] for t in ranks for i in range(1, len(t))), -1) | ranks
+
+    @cached_property
+    def endings(self) -> dict[bytes, int]:
+        """Every ending of a token: its rank, or -1 if it is none itself. A search backwards stops at the first string that isn't
+        here. Made when something is encoded first; decoding needs none."""
+        return dict.fromkeys((t[i:] for t in self.ranks for i in range(1, len(t))), -1) | self.ranks
 
     def merged(self, b: bytes) -> list[bytes]:
         """The least rank is merged first, the leftmost of equal ones: what the dynamic programming stands for. For short strings."""
