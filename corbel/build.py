@@ -16,7 +16,7 @@ from corbel.plans import model as M
 from corbel.plans.incremental import incremental_facts
 from corbel.plans.resolve import NameResolver, Resolver, assemble, full_facts, replace_tests, tests_by_name
 from corbel.plans.shards import run_shard
-from corbel.sinks import rows_of
+from corbel.sinks import SNAPSHOT, rows_of
 from corbel.sources.facts import COLUMNS, FILE, apply_facts, from_file, read_facts
 from corbel.sources.gitlog import head_commit, read_log
 from corbel.sources.parse import of_kind, parse_files
@@ -53,20 +53,22 @@ def _or_empty(df: DataFrame, column: str, kind: str) -> DataFrame:
     return df.withColumn(column, F.coalesce(F.col(column).cast(kind), F.array().cast(kind)))
 
 
-def read_previous(spark: SparkSession, data: Path, tree: M.Tree) -> tuple[M.Tree, DataFrame]:
+def read_previous(spark: SparkSession, data: Path, tree: M.Tree) -> tuple[M.Tree, DataFrame, str | None]:
     """The previous build: its tree, parsed again from its checkout, with the digests and facts that it has kept: in its
-    symbols table, if data is a folder of tables or has them beside it, or else in the data document."""
-    folder = data if data.is_dir() else data.parent
+    symbols table, if data is a folder of tables or has them beside it, or else in the data document. And its snapshot of digests,
+    if there is one."""
+    folder, snapshot = data if data.is_dir() else data.parent, None
     if (folder / "symbols.parquet").is_dir():
         rows = spark.read.parquet(f"{folder}/symbols.parquet").select("id", "hx", *COLUMNS)
         facts, known = rows.drop("hx"), rows.select("id", F.col("hx").alias("_hx"))
+        snapshot = f"{folder}/{SNAPSHOT}" if (folder / SNAPSHOT / "digests").is_dir() else None
     else:
         doc = json.loads(data.read_text())["symbols"]
         empty = lambda c: {} if c == "tests" else []
         facts = from_file(spark.createDataFrame([(k, *(s.get(c) or empty(c) for c in COLUMNS)) for k, s in doc.items()], FILE))
         known = spark.createDataFrame([(k, s.get("hx")) for k, s in doc.items()], "id string, _hx string")
     old = tree.symbols.drop("hx").join(known, "id").withColumnRenamed("_hx", "hx")
-    return M.Tree(**{**tree.__dict__, "symbols": keep(old)}), facts
+    return M.Tree(**{**tree.__dict__, "symbols": keep(old)}), facts, snapshot
 
 
 def call_facts(spark: SparkSession, opts: BuildOptions, tree: M.Tree) -> tuple[DataFrame, dict]:
@@ -77,8 +79,8 @@ def call_facts(spark: SparkSession, opts: BuildOptions, tree: M.Tree) -> tuple[D
         facts, applied = apply_facts(tree.symbols, read_facts(spark, opts.facts_dir))
         return facts, {"mode": "merged-shards", "symbols_with_facts": applied.first()["n"]}
     if opts.prev_data and opts.prev_root:
-        old, old_facts = read_previous(spark, opts.prev_data, M.read_code(spark, opts.prev_root, opts.layout, keep))
-        facts, info = incremental_facts(old, keep(old_facts), tree, resolver, keep)
+        old, old_facts, snapshot = read_previous(spark, opts.prev_data, M.read_code(spark, opts.prev_root, opts.layout, keep))
+        facts, info = incremental_facts(old, keep(old_facts), tree, resolver, keep, snapshot)
     else:
         raw = resolver.resolve(tree, tree.symbols)
         facts, info = assemble(tree.symbols, raw), {"mode": "full", "queried": tree.symbols.count(), **raw.info}
@@ -111,7 +113,7 @@ def build(spark: SparkSession, opts: BuildOptions) -> Built:
     if commits is None:
         mod, seen = mod.withColumn("git", F.lit(None).cast(git_kind)).withColumn("cochange", F.lit(None)), 0
     else:
-        git, cochange = M.history(commits, tree.modules)
+        git, cochange = M.history(commits, tree.modules, keep)
         mod, seen = mod.join(git, "path", "left").join(cochange, "path", "left"), commits.count()
     for c, kind in (("imports", "array<string>"), ("imported_by", "array<string>"), ("tests", "array<struct<file:string,n:bigint>>"), ("docs", f"array<{M.DOC_HIT}>"), ("cochange", co_kind)):
         mod = _or_empty(mod, c, kind)

@@ -2,25 +2,113 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def basket_pairs(rows: DataFrame, basket: str, item: str, lo: int = 2, hi: int = 25) -> DataFrame:
-    """(basket, a, b) with a < b for each pair of items of one basket that holds lo to hi different items.
+#: Hashed counters of pairs and of items, and how many of those of pairs a task sends as one row.
+COUNTERS, ITEM_COUNTERS, LANES = 1 << 22, 1 << 22, 1 << 14
+
+
+def _words(lanes: DataFrame) -> DataFrame:
+    """(word, bits): a bit for each lane of the table, in words of 64. At most as many rows as there are words, so it is
+    small enough to be sent to every task."""
+    bit = F.expr("shiftleft(1L, CAST(lane & 63 AS INT))")
+    return lanes.groupBy(F.shiftright("lane", 6).alias("word")).agg(F.bit_or(bit).alias("bits"))
+
+
+def _in_words(rows: DataFrame, lane: Column, words: DataFrame) -> DataFrame:
+    """rows whose lane has its bit set."""
+    hit = rows.withColumn("_lane", lane).withColumn("word", F.shiftright("_lane", 6)).join(F.broadcast(words), "word")
+    return hit.filter(F.getbit("bits", F.col("_lane").bitwiseAND(F.lit(63)).cast("int")) == 1).select(rows.columns)
 
-    Basket sizes are counted before any pair is made, so a basket yields hi * (hi - 1) / 2 rows at most."""
+
+def baskets(rows: DataFrame, basket: str, item: str, lo: int = 2, hi: int = 25, support: int = 1) -> DataFrame:
+    """(basket, items): the sorted items of each basket that holds lo to hi different ones, without those that fewer than
+    support rows hold, as no pair with them can have that support (but for a few that share a hashed counter with others). The
+    counters have a fixed size, so rows are sorted out where they stand.
+
+    Sizes are counted before items are gathered, so no row holds more than hi of them."""
     d = rows.select(F.col(basket).alias("basket"), F.col(item).alias("item")).filter("basket IS NOT NULL AND item IS NOT NULL").distinct()
     sized = d.join(d.groupBy("basket").agg(F.count("*").alias("_n")).filter(F.col("_n").between(lo, hi)).select("basket"), "basket")
-    left, right = sized.withColumnRenamed("item", "a"), sized.withColumnRenamed("item", "b")
-    return left.join(right, "basket").filter("a < b")
+    if support > 1:
+        lane = F.xxhash64("item").bitwiseAND(F.lit(ITEM_COUNTERS - 1))
+        seen = rows.select(F.col(item).alias("item")).filter("item IS NOT NULL").groupBy(lane.alias("lane")).agg(F.count("*").alias("n"))
+        sized = _in_words(sized, lane, _words(seen.filter(F.col("n") >= support)))
+    return sized.groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items")).filter(F.size("items") > 1)
+
 
+def pairs_of(sets: DataFrame) -> DataFrame:
+    """(a, b) with a < b for each pair of each row's sorted items; made where the row stands, without a join."""
+    tails = F.transform("items", lambda x, i: F.struct(x.alias("a"), F.slice("items", i + 2, F.greatest(F.size("items") - i - 1, F.lit(0))).alias("rest")))
+    return sets.select(F.explode(tails).alias("t")).select("t.a", F.explode("t.rest").alias("b"))
 
-def pair_counts(rows: DataFrame, basket: str, item: str, lo: int = 2, hi: int = 25, support: int = 3) -> DataFrame:
-    """(a, b, n): pairs that share support baskets or more."""
-    return basket_pairs(rows, basket, item, lo, hi).groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
+
+def basket_pairs(rows: DataFrame, basket: str, item: str, lo: int = 2, hi: int = 25) -> DataFrame:
+    """(a, b) with a < b for each pair of items of each basket that holds lo to hi different items: hi * (hi - 1) / 2 a basket
+    at most."""
+    return pairs_of(baskets(rows, basket, item, lo, hi))
+
+
+def _lane(counters: int) -> Column:
+    """The counter of pair (a, b): both items' hashes together, as the counting tasks do it."""
+    return F.xxhash64("a").bitwiseXOR(F.xxhash64("b")).bitwiseAND(F.lit(counters - 1))
+
+
+def crowded_lanes(sets: DataFrame, support: int, counters: int) -> DataFrame:
+    """(word, bits): which of so many hashed pair counters (a power of two) reach support. Each task counts all its pairs in
+    one array of a byte for each counter, stops at support, and sends the parts that aren't empty; the result has a bit
+    for each counter, whatever the number of pairs."""
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        held = np.zeros(counters, np.uint8)
+        for b in batches:
+            lists = b.column(0)
+            flat, at = lists.flatten().to_numpy(zero_copy_only=False), lists.offsets.to_numpy() - lists.offsets[0].as_py()
+            size = np.diff(at)
+            for n in np.unique(size):
+                hashes = flat[at[:-1][size == n][:, None] + np.arange(n)]
+                for i in range(n - 1):
+                    lanes, seen = np.unique((hashes[:, i, None] ^ hashes[:, i + 1 :]) & (counters - 1), return_counts=True)
+                    held[lanes] = np.minimum(held[lanes].astype(np.int64) + seen, support)
+        blocks = held.reshape(-1, min(LANES, counters))
+        used = np.flatnonzero(blocks.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array([blocks[k].tobytes() for k in used], pa.binary())], ["block", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]):
+        held: dict[int, np.ndarray] = {}
+        for b in batches:
+            for k, counts in zip(b.column("block").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                both = held.get(k, 0) + np.frombuffer(counts, np.uint8).astype(np.uint16)
+                held[k] = np.minimum(both, support).astype(np.uint8)
+        for k, counts in held.items():
+            bits = np.packbits((counts >= support).reshape(-1, 64), axis=1, bitorder="little").view(np.int64).ravel()
+            some = np.flatnonzero(bits)
+            yield pa.RecordBatch.from_arrays([pa.array(some + k * (len(counts) // 64)), pa.array(bits[some])], ["word", "bits"])
+
+    if not 1 < support < 256 or counters < 64 or counters & (counters - 1):
+        raise ValueError("a support of 2 to 255, and a power of two of 64 counters or more")
+    hashed = sets.select(F.transform("items", lambda x: F.xxhash64(x)).alias("hashes"))
+    return hashed.mapInArrow(count, "block int, counts binary").repartition("block").mapInArrow(add, "word long, bits long")
+
+
+def pair_counts(rows: DataFrame, basket: str, item: str, lo: int = 2, hi: int = 25, support: int = 3, counters: int = 0, keep=lambda df: df) -> DataFrame:
+    """(a, b, n): pairs that share support baskets or more.
+
+    Items below the support leave before pairs are made. With counters, pairs are then counted twice: first into so many
+    hashed counters, next exactly, but only those whose counter reaches the support. That pays where most pairs are
+    rare and there are no more of them than counters (or few more); it never changes the result. keep writes the baskets, which both passes read."""
+    sets = baskets(rows, basket, item, lo, hi, support)
+    if not counters or support < 2:
+        made = pairs_of(sets)
+    else:
+        sets = keep(sets)
+        made = _in_words(pairs_of(sets), _lane(counters), crowded_lanes(sets, support, counters))
+    return made.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
 
 
 def both_ways(pairs: DataFrame) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
 from collections import Counter
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corbel.operators import incremental as I
+from corbel.operators.snapshots import snapshot_changes, write_snapshot
 from corbel.plans.model import Tree
 from corbel.plans.resolve import FACTS, TESTS_PER_FILE, RawLinks, Resolver, assemble
+from corbel.workspace import own_folder
 
 
 def changed_test_names(old: Tree, new: Tree) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -32,10 +35,15 @@ def _edges(facts: DataFrame) -> DataFrame:
     return out.unionByName(facts.select(F.explode("calls_in").alias("src"), F.col("id").alias("dst"))).distinct()
 
 
-def incremental_facts(old: Tree, old_facts: DataFrame, new: Tree, resolver: Resolver, keep=lambda df: df) -> tuple[DataFrame, dict]:
-    """Facts of the new tree, and counts. Equal to resolving everything, for resolvers whose links come from names."""
-    has_digest = old.symbols.filter("hx IS NULL").isEmpty()
-    if has_digest:
+def incremental_facts(old: Tree, old_facts: DataFrame, new: Tree, resolver: Resolver, keep=lambda df: df, snapshot: str | None = None) -> tuple[DataFrame, dict]:
+    """Facts of the new tree, and counts. Equal to resolving everything, for resolvers whose links come from names. With a
+    snapshot of the old symbols' digests, only those parts of it are read in which something has changed."""
+    if snapshot:
+        spark = new.symbols.sparkSession
+        now = f"{own_folder(spark)}/snapshot-{uuid.uuid4().hex}"
+        write_snapshot(new.symbols, "id", "hx", now)
+        diff = snapshot_changes(spark, snapshot, now).withColumnRenamed("key", "id")
+    elif old.symbols.filter("hx IS NULL").isEmpty():
         diff = I.snapshot_diff(old.symbols, new.symbols, "id", "hx")
     else:  # old rows without a digest: whole files count
         files = I.snapshot_diff(old.files, new.files, "path", "hash").filter("status <> 'same'").select(F.col("path").alias("file"))

@@ -117,12 +117,12 @@ def link_docs(docs: DataFrame, modules: DataFrame, symbols: DataFrame) -> tuple[
     return _hits(first, docs), _hits(L.mention_link(lines, named, L.ticked_tokens(F.col("text"))), docs)
 
 
-def history(commits: DataFrame, modules: DataFrame) -> tuple[DataFrame, DataFrame]:
+def history(commits: DataFrame, modules: DataFrame, keep=lambda df: df) -> tuple[DataFrame, DataFrame]:
     """(path, git) and (path, cochange) of module files. First and last are by place in the log."""
     rows = commits.select("pos", "date", "author", "subject", F.explode("files").alias("path"))
     h = P.group_history(rows, "path", "pos", "author", {"last": "date", "subject": "subject"}, {"first": "date"})
     git = h.select("path", F.struct(F.col("n").alias("commits"), F.col("n_who").alias("authors"), "last", "first", F.substring("subject", 1, T.SUBJECT_CHARS).alias("subject")).alias("git"))
-    pairs = P.pair_counts(rows.filter(F.col("path").endswith(".py")), "pos", "path", 2, MAX_COMMIT_FILES, MIN_COCHANGE)
+    pairs = P.pair_counts(rows.filter(F.col("path").endswith(".py")), "pos", "path", 2, MAX_COMMIT_FILES, MIN_COCHANGE, P.COUNTERS, keep)
     top = P.topk_related(pairs, TOP_COCHANGE).join(modules.select(F.col("path").alias("b"), F.col("id").alias("module")), "b", "left")
     item = F.struct("rank", F.struct(F.col("b").alias("file"), "n", "module").alias("c"))
     cochange = top.groupBy(F.col("a").alias("path")).agg(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["c"]).alias("cochange"))

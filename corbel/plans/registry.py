@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,8 +11,9 @@ from corbel.functions import text as T
 from corbel.operators import incremental as I
 from corbel.operators import links as L
 from corbel.operators import pairs as P
+from corbel.operators import snapshots as S
 from corbel.sources.tables import table
-from corbel.workspace import keep
+from corbel.workspace import keep, own_folder
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -38,7 +41,15 @@ pr AS (SELECT x.p AS a, y.p AS b, count(*) AS n FROM k x JOIN k y ON x.o = y.o A
 
 @query(_BASKETS.format(hi=5) + "SELECT a, b, n FROM pr")
 def pair_counts(spark: SparkSession, d: str) -> DataFrame:
-    return P.pair_counts(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", 2, 5, 2)
+    return P.pair_counts(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", 2, 5, 2, P.COUNTERS, keep)
+
+
+@query("""WITH u AS (SELECT DISTINCT user_id AS i, strftime(ts, '%Y%m%d%H%M')[1:11] AS b FROM events), s AS (SELECT b FROM u GROUP BY b HAVING count(*) BETWEEN 2 AND 25),
+k AS (SELECT u.* FROM u JOIN s USING (b)) SELECT x.i AS a, y.i AS b, count(*) AS n FROM k x JOIN k y ON x.b = y.b AND x.i < y.i GROUP BY 1, 2 HAVING count(*) >= 3""")
+def pair_counts_times(spark: SparkSession, d: str) -> DataFrame:
+    """Users seen in the same ten minutes, three times or more; guard and support of the build."""
+    seen = table(spark, d, "events").select("user_id", F.substring(F.date_format("ts", "yyyyMMddHHmm"), 1, 11).alias("b"))
+    return P.pair_counts(seen, "b", "user_id", 2, 25, 3, P.COUNTERS, keep)
 
 
 @query(
@@ -48,7 +59,7 @@ SELECT a, b, n, p_name AS name, row_number() OVER (PARTITION BY a ORDER BY n DES
 FROM r LEFT JOIN part ON p_partkey = b QUALIFY rank <= 6"""
 )
 def topk_related(spark: SparkSession, d: str) -> DataFrame:
-    top = P.topk_related(P.pair_counts(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", 2, 25, 2), 6)
+    top = P.topk_related(P.pair_counts(table(spark, d, "lineitem"), "l_orderkey", "l_partkey", 2, 25, 2, P.COUNTERS, keep), 6)
     names = table(spark, d, "part").select(F.col("p_partkey").alias("b"), F.col("p_name").alias("name"))
     return top.join(names, "b", "left").select("a", "b", "n", "name", "rank")
 
@@ -112,7 +123,7 @@ def innermost_span(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders")
     points = o.select(F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").alias("at"), F.col("o_orderkey").alias("id"))
     spans = o.select(F.col("o_orderpriority").alias("grp"), F.col("o_orderkey").alias("lo"), (F.col("o_orderkey") + F.col("o_custkey") % 50).alias("hi"), F.col("o_orderkey").alias("span"), F.col("o_orderkey").alias("ord"))
-    return L.innermost_span(points, spans, 50)
+    return L.innermost_span(points, spans)
 
 
 @query("""WITH sp AS (SELECT o_orderpriority AS grp, o_orderkey AS lo, o_orderkey + o_custkey % 20 AS hi, o_orderkey AS span FROM orders),
@@ -129,7 +140,7 @@ def classify(spark: SparkSession, d: str) -> DataFrame:
     items = table(spark, d, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_linenumber", "l_partkey").join(o.select("o_orderkey", F.col("o_orderpriority").alias("grp")), "o_orderkey")
     items = items.select((F.col("o_orderkey") * 10 + F.col("l_linenumber")).alias("id"), "grp", F.col("o_orderkey").alias("at"), (F.col("l_partkey") % 5 == 0).alias("is_test"), (F.col("l_partkey") % 2 == 0).alias("inside"))
     exact = spans.filter("lo % 3 = 0").select("grp", F.col("lo").alias("at"), F.col("span").alias("target"))
-    return L.classify(items, exact, spans, F.col("is_test"), F.col("inside"), 20).select("id", "kind", "target")
+    return L.classify(items, exact, spans, F.col("is_test"), F.col("inside")).select("id", "kind", "target")
 
 
 _BENCH = """WITH bw AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS name FROM benchmark),
@@ -219,6 +230,29 @@ def snapshot_diff(spark: SparkSession, d: str) -> DataFrame:
     return _diff(spark, d)
 
 
+@query(f"WITH {_OLD_NEW} SELECT k, status FROM df WHERE status <> 'same'")
+def snapshot_changes(spark: SparkSession, d: str) -> DataFrame:
+    """The same change as in snapshot_diff, between two kept snapshots."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("h"))
+    new = o.filter("k % 13 <> 0").withColumn("h", F.when(F.col("k") % 7 == 0, F.col("h") + 1).otherwise(F.col("h")))
+    at = f"{own_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    S.write_snapshot(o.filter("k % 11 <> 0"), "k", "h", f"{at}/old", 16, 4)
+    S.write_snapshot(new, "k", "h", f"{at}/new", 16, 4)
+    return S.snapshot_changes(spark, f"{at}/old", f"{at}/new").select(F.col("key").alias("k"), "status")
+
+
+@query("""SELECT o_orderkey AS k, 'changed' AS status FROM orders WHERE o_orderkey IN (SELECT max(o_orderkey) FROM orders)""")
+def snapshot_small_change(spark: SparkSession, d: str) -> DataFrame:
+    """One changed row: one part of each snapshot is read."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_totalprice").alias("h"))
+    last = o.agg(F.max("k").alias("_last"))
+    new = o.join(F.broadcast(last), F.col("k") == F.col("_last"), "left").select("k", F.when(F.col("_last").isNotNull(), F.col("h") + 1).otherwise(F.col("h")).alias("h"))
+    at = f"{own_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    S.write_snapshot(o, "k", "h", f"{at}/old", 16, 4)
+    S.write_snapshot(new, "k", "h", f"{at}/new", 16, 4)
+    return S.snapshot_changes(spark, f"{at}/old", f"{at}/new").select(F.col("key").alias("k"), "status")
+
+
 @query("""WITH f AS (SELECT doc_id, quality, toxic, 1 AS p FROM labels UNION ALL SELECT doc_id, 1 - quality, toxic, 2 FROM labels WHERE doc_id % 3 = 0),
 l AS (SELECT doc_id, arg_max(quality, p) AS quality, arg_max(toxic, p) AS toxic FROM f GROUP BY doc_id)
 SELECT d.doc_id, d.lang, l.quality, l.toxic FROM documents d LEFT JOIN l USING (doc_id)""")

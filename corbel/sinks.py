@@ -11,13 +11,21 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corbel.operators.snapshots import write_snapshot
+
 #: Fixed value: where a page template takes the data, gzip-packed and base64-coded.
 PLACEHOLDER = "__DATA_B64__"
+#: Folder of the symbols' snapshot, beside the tables.
+SNAPSHOT = "symbols.snapshot"
 
 
 def write_tables(tables: dict[str, DataFrame], out: str) -> None:
+    """A Parquet table each; and a snapshot of the symbols' digests, with which the next build finds what has changed."""
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{out}/{name}.parquet")
+    if "symbols" in tables:
+        written = tables["symbols"].sparkSession.read.parquet(f"{out}/symbols.parquet")
+        write_snapshot(written, "id", "hx", f"{out}/{SNAPSHOT}")
 
 
 def rows_of(df: DataFrame) -> Iterable[dict]:
