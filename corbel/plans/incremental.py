@@ -12,6 +12,7 @@ from corbel.operators import incremental as I
 from corbel.operators.snapshots import snapshot_changes, write_snapshot
 from corbel.plans.model import Tree
 from corbel.plans.resolve import FACTS, TESTS_PER_FILE, RawLinks, Resolver, assemble
+from corbel.sinks import SNAPSHOT_BUCKETS, SNAPSHOT_PARTS
 from corbel.workspace import own_folder
 
 
@@ -41,7 +42,7 @@ def incremental_facts(old: Tree, old_facts: DataFrame, new: Tree, resolver: Reso
     if snapshot:
         spark = new.symbols.sparkSession
         now = f"{own_folder(spark)}/snapshot-{uuid.uuid4().hex}"
-        write_snapshot(new.symbols, "id", "hx", now)
+        write_snapshot(new.symbols, "id", "hx", now, SNAPSHOT_PARTS, SNAPSHOT_BUCKETS)
         diff = snapshot_changes(spark, snapshot, now).withColumnRenamed("key", "id")
     elif old.symbols.filter("hx IS NULL").isEmpty():
         diff = I.snapshot_diff(old.symbols, new.symbols, "id", "hx")

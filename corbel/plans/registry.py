@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corbel.functions import text as T
 from corbel.operators import incremental as I
@@ -13,6 +14,7 @@ from corbel.operators import links as L
 from corbel.operators import pairs as P
 from corbel.operators import snapshots as S
 from corbel.sources.tables import table
+from corbel.streaming.facts import follow, kept
 from corbel.workspace import keep, own_folder
 
 QUERIES: dict = {}
@@ -262,6 +264,20 @@ def merge_facts(spark: SparkSession, d: str) -> DataFrame:
     return I.merge_facts(table(spark, d, "documents").select("doc_id", "lang"), a.unionByName(b), "doc_id", ["quality", "toxic"], F.col("p"))
 
 
+@query(ORACLE["merge_facts"])
+def merge_facts_stream(spark: SparkSession, d: str) -> DataFrame:
+    """The same merge by a stream that is run twice: the second time on corrections, and on late facts that it drops."""
+    at = f"{own_folder(spark)}/facts-{uuid.uuid4().hex}"
+    first = table(spark, d, "labels").select("doc_id", "quality", "toxic", F.lit("a").alias("file"), F.lit(1).cast("long").alias("n"))
+    corrected = first.filter("doc_id % 3 = 0").withColumns({"quality": 1 - F.col("quality"), "n": F.lit(2).cast("long")})
+    late = first.filter("doc_id % 2 = 0").withColumns({"quality": F.lit(9), "n": F.lit(0).cast("long")})
+    for new in (first, corrected.unionByName(late)):
+        new.write.mode("append").parquet(f"{at}/in")
+        follow(spark.readStream.schema(first.schema).parquet(f"{at}/in"), "doc_id", ["quality", "toxic"], f"{at}/changes", f"{at}/checkpoint").awaitTermination()
+    last = kept(spark, f"{at}/checkpoint", "doc_id", StructType([first.schema[c] for c in ("quality", "toxic")])).select("doc_id", "quality", "toxic")
+    return table(spark, d, "documents").select("doc_id", "lang").join(last, "doc_id", "left")
+
+
 @query("SELECT o_orderkey, o_custkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linenumber = 2)")
 def resume(spark: SparkSession, d: str) -> DataFrame:
     done = table(spark, d, "lineitem").filter("l_linenumber = 2").select(F.col("l_orderkey").alias("o_orderkey"))

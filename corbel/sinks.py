@@ -15,8 +15,8 @@ from corbel.operators.snapshots import write_snapshot
 
 #: Fixed value: where a page template takes the data, gzip-packed and base64-coded.
 PLACEHOLDER = "__DATA_B64__"
-#: Folder of the symbols' snapshot, beside the tables.
-SNAPSHOT = "symbols.snapshot"
+#: Folder of the symbols' snapshot, beside the tables; its parts and buckets: a tree's symbols are few.
+SNAPSHOT, SNAPSHOT_PARTS, SNAPSHOT_BUCKETS = "symbols.snapshot", 8, 2
 
 
 def write_tables(tables: dict[str, DataFrame], out: str) -> None:
@@ -25,7 +25,7 @@ def write_tables(tables: dict[str, DataFrame], out: str) -> None:
         df.write.mode("overwrite").parquet(f"{out}/{name}.parquet")
     if "symbols" in tables:
         written = tables["symbols"].sparkSession.read.parquet(f"{out}/symbols.parquet")
-        write_snapshot(written, "id", "hx", f"{out}/{SNAPSHOT}")
+        write_snapshot(written, "id", "hx", f"{out}/{SNAPSHOT}", SNAPSHOT_PARTS, SNAPSHOT_BUCKETS)
 
 
 def rows_of(df: DataFrame) -> Iterable[dict]:

@@ -175,20 +175,6 @@ def test_registered_queries_match_sql(spark, name):
     assert got == sorted(tuple(map(str, r)) for r in want)
 
 
-def test_streaming_facts(spark, tmp_path):
-    from corbel.streaming.facts import current, ingest
-
-    src = tmp_path / "in"
-    src.mkdir()
-    row = '{"id":"%s","calls_in":[],"calls_in_x":[],"calls_out":["%s"],"calls_out_x":[],"tests":{}}\n'
-    (src / "facts_0.jsonl").write_text(row % ("a", "x") + row % ("b", "x"))
-    for k in (0, 1):
-        q = ingest(spark, str(src), str(tmp_path / "out"), str(tmp_path / "ck"))
-        q.awaitTermination()
-        (src / "facts_1.jsonl").write_text(row % ("a", "y"))
-    assert {r["id"]: r["calls_out"] for r in current(spark, str(tmp_path / "out")).collect()} == {"a": ["y"], "b": ["x"]}
-
-
 FAKE_SERVER = r'''
 import json, sys
 def read():
