@@ -21,7 +21,8 @@ from corbel.sources.facts import COLUMNS, FILE, apply_facts, from_file, read_fac
 from corbel.sources.gitlog import head_commit, read_log
 from corbel.sources.parse import of_kind, parse_files
 from corbel.sources.tree import read_tree
-from corbel.workspace import keep
+from corbel.workspace import keep_counted as keep
+from corbel.workspace import kept_counts, kept_rows
 
 
 @dataclass
@@ -83,7 +84,7 @@ def call_facts(spark: SparkSession, opts: BuildOptions, tree: M.Tree) -> tuple[D
         facts, info = incremental_facts(old, keep(old_facts), tree, resolver, keep, snapshot)
     else:
         raw = resolver.resolve(tree, tree.symbols)
-        facts, info = assemble(tree.symbols, raw), {"mode": "full", "queried": tree.symbols.count(), **raw.info}
+        facts, info = assemble(tree.symbols, raw), {"mode": "full", "queried": kept_rows(tree.symbols), **raw.info}
     return facts, info | {"query_s": round(time.time() - t0, 1)}
 
 
@@ -94,11 +95,11 @@ def build(spark: SparkSession, opts: BuildOptions) -> Built:
     facts = keep(facts)
     if opts.tests_by_name:
         t1 = time.time()
-        tests = keep(parse_files(read_tree(spark, opts.tests_by_name, list(layout.tests)), layout, True))
+        readable = (F.col("kind") == "rest") & (F.get_json_object("data", "$.rest") != "syntax-error")
+        tests = keep(parse_files(read_tree(spark, opts.tests_by_name, list(layout.tests)), layout, True), readable=F.count_if(readable))
         found = keep(tests_by_name(of_kind(tests, "test"), tree.symbols))
         facts = replace_tests(facts, found)
-        n_files = of_kind(tests, "rest").filter("rest <> 'syntax-error'").count()
-        info["tests_by_name"] = {"test_files": n_files, "symbols_with_tests": found.count(), "seconds": round(time.time() - t1, 1)}
+        info["tests_by_name"] = {"test_files": kept_counts(tests)["readable"], "symbols_with_tests": kept_rows(found), "seconds": round(time.time() - t1, 1)}
 
     docs = M.read_docs(spark, root, layout)
     module_docs, symbol_docs = M.link_docs(docs, tree.modules, tree.symbols)
@@ -113,8 +114,9 @@ def build(spark: SparkSession, opts: BuildOptions) -> Built:
     if commits is None:
         mod, seen = mod.withColumn("git", F.lit(None).cast(git_kind)).withColumn("cochange", F.lit(None)), 0
     else:
+        commits = keep(commits)
         git, cochange = M.history(commits, tree.modules, keep)
-        mod, seen = mod.join(git, "path", "left").join(cochange, "path", "left"), commits.count()
+        mod, seen = mod.join(git, "path", "left").join(cochange, "path", "left"), kept_rows(commits)
     for c, kind in (("imports", "array<string>"), ("imported_by", "array<string>"), ("tests", "array<struct<file:string,n:bigint>>"), ("docs", f"array<{M.DOC_HIT}>"), ("cochange", co_kind)):
         mod = _or_empty(mod, c, kind)
     sym = tree.symbols.join(facts, "id").join(symbol_docs, "id", "left").join(subs, "id", "left")
@@ -122,7 +124,7 @@ def build(spark: SparkSession, opts: BuildOptions) -> Built:
     sym = sym.withColumn("subclasses", F.when(F.col("kind") == "class", F.coalesce("subclasses", F.array().cast("array<string>"))))
     mod, sym, docs = keep(mod), keep(sym), keep(docs)
     stats = {
-        "commits_seen": seen, "modules": mod.count(), "symbols": sym.count(), "docs": docs.count(),
+        "commits_seen": seen, "modules": kept_rows(mod), "symbols": kept_rows(sym), "docs": kept_rows(docs),
         "build_seconds": round(time.time() - t0, 1), "call_graph": info,
     }
     return Built(mod, sym, docs, stats)

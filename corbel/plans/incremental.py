@@ -13,7 +13,7 @@ from corbel.operators.snapshots import snapshot_changes, write_snapshot
 from corbel.plans.model import Tree
 from corbel.plans.resolve import FACTS, TESTS_PER_FILE, RawLinks, Resolver, assemble
 from corbel.sinks import SNAPSHOT_BUCKETS, SNAPSHOT_PARTS
-from corbel.workspace import own_folder
+from corbel.workspace import keep_counted, kept_counts, kept_rows, own_folder
 
 
 def changed_test_names(old: Tree, new: Tree) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -36,7 +36,7 @@ def _edges(facts: DataFrame) -> DataFrame:
     return out.unionByName(facts.select(F.explode("calls_in").alias("src"), F.col("id").alias("dst"))).distinct()
 
 
-def incremental_facts(old: Tree, old_facts: DataFrame, new: Tree, resolver: Resolver, keep=lambda df: df, snapshot: str | None = None) -> tuple[DataFrame, dict]:
+def incremental_facts(old: Tree, old_facts: DataFrame, new: Tree, resolver: Resolver, keep=keep_counted, snapshot: str | None = None) -> tuple[DataFrame, dict]:
     """Facts of the new tree, and counts. Equal to resolving everything, for resolvers whose links come from names. With a
     snapshot of the old symbols' digests, only those parts of it are read in which something has changed."""
     if snapshot:
@@ -93,10 +93,10 @@ def incremental_facts(old: Tree, old_facts: DataFrame, new: Tree, resolver: Reso
     out = out.join(end("dst", "src", "calls_in"), "id", "left").join(end("src", "dst", "calls_out"), "id", "left")
     none = F.array().cast("array<string>")
     out = out.withColumn("calls_in", F.coalesce("calls_in", none)).withColumn("calls_out", F.coalesce("calls_out", none)).select(*wave1.columns)
+    moved_files = keep(I.snapshot_diff(old.files, new.files, "path", "hash").filter("status <> 'same'"), changed=F.count_if(F.col("status") != "gone"), removed=F.count_if(F.col("status") == "gone"))
     info = {
-        "mode": "incremental", "changed_tests": files.count(), "test_hit": test_hit.count(), "queried": done.count(), "queried_first": first.count(), "queried_after": after.count(),
-        "changed_files": I.snapshot_diff(old.files, new.files, "path", "hash").filter("status IN ('new', 'changed')").count(),
-        "removed_files": I.snapshot_diff(old.files, new.files, "path", "hash").filter("status = 'gone'").count(),
+        "mode": "incremental", "changed_tests": kept_rows(files), "test_hit": kept_rows(test_hit), "queried": kept_rows(first) + kept_rows(after), "queried_first": kept_rows(first),
+        "queried_after": kept_rows(after), "changed_files": kept_counts(moved_files)["changed"], "removed_files": kept_counts(moved_files)["removed"],
     }
     info |= Counter(raw.info) + Counter(raw2.info)
     return out, info

@@ -8,9 +8,12 @@ from __future__ import annotations
 import contextlib
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 class NoSharedFolder(RuntimeError):
@@ -18,6 +21,8 @@ class NoSharedFolder(RuntimeError):
 
 
 _LOCAL: dict[str, str] = {}  # application -> its own folder, of local sessions without the setting
+ROWS = "rows"
+_COUNTS: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()  # kept table -> its observation, and what that counts
 _TABLES: dict[str, list[str]] = {}  # application -> paths of its tables, in the order they were written
 
 
@@ -60,6 +65,27 @@ def keep(df: DataFrame, tag: str = "kept") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def keep_counted(df: DataFrame, **counts: Column) -> DataFrame:
+    """As keep; its rows, and counts by name, are taken while it is written. kept_counts gives them."""
+    seen = Observation()
+    out = keep(df.observe(seen, F.count(F.lit(1)).alias(ROWS), *[c.alias(name) for name, c in counts.items()]))
+    _COUNTS[out] = seen, [ROWS, *counts]
+    return out
+
+
+def kept_counts(df: DataFrame) -> dict[str, int]:
+    """What keep_counted has counted in a table that it returned, without reading it."""
+    seen, names = _COUNTS[df]
+    try:
+        return dict(seen.get)
+    except Py4JJavaError:  # the optimizer saw that there are no rows, and ran nothing
+        return dict.fromkeys(names, 0)
+
+
+def kept_rows(df: DataFrame) -> int:
+    return kept_counts(df)[ROWS]
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[list[str]]:
     """Tables kept within are deleted at the end, but for those whose paths are put into the list."""

@@ -31,6 +31,16 @@ def made(spark, root, **more):
     return document(build(spark, opts), opts)
 
 
+def test_a_build_counts_while_it_writes(spark, tree, monkeypatch):
+    want = made(spark, tree, tests_by_name=tree)
+    monkeypatch.setattr(type(spark.range(1)), "count", lambda self: pytest.fail("a scan for a count"))
+    got = made(spark, tree, tests_by_name=tree)["stats"]
+    assert (got["modules"], got["symbols"], got["docs"], got["commits_seen"]) == (len(want["modules"]), len(want["symbols"]), len(want["docs"]), 0)
+    assert got["call_graph"]["queried"] == len(want["symbols"])
+    hit = [s for s in want["symbols"].values() if s["tests"]]
+    assert (got["call_graph"]["tests_by_name"]["test_files"], got["call_graph"]["tests_by_name"]["symbols_with_tests"]) == (2, len(hit))
+
+
 def facts(doc):
     return {k: {c: s[c] for c in ("calls_in", "calls_out", "tests")} for k, s in doc["symbols"].items()}
 
