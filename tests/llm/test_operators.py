@@ -951,7 +951,7 @@ def test_queries_match_sql(spark, name):
     df = queries.QUERIES[name](spark, SF)
     cols = sorted(df.columns)
     con = duckdb.connect()
-    for t in ("documents", "conversations"):
+    for t in ("documents", "conversations", "embeddings"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({queries.ORACLE[name]}) q").fetchall()
     assert sorted(map(str, map(tuple, df.select(*cols).collect()))) == sorted(map(str, want))
