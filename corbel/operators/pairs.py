@@ -23,8 +23,9 @@ def _words(lanes: DataFrame) -> DataFrame:
 
 def _in_words(rows: DataFrame, lane: Column, words: DataFrame) -> DataFrame:
     """rows whose lane has its bit set."""
-    hit = rows.withColumn("_lane", lane).withColumn("word", F.shiftright("_lane", 6)).join(F.broadcast(words), "word")
-    return hit.filter(F.getbit("bits", F.col("_lane").bitwiseAND(F.lit(63)).cast("int")) == 1).select(rows.columns)
+    mine = words.select(F.col("word").alias("_word"), F.col("bits").alias("_bits"))
+    hit = rows.withColumn("_lane", lane).withColumn("_word", F.shiftright("_lane", 6)).join(F.broadcast(mine), "_word")
+    return hit.filter(F.getbit("_bits", F.col("_lane").bitwiseAND(F.lit(63)).cast("int")) == 1).select(rows.columns)
 
 
 def baskets(rows: DataFrame, basket: str, item: str, lo: int = 2, hi: int = 25, support: int = 1) -> DataFrame:

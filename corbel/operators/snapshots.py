@@ -48,9 +48,9 @@ def write_snapshot(df: DataFrame, key: str, digest: str, folder: str, parts: int
     kinds = {f.name: f.dataType.simpleString() for f in one.schema}
     name = f"corbel_{uuid.uuid4().hex}"
     placed = one.withColumn("part", F.pmod(F.xxhash64("key"), F.lit(parts)).cast("int"))
-    # A bucket of a part is written by one task, as rows come to tasks by the hash that makes buckets.
+    # A part is written by one task, so it has one file for each bucket. Keys are hashed, so parts are about equal.
     with _plain_partitions(spark):
-        placed.repartition(buckets, "key").write.format("parquet").mode("overwrite").partitionBy("part").bucketBy(buckets, "key").sortBy("key").option("path", f"{folder}/rows").saveAsTable(name)
+        placed.repartition(parts, "part").write.format("parquet").mode("overwrite").partitionBy("part").bucketBy(buckets, "key").sortBy("key").option("path", f"{folder}/rows").saveAsTable(name)
     spark.sql(f"DROP TABLE {name}")  # the session's entry; the files stay
     spark.createDataFrame([(parts, buckets, kinds["key"], kinds["digest"])], "parts int, buckets int, key string, digest string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/layout")
     _digests(open_snapshot(spark, folder)).coalesce(1).write.mode("overwrite").parquet(f"{folder}/digests")

@@ -13,6 +13,8 @@ from corbel.operators import incremental as I
 from corbel.operators import links as L
 from corbel.operators import pairs as P
 from corbel.operators import snapshots as S
+from corbel.plans import model as M
+from corbel.plans import resolve as R
 from corbel.sources.tables import table
 from corbel.streaming.facts import follow, kept
 from corbel.workspace import keep, own_folder
@@ -95,6 +97,17 @@ def grouped_counts(spark: SparkSession, d: str) -> DataFrame:
     return P.grouped_counts(table(spark, d, "events"), "user_id", "event_type")
 
 
+@query("""WITH u AS (SELECT DISTINCT l_partkey AS p, l_suppkey AS f, l_orderkey AS t FROM lineitem), c AS (SELECT p, f, least(count(*), 6) AS n FROM u GROUP BY p, f)
+SELECT p_brand AS module, CAST(f AS VARCHAR) AS file, CAST(sum(n) AS BIGINT) AS n, row_number() OVER (PARTITION BY p_brand ORDER BY sum(n) DESC, CAST(f AS VARCHAR)) AS rank
+FROM c JOIN part ON p_partkey = p GROUP BY p_brand, f""")
+def module_tests(spark: SparkSession, d: str) -> DataFrame:
+    """The build's counts of tests by module and file, over capped lists: parts as symbols of brands, orders as tests of suppliers."""
+    hits = table(spark, d, "lineitem").select(F.col("l_partkey").alias("id"), F.col("l_suppkey").cast("string").alias("file"), F.col("l_orderkey").alias("name"))
+    facts = P.capped_sets(hits, ["id", "file"], "name", R.TESTS_PER_FILE, "names").groupBy("id").agg(F.array_sort(F.collect_list(F.struct("file", "names"))).alias("tests"))
+    out = M.module_tests(table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("module")), facts)
+    return out.select("module", F.posexplode("tests").alias("i", "t")).select("module", "t.file", "t.n", (F.col("i") + 1).alias("rank"))
+
+
 @query("""WITH e AS (SELECT DISTINCT o_custkey AS src, l_suppkey AS dst FROM orders JOIN lineitem ON o_orderkey = l_orderkey)
 SELECT src AS id, count(*) AS n_out, min(dst) AS least, max(dst) AS greatest FROM e WHERE src <> dst GROUP BY src""")
 def distinct_callees(spark: SparkSession, d: str) -> DataFrame:
@@ -200,6 +213,20 @@ def name_link(spark: SparkSession, d: str) -> DataFrame:
     return L.name_link(uses, names).select(F.col("src").alias("conv_id"), F.col("id").alias("item_id"))
 
 
+@query("""WITH sym AS (SELECT DISTINCT item_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS name FROM benchmark),
+rare AS (SELECT name FROM sym WHERE length(name) >= 5 AND NOT starts_with(name, '__') GROUP BY name HAVING count(*) <= 3),
+u AS (SELECT conv_id, turn, unnest(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS name FROM conversations WHERE role = 'user'),
+h AS (SELECT DISTINCT item_id || ':' || name AS id, CAST(conv_id AS VARCHAR) AS file, 'test_' || turn AS t FROM u JOIN sym USING (name) JOIN rare USING (name)),
+r AS (SELECT *, row_number() OVER (PARTITION BY id, file ORDER BY t) AS i FROM h)
+SELECT id, file, string_agg(t, ',' ORDER BY t) AS names FROM r WHERE i <= 6 GROUP BY id, file""")
+def tests_by_name(spark: SparkSession, d: str) -> DataFrame:
+    """The build's links of tests by rare names: benchmark words as symbols, users' turns as test functions, other turns as helpers."""
+    symbols = _bench_words(spark, d).select(F.concat_ws(":", "item_id", "name").alias("id"), "name")
+    test = F.concat(F.when(F.col("role") == "user", "test_").otherwise("helper_"), F.col("turn").cast("string"))
+    tests = table(spark, d, "conversations").select(F.col("conv_id").cast("string").alias("file"), test.alias("test"), _words(F.coalesce("text", F.lit(""))).alias("used"))
+    return R.tests_by_name(tests, symbols).select("id", F.explode("tests").alias("t")).select("id", "t.file", F.array_join("t.names", ",").alias("names"))
+
+
 @query("""SELECT c.c_custkey AS id, s.s_suppkey AS target FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey WHERE c.c_custkey <> s.s_suppkey""")
 def name_equi_link(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("name"))

@@ -57,9 +57,9 @@ class Session:
             if not size:
                 break
             m = json.loads(out.read(size))
-            if "method" in m and "id" in m:  # the server asks: answer with nothing
+            if "method" in m and "id" in m:  # the server asks: an empty object for each setting, or nothing
                 asked = (m.get("params") or {}).get("items") or []
-                self._send({"id": m["id"], "result": [None] * len(asked) or None})
+                self._send({"id": m["id"], "result": [{} for _ in asked] or None})
             elif "id" in m and (slot := self._waiting.pop(m["id"], None)):  # replies after a timeout find no slot
                 slot["reply"] = m.get("result")
                 slot["event"].set()
