@@ -5,7 +5,7 @@
 New files of --documents (Parquet; a folder, a file or a pattern) are taken by a file stream, once each; the stream's checkpoint is
 the mark. Names are the rare words of the texts in --names: long ones that few texts hold.
 
-    out/current                  which index is the valid one (one row)
+    out/current                  which index is the valid one, and its columns (one row)
     out/index-<digest>/names     the names it was made with
     out/index-<digest>/log       batch=, bucket=: every document of each batch, and what it mentions
     out/index-<digest>/links     bucket=: the same of each document's last version; what readers want
@@ -17,7 +17,7 @@ documents, and `current` goes over to it when that is done.
 
 Defined results: rows with a null id are left out and counted in the log; null and empty texts mention nothing, and take back what
 an older version mentioned; of rows with one id in one batch, the one with the greatest digest counts; equal rows count once; other
-columns are not read; an empty folder of documents gives an empty index.
+columns are not read; a table of documents without rows gives an empty index.
 """
 
 from __future__ import annotations
@@ -85,6 +85,12 @@ def entries(docs: DataFrame, names: DataFrame, config: Config) -> DataFrame:
     return held.withColumn("bucket", F.pmod(F.xxhash64(config.id), F.lit(config.buckets)).cast("int"))
 
 
+def schema_of(docs: T.StructType, config: Config) -> T.StructType:
+    """Columns of the log and of the links, for documents of these types."""
+    own = [*(docs[c] for c in (config.id, *config.carry)), T.StructField("version", T.LongType()), *T._parse_datatype_string(LINK)]
+    return T.StructType([*own, T.StructField("batch", T.LongType()), T.StructField("bucket", T.IntegerType())])
+
+
 def last_versions(held: DataFrame, id: str) -> DataFrame:
     """Entries of each id's last version: that of the last batch, and of the greatest digest in it."""
     last = held.groupBy(id).agg(F.max(F.struct("batch", "version")).alias("_last"))
@@ -97,11 +103,11 @@ def take(batch: DataFrame, n: int, index: str, config: Config) -> Counter:
     given = Counted(batch.select(config.id, *config.carry, config.text), rows=F.count("*"), nameless=F.count_if(F.col(config.id).isNull()))
     mine = f"{index}/log/batch={n}"
     entries(given.df, spark.read.parquet(f"{index}/names"), config).write.mode("overwrite").partitionBy("bucket").parquet(mine)
-    kind = T.StructType([*(batch.schema[c] for c in (config.id, *config.carry)), T.StructField("version", T.LongType()), *T._parse_datatype_string(LINK), T.StructField("bucket", T.IntegerType())])
+    kind = schema_of(batch.schema, config)
     got = spark.read.schema(kind).parquet(mine).groupBy("bucket").agg(F.count("*").alias("n"), F.count("name").alias("links")).collect()  # a row for each bucket
     counts = Counter({**given.get(), "batches": 1, "entries": sum(r["n"] for r in got), "links": sum(r["links"] for r in got)})
     if got:
-        held = spark.read.schema(T.StructType([*kind, T.StructField("batch", T.LongType())])).parquet(f"{index}/log")
+        held = spark.read.schema(kind).parquet(f"{index}/log")
         held = last_versions(held.filter(F.col("bucket").isin([r["bucket"] for r in got]) & (F.col("batch") <= n)), config.id)
         held.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(f"{index}/links")
     log.info("batch %d: %d rows read (%d without an id), %d links in %d buckets written to %s", n, counts["rows"], counts["nameless"], counts["links"], len(got), index)
@@ -121,18 +127,22 @@ def run(spark: SparkSession, documents: str, names: str, out: str, checkpoint: s
     index, total = f"{out}/index-{digest}", Counter()
     found.write.mode("overwrite").parquet(f"{index}/names")
     log.info("index %s: names of %s", digest, names)
-    stream = spark.readStream.schema(spark.read.parquet(documents).schema).option("maxFilesPerTrigger", config.files_per_batch).parquet(as_pattern(documents))
+    docs = spark.read.parquet(documents).schema
+    kind = schema_of(docs, config)
+    spark.createDataFrame([], kind).write.mode("append").partitionBy("bucket").parquet(f"{index}/links")  # there to be read, whatever comes
+    stream = spark.readStream.schema(docs).option("maxFilesPerTrigger", config.files_per_batch).parquet(as_pattern(documents))
     query = stream.writeStream.foreachBatch(lambda batch, n: total.update(take(batch, n, index, config))).option("checkpointLocation", f"{checkpoint}/{digest}").trigger(availableNow=True).start()
     query.awaitTermination()
-    spark.createDataFrame([(digest,)], "digest string").coalesce(1).write.mode("overwrite").parquet(f"{out}/current")
+    spark.createDataFrame([(digest, kind.json())], "digest string, schema string").coalesce(1).write.mode("overwrite").parquet(f"{out}/current")
     log.info("read %d rows in %d batches of %s, wrote %d links to %s", total["rows"], total["batches"], documents, total["links"], index)
     return {**{k: total[k] for k in ("rows", "nameless", "batches", "entries", "links")}, "index": index}
 
 
 def read_index(spark: SparkSession, out: str) -> DataFrame:
     """The valid index: a row for each document and name that it mentions."""
-    digest = spark.read.parquet(f"{out}/current").first()["digest"]
-    return spark.read.parquet(f"{out}/index-{digest}/links").filter("name IS NOT NULL").drop("batch", "bucket", "version")
+    valid = spark.read.parquet(f"{out}/current").first()
+    links = spark.read.schema(T.StructType.fromJson(json.loads(valid["schema"]))).parquet(f"{out}/index-{valid['digest']}/links")
+    return links.filter("name IS NOT NULL").drop("batch", "bucket", "version")
 
 
 def main() -> None:

@@ -83,6 +83,7 @@ def test_only_new_files_are_taken_and_later_versions_win(spark, tmp_path):
 def test_no_documents_at_all(spark, tmp_path):
     feed = Feed(spark, tmp_path)
     feed.run()
+    assert feed.index() == Counter()
     feed.add({1: ("alpha", "a", "x")})
     feed.run()
     assert feed.index() == {(1, "a", "x", "alpha", 1, "alpha"): 1}
