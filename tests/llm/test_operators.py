@@ -828,6 +828,99 @@ def test_pages_with_long_attributes(quote):
     assert html_text.main_text(f"{gone}<article data-x={value}><p data-x={value}>The text</p><p>goes on</p></article>") == "The text goes on"
 
 
+SIX = "".join(f"<p>P{k} {TEXT}</p>" for k in range(6))
+
+
+def _paragraphs(page):
+    text = html_text.main_text(page)
+    return sum(f"P{k} " in text for k in range(6))
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["content has-sidebar", "with-sidebar", "no-sidebar", "no-comments", "post-with-ads", "nav-content", "page-footer-fixed", "menu-open", "modal-open", "hasSidebar"],
+)
+def test_names_of_layout_and_state_dont_empty_an_article(name):
+    for inner in (SIX, f"<article>{SIX}</article>", f"<main><div>{SIX}</div></main>"):
+        assert _paragraphs(f"<body><div class='{name}'>{inner}</div><p>{TEXT}</p></body>") == 6
+        assert _paragraphs(f"<body id='x'><div id='{name}'>{inner}<div class='ad'>Buy</div></div><p>{TEXT}</p></body>") == 6
+
+
+def test_forms_around_the_page_and_forms_in_it():
+    assert _paragraphs(f"<form id=aspnetForm>{SIX}</form>") == _paragraphs(f"<form><fieldset>{SIX}</fieldset></form>") == 6
+    assert _paragraphs(f"<form id=aspnetForm><article>{SIX}</article></form><p>{TEXT}</p>") == 6
+    for page in (f"<article>{SIX}</article><form>{{}}</form>", f"<div>{SIX}<form>{{}}</form></div>", f"<article>{SIX}<fieldset>{{}}</fieldset></article>"):
+        got = html_text.main_text(page.format(f"<label>Name</label><p>Sign up here. {TEXT}</p>"))
+        assert "Sign up" not in got and "Name" not in got and "P5" in got
+
+
+@pytest.mark.parametrize("raw", ['<svg class="i"/>', '<iframe src="x"/>', "<iframe src=x>", "<svg>", "<object>", "<textarea>", "<noscript>", "<math/>"])
+def test_raw_elements_without_end_are_empty(raw):
+    page = SIX.replace("</p>", "</p>" + raw, 1)
+    assert _paragraphs(page) == _paragraphs(f"<article>{page}</article>") == _paragraphs(page.replace("</p>", "</p>" + raw)) == 6
+    tag = re.match("<([a-z]+)", raw)[1]
+    assert html_text.main_text(f"<article>{SIX}<{tag}>gone</{tag}></article>") == html_text.main_text(f"<article>{SIX}</article>")
+
+
+def test_links_that_are_sentences_and_an_open_head():
+    assert _paragraphs(SIX.replace("<p>", "<p><a href=/>").replace("</p>", "</a></p>")) == 6
+    assert "Latest" not in html_text.main_text(SIX + "<ul><li><a href=/>Latest news of the town</a><li><a href=/>Latest sports</a></ul>")
+    assert _paragraphs(f"<html><head><title>x</title><meta charset=utf-8><body>{SIX}") == 6
+
+
+@pytest.mark.parametrize("name", ["discussion", "user-reviews", "userComments", "taboola", "ad-container", "comment-content", "cookie notice", "sidebar-left"])
+def test_adverts_and_readers_words_go(name):
+    bad = f"<div class='{name}'><p>BAD {TEXT * 2}</p><p>BAD {TEXT}</p></div>"
+    for page in (f"<article>{SIX}{bad}</article>", f"<article>{SIX}</article>{bad}", f"<div class='page-content'>{SIX}{bad}</div>", f"<div>{SIX}</div>{bad}"):
+        assert "BAD" not in html_text.main_text(page) and _paragraphs(page) == 6
+    assert "BAD" not in html_text.main_text(f"<article><p>{TEXT}</p><div class='comments'>{bad * 9}</div></article>")
+    assert html_text.main_text(bad).count("BAD") == 2
+
+
+def test_wrappers_of_any_name_change_nothing():
+    """Pages wrapped in boxes whose class is drawn at random give what the unwrapped page gives."""
+    rng = random.Random(90)
+    words = ["has", "with", "no", "sidebar", "menu", "ads", "content", "page", "wrap", "main", "nav", "open", "footer", "modal", "left", "site", "banner", "widget", "share"]
+    for _ in range(300):
+        body = "".join(f"<p>P{k} {TEXT * rng.randint(1, 4)}</p>" + "<div class='ad'><p>Buy</p></div>" * rng.randint(0, 1) for k in range(6))
+        want = html_text.main_text(f"<div>{body}</div>")
+        assert "Buy" not in want and all(f"P{k} " in want for k in range(6))
+        page = body
+        for _ in range(rng.randint(1, 4)):
+            page = f"<{'div'} class='{'-'.join(rng.sample(words, rng.randint(1, 3)))} {rng.choice(words)}x'>{page}</div>"
+        assert html_text.main_text(f"<body><nav>n</nav>{page}<footer>f</footer></body>") == want
+
+
+def test_deeply_nested_groups_take_linear_time():
+    import time
+
+    def took(n):
+        t = time.perf_counter()
+        assert html_text.main_text("<div class=ad>" * n + "deep") == "deep"
+        return time.perf_counter() - t
+
+    took(2000)
+    assert took(100_000) < 12 * took(20_000) + 0.5
+
+
+def test_pages_of_the_table_without_articles_and_names(spark):
+    """Neither article elements nor classes: what tells the text is its lines. The key is the article element, read by a
+    pattern. Where an article is hardly longer than the advert before it, nothing is left that could tell them apart."""
+    import html
+
+    seen = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        inner = re.search("<article>(.*?)</article>", r["html"], re.S)[1]
+        inner = re.sub("<[^>]+>", "", re.sub("</?(?:p|h1|br)[^>]*>", " ", inner))
+        advert = max(re.findall(r"<div class=\"ad\"[^>]*>(.*?)</div>", r["html"], re.S), key=len, default="")
+        bare = re.sub(r' (?:class|id|role)="[^"]*"', "", re.sub("</?article>", "", r["html"]))
+        for page in (bare, re.sub(r"(</?)(?:nav|footer)>", r"\1div>", bare)):
+            if len(inner) > max(5 * len(advert), 300):
+                seen += 1
+                assert html_text.main_text(page) == " ".join(html.unescape(inner).split())
+    assert seen > 80
+
+
 # ------------------------------------------------------------------ 10 line dedup
 
 
