@@ -1,4 +1,4 @@
-"""Query op8: secret spans of all documents."""
+"""Query op8: secret spans of all documents, and how many of their credential values are scored and withstand guessing."""
 
 from __future__ import annotations
 
@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
-from .secrets import find_secrets
+from .secrets import GUESS_LIMIT, find_secrets
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,4 +16,6 @@ def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(
         "doc_id", n("assign").alias("n_assign"), n("access").alias("n_access"), n("hex").alias("n_hex"),
         F.sha2(joined(F.filter("found", lambda s: s["kind"] != "guess")), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"),
+        F.size("scored").cast("bigint").alias("n_scored"), F.size(F.filter("scored", lambda s: s["cost"] >= GUESS_LIMIT)).cast("bigint").alias("n_strong"),
+        F.round(F.array_max(F.transform("scored", lambda s: s["cost"])), 6).alias("highest_cost"),
     )

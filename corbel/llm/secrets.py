@@ -9,12 +9,14 @@ dates, repeats, keyboard walks and brute-force spans, PLACE for every segment af
 programming over the whole value. A repeat or walk is a part of a maximal one that starts where that starts or ends where
 that ends (repeats of blocks of 2 to BLOCK characters: where it starts), so the work is linear in the value's length. Values that cost GUESS_LIMIT or more are secrets. As costs only
 grow along a segmentation, the scan stops once every place within reach of a segment costs that much; that changes no verdict.
+Values of base matches are scored too: they keep their base span and get no second one, but their cost is given, so that
+`password: password1` and a random token can be told apart. Costs are given up to COST_SHOWN.
 
 Dictionary. Fixed common words of passwords and names, and then the words of the texts themselves, by the number of
 documents they occur in outside credential values, the first DICTIONARY of them; what is collected and broadcast is
 bounded by that parameter.
 
-Defined results: null or empty text: no spans; a value inside a base match of kind assign stays with it (no second
+Defined results: null or empty text: no spans, no costs; a value inside a base match of kind assign stays with it (no second
 span); ties between kinds at one start: in the order of KINDS; words with equal counts: in the order of their letters;
 repeated rows: scanned each; empty table: no rows; very long texts are scanned whole; other columns are not carried.
 """
@@ -50,6 +52,8 @@ ANY = r"(?i)password|passwd|passphrase|pwd|secret|token|key|credential|://[^\s:/
 
 #: log10 of the guesses from which a value is a secret; cost of each further segment; words of the dictionary at most.
 GUESS_LIMIT, PLACE, DICTIONARY = 8.0, 0.3, 20_000
+#: Costs that are given end here: a value that costs more is given this cost.
+COST_SHOWN = 40.0
 #: Least and greatest length of a dictionary word taken from the texts; longest block of a repeat.
 SHORTEST, LONGEST, BLOCK = 3, 24, 16
 #: Common words of passwords and names, most common first; a word costs the log of its rank.
@@ -181,19 +185,27 @@ def contexts(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
-def guess_spans(text: str, taken: list[tuple[str, int, int]], limit: float = GUESS_LIMIT, words: Words = PLAIN) -> list[tuple[str, int, int]]:
-    assigned = [(a, b) for k, a, b in taken if k == "assign"]
-    out, at = [], 0
+def scored_values(text: str, words: Words = PLAIN, most: float = COST_SHOWN) -> list[tuple[int, int, float]]:
+    """Start, end and guess cost (most at most) of every credential value, by start: those of base assignments and of contexts."""
+    found: dict[int, int] = {}
     for start, a, b in contexts(text):
         while b > a and text[b - 1] in ".,!?):]":
             b -= 1
+        prose = text[start:a].rstrip("\"' ").lower().endswith(" is") and text[a:b].isalpha()  # a plain word after "is"
+        if b - a >= 6 and not prose:
+            found[a] = b
+    found |= {m.start(2): m.end(2) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8}
+    return [(a, b, guess_cost(text[a:b], words, most)) for a, b in sorted(found.items())]
+
+
+def guess_spans(taken: list[tuple[str, int, int]], scored: list[tuple[int, int, float]], limit: float = GUESS_LIMIT) -> list[tuple[str, int, int]]:
+    """The values of scored that cost limit or more and don't begin inside an assignment of taken."""
+    assigned = [(a, b) for k, a, b in taken if k == "assign"]
+    out, at = [], 0
+    for a, b, cost in scored:
         while at < len(assigned) and assigned[at][1] <= a:
             at += 1
-        if b - a < 6 or at < len(assigned) and assigned[at][0] <= a:
-            continue
-        if text[start:a].rstrip("\"' ").lower().endswith(" is") and text[a:b].isalpha():
-            continue  # prose: a plain word after "is"
-        if guess_cost(text[a:b], words, limit) >= limit:
+        if cost >= limit and not (at < len(assigned) and assigned[at][0] <= a):
             out.append(("guess", a, b))
     return out
 
@@ -203,8 +215,12 @@ def _order(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 
 def spans_of(text: str, words: Words = PLAIN) -> list[tuple[str, int, int]]:
-    base = base_spans(text)
-    return _order(base + guess_spans(text, base, words=words))
+    return _scan(text, words)[0]
+
+
+def _scan(text: str, words: Words) -> tuple[list[tuple[str, int, int]], list[tuple[int, int, float]]]:
+    base, scored = base_spans(text), scored_values(text, words)
+    return _order(base + guess_spans(base, scored)), scored
 
 
 def digest(spans: list[tuple[str, int, int]]) -> str:
@@ -249,11 +265,13 @@ def dictionary(docs: DataFrame, most: int = DICTIONARY) -> Words:
 
 
 SPAN = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
+COST = pa.struct([("start", pa.int64()), ("end", pa.int64()), ("cost", pa.float64())])
 
 
 def find_secrets(docs: DataFrame, most: int = DICTIONARY) -> DataFrame:
-    """doc_id, found (array of kind, start, end in code points; by start, then kind) of every row. most: words of the
-    texts that the dictionary takes at most; 0 saves the pass that counts them."""
+    """doc_id, found (array of kind, start, end in code points; by start, then kind) and scored (array of start, end, cost
+    of every credential value, those of base matches too) of every row. most: words of the texts that the dictionary takes
+    at most; 0 saves the pass that counts them."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(dictionary(docs, most) if most else PLAIN)
 
@@ -262,10 +280,16 @@ def find_secrets(docs: DataFrame, most: int = DICTIONARY) -> DataFrame:
             for part in text_chunks(batch, "text"):
                 texts = pc.fill_null(part.column("text"), "")
                 maybe = pc.match_substring_regex(texts, ANY).to_pylist()
-                found = [[dict(zip(("kind", "start", "end"), s, strict=True)) for s in spans_of(texts[i].as_py(), shared.value)] if m else [] for i, m in enumerate(maybe)]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(found, pa.list_(SPAN))], ["doc_id", "found"])
-
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, found array<struct<kind:string,start:long,end:long>>")
+                found, scored = [], []
+                for i, m in enumerate(maybe):
+                    spans, costs = _scan(texts[i].as_py(), shared.value) if m else ([], [])
+                    found.append([dict(zip(("kind", "start", "end"), x, strict=True)) for x in spans])
+                    scored.append([dict(zip(("start", "end", "cost"), x, strict=True)) for x in costs])
+                columns = [part.column("doc_id"), pa.array(found, pa.list_(SPAN)), pa.array(scored, pa.list_(COST))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "found", "scored"])
+
+    kinds = "doc_id long, found array<struct<kind:string,start:long,end:long>>, scored array<struct<start:long,end:long,cost:double>>"
+    return docs.select("doc_id", "text").mapInArrow(run, kinds)
 
 
 def sha256(text: str) -> str:

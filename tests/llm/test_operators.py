@@ -726,6 +726,54 @@ def test_long_passwords_in_addresses(spark, n):
     assert [tuple(s) for s in found] == [("guess", at, at + n)]
 
 
+def test_values_of_base_matches_are_scored(spark):
+    """Every credential value of the table has a cost, by patterns and costs of plain code; base spans stay as they are."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    planted = [(-1, "password: password1"), (-2, "api_key='zk8Qv9xJw2hG'"), (-3, "mytoken=abcabcabcabc and pwd: 2020-01-02, end"), (-4, None), (-5, "")]
+    rows = docs.unionByName(spark.createDataFrame(planted, docs.schema))
+    words = secrets.PLAIN
+    value = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]{8,})""", re.I | re.A)
+    got = {r["doc_id"]: r for r in secrets.find_secrets(rows, most=0).collect()}
+    seen = 0
+    for doc, text in rows.collect():
+        scored = {(s["start"], s["end"]): s["cost"] for s in got[doc]["scored"]}
+        for m in value.finditer(text or ""):
+            seen += 1
+            want = min(_plain_cost(m[1], words), secrets.COST_SHOWN) if len(m[1]) <= 60 else secrets.COST_SHOWN
+            assert scored[m.span(1)] == pytest.approx(want)
+        assert [tuple(s) for s in got[doc]["found"] if s["kind"] != "guess"] == secrets._order(secrets.base_spans(text or ""))
+    cost = lambda doc: [s["cost"] for s in got[doc]["scored"]]
+    assert seen >= 3 and cost(-1)[0] < secrets.GUESS_LIMIT < cost(-2)[0] and len(cost(-3)) == 2 and max(cost(-3)) < secrets.GUESS_LIMIT
+    assert cost(-4) == cost(-5) == []
+
+
+def test_weak_and_strong_values_of_other_words():
+    """People's values from words that the fixed list lacks: they are weak once the texts' words are in the dictionary."""
+    rng = random.Random(4)
+    own = ["manchester", "alexander", "trustno", "harvest", "orchard", "window", "guitar", "bridge", "copper", "falcon", "garden", "island"]
+    assert not set(own) & set(secrets.WORDS)
+    words = secrets.Words.of(own)
+    for _ in range(200):
+        v = rng.choice([lambda: rng.choice(own) + str(rng.randint(1, 99)), lambda: rng.choice(own).capitalize() + rng.choice(own), lambda: rng.choice(own) + str(rng.randint(1960, 2024))])()
+        (_, _, cost), = secrets.scored_values(f"token: {v}", words)
+        assert cost < secrets.GUESS_LIMIT
+        strong = "".join(rng.choice("bcdfghjkmnpqrtvwxyz23456789") for _ in range(14))
+        (_, _, cost), = secrets.scored_values(f"token: {strong}", words)
+        assert cost >= secrets.GUESS_LIMIT
+
+
+def test_texts_with_a_value_pass_the_gate():
+    rng = random.Random(6)
+    bits = ["password", "Secrets", "is ", " is  ", ":", "=", "://", "u:", "@h", "Xk9pQ2zLwv", "\"", " ", "api_key", "pwd", "a", "AKIA", "client-secret", "\n"]
+    hits = 0
+    for _ in range(20_000):
+        t = "".join(rng.choice(bits) for _ in range(rng.randint(2, 9)))
+        if secrets.scored_values(t):
+            hits += 1
+            assert re.search(secrets.ANY, t), t
+    assert hits > 500
+
+
 # ------------------------------------------------------------------ 9 html
 
 
