@@ -13,6 +13,7 @@ from corbel.operators import incremental as I
 from corbel.operators import links as L
 from corbel.operators import pairs as P
 from corbel.operators import snapshots as S
+from corbel.operators.named import NamedEdges
 from corbel.plans import model as M
 from corbel.plans import resolve as R
 from corbel.sources.tables import table
@@ -227,6 +228,34 @@ def tests_by_name(spark: SparkSession, d: str) -> DataFrame:
     return R.tests_by_name(tests, symbols).select("id", F.explode("tests").alias("t")).select("id", "t.file", F.array_join("t.names", ",").alias("names"))
 
 
+_NAMED = """WITH m AS (SELECT DISTINCT item_id || ':' || name AS id, name FROM (SELECT item_id, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS name FROM benchmark)),
+u AS (SELECT DISTINCT CAST(doc_id AS VARCHAR) AS src, unnest(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')) AS name FROM documents),
+e AS (SELECT src, id FROM u JOIN m USING (name))
+"""
+
+
+def _named(spark: SparkSession, d: str) -> NamedEdges:
+    """Documents use words, each word of a benchmark item is a member of that name: frequent words have a third of all uses and many members."""
+    uses = table(spark, d, "documents").filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("string").alias("src"), F.explode(F.array_distinct(_words("text"))).alias("name"))
+    return NamedEdges(uses, _bench_words(spark, d).select("name", F.concat_ws(":", "item_id", "name").alias("id")))
+
+
+@query(_NAMED + "SELECT id, count(*) AS n_in FROM e GROUP BY id")
+def named_callers(spark: SparkSession, d: str) -> DataFrame:
+    return _named(spark, d).callers()
+
+
+@query(_NAMED + "SELECT src, count(*) AS n_out FROM e GROUP BY src")
+def named_callees(spark: SparkSession, d: str) -> DataFrame:
+    return _named(spark, d).callees()
+
+
+@query(_NAMED + "SELECT id, src, rank FROM (SELECT id, src, CAST(row_number() OVER (PARTITION BY id ORDER BY src) AS INTEGER) AS rank FROM e) WHERE rank <= 12")
+def named_first_callers(spark: SparkSession, d: str) -> DataFrame:
+    """The first twelve sources of each member: the build's cap on callers."""
+    return _named(spark, d).first_callers(R.CALLERS_ELSEWHERE)
+
+
 @query("""SELECT c.c_custkey AS id, s.s_suppkey AS target FROM customer c JOIN supplier s ON c.c_nationkey = s.s_nationkey WHERE c.c_custkey <> s.s_suppkey""")
 def name_equi_link(spark: SparkSession, d: str) -> DataFrame:
     rows = table(spark, d, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("name"))

@@ -1,7 +1,8 @@
 """Call facts: who calls whom, and which tests reach what.
 
 A resolver turns symbols into raw links; assembling facts from them (caps, order, removal of self links) is common to
-all. The name resolver, the default, is a join: a call of f() or x.f() goes to every symbol named f.
+all. The name resolver, the default, links by name: a call of f() or x.f() goes to every symbol named f. Only edges that touch
+the asked symbols are made, hot names in cells.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 
 from corbel.operators import links as L
 from corbel.operators import pairs as P
+from corbel.operators.named import NamedEdges
 from corbel.plans.model import Tree
 
 TESTS_PER_FILE, CALLERS_ELSEWHERE, CALLEES_ELSEWHERE = 6, 12, 25
@@ -41,13 +43,11 @@ class Resolver(Protocol):
 
 class NameResolver:
     def resolve(self, tree: Tree, symbols: DataFrame) -> RawLinks:
-        all_edges = L.name_link(tree.calls, tree.symbols.select("id", "name")).select("src", F.col("id").alias("dst")).filter("src <> dst")
-        ids = symbols.select("id").distinct()
-        into = all_edges.join(ids.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
-        outof = all_edges.join(ids.withColumnRenamed("id", "src"), "src", "left_semi").select("src", "dst")
+        graph = NamedEdges.of(tree.calls, tree.symbols.select("id", "name"))
+        edges = graph.pairs().filter("src <> id") if symbols is tree.symbols else graph.touching(symbols)
         called = tree.tests.select(F.struct("file", F.col("test").alias("name")).alias("src"), F.explode("called").alias("name"))
-        tests = L.name_link(called, symbols.select("id", "name")).select("id", "src.*")
-        return RawLinks(into.unionByName(outof).distinct(), tests)
+        tests = NamedEdges.of(called, symbols.select("id", "name")).pairs().select("id", "src.*")
+        return RawLinks(edges.withColumnRenamed("id", "dst"), tests)
 
 
 def assemble(symbols: DataFrame, raw: RawLinks) -> DataFrame:

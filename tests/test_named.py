@@ -1,0 +1,103 @@
+"""Edges by name: counts, first callers and neighbours without edges, and their expansion."""
+
+from __future__ import annotations
+
+import random
+from collections import Counter, defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from corbel.operators.named import NamedEdges
+from corbel.plans import registry
+
+
+def tables(spark, seed, hot=0):
+    rng = random.Random(seed)
+    names = [f"n{k}" for k in range(12)]
+    members = [(rng.choice(names[:9]), f"s{k}") for k in range(60)] + [("n0", f"h{k}") for k in range(hot)]
+    uses = [(f"s{rng.randint(0, 80)}", rng.choice(names[1:])) for _ in range(200)] + [(f"s{k}", "n0") for k in range(hot)]
+    uses += [(None, "n1"), ("s1", None), uses[0], uses[1]]
+    members += [(None, "s900"), ("n1", None), members[0]]
+    df = lambda rows, kind: spark.createDataFrame(rows, kind).repartition(3)
+    return uses, members, NamedEdges.of(df(uses, "src string, name string"), df(members, "name string, id string"))
+
+
+def plain(uses, members):
+    return {(s, i) for s, a in uses for b, i in members if a is not None and a == b and s is not None and i is not None}
+
+
+@pytest.mark.parametrize(("seed", "hot", "cell"), [(1, 0, 1024), (2, 40, 7), (3, 90, 1), (4, 5, 2)])
+def test_edges_and_what_is_taken_without_them(spark, seed, hot, cell):
+    uses, members, graph = tables(spark, seed, hot)
+    edges = plain(uses, members)
+    got = [tuple(r) for r in graph.pairs(cell).collect()]
+    assert len(got) == len(set(got)) and set(got) == edges
+    true = {(s, i) for s, i in edges if s != i}
+    assert edges != true
+    assert {tuple(r) for r in graph.callers().collect()} == set(Counter(i for _, i in true).items())
+    assert {tuple(r) for r in graph.callees().collect()} == set(Counter(s for s, _ in true).items())
+    by = defaultdict(list)
+    for s, i in sorted(true):
+        by[i].append(s)
+    want = {(i, s, k + 1) for i, ss in by.items() for k, s in enumerate(ss[:3])}
+    assert {tuple(r) for r in graph.first_callers(3).collect()} == want
+    changed = {"s3", "s17", "h2", "s70", "nobody"}
+    ids = spark.createDataFrame([(c,) for c in [*changed, "s3"]], "id string")
+    assert {r[0] for r in graph.neighbours(ids).collect()} == {x for e in true if set(e) & changed for x in e} - changed
+    touched = [tuple(r) for r in graph.touching(ids).collect()]
+    assert len(touched) == len(set(touched)) and set(touched) == {e for e in true if set(e) & changed}
+
+
+def test_first_callers_by_another_order(spark):
+    uses, members, graph = tables(spark, 5, 20)
+    true = {(s, i) for s, i in plain(uses, members) if s != i}
+    by = defaultdict(list)
+    for s, i in sorted(true, key=lambda e: (-int(e[0][1:]), e[0])):
+        by[i].append(s)
+    got = graph.first_callers(2, -F.substring("src", 2, 9).cast("int")).collect()
+    assert {tuple(r) for r in got} == {(i, s, k + 1) for i, ss in by.items() for k, s in enumerate(ss[:2])}
+
+
+def test_empty_tables(spark):
+    _, _, graph = tables(spark, 1)
+    for uses, members in ((graph.uses.limit(0), graph.members), (graph.uses, graph.members.limit(0))):
+        g = NamedEdges(uses, members)
+        ids = spark.createDataFrame([("s1",)], "id string")
+        assert [d.count() for d in (g.pairs(), g.callers(), g.callees(), g.first_callers(2), g.neighbours(ids), g.touching(ids))] == [0] * 6
+
+
+def test_a_name_with_many_callers_and_definitions(spark):
+    """10^5 callers and 10^4 definitions of one name: 10^9 edges, none of which is made."""
+    uses = spark.range(100_000).select(F.col("id").alias("src"), F.lit("get").alias("name"))
+    members = spark.range(90_000, 100_000).select(F.lit("get").alias("name"), "id")
+    graph = NamedEdges(uses, members)
+    assert graph.callers().agg(F.count("*"), F.min("n_in"), F.max("n_in")).first()[:] == (10_000, 99_999, 99_999)
+    assert graph.callees().groupBy("n_out").count().orderBy("n_out").collect() == [(9_999, 10_000), (10_000, 90_000)]
+    first = graph.first_callers(12)
+    assert first.count() == 120_000 and first.filter("src <> rank - 1").count() == 0
+    ids = spark.createDataFrame([(95_000,)], "id long")
+    assert graph.neighbours(ids).count() == 99_999
+    # what touches one of the definitions: all callers into it, and its own calls of the others
+    assert graph.touching(ids).count() == 99_999 + 9_999
+
+
+def test_a_hot_name_is_parted_in_cells(spark):
+    uses = spark.range(3_000).select(F.col("id").alias("src"), F.lit("get").alias("name"))
+    members = spark.range(5_000, 6_000).select(F.lit("get").alias("name"), "id")
+    out = NamedEdges(uses, members).pairs(100)
+    assert out.count() == out.distinct().count() == 3_000_000
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = [r["count"] for r in NamedEdges(uses, members).pairs(100).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert max(sizes) < 3_000_000 / 2
+
+
+def test_capped_queries_make_no_edges(spark):
+    sf = "/root/testdata/sf0.001"
+    edges = registry._named(spark, sf).pairs()
+    n = edges.count()
+    assert registry.named_callers(spark, sf).agg(F.sum("n_in")).first()[0] == n == registry.named_callees(spark, sf).agg(F.sum("n_out")).first()[0]
