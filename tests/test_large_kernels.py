@@ -190,3 +190,15 @@ def test_empty_snapshots_null_keys_and_repeats(spark, tmp_path):
     assert S.snapshot_changes(spark, f"{tmp_path}/some", f"{tmp_path}/same").count() == 0
     write(spark, {5: "x"}, f"{tmp_path}/some")  # in place of the one that is there
     assert dict(S.snapshot_changes(spark, f"{tmp_path}/none", f"{tmp_path}/some").collect()) == {5: "new"}
+
+
+def test_a_hot_name_is_linked_by_many_tasks(spark):
+    """Two small files that share one name join to 4,500,000 rows: no task makes most of them, and repeats stay."""
+    rows = spark.range(3000).selectExpr("id", "IF(id < 2999, 'hot', NULL) AS name", "id % 7 AS more").coalesce(1)
+    targets = spark.range(1500).selectExpr("id AS target", "'hot' AS name").coalesce(1)
+    made = L.name_equi_link(rows.union(rows.filter("id = 5")), targets)
+    assert made.columns == ["id", "more", "target"]
+    by_task = [r["n"] for r in made.groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert sum(by_task) == 3000 * 1500 - 1501
+    assert max(by_task) < 0.6 * sum(by_task)
+    assert made.filter("id = 5").count() == 2 * 1499 and made.filter("id = 5").distinct().count() == 1499
