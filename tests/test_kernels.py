@@ -237,3 +237,15 @@ def test_kept_tables_and_release(spark):
     release(spark)
     path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(own_folder(spark))
     assert not path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+
+
+def test_ticked_tokens_split_a_line_once(spark):
+    line = F.concat(F.lit("see `"), "l", F.lit("` and `"), "l", F.lit("(x)`"))
+    df = spark.createDataFrame([("a",), ("",), (None,), ("x`y(z",)], "l string").select("l", F.explode_outer(L.ticked_tokens(line)).alias("t"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    got = defaultdict(list)
+    for said, token in df.collect():
+        got[said].append(token)
+    assert set(got["a"]) == {"a", " and ", "a(x)"} and got[None] == [None]
+    assert set(got["x`y(z"]) == {"x", "y(z", " and ", "y(z(x)", "y"}
