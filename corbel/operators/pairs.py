@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 
 #: Hashed counters of pairs and of items, and how many of those of pairs a task sends as one row.
 COUNTERS, ITEM_COUNTERS, LANES = 1 << 22, 1 << 22, 1 << 14
+#: Items are counted to leave those below the support out if these can hold one of so many rows.
+RARE = 8
 
 
 def _words(lanes: DataFrame) -> DataFrame:
@@ -33,13 +35,17 @@ def baskets(rows: DataFrame, basket: str, item: str, lo: int = 2, hi: int = 25,
     support rows hold, as no pair with them can have that support (but for a few that share a hashed counter with others). The
     counters have a fixed size, so rows are sorted out where they stand.
 
-    Sizes are counted before items are gathered, so no row holds more than hi of them."""
+    Sizes are counted before items are gathered, so no row holds more than hi of them. Different rows are shuffled once by
+    basket, counted and gathered there. Where items are so few that less than a RARE-th of the rows can be below the support, all stay:
+    the counters would cost more than they save."""
     d = rows.select(F.col(basket).alias("basket"), F.col(item).alias("item")).filter("basket IS NOT NULL AND item IS NOT NULL").distinct()
-    sized = d.join(d.groupBy("basket").agg(F.count("*").alias("_n")).filter(F.col("_n").between(lo, hi)).select("basket"), "basket")
+    sized = d.withColumn("_n", F.count("*").over(Window.partitionBy("basket"))).filter(F.col("_n").between(lo, hi)).drop("_n")
     if support > 1:
-        lane = F.xxhash64("item").bitwiseAND(F.lit(ITEM_COUNTERS - 1))
-        seen = rows.select(F.col(item).alias("item")).filter("item IS NOT NULL").groupBy(lane.alias("lane")).agg(F.count("*").alias("n"))
-        sized = _in_words(sized, lane, _words(seen.filter(F.col("n") >= support)))
+        seen = rows.select(F.col(item).alias("item")).filter("item IS NOT NULL")
+        some = seen.agg(F.count("*").alias("rows"), F.approx_count_distinct("item").alias("items")).first()
+        if some["items"] * (support - 1) * RARE > some["rows"]:
+            lane = F.xxhash64("item").bitwiseAND(F.lit(ITEM_COUNTERS - 1))
+            sized = _in_words(sized, lane, _words(seen.groupBy(lane.alias("lane")).agg(F.count("*").alias("n")).filter(F.col("n") >= support)))
     return sized.groupBy("basket").agg(F.array_sort(F.collect_list("item")).alias("items")).filter(F.size("items") > 1)
 
 
@@ -102,12 +108,17 @@ def pair_counts(rows: DataFrame, basket: str, item: str, lo: int = 2, hi: int =
 
     Items below the support leave before pairs are made. With counters, pairs are then counted twice: first into so many
     hashed counters, next exactly, but only those whose counter reaches the support. That pays where most pairs are
-    rare and there are no more of them than counters (or few more); it never changes the result. keep writes the baskets, which both passes read."""
+    rare and there are no more of them than counters; with more, nearly every counter reaches the support, so the first count is left
+    out. It never changes the result. keep writes the baskets, which all passes read."""
     sets = baskets(rows, basket, item, lo, hi, support)
-    if not counters or support < 2:
+    counted = bool(counters) and support > 1
+    if counted:
+        sets = keep(sets)
+        n = F.size("items").cast("bigint")
+        counted = (sets.agg(F.sum(n * (n - 1) / 2)).first()[0] or 0) <= counters
+    if not counted:
         made = pairs_of(sets)
     else:
-        sets = keep(sets)
         made = _in_words(pairs_of(sets), _lane(counters), crowded_lanes(sets, support, counters))
     return made.groupBy("a", "b").agg(F.count("*").alias("n")).filter(F.col("n") >= support)
 
@@ -145,11 +156,14 @@ def grouped_counts(rows: DataFrame, group: str, item: str, weight: Column | None
 
 
 def group_history(rows: DataFrame, key: str, pos: str, who: str, first: dict[str, str], last: dict[str, str]) -> DataFrame:
-    """Per key: rows, different who, and columns at the first and last position (by position, not by value)."""
-    return rows.groupBy(key).agg(
-        F.count("*").alias("n"), F.count_distinct(who).alias("n_who"),
-        *[F.min_by(c, pos).alias(name) for name, c in first.items()], *[F.max_by(c, pos).alias(name) for name, c in last.items()],
+    """Per key: rows, different who, and columns at the first and last position (by position, not by value). Who is counted apart:
+    in one aggregate each key and who would carry its own first and last columns, as many rows as the input has."""
+    ends = rows.groupBy(F.col(key).alias("_key")).agg(
+        F.count("*").alias("n"), *[F.min_by(c, pos).alias(name) for name, c in first.items()], *[F.max_by(c, pos).alias(name) for name, c in last.items()],
     )
+    people = rows.select(key, F.col(who).alias("_who")).filter("_who IS NOT NULL").distinct().groupBy(key).agg(F.count("*").alias("n_who"))
+    both = ends.join(people, F.col("_key").eqNullSafe(F.col(key)), "left")
+    return both.select(F.col("_key").alias(key), "n", F.coalesce("n_who", F.lit(0).cast("bigint")).alias("n_who"), *first, *last)
 
 
 def numbered(rows: DataFrame, by: Sequence[str], out: str, keep) -> DataFrame:

@@ -202,3 +202,20 @@ def test_a_hot_name_is_linked_by_many_tasks(spark):
     assert sum(by_task) == 3000 * 1500 - 1501
     assert max(by_task) < 0.6 * sum(by_task)
     assert made.filter("id = 5").count() == 2 * 1499 and made.filter("id = 5").distinct().count() == 1499
+
+
+def test_pairs_beyond_the_counters_are_counted_once(spark, monkeypatch):
+    rows = [(b, i) for b in range(60) for i in random.Random(b % 40).sample(range(50), 5)]
+    monkeypatch.setattr(P, "crowded_lanes", lambda *_: pytest.fail("600 pairs don't fit 64 counters"))
+    got = {(a, b): n for a, b, n in P.pair_counts(spark.createDataFrame(rows, "b long, i long"), "b", "i", 2, 25, 2, 64).collect()}
+    assert got == plain_pairs(rows, 2, 25, 2)
+
+
+def test_history_counts_people_apart(spark):
+    rows = [("x", 1, "p", "a"), ("x", 2, "q", "b"), ("x", 3, "p", "c"), (None, 5, "p", "d"), (None, 4, None, "e"), ("y", 1, None, "f")]
+    df = spark.createDataFrame(rows, "k string, pos long, who string, v string")
+    made = P.group_history(df, "k", "pos", "who", {"one": "v"}, {"end": "v"})
+    assert made.columns == ["k", "n", "n_who", "one", "end"]
+    assert {tuple(r) for r in made.collect()} == {("x", 3, 2, "a", "c"), (None, 2, 1, "e", "d"), ("y", 1, 0, "f", "f")}
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert not [line for line in plan.splitlines() if "max_by" in line and "who" in line]
