@@ -204,6 +204,36 @@ def test_a_hot_name_is_linked_by_many_tasks(spark):
     assert made.filter("id = 5").count() == 2 * 1499 and made.filter("id = 5").distinct().count() == 1499
 
 
+def test_equal_rows_are_linked_by_many_tasks(spark):
+    """3,000 copies of one row meet 1,500 copies of one target: they differ in nothing, but no task makes most of the rows."""
+    rows = spark.range(3000).selectExpr("5L AS id", "'hot' AS name").coalesce(1)
+    targets = spark.range(1500).selectExpr("7L AS target", "'hot' AS name").coalesce(1)
+    made = L.name_equi_link(rows, targets)
+    by_task = [tuple(r) for r in made.groupBy(F.spark_partition_id(), "id", "target").agg(F.count("*").alias("n")).select("id", "target", "n").collect()]
+    assert {r[:2] for r in by_task} == {(5, 7)} and sum(r[2] for r in by_task) == 3000 * 1500
+    assert max(r[2] for r in by_task) < 0.6 * 3000 * 1500
+
+
+def joined_rows(df) -> int:
+    """Rows out of the topmost join of a plan that has run."""
+    node = df._jdf.queryExecution().executedPlan()
+    while "Join" not in node.nodeName():
+        name = node.nodeName()
+        node = node.executedPlan() if name == "AdaptiveSparkPlan" else node.plan() if name.endswith("QueryStage") else node.children().head()
+    return node.metrics().apply("numOutputRows").value()
+
+
+def test_rows_of_a_hot_name_are_matched_once_in_a_cell(spark):
+    """The join gives each row once for each part of the targets; the rows of the result are made of the parts after it."""
+    rows = spark.range(3000).selectExpr("id", "'hot' AS name", "IF(id % 2 = 0, NULL, struct(id AS k)) AS more")
+    targets = spark.range(1500).selectExpr("IF(id = 3, NULL, id) AS target", "'hot' AS name")
+    made = L.name_equi_link(rows, targets)
+    got = made.collect()
+    assert joined_rows(made) == 3000 * 2
+    assert len(got) == len({(r["id"], r["target"]) for r in got}) == 3000 * 1499 - 1499
+    assert all((r["more"] is None) if r["id"] % 2 == 0 else (r["more"]["k"] == r["id"]) for r in got[::1000])
+
+
 def test_pairs_beyond_the_counters_are_counted_once(spark, monkeypatch):
     rows = [(b, i) for b in range(60) for i in random.Random(b % 40).sample(range(50), 5)]
     monkeypatch.setattr(P, "crowded_lanes", lambda *_: pytest.fail("600 pairs don't fit 64 counters"))
